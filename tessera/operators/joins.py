@@ -1,0 +1,29 @@
+"""Join helpers: broadcast only behind a size check, shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound under which a lookup side is broadcast. A dimension row here is a
+# few hundred bytes, so this stays well under the default 10 MB threshold.
+DEFAULT_BROADCAST_ROWS = 20_000
+
+
+def bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``max_rows`` rows, else return it unhinted.
+
+    The check is one ``limit(max_rows + 1).count()`` on the persisted frame,
+    so the work done by the check is reused by the join that follows. Beyond
+    the bound the join falls back to a shuffle join (AQE may still pick a
+    broadcast at run time from real shuffle sizes).
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def known_small(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose row count is known without a job (e.g. a calendar)."""
+    return F.broadcast(df) if rows <= max_rows else df
