@@ -103,7 +103,7 @@ SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE p_brand END AS nom_partenaire, p
        CAST(CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN id % 50 + 10 ELSE (id % 5 + 1) * 10 END AS DECIMAL(10,2)) AS valeur_avantage,
        CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'DH' ELSE '%' END AS unite_avantage,
        CASE WHEN id % 7 = 0 THEN 'sur devis' ELSE CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR) END AS tarif_pass_jeunes_txt,
-       CAST(price AS DECIMAL(10,2)) AS tarif_public, n_name AS ville,
+       CAST(price AS DECIMAL(10,2)) AS tarif_public, CASE WHEN id % 10 = 5 THEN 'Multi-villes' ELSE n_name END AS ville,
        CASE WHEN id % 5 = 0 THEN 'National' ELSE r_name END AS region, (id % 10 <> 0) AS actif
 FROM b_catalogue JOIN geo ON id % 25 = n_nationkey""")
 cte("b_lines", """

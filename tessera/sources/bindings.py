@@ -129,7 +129,7 @@ class Staging:
                     F.when(F.col("id") % 7 == 0, F.lit("sur devis"))
                     .otherwise(F.col("price").cast("decimal(10,2)").cast("string")).alias("tarif_pass_jeunes_txt"),
                     F.col("price").cast("decimal(10,2)").alias("tarif_public"),
-                    F.col("n_name").alias("ville"),
+                    F.when(F.col("id") % 10 == 5, F.lit("Multi-villes")).otherwise(F.col("n_name")).alias("ville"),
                     F.when(F.col("id") % 5 == 0, "National").otherwise(F.col("r_name")).alias("region"),
                     (F.col("id") % 10 != 0).alias("actif"),
                 )
