@@ -29,16 +29,16 @@ def with_surrogate(df: DataFrame, order_cols, name: str, num_partitions: int | N
     ranged = (
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+        .withColumn("__w2_pid", F.spark_partition_id())
+        .withColumn("__w2_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     ).checkpoint(eager=True)
     offsets = (
-        ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
+        ranged.groupBy("__w2_pid").agg(F.count(F.lit(1)).alias("__w2_n"))
+        .withColumn("__w2_off", F.sum("__w2_n").over(Window.orderBy("__w2_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("__w2_pid", F.coalesce("__w2_off", F.lit(0)).alias("__w2_off"))
     )
     return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.col("_off") + F.col("_pos") + 1).cast("long"))
-        .drop("_pid", "_pos", "_off")
+        ranged.join(F.broadcast(offsets), "__w2_pid")
+        .withColumn(name, (F.col("__w2_off") + F.col("__w2_pos") + 1).cast("long"))
+        .drop("__w2_pid", "__w2_pos", "__w2_off")
     )

@@ -1 +1,218 @@
-"""(filled in below)"""
+"""Model queries: split, oversampling, scaling, fits, stacking, evaluation,
+cross-validation, scoring, K-Means segmentation, nearest centroid
+(M3-M16, A13-A15, W7, W9). Fits use ``Settings.small()`` so the registered
+queries stay quick; production settings are ``Settings()``."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import churn as C
+from tessera.operators import features as FE
+from tessera.operators import segments as S
+from tessera.plans.context import Ctx
+from tessera.plans.q_features import churn_features, segment_features
+from tessera.plans.registry import query
+from tessera.plans.sqlparts import with_ctes
+
+SET = C.Settings.small()
+
+
+def prepared(ctx):
+    """(frame with key, label and numeric features, feature names)."""
+    f = churn_features(ctx)
+    f = FE.one_hot(f, ["genre", "tranche_age", "statut_pass"])
+    cols = [c for c in f.columns if c not in (C.KEY, C.LABEL)]
+    return FE.clean_features(f, cols), cols
+
+
+def train_test(ctx):
+    df, cols = prepared(ctx)
+    sp = C.stratified_split(df)
+    train, test = sp.filter("split = 'train'").drop("split"), sp.filter("split = 'test'").drop("split")
+    scaled_train = C.standardize(train, train, cols)
+    return train, test, scaled_train, cols
+
+
+@query("q_stratified_split")
+def q_stratified_split(spark, sf):
+    """Exact stratified 80/20 split by hashed key (M3)."""
+    df, _ = prepared(Ctx(spark, sf))
+    return C.stratified_split(df).select(C.KEY, C.LABEL, "split")
+
+
+@query("q_smote")
+def q_smote(spark, sf):
+    """Minority oversampled to parity on the (scaled) training rows (M4)."""
+    _, _, scaled, cols = train_test(Ctx(spark, sf))
+    return C.smote(scaled, cols)
+
+
+def _std_sql():
+    from tessera.plans.q_features import _NUM  # same numeric columns as the feature CTE
+    cols = [*_NUM, "en_situation_handicap", "est_membre_association", "anciennete_jours"]
+    parts = [f"""round(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) OVER () = 0 THEN CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()
+                 ELSE (CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () END, 6)
+                 AS {c}""" for c in cols]
+    return cols, "SELECT beneficiaire_id, " + ", ".join(parts) + " FROM churn_feat"
+
+
+_STD_COLS, _STD_SQL = _std_sql()
+
+
+@query("q_standardize", with_ctes(_STD_SQL))
+def q_standardize(spark, sf):
+    """Scaling by population std, as the reference's scaler (M5)."""
+    f = churn_features(Ctx(spark, sf))
+    z = C.standardize(f, f, _STD_COLS)
+    return z.select(C.KEY, *[F.round(c, 6).alias(c) for c in _STD_COLS])
+
+
+def _fit_all(ctx):
+    train, test, scaled, cols = train_test(ctx)
+    over = C.class_weights(C.smote(scaled, cols))
+    test_z = C.standardize(train, test, cols)
+    n = over.count()
+    return over, test_z, cols, C.models(cols, SET, n)
+
+
+@query("q_model_metrics")
+def q_model_metrics(spark, sf):
+    """Four classifiers fitted on the oversampled training rows, evaluated on
+    the hold-out; best by F1 flagged (M6-M9, M11, W9)."""
+    over, test_z, cols, ms = _fit_all(Ctx(spark, sf))
+    tables = [C.evaluate(p.fit(over).transform(test_z), name) for name, p in ms.items()]
+    t = reduce(DataFrame.unionByName, tables)
+    best = t.agg(F.max_by("model", F.struct("f1", "auc"))).scalar()
+    return t.withColumn("best", F.col("model") == best)
+
+
+@query("q_stack_scores")
+def q_stack_scores(spark, sf):
+    """Stacking (RF + GB on out-of-fold probabilities -> logistic meta)."""
+    over, test_z, cols, _ = _fit_all(Ctx(spark, sf))
+    bases, meta = C.fit_stack(over, cols, SET)
+    scored = C.stack_transform(bases, meta, test_z)
+    return scored.select(C.KEY, C.LABEL, C.probability().alias("p_stack"))
+
+
+@query("q_feature_importance")
+def q_feature_importance(spark, sf):
+    """Top 20 random-forest importances (M12d)."""
+    over, _, cols, ms = _fit_all(Ctx(spark, sf))
+    model = ms["Random Forest"].fit(over).stages[-1]
+    imp = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
+    df = spark.createDataFrame(imp, "feature string, importance double")
+    return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(20)
+
+
+@query("q_cv_f1")
+def q_cv_f1(spark, sf):
+    """5-fold stratified cross-validated F1 on the raw matrix, no oversampling (M12e)."""
+    df, cols = prepared(Ctx(spark, sf))
+    df = C.class_weights(df)
+    h = F.xxhash64(F.col(C.KEY), F.lit(SET.seed))
+    folded = df.withColumn("_fold", F.pmod(h, F.lit(SET.folds))).cache()
+    rows = []
+    for f in range(SET.folds):
+        tr, te = folded.filter(F.col("_fold") != f), folded.filter(F.col("_fold") == f)
+        model = C.models(cols, SET, 1)["Random Forest"].fit(tr)
+        rows.append((f, C.f1_of(model.transform(te))))
+    folded.unpersist()
+    out = spark.createDataFrame(rows, "fold int, f1 double")
+    return out.unionByName(out.agg(F.lit(-1).alias("fold"), F.avg("f1").alias("f1"))).unionByName(
+        out.agg(F.lit(-2).alias("fold"), F.stddev_pop("f1").alias("f1")))
+
+
+@query("q_churn_scores")
+def q_churn_scores(spark, sf):
+    """Stacking refitted on all oversampled rows, every beneficiary scored,
+    probability as DECIMAL(5,4), predicted flag and risk bucket (M12f, P18)."""
+    df, cols = prepared(Ctx(spark, sf))
+    z = C.standardize(df, df, cols)
+    over = C.class_weights(C.smote(z, cols))
+    bases, meta = C.fit_stack(over, cols, SET)
+    return C.score_frame(C.stack_transform(bases, meta, z))
+
+
+# ---- segmentation -----------------------------------------------------------------
+
+def _vectors(ctx):
+    f = segment_features(ctx)
+    return S.scaled_vectors(f, FE.SEGMENT_COLS), f
+
+
+@query("q_kmeans_sweep")
+def q_kmeans_sweep(spark, sf):
+    """Inertia and silhouette for k = 2..8."""
+    vec, _ = _vectors(Ctx(spark, sf))
+    return S.kmeans_sweep(vec.cache(), range(2, 9), max_iter=50)
+
+
+@query("q_choose_k")
+def q_choose_k(spark, sf):
+    """Best silhouette, but 4 when within 90 % of the best."""
+    vec, _ = _vectors(Ctx(spark, sf))
+    return S.choose_k(S.kmeans_sweep(vec.cache(), range(2, 9), max_iter=50))
+
+
+def _segments(ctx, k=None):
+    vec, raw = _vectors(ctx)
+    vec = vec.cache()
+    if k is None:
+        k = S.choose_k(S.kmeans_sweep(vec, range(2, 9), max_iter=50)).first()["chosen_k"]
+    seg = S.segment(vec, int(k), restarts=3, max_iter=100).select(C.KEY, "cluster")
+    return S.name_segments(raw.join(seg, C.KEY))
+
+
+@query("q_segments")
+def q_segments(spark, sf):
+    """Final K-Means with restarts, clusters named by engagement."""
+    return _segments(Ctx(spark, sf), k=3).select(C.KEY, "cluster", "segment")
+
+
+@query("q_cluster_profile")
+def q_cluster_profile(spark, sf):
+    """Mean frequency, mean monetary and engagement per cluster."""
+    return S.profile(_segments(Ctx(spark, sf), k=3))
+
+
+@query("q_segment_radar")
+def q_segment_radar(spark, sf):
+    """Segment means min-max normalised; mean frequency/monetary per segment."""
+    return S.radar(_segments(Ctx(spark, sf), k=3))
+
+
+@query("q_segment_names")
+def q_segment_names(spark, sf):
+    """Segment sizes and shares by name."""
+    from tessera.operators.scoring import value_share
+    return value_share(_segments(Ctx(spark, sf), k=3), "segment")
+
+
+_NEAREST_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos
+           FROM embeddings),
+c AS (SELECT label AS cid, pos, avg(x) AS cx FROM e GROUP BY 1, 2),
+d AS (SELECT e.vec_id, c.cid, sum((e.x - c.cx) * (e.x - c.cx)) AS dist FROM e JOIN c ON e.pos = c.pos GROUP BY 1, 2)
+SELECT vec_id, CAST(cid AS BIGINT) AS cluster, round(dist, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cid) AS r FROM d) z WHERE r = 1"""
+
+
+@query("q_assign_nearest", _NEAREST_SQL)
+def q_assign_nearest(spark, sf):
+    """Assignment step against fixed centroids (per-label mean embeddings):
+    arg-min squared distance with array functions, no vector x centroid join (M16)."""
+    emb = Ctx(spark, sf).stg.t["embeddings"]
+    cents = S.mean_vectors(emb, "label", "embedding")
+    arr = S.centroid_array(cents, "label", "centroid")
+    out = S.assign_nearest(emb.select("vec_id", "embedding"), "embedding", arr)
+    return out.select("vec_id", F.col("cluster").cast("long").alias("cluster"),
+                      F.round("distance", 6).alias("distance"))
+
+
+__all__ = ["vector_to_array"]
