@@ -12,6 +12,7 @@ not depend on the engine's decimal-average scale.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,39 +26,39 @@ def _avg(c: str) -> Column:
 
 
 # fact name -> measure name -> aggregate expression (names are the model's).
-MEASURES: dict[str, dict[str, Column]] = {
+MEASURES: dict[str, dict[str, Callable[[], Column]]] = {
     "operations": {
-        "Total_Operations": F.count(F.lit(1)),
-        "Montant_Total_Reductions": F.sum("montant_reduction"),
-        "Nb_Beneficiaires_Actifs": F.count_distinct("beneficiaire_id"),
-        "Montant_Moyen_Reduction": _avg("montant_reduction"),
+        "Total_Operations": lambda: F.count(F.lit(1)),
+        "Montant_Total_Reductions": lambda: F.sum("montant_reduction"),
+        "Nb_Beneficiaires_Actifs": lambda: F.count_distinct("beneficiaire_id"),
+        "Montant_Moyen_Reduction": lambda: _avg("montant_reduction"),
     },
     "solde": {
-        "Credit_Initial_Total": F.sum("credit_initial"),
-        "Credit_Restant_Total": F.sum("credit_restant"),
-        "Credit_Consomme_Total": F.sum("credit_initial") - F.sum("credit_restant"),
-        "Taux_Utilisation_Credit": divide((F.sum("credit_initial") - F.sum("credit_restant")).cast("double"),
+        "Credit_Initial_Total": lambda: F.sum("credit_initial"),
+        "Credit_Restant_Total": lambda: F.sum("credit_restant"),
+        "Credit_Consomme_Total": lambda: F.sum("credit_initial") - F.sum("credit_restant"),
+        "Taux_Utilisation_Credit": lambda: divide((F.sum("credit_initial") - F.sum("credit_restant")).cast("double"),
                                           F.sum("credit_initial").cast("double"), 0.0),
     },
     "activites": {
-        "Total_Activites": F.count(F.lit(1)),
-        "Budget_Total_Activites": F.sum("budget"),
-        "Budget_Consomme_Activites": F.sum("budget_consomme"),
-        "Satisfaction_Moyenne": _avg("taux_satisfaction"),
-        "Total_Participants": F.sum("nb_participants"),
-        "Duree_Moyenne_Jours": _avg("duree_jours"),
+        "Total_Activites": lambda: F.count(F.lit(1)),
+        "Budget_Total_Activites": lambda: F.sum("budget"),
+        "Budget_Consomme_Activites": lambda: F.sum("budget_consomme"),
+        "Satisfaction_Moyenne": lambda: _avg("taux_satisfaction"),
+        "Total_Participants": lambda: F.sum("nb_participants"),
+        "Duree_Moyenne_Jours": lambda: _avg("duree_jours"),
     },
     "motatawi3": {
-        "Total_Volontaires": F.count(F.lit(1)),
+        "Total_Volontaires": lambda: F.count(F.lit(1)),
     },
     "beneficiaire": {
-        "Nb_Beneficiaires_Membres_Associations": F.count_if(F.col("est_membre_association")),
-        "Taux_Engagement_Associatif": divide(F.count_if(F.col("est_membre_association")).cast("double"),
+        "Nb_Beneficiaires_Membres_Associations": lambda: F.count_if(F.col("est_membre_association")),
+        "Taux_Engagement_Associatif": lambda: divide(F.count_if(F.col("est_membre_association")).cast("double"),
                                              F.count(F.lit(1)).cast("double"), 0.0),
-        "Taux_Churn_Predit": divide(F.count_if(F.col("churn_predicted")).cast("double"),
+        "Taux_Churn_Predit": lambda: divide(F.count_if(F.col("churn_predicted")).cast("double"),
                                     F.count(F.lit(1)).cast("double"), 0.0),
-        "Nb_Beneficiaires_A_Risque": F.count_if(F.col("churn_risk_segment") == "Eleve"),
-        "Score_Churn_Moyen": _avg("churn_probability"),
+        "Nb_Beneficiaires_A_Risque": lambda: F.count_if(F.col("churn_risk_segment") == "Eleve"),
+        "Score_Churn_Moyen": lambda: _avg("churn_probability"),
     },
 }
 
@@ -79,13 +80,19 @@ class SemanticModel:
         self.facts: dict[str, DataFrame] = {}
         self.rels: dict[str, list[Relationship]] = {}
 
-    def add_fact(self, name: str, df: DataFrame, rels: list[Relationship] | None = None) -> "SemanticModel":
+    def add_fact(self, name: str, df, rels: list[Relationship] | None = None) -> "SemanticModel":
+        """``df`` is a DataFrame or a zero-argument builder (built on first use)."""
         self.facts[name] = df
         self.rels[name] = rels or []
         return self
 
+    def fact(self, name: str) -> DataFrame:
+        if callable(self.facts[name]):
+            self.facts[name] = self.facts[name]()
+        return self.facts[name]
+
     def view(self, fact: str, needed: list[str]) -> DataFrame:
-        df = self.facts[fact]
+        df = self.fact(fact)
         have = set(df.columns)
         for rel in self.rels[fact]:
             want = [c for c in rel.columns if c in needed and c not in have]
@@ -101,13 +108,13 @@ class SemanticModel:
         df = self.view(fact, list(by) + list(where_cols))
         if where is not None:
             df = df.filter(where)
-        aggs = [MEASURES[fact][n].alias(n) for n in names]
+        aggs = [MEASURES[fact][n]().alias(n) for n in names]
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
     def drill(self, fact: str, hierarchy: list[str], names: list[str]) -> DataFrame:
         """Totals at every level of a hierarchy (rollup) with its level id."""
         df = self.view(fact, hierarchy)
-        aggs = [MEASURES[fact][n].alias(n) for n in names]
+        aggs = [MEASURES[fact][n]().alias(n) for n in names]
         return df.rollup(*hierarchy).agg(F.grouping_id().alias("niveau"), *aggs)
 
 
@@ -117,21 +124,21 @@ def star_model(star) -> SemanticModel:
     cal_cols = ["annee", "trimestre", "mois", "jour", "date_complete", "nom_mois", "est_weekend"]
     reg_cols = ["ville", "region", "zone_geo"]
     m = SemanticModel()
-    m.add_fact("operations", star.fait_operations(), [
+    m.add_fact("operations", star.fait_operations, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", star.dim_region, "region_id", reg_cols),
         Relationship("offre_id", star.dim_offre, "offre_id", ["secteur", "categorie", "type_avantage"]),
         Relationship("beneficiaire_id", star.dim_beneficiaire, "beneficiaire_id", ["genre", "tranche_age"]),
     ])
-    m.add_fact("solde", star.fait_solde(), [
+    m.add_fact("solde", star.fait_solde, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("offre_id", star.dim_offre, "offre_id", ["secteur", "categorie"]),
     ])
-    m.add_fact("activites", star.fait_activites(), [
+    m.add_fact("activites", star.fait_activites, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", star.dim_region, "region_id", reg_cols),
     ])
-    m.add_fact("motatawi3", star.fait_motatawi3(), [
+    m.add_fact("motatawi3", star.fait_motatawi3, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", star.dim_region, "region_id", reg_cols),
     ])

@@ -329,7 +329,7 @@ def q_measures_churn(spark, sf):
     dim = c.b.dim_beneficiaire.join(_score_cols(c), "beneficiaire_id", "left")
     ms = MEASURES["beneficiaire"]
     return plain(dim.groupBy("tranche_age").agg(
-        *[ms[n].alias(n) for n in ("Taux_Churn_Predit", "Nb_Beneficiaires_A_Risque", "Score_Churn_Moyen")]))
+        *[ms[n]().alias(n) for n in ("Taux_Churn_Predit", "Nb_Beneficiaires_A_Risque", "Score_Churn_Moyen")]))
 
 
 @query("q_score_writeback", plain_sql(with_ctes("""

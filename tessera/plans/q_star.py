@@ -230,8 +230,8 @@ def q_measures_engagement(spark, sf):
     d = Ctx(spark, sf).b.dim_beneficiaire
     ms = MEASURES["beneficiaire"]
     return plain(d.groupBy("tranche_age").agg(
-        ms["Nb_Beneficiaires_Membres_Associations"].alias("Nb_Beneficiaires_Membres_Associations"),
-        ms["Taux_Engagement_Associatif"].alias("Taux_Engagement_Associatif")))
+        ms["Nb_Beneficiaires_Membres_Associations"]().alias("Nb_Beneficiaires_Membres_Associations"),
+        ms["Taux_Engagement_Associatif"]().alias("Taux_Engagement_Associatif")))
 
 
 @query("q_rollup_calendar", plain_sql(with_ctes("""
