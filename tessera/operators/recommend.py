@@ -19,8 +19,11 @@ Plan, all distributed:
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,14 @@ from pyspark.sql import types as T
 from tessera.functions.columns import offer_label
 from tessera.operators.joins import bounded
 
+# The per-task Gram function below is shipped to executors by value, so
+# workers need numpy/pandas only, not this package on their path.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError):  # pragma: no cover - older cloudpickle
+    pass
+
 # Labels used when a recommended offer has no name, by slot,
 # and when fewer than three offers were found.
 DEFAULT_LABELS = ["Offre Culturelle Pass", "Offre Transport Pass", "Offre Sport Pass"]
@@ -105,9 +116,10 @@ def candidate_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
     return sc.join(used, (F.col(U) == F.col("_u")) & (F.col("cand") == F.col("_i")), "left_anti")
 
 
-def popularity(ops: DataFrame, offers: DataFrame) -> DataFrame:
-    """Total operations per offer, its name and sector, ranked (total desc, id)."""
-    g = ops.groupBy(I).agg(F.sum("nb_operations").cast("long").alias("total_ops"))
+def popularity(ops: DataFrame, offers: DataFrame, count_col: str = "nb_operations") -> DataFrame:
+    """Total operations per offer, its name and sector, ranked (total desc, id).
+    ``ops`` may be the operations or the user-item aggregate (``count_col`` = n)."""
+    g = ops.groupBy(I).agg(F.sum(count_col).cast("long").alias("total_ops"))
     o = bounded(offers.select(I, "nom_offre", "secteur"))
     g = g.join(o, I, "left")
     # bounded: one row per offer of the catalogue
@@ -127,9 +139,92 @@ def top_sector(ops: DataFrame):
     return g.agg(F.min_by("secteur", F.struct(-F.col("_n"), F.col("secteur")))).scalar()
 
 
+def _recs_schema(n: int) -> T.StructType:
+    return T.StructType([T.StructField(U, T.LongType())] +
+                        [T.StructField(f"rec_{k + 1}", T.LongType()) for k in range(n)])
+
+
+def _dense_scorer(bc, n: int):
+    """Per-task scoring: A (users x items) @ S (items x items), used items
+    masked, order (score desc, item id asc), fill from the popularity list."""
+    def run(batches):
+        items, sim, pop = bc.value
+        col = {int(x): k for k, x in enumerate(items)}
+        carry = None
+
+        def score(df):
+            users, ucode = np.unique(df[U].to_numpy(), return_inverse=True)
+            a = np.zeros((len(users), len(items)))
+            a[ucode, [col[int(x)] for x in df[I].to_numpy()]] = df[N].to_numpy()
+            sc = np.round(a @ sim, 9)
+            used = a > 0
+            key = np.where(used, np.inf, -sc)  # used items sort last
+            order = np.argsort(key, axis=1, kind="stable")  # ties keep ascending item id
+            out = np.full((len(users), n), -1, dtype=np.int64)
+            n_free = (~used).sum(axis=1)
+            for r in range(len(users)):
+                picks = [int(items[c]) for c in order[r, :min(n, n_free[r])]]
+                if len(picks) < n:
+                    taken = set(picks) | {int(items[c]) for c in np.nonzero(used[r])[0]}
+                    picks += [p for p in pop if p not in taken][:n - len(picks)]
+                out[r, :len(picks)] = picks
+            res = pd.DataFrame({U: users.astype(np.int64)})
+            for k in range(n):
+                res[f"rec_{k + 1}"] = pd.array(np.where(out[:, k] >= 0, out[:, k], None), dtype="Int64")
+            return res
+
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf[U].iloc[-1]
+            done, carry = pdf[pdf[U] != last], pdf[pdf[U] == last]
+            if not done.empty:
+                yield score(done)
+        if carry is not None and not carry.empty:
+            yield score(carry)
+    return run
+
+
+DENSE_MAX_ITEMS = 2048  # catalogue size up to which scoring is a dense product per task
+
+
 def recommend(users: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
-    """(user, rec_1..rec_n item ids) for every user in ``users``."""
-    ui = user_item(ops)
+    """(user, rec_1..rec_n item ids) for every user in ``users``.
+
+    Candidates are all items with at least one operation, minus the user's
+    own; order is (score desc, item id asc); fewer than n candidates are
+    filled from the popularity list; users without history get its top n.
+
+    For a catalogue of at most DENSE_MAX_ITEMS items the item-item matrix
+    (the fitted model, C x C values) is broadcast and each task scores its
+    users with one dense product; larger catalogues take the exact join
+    path (``_recommend_sparse``)."""
+    spark = users.sparkSession
+    # the user-item aggregate feeds the similarity, the scores and the
+    # catalogue: computed once, kept (spilling to disk if large)
+    ui = user_item(ops).persist(StorageLevel.MEMORY_AND_DISK)
+    n_items = ui.select(I).distinct().count()
+    if n_items > DENSE_MAX_ITEMS:
+        return _recommend_sparse(users, ui, ops, offers, n)
+    items = np.array(sorted(r[0] for r in ui.select(I).distinct().collect()), dtype=np.int64)
+    idx = {int(x): k for k, x in enumerate(items)}
+    sim = np.zeros((len(items), len(items)))
+    for r in item_similarity(ui).collect():
+        sim[idx[r["i"]], idx[r["j"]]] = r["similarity"]
+    pop = [r[I] for r in popularity(ui, offers, N).orderBy("rang").select(I).collect()]
+    bc = spark.sparkContext.broadcast((items, sim, pop))
+    recs = (ui.repartition(U).sortWithinPartitions(U).select(U, I, N)
+            .mapInPandas(_dense_scorer(bc, n), _recs_schema(n)))
+    cold = [F.lit(pop[k] if k < len(pop) else None).cast("long") for k in range(n)]
+    out = users.select(U).join(recs.withColumn("_seen", F.lit(True)), U, "left")
+    return out.select(U, *[F.when(F.col("_seen").isNull(), cold[k]).otherwise(F.col(f"rec_{k + 1}"))
+                           .alias(f"rec_{k + 1}") for k in range(n)])
+
+
+def _recommend_sparse(users: DataFrame, ui: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
+    """Exact join-based path for large catalogues."""
     sim = item_similarity(ui)
     sc = candidate_scores(ui, sim)
     w = Window.partitionBy(U).orderBy(F.col("score").desc(), F.col("cand"))
@@ -137,9 +232,9 @@ def recommend(users: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -
             .groupBy(U).agg(F.array_sort(F.collect_list(F.struct("_r", "cand"))).alias("_b"))
             .select(U, F.transform("_b", lambda x: x["cand"]).alias("scored")))
     hist = ui.groupBy(U).agg(F.collect_set(I).alias("used"))
-    # bounded arrays over the catalogue, computed once (scalar subqueries)
+    # arrays over the catalogue, computed once (scalar subqueries)
     items = ui.agg(F.array_sort(F.collect_set(I))).scalar()
-    pop = popularity(ops, offers)
+    pop = popularity(ui, offers, N)
     pop_ids = pop.agg(F.transform(F.array_sort(F.collect_list(F.struct("rang", I))), lambda x: x[I])).scalar()
     u = users.select(U).join(hist, U, "left").join(best, U, "left")
     scored = F.coalesce(F.col("scored"), F.array().cast("array<long>"))

@@ -17,7 +17,9 @@ RADAR = ["frequency", "monetary", "nb_offres", "nb_jours_actifs", "frequence_men
 
 
 def scaled_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Population-std scaling (sklearn's), then a feature vector."""
+    """NULL/NaN/inf -> 0, population-std scaling (sklearn's), then a feature vector."""
+    from tessera.operators.features import clean_features
+    df = clean_features(df, cols)
     z = standardize(df, df, cols)
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
 
