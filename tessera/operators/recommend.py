@@ -244,7 +244,7 @@ def _recommend_sparse(users: DataFrame, ui: DataFrame, ops: DataFrame, offers: D
     warm = F.slice(F.concat(scored, zero, fill), 1, n)
     cold = F.slice(pop_ids, 1, n)
     recs = F.when(F.col("used").isNull(), cold).otherwise(warm)
-    return u.select(U, *[F.element_at(recs, k + 1).alias(f"rec_{k + 1}") for k in range(n)])
+    return u.select(U, *[F.try_element_at(recs, F.lit(k + 1)).alias(f"rec_{k + 1}") for k in range(n)])
 
 
 def label(recs: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
