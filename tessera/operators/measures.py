@@ -120,26 +120,28 @@ class SemanticModel:
 
 def star_model(star) -> SemanticModel:
     """Relationships of the star (J17): calendar, region, offer, beneficiary, association, house."""
-    cal = F.broadcast(star.dim_temps)
+    from tessera.operators.joins import bounded
+    cal = F.broadcast(star.dim_temps)  # size known: days of the calendar range
+    region, offre = bounded(star.dim_region), bounded(star.dim_offre)  # broadcast after a size check
     cal_cols = ["annee", "trimestre", "mois", "jour", "date_complete", "nom_mois", "est_weekend"]
     reg_cols = ["ville", "region", "zone_geo"]
     m = SemanticModel()
     m.add_fact("operations", star.fait_operations, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
-        Relationship("region_id", star.dim_region, "region_id", reg_cols),
-        Relationship("offre_id", star.dim_offre, "offre_id", ["secteur", "categorie", "type_avantage"]),
+        Relationship("region_id", region, "region_id", reg_cols),
+        Relationship("offre_id", offre, "offre_id", ["secteur", "categorie", "type_avantage"]),
         Relationship("beneficiaire_id", star.dim_beneficiaire, "beneficiaire_id", ["genre", "tranche_age"]),
     ])
     m.add_fact("solde", star.fait_solde, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
-        Relationship("offre_id", star.dim_offre, "offre_id", ["secteur", "categorie"]),
+        Relationship("offre_id", offre, "offre_id", ["secteur", "categorie"]),
     ])
     m.add_fact("activites", star.fait_activites, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
-        Relationship("region_id", star.dim_region, "region_id", reg_cols),
+        Relationship("region_id", region, "region_id", reg_cols),
     ])
     m.add_fact("motatawi3", star.fait_motatawi3, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
-        Relationship("region_id", star.dim_region, "region_id", reg_cols),
+        Relationship("region_id", region, "region_id", reg_cols),
     ])
     return m

@@ -8,22 +8,21 @@ the number of scored rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, Observation]:
+def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Replace score columns on a dimension with one LEFT join (no per-row
     updates). Rows without a score keep NULL, like columns added without a
-    default for existing rows. The observation counts rows with a score > 0
-    once the result is written (post-write check)."""
+    default for existing rows."""
     base = dim.drop(*[c for c in cols if c in dim.columns])
-    out = base.join(scores.select(key, *cols), key, "left")
-    obs = Observation("write_back")
-    first = cols[0]
-    out = out.observe(obs, F.count(F.lit(1)).alias("n_rows"),
-                      F.count_if(F.col(first).cast("double") > 0).alias("n_scored"))
-    return out, obs
+    return base.join(scores.select(key, *cols), key, "left")
+
+
+def scored_rows(df: DataFrame, col: str) -> int:
+    """Post-write check: rows whose score is > 0 (one aggregate job)."""
+    return df.agg(F.count_if(F.col(col).cast("double") > 0)).first()[0]
 
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
@@ -69,7 +68,7 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def metrics_table(df: DataFrame, score: str, label: str, model: str, threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1, AUC of one scored frame."""
-    c = _counts(df, score, label, threshold).crossJoin(auc(df, score, label))
+    c = _counts(df, score, label, threshold).withColumn("auc", auc(df, score, label).scalar())
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
 
     def r(e):

@@ -340,8 +340,8 @@ def q_score_writeback(spark, sf):
     rewritten; the post-write check counts rows with a score > 0 (S8, S9)."""
     c = Ctx(spark, sf)
     dim = c.b.dim_beneficiaire.select("beneficiaire_id", "source_id", "tranche_age")
-    out, _obs = write_back(dim, _score_cols(c), "beneficiaire_id",
-                           ["churn_probability", "churn_predicted", "churn_risk_segment"])
+    out = write_back(dim, _score_cols(c), "beneficiaire_id",
+                     ["churn_probability", "churn_predicted", "churn_risk_segment"])
     return plain(out)
 
 

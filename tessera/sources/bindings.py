@@ -40,8 +40,23 @@ DOMAINES = ["Culture", "Sport", "Social", "Environnement"]
 ROLES = ["President", "Vice_President", "Tresorier", "Secretaire", "Animateur"]
 
 
+class _Tables(dict):
+    """Test tables, each read (listing + footers) only when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self[name] = df
+        return df
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return _Tables(spark, sf_dir)
 
 
 def _pick(values: list[str], idx) -> F.Column:
