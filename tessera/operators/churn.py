@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
@@ -114,6 +115,7 @@ class Settings:
 
     lr_c: float = 0.5
     lr_iter: int = 2000
+    lr_tol: float = 1e-4  # the reference library's default tolerance
     rf_trees: int = 500
     rf_depth: int = 15
     gb_iter: int = 500
@@ -132,8 +134,8 @@ class Settings:
 
     @staticmethod
     def small() -> "Settings":
-        return Settings(lr_iter=200, rf_trees=20, rf_depth=5, gb_iter=10, gb_depth=3, xgb_iter=10, xgb_depth=4,
-                        stack_rf_trees=10, stack_rf_depth=4, stack_gb_iter=5, stack_gb_depth=3)
+        return Settings(lr_iter=30, rf_trees=20, rf_depth=5, gb_iter=10, gb_depth=3, xgb_iter=10, xgb_depth=4,
+                        stack_rf_trees=10, stack_rf_depth=4, stack_gb_iter=3, stack_gb_depth=3)
 
 
 def assemble(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -153,7 +155,7 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 def models(cols: list[str], st: Settings, n_train: int) -> dict[str, Pipeline]:
     """M6-M9 as pipelines (assembler + estimator)."""
     asm = assemble(cols)
-    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=st.lr_iter,
+    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=st.lr_iter, tol=st.lr_tol,
                             regParam=1.0 / (st.lr_c * max(n_train, 1)), elasticNetParam=0.0, standardization=False)
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=st.rf_trees, maxDepth=st.rf_depth,
                                 minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="_w", seed=st.seed)
@@ -182,7 +184,7 @@ def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, ob
                               maxDepth=st.stack_gb_depth, stepSize=st.stack_gb_step, seed=st.seed),
     ]
     tr = asm.transform(train).withColumn("_fold", F.pmod(F.xxhash64(KEY, F.lit(st.seed)), F.lit(st.folds)))
-    tr = tr.cache()
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     oof = None
     for f in range(st.folds):
         fit_part, hold = tr.filter(F.col("_fold") != f), tr.filter(F.col("_fold") == f)

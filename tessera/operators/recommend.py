@@ -99,7 +99,8 @@ def item_similarity(ui: DataFrame) -> DataFrame:
     """Cosine similarity of items over user counts, non-zero pairs only."""
     gram = (ui.repartition(U).sortWithinPartitions(U).select(U, I, N)
             .mapInPandas(_gram_partition, _GRAM)
-            .groupBy("i", "j").agg(F.sum("dot").alias("dot")))
+            .groupBy("i", "j").agg(F.sum("dot").alias("dot"))
+            .persist(StorageLevel.MEMORY_AND_DISK))  # at most C x C rows, read by the diagonal and the pairs
     diag = gram.filter(F.col("i") == F.col("j")).select(F.col("i").alias("_k"), F.col("dot").alias("_nn"))
     diag = bounded(diag)
     g = gram.join(diag.withColumnRenamed("_k", "_ki").withColumnRenamed("_nn", "_ni"), F.col("i") == F.col("_ki"))

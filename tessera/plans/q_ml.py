@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ SET = C.Settings.small()
 
 def prepared(ctx):
     """(frame with key, label and numeric features, feature names)."""
-    f = churn_features(ctx)
+    # one row per beneficiary, read by the one-hot value lists, the split,
+    # the scaler and the fits: computed once, kept (spilling to disk)
+    f = churn_features(ctx).persist(StorageLevel.MEMORY_AND_DISK)
     f = FE.one_hot(f, ["genre", "tranche_age", "statut_pass"])
     cols = [c for c in f.columns if c not in (C.KEY, C.LABEL)]
     return FE.clean_features(f, cols), cols
@@ -73,9 +76,11 @@ def q_standardize(spark, sf):
 
 
 def _fit_all(ctx):
+    """Oversampled training rows and scaled hold-out, each computed once and
+    kept (spilling to disk) for the model fits that iterate over them."""
     train, test, scaled, cols = train_test(ctx)
-    over = C.class_weights(C.smote(scaled, cols))
-    test_z = C.standardize(train, test, cols)
+    over = C.class_weights(C.smote(scaled, cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    test_z = C.standardize(train, test, cols).persist(StorageLevel.MEMORY_AND_DISK)
     n = over.count()
     return over, test_z, cols, C.models(cols, SET, n)
 
@@ -114,7 +119,7 @@ def q_feature_importance(spark, sf):
 def q_cv_f1(spark, sf):
     """5-fold stratified cross-validated F1 on the raw matrix, no oversampling (M12e)."""
     df, cols = prepared(Ctx(spark, sf))
-    df = C.class_weights(df)
+    df = C.class_weights(df.persist(StorageLevel.MEMORY_AND_DISK))
     h = F.xxhash64(F.col(C.KEY), F.lit(SET.seed))
     folded = df.withColumn("_fold", F.pmod(h, F.lit(SET.folds))).cache()
     rows = []
@@ -133,8 +138,8 @@ def q_churn_scores(spark, sf):
     """Stacking refitted on all oversampled rows, every beneficiary scored,
     probability as DECIMAL(5,4), predicted flag and risk bucket (M12f, P18)."""
     df, cols = prepared(Ctx(spark, sf))
-    z = C.standardize(df, df, cols)
-    over = C.class_weights(C.smote(z, cols))
+    z = C.standardize(df, df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    over = C.class_weights(C.smote(z, cols)).persist(StorageLevel.MEMORY_AND_DISK)
     bases, meta = C.fit_stack(over, cols, SET)
     return C.score_frame(C.stack_transform(bases, meta, z))
 
@@ -142,7 +147,7 @@ def q_churn_scores(spark, sf):
 # ---- segmentation -----------------------------------------------------------------
 
 def _vectors(ctx):
-    f = segment_features(ctx)
+    f = segment_features(ctx).persist(StorageLevel.MEMORY_AND_DISK)
     return S.scaled_vectors(f, FE.SEGMENT_COLS), f
 
 
@@ -150,19 +155,19 @@ def _vectors(ctx):
 def q_kmeans_sweep(spark, sf):
     """Inertia and silhouette for k = 2..8."""
     vec, _ = _vectors(Ctx(spark, sf))
-    return S.kmeans_sweep(vec.cache(), range(2, 9), max_iter=50)
+    return S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9), max_iter=50)
 
 
 @query("q_choose_k")
 def q_choose_k(spark, sf):
     """Best silhouette, but 4 when within 90 % of the best."""
     vec, _ = _vectors(Ctx(spark, sf))
-    return S.choose_k(S.kmeans_sweep(vec.cache(), range(2, 9), max_iter=50))
+    return S.choose_k(S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9), max_iter=50))
 
 
 def _segments(ctx, k=None):
     vec, raw = _vectors(ctx)
-    vec = vec.cache()
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     if k is None:
         k = S.choose_k(S.kmeans_sweep(vec, range(2, 9), max_iter=50)).first()["chosen_k"]
     seg = S.segment(vec, int(k), restarts=3, max_iter=100).select(C.KEY, "cluster")
