@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def with_row_number(df: DataFrame, order_cols, name: str) -> DataFrame:
     """Dense 1..n key by a global order. Only for frames with a proven
@@ -25,6 +27,7 @@ def with_surrogate(df: DataFrame, order_cols, name: str, num_partitions: int | N
     4. key = offset + position + 1.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)  # the cluster's shared folder (set locally only when unset)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(n, *order_cols)

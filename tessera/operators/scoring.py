@@ -52,8 +52,12 @@ def _counts(df: DataFrame, score: str, label: str, threshold: float) -> DataFram
                   F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
+SCORE_DIGITS = 6  # scores are bucketed to 1e-6: at most 10^6 distinct values reach a window
+
+
 def _per_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    return df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"),
+    """Counts per distinct (bucketed) score: the only input of the ordered windows."""
+    return df.groupBy(F.round(F.col(score).cast("double"), SCORE_DIGITS).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                                    F.count_if(F.col(label) != 1).alias("neg"))
 
 

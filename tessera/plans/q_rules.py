@@ -103,6 +103,7 @@ def q_balance_years(spark, sf):
     The years are the operation years (a handful, broadcast); each
     beneficiary expands to at most that many rows."""
     s = Ctx(spark, sf).stg
+    # distinct operation years: bounded by the calendar's span (a few dozen rows)
     years = F.broadcast(s.operation().select(F.year("date_operation").alias("annee")).distinct())
     b = s.beneficiaire().filter(F.col("statut_pass") == "Actif")
     return plain(b.join(years, (F.col("annee") >= F.year("date_inscription")) & (F.col("annee") <= F.lit(AS_OF.year)))
