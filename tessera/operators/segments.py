@@ -3,6 +3,8 @@ nearest-centroid assignment (M13-M16, A13-A15, W7)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -28,14 +30,21 @@ def kmeans_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, max_iter: int =
     """Inertia and silhouette (squared Euclidean, all rows) per k."""
     spark = vec.sparkSession
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
+
+    def one(k):
         model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(vec)
-        sil = ev.evaluate(model.transform(vec))
-        rows.append((int(k), float(model.summary.trainingCost), float(sil)))
+        return int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(vec)))
+    rows = _concurrently(one, list(ks))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
+def _concurrently(fn, args, workers: int = 8):
+    """Independent fits submitted from driver threads; each is its own
+    distributed job, so small fits overlap their scheduling overhead."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(args)))) as ex:
+        return list(ex.map(fn, args))
+
+
 def choose_k(sweep: DataFrame, prefer: int = 4, ratio: float = 0.9) -> DataFrame:
     """K with the best silhouette, but ``prefer`` when its score exceeds
     ``ratio`` x the best (one aggregate over the sweep table)."""
@@ -49,11 +58,9 @@ def choose_k(sweep: DataFrame, prefer: int = 4, ratio: float = 0.9) -> DataFrame
 def segment(vec: DataFrame, k: int, restarts: int = 20, seed: int = 42, max_iter: int = 500) -> DataFrame:
     """Final fit with restarts (Spark's K-Means has no n_init): each
     restart is a distributed fit, the lowest inertia wins."""
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+    models = _concurrently(lambda r: KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(vec),
+                           list(range(restarts)))
+    best = min(models, key=lambda m: (m.summary.trainingCost, models.index(m)))
     return best.transform(vec).withColumnRenamed("prediction", "cluster")
 
 
