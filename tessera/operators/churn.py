@@ -7,6 +7,7 @@ importances, fold scores) reach the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -185,20 +186,21 @@ def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, ob
     ]
     tr = asm.transform(train).withColumn("_fold", F.pmod(F.xxhash64(KEY, F.lit(st.seed)), F.lit(st.folds)))
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    jobs = [(f, b) for f in range(st.folds) for b in range(len(bases))]
+    # the fold x base fits are independent: submitted together from driver threads
+    with ThreadPoolExecutor(max_workers=min(8, len(jobs))) as ex:
+        fitted = dict(zip(jobs, ex.map(lambda fb: bases[fb[1]]().fit(tr.filter(F.col("_fold") != fb[0])), jobs)))
+        full = list(ex.map(lambda b: bases[b]().fit(tr), range(len(bases))))
     oof = None
     for f in range(st.folds):
-        fit_part, hold = tr.filter(F.col("_fold") != f), tr.filter(F.col("_fold") == f)
-        cols_p = []
-        for b_i, make in enumerate(bases):
-            m = make().fit(fit_part)
-            hold = m.transform(hold).withColumn(f"_p{b_i}", probability()).drop(
+        hold = tr.filter(F.col("_fold") == f)
+        for b in range(len(bases)):
+            hold = fitted[(f, b)].transform(hold).withColumn(f"_p{b}", probability()).drop(
                 "rawPrediction", "probability", "prediction")
-            cols_p.append(f"_p{b_i}")
-        part = hold.select(KEY, LABEL, *cols_p)
+        part = hold.select(KEY, LABEL, *[f"_p{b}" for b in range(len(bases))])
         oof = part if oof is None else oof.unionByName(part)
     meta_in = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(bases))], outputCol="meta").transform(oof)
     meta = LogisticRegression(featuresCol="meta", labelCol=LABEL, maxIter=1000).fit(meta_in)
-    full = [make().fit(tr) for make in bases]
     tr.unpersist()
     return [asm, *full], meta
 

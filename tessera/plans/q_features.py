@@ -424,3 +424,16 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), roun
 def q_class_report(spark, sf):
     """Per-class precision/recall/F1/support with macro and weighted averages."""
     return class_report(scored(Ctx(spark, sf)), "churn_probability", "churned")
+
+
+@query("q_score_check", with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(s.churn_probability > 0) AS BIGINT) AS n_scored
+FROM dim_benef_b b LEFT JOIN scores_seg s ON b.beneficiaire_id = s.beneficiaire_id"""))
+def q_score_check(spark, sf):
+    """Post-write check: rows of the rewritten dimension and rows with a score > 0."""
+    c = Ctx(spark, sf)
+    dim = c.b.dim_beneficiaire.select("beneficiaire_id", "source_id", "tranche_age")
+    out = write_back(dim, _score_cols(c), "beneficiaire_id",
+                     ["churn_probability", "churn_predicted", "churn_risk_segment"])
+    return out.agg(F.count(F.lit(1)).alias("n_rows"),
+                   F.count_if(F.col("churn_probability") > 0).alias("n_scored"))

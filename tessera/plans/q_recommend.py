@@ -210,3 +210,13 @@ def q_offer_label(spark, sf):
     lab = offer_label(F.col("nom_offre"), F.col("nom_partenaire"))
     return o.select("offre_id", lab.alias("label"), ellipsis(lab, 35).alias("label_35"),
                     F.substring(lab, 1, 20).alias("label_20"))
+
+
+@query("q_rec_matrix_shape", with_ctes("""
+SELECT CAST(count(DISTINCT u) AS BIGINT) AS n_users, CAST(count(DISTINCT i) AS BIGINT) AS n_items,
+       CAST(count(*) AS BIGINT) AS n_nonzero FROM ui_rops"""))
+def q_rec_matrix_shape(spark, sf):
+    """Shape of the user x offer matrix and its non-zero cells."""
+    ui = R.user_item(rec_ops(Ctx(spark, sf).b))
+    return ui.agg(F.count_distinct("beneficiaire_id").alias("n_users"), F.count_distinct("offre_id").alias("n_items"),
+                  F.count(F.lit(1)).alias("n_nonzero"))

@@ -150,3 +150,9 @@ def current(spark: SparkSession, base: str) -> str:
     """Path of the warehouse version the ``_current`` pointer names."""
     run_id = spark.read.text(f"{base}/_current").first()[0]
     return f"{base}/{run_id}"
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """A small result table (model metrics, sweep, report) written as one
+    JSON/Parquet file set next to the warehouse."""
+    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
