@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import date_key
-from tessera.operators.joins import bounded
+from tessera.operators.joins import KEY_MAP_ROWS, bounded
 
 
 def _temps(df: DataFrame, date_col: str, calendar: DataFrame | None, rules: str, default_key: int) -> DataFrame:
@@ -56,10 +56,16 @@ def _with_region(df: DataFrame, dim_region: DataFrame, on: dict[str, str], compa
     return out.withColumn("region_id", rid.cast("long")).drop("_rid", *[f"_r_{k}" for k in on.values()])
 
 
+def _benef_map(dim_benef: DataFrame) -> DataFrame:
+    """source id -> surrogate: broadcast while the population is under the
+    key-map bound (checked), a shuffle join beyond it."""
+    return bounded(dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id"), KEY_MAP_ROWS)
+
+
 def fait_operations(ops: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame, dim_region: DataFrame,
                     calendar: DataFrame | None = None, rules: str = "a", compat: bool = False,
                     default_key: int = 20210101) -> DataFrame:
-    b = dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id")
+    b = _benef_map(dim_benef)
     o = bounded(dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
     f = (ops.withColumnRenamed("beneficiaire_id", "_b").withColumnRenamed("offre_id", "_o")
          .join(b, F.col("_b") == F.col("_bsrc"))
@@ -73,7 +79,7 @@ def fait_operations(ops: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame,
 
 def fait_solde(solde: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame,
                calendar: DataFrame | None = None, rules: str = "a", default_key: int = 20210101) -> DataFrame:
-    b = dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id")
+    b = _benef_map(dim_benef)
     o = bounded(dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
     f = (solde.withColumnRenamed("beneficiaire_id", "_b").withColumnRenamed("offre_id", "_o")
          .join(b, F.col("_b") == F.col("_bsrc"))
@@ -117,7 +123,7 @@ def fait_activites(act: DataFrame, rapport: DataFrame, maison_stg: DataFrame, di
 def fait_motatawi3(reg: DataFrame, dim_benef: DataFrame, dim_region: DataFrame,
                    calendar: DataFrame | None = None, rules: str = "a", compat: bool = False,
                    default_key: int = 20210101) -> DataFrame:
-    b = dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id")
+    b = _benef_map(dim_benef)
     f = reg.withColumnRenamed("beneficiaire_id", "_b").join(b, F.col("_b") == F.col("_bsrc"))
     f = _temps(f, "date_inscription", calendar, rules, default_key)
     f = _with_region(f, dim_region, {"region": "region"}, compat)

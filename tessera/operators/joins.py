@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Row bound under which a lookup side is broadcast. A dimension row here is a
 # few hundred bytes, so this stays well under the default 10 MB threshold.
 DEFAULT_BROADCAST_ROWS = 20_000
+# Bound for two-column key maps (two longs per row: 500k rows is about 8 MB).
+KEY_MAP_ROWS = 500_000
 
 
 def bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

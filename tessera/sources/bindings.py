@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import pass_status, reduction_amount
-from tessera.operators.joins import bounded
+from tessera.operators.joins import KEY_MAP_ROWS, bounded
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "embeddings"]
@@ -155,9 +155,11 @@ class Staging:
         """part key -> offer id: map-side join of part with the broadcast catalogue."""
         def build():
             cat = self._catalogue().select(F.col("id").alias("offre_id"), "p_brand", "p_type")
-            return (self.t["part"].select("p_partkey", "p_brand", "p_type")
-                    .join(F.broadcast(cat), ["p_brand", "p_type"])
-                    .select("p_partkey", "offre_id", F.col("p_type").alias("categorie")))
+            m = (self.t["part"].select("p_partkey", "p_brand", "p_type")
+                 .join(F.broadcast(cat), ["p_brand", "p_type"])
+                 .select("p_partkey", "offre_id", F.col("p_type").alias("categorie")))
+            # part grows with the data: broadcast only under the key-map bound
+            return bounded(m, KEY_MAP_ROWS)
         return self._memo("part_offer", build)
 
     # -- operations and balances ------------------------------------------
