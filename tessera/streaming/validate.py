@@ -31,12 +31,12 @@ def validate_stream(spark: SparkSession, stream: DataFrame, mirror: DataFrame, o
     checked = validate_ids(rows, mirror, id_col)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch = batch.withColumn("_epoch", F.lit(epoch))
-        # idempotent per epoch: a replayed batch overwrites its own partition
+        # idempotent per epoch: a replayed micro-batch overwrites its own folder;
+        # an empty side still writes a schema-only file, so readers never miss it
         (batch.filter("accepted").drop("accepted", "message").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(ok_path))
+         .parquet(f"{ok_path}/epoch={epoch}"))
         (batch.filter("NOT accepted").drop("accepted").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(ko_path))
+         .parquet(f"{ko_path}/epoch={epoch}"))
 
     q = (checked.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
