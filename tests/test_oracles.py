@@ -13,7 +13,8 @@ from tools.oracle_check import TABLES, rows_of
 KEYS = ["q_dim_region_b", "q_dim_beneficiaire_a", "q_fait_operations_compat", "q_fait_activites_b",
         "q_measures_operations", "q_rollup_geography", "q_rule_violations", "q_cin_change_validation",
         "q_churn_features", "q_segment_features", "q_roc_points", "q_item_similarity", "q_recommend_labels",
-        "q_balance_years", "q_assign_nearest", "q_catalog_counts"]
+        "q_balance_years", "q_assign_nearest", "q_catalog_counts", "q_stream_cin_validation", "q_score_check",
+        "q_rec_matrix_shape"]
 
 
 @pytest.fixture(scope="module")
