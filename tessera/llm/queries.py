@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import merkle, mixing, quotes, topk
+from tessera.llm import dac, merkle, mixing, packing, quotes, token_counts, topk
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, the same on every machine of the cluster."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
@@ -58,6 +64,18 @@ def op2(spark, sf_dir):
     return quotes.conversations(table(spark, sf_dir, "conversations")).fillna(-1, ["reply_to"])
 
 
+@query("op3_directly_addressable_codes")
+def op3(spark, sf_dir):
+    files = dac.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "words", end_id=1)
+    return dac.read(files).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                                  F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_trie_token_counts")
+def op4(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op6_merkle_fingerprint", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, length(text) AS n_chars,
@@ -88,6 +106,14 @@ def op6(spark, sf_dir):
     return merkle.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+@query("op8_exact_complement_packing")
+def op8(spark, sf_dir):
+    made = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "bytes", end_id=2)
+    # the ids stay in the written table, only their digest goes on
+    digest = made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.assign(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op9_entropy_mixing")
 def op9(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
