@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dac, merkle, minhash, mixing, packing, quotes, token_counts, topk
-from tessera.llm.common import table
+from tessera.llm import compression, dac, merkle, minhash, mixing, packing, quotes, token_counts, topk, toxicity
+from tessera.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,23 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
+def _scored(docs, model, scorer, out):
+    scored = scorer.score(docs.select(F.col("doc_id"), F.col("text")), model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_nnpu_toxicity")
+def op1(spark, sf_dir):
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    return _scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), out), toxicity, out)
+
+
+@query("op7_compression_quality")
+def op7(spark, sf_dir):
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    return _scored(docs, compression.fit(docs, table(spark, sf_dir, "labels"), out), compression, out)
+
+
 @query("op2_quotation_linking", r"""
 WITH RECURSIVE lines AS (
   SELECT conv_id, turn, i AS line_no, l AS line, coalesce(length(replace(replace(regexp_extract(l, '^([ \t]*>)+'), ' ', ''), chr(9), '')), 0) AS level,
