@@ -119,13 +119,12 @@ def _prefix(reps: DataFrame) -> DataFrame:
                .select("node", F.col("x.token").alias("token"))
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, sets) -> DataFrame:
-    """Pairs (a, b) that collide often enough and whose full sets are similar."""
+def _confirm(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) that collide often enough and whose full sets (node, shingles) are similar."""
     sig_a = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     sig_b = reps.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     hits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     near = cut(pairs.join(sig_b, "b").join(sig_a, "a").where(hits >= MATCHES).select("a", "b").distinct(), "minhash-near")
-    full = sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     set_a = full.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     set_b = full.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
@@ -204,7 +203,7 @@ def block_links(node, comp, side, sigs, sets):
     return [(int(node[i]), int(node[j])) for i, j in _forest(whole, comp)]
 
 
-def _long_lists(members: DataFrame, reps: DataFrame, sets) -> DataFrame:
+def _long_lists(members: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
     """Links across components within long lists. ``members``: token, node, component, n (members of the list)."""
     per = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     top = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("t"), F.sum("k").alias("n")) \
@@ -224,7 +223,7 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets) -> DataFrame:
     major = F.transform(ids(F.col("nm")), lambda k: F.struct(k.alias("p"), F.col("i").alias("q"), F.lit(True).alias("mixed"),
                                                              F.lit(1).alias("side")))
     placed = m.select("token", "node", "component", F.explode(F.when(F.col("is_major"), major).otherwise(minor)).alias("x"))
-    full = sets(members.select("node").distinct()).join(reps.select("node", "sig"), "node")
+    rows = full.join(members.select("node").distinct(), "node", "left_semi").join(reps.select("node", "sig"), "node")
 
     def link(key, pdf):
         import pandas as pd
@@ -232,7 +231,7 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets) -> DataFrame:
                             pdf["sig"].tolist(), pdf["shingles"].tolist())
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return (placed.select("token", "node", "component", "x.*").join(full, "node")
+    return (placed.select("token", "node", "component", "x.*").join(rows, "node")
             .groupBy("token", "p", "q", "mixed").applyInPandas(link, "a long, b long"))
 
 
@@ -250,15 +249,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))],
                                                                         pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        """Full shingle sets of some representatives, from their texts."""
-        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-        return cut(texts.mapInArrow(shingle, "node long, shingles array<long>").where(F.size("shingles") > 0), "minhash-sets")
-
     posted = cut(_prefix(reps), "minhash-prefix")
     hub = posted.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     star = posted.join(hub, "token").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    first = cut(_confirm(star, reps, sets), "minhash-star")
+    # full sets, from the texts, of what shares a list: one shuffle of the texts at any size, kept for both rounds
+    nodes = posted.join(hub.select("token"), "token").select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    full = cut(texts.mapInArrow(shingle, "node long, shingles array<long>").where(F.size("shingles") > 0), "minhash-sets")
+    first = cut(_confirm(star, reps, full), "minhash-star")
     joined = components(first)
     # lists that still hold several components
     label = posted.join(joined, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
@@ -269,10 +267,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = short.select("token", F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = (short.select("token", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "token")
              .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
-    second = _confirm(pairs.join(star, ["a", "b"], "left_anti"), reps, sets)
+    second = _confirm(pairs.join(star, ["a", "b"], "left_anti"), reps, full)
     long = rest.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
-        second = second.union(_long_lists(long, reps, sets))
+        second = second.union(_long_lists(long, reps, full))
     final = components(first.union(second))
     found = classes.join(final, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     # an id with several texts joins their classes
