@@ -129,7 +129,8 @@ def successor(docs: DataFrame, order: str, carry: list[str], derive=lambda frame
     ahead = ranged.withColumn("__next", F.lead(here).over(seq))
     # one row per range: the first row of a range follows the last of the range before it
     tops = docs.groupBy(rng.alias("__range")).agg(F.max(order).alias("__top"))
-    first = (docs.withColumn("__tie", tie).join(tops, F.col(order).eqNullSafe(F.col("__top")))
+    first = (docs.withColumn("__tie", tie)
+             .join(F.broadcast(tops), F.col(order).eqNullSafe(F.col("__top")))  # at most n + 1 rows of two numbers
              .groupBy("__range").agg(F.min_by(F.struct(*docs.columns, "__tie"), "__tie").alias("__row")))
     heads = derive(first.select("__range", "__row.*"))
     ring = Window.orderBy("__range")
