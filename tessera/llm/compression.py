@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, max_rows: int = MAX_ROWS) -
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """``docs`` with the column ``into``: the score of every whole text, 0 to 1."""
+    """``docs`` with the column ``into`` (replaced if there): the score of every whole text, 0 to 1."""
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # two dictionaries of DICTIONARY bytes
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     at = docs.columns.index("text")

@@ -96,6 +96,7 @@ def threads(messages: DataFrame, found: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """Messages in reply order without quotes: conv_id, thread, turn, depth, reply_to, role, text, n_quoted,
     n_linked, max_level. Order by (conv_id, thread, turn) reads a conversation thread by thread."""
+    messages = messages.select("conv_id", "turn", "role", "text")  # other columns are ignored
     found = cut(links(messages), "quote-links")
     per = found.groupBy("conv_id", "turn").agg(F.sum(F.when(F.col("src_turn").isNotNull(), 1).otherwise(0)).alias("n"),
                                                F.count(F.lit(1)).alias("all"))
