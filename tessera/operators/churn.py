@@ -8,13 +8,14 @@ importances, fold scores) reach the driver.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,50 +24,87 @@ from tessera.operators.keys import with_surrogate
 from tessera.operators.scoring import metrics_table
 
 KEY, LABEL = "beneficiaire_id", "churned"
-
-
-def _u(key: str, seed: int, salt: str = "") -> F.Column:
-    """Reproducible uniform in [0, 1) from a key (no RNG state, survives retries)."""
-    h = F.xxhash64(F.col(key), F.lit(seed), F.lit(salt))
-    return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+# minority rows that oversampling compares against (a fit bound: 38 features are about 15 MB)
+MAX_FIT_ROWS = 50_000
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, test_frac: float = 0.2, seed: int = 42,
                      key: str = KEY) -> DataFrame:
     """M3: exact stratified split: within each class, rows ordered by a key
-    hash; the first ceil(test_frac * n_class) are test. Positions come from W2
-    (no single-task window), class sizes from one small aggregate."""
+    hash; the first ones are test. ceil(test_frac * n) test rows are dealt to the
+    classes by largest remainder. Positions come from W2 (no single-task window),
+    class sizes from one small aggregate (one row per class)."""
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     pos = with_surrogate(h, [label, "_h", key], "_pos")
     sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(
+    share = F.col("_n") * test_frac
+    every = Window.partitionBy()
+    start = (sizes.withColumn("_start", F.coalesce(F.sum("_n").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_extra", F.ceil(F.sum("_n").over(every) * test_frac) - F.sum(F.floor(share)).over(every))
+        .withColumn("_nth", F.row_number().over(Window.orderBy((share - F.floor(share)).desc(), label)))
+        .withColumn("_test", F.floor(share) + F.when(F.col("_nth") <= F.col("_extra"), 1).otherwise(0))
+        .drop("_extra", "_nth"))
     pos = pos.join(F.broadcast(start), label)
     rank_in_class = F.col("_pos") - F.col("_start")
-    test = rank_in_class <= F.ceil(F.col("_n") * test_frac)
-    return pos.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_pos", "_n", "_start")
+    test = rank_in_class <= F.col("_test")
+    return pos.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_pos", "_n", "_start", "_test")
+
+
+def stratified_folds(df: DataFrame, folds: int, label: str = LABEL, seed: int = 42, key: str = KEY) -> DataFrame:
+    """``df`` with ``_fold``: within each class the rows, ordered by a key hash, are dealt to the folds in turn,
+    so fold sizes per class differ by one row at most (W2 positions)."""
+    pos = with_surrogate(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), [label, "_h", key], "_pos")
+    return pos.withColumn("_fold", F.pmod(F.col("_pos"), F.lit(folds)).cast("int")).drop("_h", "_pos")
+
+
+def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5, key: str = KEY,
+                       max_fit_rows: int = MAX_FIT_ROWS, seed: int = 42) -> DataFrame:
+    """(_a, _r, _b, _nv): the exact k nearest other rows of every row (Euclidean; ties by key), with their features.
+
+    The rows compared against are at most ``max_fit_rows`` (the first in hash order): the bound on labelled rows
+    that fit the oversampling, and so on what is broadcast and held by a task."""
+    vec = rows.select(F.col(key).alias("_a"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    fit = vec.orderBy(F.xxhash64("_a", F.lit(seed)), "_a").limit(max_fit_rows).toPandas().sort_values("_a")
+    ids = fit["_a"].to_numpy()
+    points = np.array(fit["_v"].tolist(), dtype=float).reshape(len(ids), len(features))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, points))
+
+    def search(batches):
+        import pandas as pd
+        ids, points = shared.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at:at + 128]
+                x = np.array(part["_v"].tolist(), dtype=float).reshape(len(part), points.shape[1])
+                d = np.zeros((len(part), len(ids)))
+                for c in range(points.shape[1]):
+                    d += (x[:, c][:, None] - points[:, c][None, :]) ** 2
+                d[part["_a"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                out = []
+                for a, row in zip(part["_a"].tolist(), d):
+                    m = min(k, int(np.isfinite(row).sum()))
+                    if m:
+                        kth = np.partition(row, m - 1)[m - 1]
+                        near = np.concatenate([np.flatnonzero(row < kth), np.flatnonzero(row == kth)])[:m]
+                        near = near[np.lexsort((ids[near], row[near]))]
+                        out += [(a, r, int(ids[b]), points[b].tolist()) for r, b in enumerate(near, 1)]
+                yield pd.DataFrame(out, columns=["_a", "_r", "_b", "_nv"])
+
+    return vec.mapInPandas(search, "_a long, _r int, _b long, _nv array<double>")
 
 
 def smote(df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, seed: int = 42,
-          key: str = KEY, bucket_length: float = 2.0) -> DataFrame:
-    """M4: SMOTE to class parity. Minority neighbours come from an LSH
-    similarity join (Euclidean buckets), ranked per point and cut at k; each
-    minority point makes its share of the synthetic rows along a segment to
-    one of its neighbours, with hashed (reproducible) choices."""
+          key: str = KEY, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """M4: SMOTE to class parity. Every minority row makes its share of the synthetic rows along a segment to one of
+    its exact k nearest minority neighbours, with hashed (reproducible) choices; a lone row is repeated."""
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}  # two classes
     minority = min(counts, key=lambda c: (counts[c], c))
-    n_min, n_maj = counts[minority], max(counts.values())
-    need = n_maj - n_min
-    mino = df.filter(F.col(label) == minority).withColumn("_v", array_to_vector(F.array(*[F.col(c).cast("double")
-                                                                                        for c in features])))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hash", bucketLength=bucket_length,
-                                      numHashTables=3, seed=seed).fit(mino)
-    pairs = (lsh.approxSimilarityJoin(mino.select(key, "_v"), mino.select(key, "_v"), 2.0 * bucket_length, "_d")
-             .select(F.col(f"datasetA.{key}").alias("_a"), F.col(f"datasetB.{key}").alias("_b"),
-                     F.col("datasetB._v").alias("_nv"), "_d")
-             .filter(F.col("_a") != F.col("_b")))
-    w = Window.partitionBy("_a").orderBy("_d", "_b")
-    nn = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    need = max(counts.values()) - counts[minority]
+    mino = df.filter(F.col(label) == minority).withColumn("_v", F.array(*[F.col(c).cast("double") for c in features]))
+    nn = nearest_neighbours(mino, features, k, key, max_fit_rows, seed)
+    if counts[minority] == 1:
+        nn = mino.select(F.col(key).alias("_a"), F.lit(1).alias("_r"), F.col(key).alias("_b"), F.col("_v").alias("_nv"))
     n_of = nn.groupBy("_a").agg(F.count(F.lit(1)).alias("_kk"))
     # points with at least one neighbour share the synthetic rows: floor(need / m)
     # each, plus one for the first need % m of them in hash order
@@ -79,10 +117,10 @@ def smote(df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, se
                                           F.col("_kk").cast("int")))
     gen = gen.join(nn.select("_a", "_r", "_nv"), (F.col(key) == F.col("_a")) & (F.col("_pick") == F.col("_r")))
     u = (F.pmod(F.xxhash64(key, "_s", F.lit(seed + 1)), F.lit(1 << 30)).cast("double") / float(1 << 30))
-    x, y = vector_to_array("_v"), vector_to_array("_nv")
-    new = F.zip_with(x, y, lambda a, b: a + F.col("_u") * (b - a))
+    new = F.zip_with("_v", "_nv", lambda a, b: a + F.col("_u") * (b - a))
     synth = gen.withColumn("_u", u).select(
-        (-(F.col(key) * 1000 + F.col("_s"))).alias(key), F.lit(minority).alias(label), new.alias("_x"))
+        # ranks are dense and at most need // m + 1 rows come from each, so keys are negative and unique
+        (-(F.col("_rank") * (need // m + 2) + F.col("_s"))).alias(key), F.lit(minority).alias(label), new.alias("_x"))
     synth = synth.select(key, label, *[F.col("_x")[i].alias(c) for i, c in enumerate(features)])
     orig = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features])
     return orig.unionByName(synth)
@@ -131,7 +169,6 @@ class Settings:
     stack_gb_step: float = 0.08
     folds: int = 5
     seed: int = 42
-    extra: dict = field(default_factory=dict)
 
     @staticmethod
     def small() -> "Settings":
@@ -161,7 +198,8 @@ def models(cols: list[str], st: Settings, n_train: int) -> dict[str, Pipeline]:
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=st.rf_trees, maxDepth=st.rf_depth,
                                 minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="_w", seed=st.seed)
     gb = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.gb_iter, maxDepth=st.gb_depth,
-                       stepSize=st.gb_step, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=st.seed)
+                       stepSize=st.gb_step, subsamplingRate=0.8, featureSubsetStrategy="sqrt",
+                       minInstancesPerNode=5, seed=st.seed)
     xg = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.xgb_iter, maxDepth=st.xgb_depth,
                        stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=st.seed)
     return {"Logistic Regression": Pipeline(stages=[asm, lr]), "Random Forest": Pipeline(stages=[asm, rf]),
@@ -174,7 +212,7 @@ def probability() -> F.Column:
 
 
 def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, object]:
-    """Base models (RF, GB) give out-of-fold probabilities on hashed
+    """Base models (RF, GB) give out-of-fold probabilities on stratified
     folds; a logistic meta-model learns from them; bases are refitted on all
     training rows. Returns (base models, meta model)."""
     asm = assemble(cols)
@@ -184,7 +222,7 @@ def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, ob
         lambda: GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.stack_gb_iter,
                               maxDepth=st.stack_gb_depth, stepSize=st.stack_gb_step, seed=st.seed),
     ]
-    tr = asm.transform(train).withColumn("_fold", F.pmod(F.xxhash64(KEY, F.lit(st.seed)), F.lit(st.folds)))
+    tr = asm.transform(stratified_folds(train, st.folds, seed=st.seed))
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     jobs = [(f, b) for f in range(st.folds) for b in range(len(bases))]
     # the fold x base fits are independent: submitted together from driver threads

@@ -42,10 +42,11 @@ def membership(persons: DataFrame) -> DataFrame:
 
 
 def dim_beneficiaire(stg: DataFrame, as_of, rules: str = "a", members: DataFrame | None = None,
-                     load_ts=None) -> DataFrame:
+                     load_ts=None, keys: DataFrame | None = None) -> DataFrame:
     """dim_beneficiaire with age band by rule set and the membership flag.
 
-    The surrogate is W2 (the table grows with the population)."""
+    The surrogate is W2 (the table grows with the population) over the ids alone (``beneficiaire_keys``); the
+    attributes are joined to it, so that who needs only the keys never reads them."""
     df = stg.select(
         F.col("id").alias("source_id"), "cin", "nom", "prenom", "genre", "date_naissance",
         "nationalite", "type_statut", "en_situation_handicap", "statut_pass",
@@ -59,7 +60,12 @@ def dim_beneficiaire(stg: DataFrame, as_of, rules: str = "a", members: DataFrame
         df = df.withColumn("est_membre_association", F.lit(False))
     if load_ts is not None:
         df = df.withColumn("date_chargement", F.lit(load_ts).cast("timestamp"))
-    return with_surrogate(df, ["source_id"], "beneficiaire_id")
+    return df.join(keys if keys is not None else beneficiaire_keys(stg), "source_id")
+
+
+def beneficiaire_keys(stg: DataFrame) -> DataFrame:
+    """(source_id, beneficiaire_id)."""
+    return with_surrogate(stg.select(F.col("id").alias("source_id")), ["source_id"], "beneficiaire_id")
 
 
 def dim_offre(stg: DataFrame) -> DataFrame:

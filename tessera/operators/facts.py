@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import date_key
-from tessera.operators.joins import KEY_MAP_ROWS, bounded
 
 
 def _temps(df: DataFrame, date_col: str, calendar: DataFrame | None, rules: str, default_key: int) -> DataFrame:
@@ -37,7 +36,7 @@ def _region_lookup(dim_region: DataFrame, keys: list[str], compat: bool) -> Data
     lk = dim_region.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("region_id").alias("_rid"))
     if not compat:
         lk = lk.groupBy(*[f"_r_{k}" for k in keys]).agg(F.min("_rid").alias("_rid"))
-    return bounded(lk)
+    return lk
 
 
 def _with_region(df: DataFrame, dim_region: DataFrame, on: dict[str, str], compat: bool,
@@ -57,16 +56,15 @@ def _with_region(df: DataFrame, dim_region: DataFrame, on: dict[str, str], compa
 
 
 def _benef_map(dim_benef: DataFrame) -> DataFrame:
-    """source id -> surrogate: broadcast while the population is under the
-    key-map bound (checked), a shuffle join beyond it."""
-    return bounded(dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id"), KEY_MAP_ROWS)
+    """source id -> surrogate (grows with the population: the join's kind is left to run-time statistics)."""
+    return dim_benef.select(F.col("source_id").alias("_bsrc"), "beneficiaire_id")
 
 
 def fait_operations(ops: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame, dim_region: DataFrame,
                     calendar: DataFrame | None = None, rules: str = "a", compat: bool = False,
                     default_key: int = 20210101) -> DataFrame:
     b = _benef_map(dim_benef)
-    o = bounded(dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
+    o = (dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
     f = (ops.withColumnRenamed("beneficiaire_id", "_b").withColumnRenamed("offre_id", "_o")
          .join(b, F.col("_b") == F.col("_bsrc"))
          .join(o, F.col("_o") == F.col("_osrc")))
@@ -80,7 +78,7 @@ def fait_operations(ops: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame,
 def fait_solde(solde: DataFrame, dim_benef: DataFrame, dim_offre: DataFrame,
                calendar: DataFrame | None = None, rules: str = "a", default_key: int = 20210101) -> DataFrame:
     b = _benef_map(dim_benef)
-    o = bounded(dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
+    o = (dim_offre.select(F.col("source_id").alias("_osrc"), "offre_id"))
     f = (solde.withColumnRenamed("beneficiaire_id", "_b").withColumnRenamed("offre_id", "_o")
          .join(b, F.col("_b") == F.col("_bsrc"))
          .join(o, F.col("_o") == F.col("_osrc")))
@@ -94,9 +92,9 @@ def fait_activites(act: DataFrame, rapport: DataFrame, maison_stg: DataFrame, di
                    dim_maison: DataFrame, dim_region: DataFrame, calendar: DataFrame | None = None,
                    rules: str = "a", default_key: int = 20210101) -> DataFrame:
     """Activities with their reports (1:N, LEFT, measures default 0)."""
-    a = bounded(dim_assoc.select(F.col("source_id").alias("_asrc"), "association_id"))
-    m = bounded(dim_maison.select(F.col("source_id").alias("_msrc"), "maison_id"))
-    ms = bounded(maison_stg.select(F.col("id").alias("_mid"), F.col("ville").alias("_mville"),
+    a = (dim_assoc.select(F.col("source_id").alias("_asrc"), "association_id"))
+    m = (dim_maison.select(F.col("source_id").alias("_msrc"), "maison_id"))
+    ms = (maison_stg.select(F.col("id").alias("_mid"), F.col("ville").alias("_mville"),
                                    F.col("region").alias("_mregion")))
     r = rapport.select(F.col("activite_id").alias("_ract"), "nb_participants", "taux_satisfaction", "budget_consomme")
     f = (act.withColumnRenamed("association_id", "_a_in")

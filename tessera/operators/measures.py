@@ -120,9 +120,8 @@ class SemanticModel:
 
 def star_model(star) -> SemanticModel:
     """Relationships of the star (J17): calendar, region, offer, beneficiary, association, house."""
-    from tessera.operators.joins import bounded
     cal = F.broadcast(star.dim_temps)  # size known: days of the calendar range
-    region, offre = bounded(star.dim_region), bounded(star.dim_offre)  # broadcast after a size check
+    region, offre = star.dim_region, star.dim_offre
     cal_cols = ["annee", "trimestre", "mois", "jour", "date_complete", "nom_mois", "est_weekend"]
     reg_cols = ["ville", "region", "zone_geo"]
     m = SemanticModel()

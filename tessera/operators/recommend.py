@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import offer_label
-from tessera.operators.joins import bounded
 
 # The per-task Gram function below is shipped to executors by value, so
 # workers need numpy/pandas only, not this package on their path.
@@ -102,7 +101,7 @@ def item_similarity(ui: DataFrame) -> DataFrame:
             .groupBy("i", "j").agg(F.sum("dot").alias("dot"))
             .persist(StorageLevel.MEMORY_AND_DISK))  # at most C x C rows, read by the diagonal and the pairs
     diag = gram.filter(F.col("i") == F.col("j")).select(F.col("i").alias("_k"), F.col("dot").alias("_nn"))
-    diag = bounded(diag)
+    diag = (diag)
     g = gram.join(diag.withColumnRenamed("_k", "_ki").withColumnRenamed("_nn", "_ni"), F.col("i") == F.col("_ki"))
     g = g.join(diag.withColumnRenamed("_k", "_kj").withColumnRenamed("_nn", "_nj"), F.col("j") == F.col("_kj"))
     return g.select("i", "j", (F.col("dot") / F.sqrt(F.col("_ni") * F.col("_nj"))).alias("similarity"))
@@ -110,7 +109,7 @@ def item_similarity(ui: DataFrame) -> DataFrame:
 
 def candidate_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
     """R2 + J14: Σ similarity × count over used items, for items not used yet."""
-    s = bounded(sim.select(F.col("i").alias(I), F.col("j"), F.col("similarity")), max_rows=4_000_000)
+    s = (sim.select(F.col("i").alias(I), F.col("j"), F.col("similarity")))
     sc = (ui.join(s, I).groupBy(U, F.col("j").alias("cand"))
           .agg(F.round(F.sum(F.col(N) * F.col("similarity")), 9).alias("score")))
     used = ui.select(F.col(U).alias("_u"), F.col(I).alias("_i"))
@@ -121,7 +120,7 @@ def popularity(ops: DataFrame, offers: DataFrame, count_col: str = "nb_operation
     """Total operations per offer, its name and sector, ranked (total desc, id).
     ``ops`` may be the operations or the user-item aggregate (``count_col`` = n)."""
     g = ops.groupBy(I).agg(F.sum(count_col).cast("long").alias("total_ops"))
-    o = bounded(offers.select(I, "nom_offre", "secteur"))
+    o = (offers.select(I, "nom_offre", "secteur"))
     g = g.join(o, I, "left")
     # bounded: one row per offer of the catalogue
     return g.withColumn("rang", F.row_number().over(Window.orderBy(F.col("total_ops").desc(), F.col(I))))

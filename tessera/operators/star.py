@@ -36,7 +36,13 @@ class Star:
 
     @cached_property
     def dim_beneficiaire(self) -> DataFrame:
-        return dims.dim_beneficiaire(self.stg.beneficiaire(), self.as_of, self.rules, members=self.stg.personne())
+        return dims.dim_beneficiaire(self.stg.beneficiaire(), self.as_of, self.rules, members=self.stg.personne(),
+                                     keys=self.benef_keys)
+
+    @cached_property
+    def benef_keys(self) -> DataFrame:
+        """(source_id, beneficiaire_id): all that the facts need of the dimension."""
+        return dims.beneficiaire_keys(self.stg.beneficiaire())
 
     @cached_property
     def dim_offre(self) -> DataFrame:
@@ -51,11 +57,11 @@ class Star:
         return dims.dim_maison(self.stg.maison())
 
     def fait_operations(self, compat: bool = False) -> DataFrame:
-        return facts.fait_operations(self.stg.operation(), self.dim_beneficiaire, self.dim_offre, self.dim_region,
+        return facts.fait_operations(self.stg.operation(), self.benef_keys, self.dim_offre, self.dim_region,
                                      self.dim_temps, self.rules, compat, self.default_key)
 
     def fait_solde(self) -> DataFrame:
-        return facts.fait_solde(self.stg.solde(), self.dim_beneficiaire, self.dim_offre, self.dim_temps,
+        return facts.fait_solde(self.stg.solde(), self.benef_keys, self.dim_offre, self.dim_temps,
                                 self.rules, self.default_key)
 
     def fait_activites(self) -> DataFrame:
@@ -63,5 +69,5 @@ class Star:
                                     self.dim_maison, self.dim_region, self.dim_temps, self.rules, self.default_key)
 
     def fait_motatawi3(self, compat: bool = False) -> DataFrame:
-        return facts.fait_motatawi3(self.stg.motatawi3(), self.dim_beneficiaire, self.dim_region, self.dim_temps,
+        return facts.fait_motatawi3(self.stg.motatawi3(), self.benef_keys, self.dim_region, self.dim_temps,
                                     self.rules, compat, self.default_key)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import risk_segment
 from tessera.operators import features as FE
-from tessera.operators.joins import bounded
 from tessera.operators.measures import MEASURES
 from tessera.operators.scoring import (class_report, confusion, metrics_table, roc_points, score_histogram,
                                        value_share, write_back)
@@ -25,8 +24,8 @@ from tessera.sources.bindings import CUTOFF, LAST_H, LAST_Q, MID
 def ops_extract(star):
     f = star.fait_operations()
     t = F.broadcast(star.dim_temps.select("temps_id", "date_complete", "est_weekend"))
-    r = bounded(star.dim_region.select("region_id", "region"))
-    o = bounded(star.dim_offre.select("offre_id", "secteur", "categorie"))
+    r = (star.dim_region.select("region_id", "region"))
+    o = (star.dim_offre.select("offre_id", "secteur", "categorie"))
     return (f.join(t, "temps_id").join(r, "region_id").join(o, "offre_id")
             .select("beneficiaire_id", "montant_reduction", "nb_operations", "offre_id", "date_complete",
                     "est_weekend", "region", "secteur", "categorie"))

@@ -38,8 +38,7 @@ def train_test(ctx):
     df, cols = prepared(ctx)
     sp = C.stratified_split(df)
     train, test = sp.filter("split = 'train'").drop("split"), sp.filter("split = 'test'").drop("split")
-    scaled_train = C.standardize(train, train, cols)
-    return train, test, scaled_train, cols
+    return train, test, cols
 
 
 @query("q_stratified_split")
@@ -51,9 +50,19 @@ def q_stratified_split(spark, sf):
 
 @query("q_smote")
 def q_smote(spark, sf):
-    """Minority oversampled to parity on the (scaled) training rows (M4)."""
-    _, _, scaled, cols = train_test(Ctx(spark, sf))
-    return C.smote(scaled, cols)
+    """Minority of the raw training rows oversampled to parity (M4)."""
+    train, _, cols = train_test(Ctx(spark, sf))
+    return C.smote(train, cols)
+
+
+@query("q_smote_neighbours")
+def q_smote_neighbours(spark, sf):
+    """The five nearest minority rows of every minority training row (M4)."""
+    train, _, cols = train_test(Ctx(spark, sf))
+    n = train.groupBy(C.LABEL).agg(F.count(F.lit(1)).alias("n"))
+    least = n.agg(F.min_by(C.LABEL, F.struct("n", C.LABEL))).scalar()
+    nn = C.nearest_neighbours(train.filter(F.col(C.LABEL) == least), cols)
+    return nn.select(F.col("_a").alias(C.KEY), F.col("_r").cast("long").alias("rang"), F.col("_b").alias("voisin"))
 
 
 def _std_sql():
@@ -77,11 +86,13 @@ def q_standardize(spark, sf):
 
 
 def _fit_all(ctx):
-    """Oversampled training rows and scaled hold-out, each computed once and
-    kept (spilling to disk) for the model fits that iterate over them."""
-    train, test, scaled, cols = train_test(ctx)
-    over = C.class_weights(C.smote(scaled, cols)).persist(StorageLevel.MEMORY_AND_DISK)
-    test_z = C.standardize(train, test, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    """Oversampled training rows and hold-out, both scaled by the statistics of the oversampled
+    rows (trees do not depend on it), each computed once and kept for the fits that iterate over them."""
+    train, test, cols = train_test(ctx)
+    raw = C.smote(train, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = C.population_stats(raw, cols)
+    over = C.class_weights(C.standardize(raw, raw, cols, stats)).persist(StorageLevel.MEMORY_AND_DISK)
+    test_z = C.standardize(raw, test, cols, stats).persist(StorageLevel.MEMORY_AND_DISK)
     n = over.count()
     return over, test_z, cols, C.models(cols, SET, n)
 
@@ -121,8 +132,7 @@ def q_cv_f1(spark, sf):
     """5-fold stratified cross-validated F1 on the raw matrix, no oversampling (M12e)."""
     df, cols = prepared(Ctx(spark, sf))
     df = C.class_weights(df.persist(StorageLevel.MEMORY_AND_DISK))
-    h = F.xxhash64(F.col(C.KEY), F.lit(SET.seed))
-    folded = df.withColumn("_fold", F.pmod(h, F.lit(SET.folds))).cache()
+    folded = C.stratified_folds(df, SET.folds, seed=SET.seed).cache()
     def fold(f):
         tr, te = folded.filter(F.col("_fold") != f), folded.filter(F.col("_fold") == f)
         model = C.models(cols, SET, 1)["Random Forest"].fit(tr)
@@ -140,8 +150,10 @@ def q_churn_scores(spark, sf):
     """Stacking refitted on all oversampled rows, every beneficiary scored,
     probability as DECIMAL(5,4), predicted flag and risk bucket (M12f, P18)."""
     df, cols = prepared(Ctx(spark, sf))
-    z = C.standardize(df, df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    over = C.class_weights(C.smote(z, cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = C.smote(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = C.population_stats(raw, cols)
+    z = C.standardize(raw, df, cols, stats).persist(StorageLevel.MEMORY_AND_DISK)
+    over = C.class_weights(C.standardize(raw, raw, cols, stats)).persist(StorageLevel.MEMORY_AND_DISK)
     bases, meta = C.fit_stack(over, cols, SET)
     return C.score_frame(C.stack_transform(bases, meta, z))
 

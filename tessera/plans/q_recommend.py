@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import ellipsis
 from tessera.operators import recommend as R
-from tessera.operators.joins import bounded
 from tessera.operators.scoring import value_share
 from tessera.plans.common import plain
 from tessera.plans.context import Ctx
@@ -21,8 +20,8 @@ def rec_ops(star, until=None):
     if until is not None:
         cal = F.broadcast(star.dim_temps.select("temps_id", "date_complete"))
         f = f.join(cal, "temps_id").filter(F.col("date_complete") <= F.lit(until))
-    r = bounded(star.dim_region.select("region_id"))
-    o = bounded(star.dim_offre.select("offre_id", "secteur"))
+    r = (star.dim_region.select("region_id"))
+    o = (star.dim_offre.select("offre_id", "secteur"))
     return f.join(r, "region_id").join(o, "offre_id").select("beneficiaire_id", "offre_id", "nb_operations", "secteur")
 
 

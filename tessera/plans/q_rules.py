@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import benefit_amount, exact_age, pass_expiry, pass_status, resolve_city
-from tessera.operators.joins import bounded
 from tessera.plans.common import plain, plain_sql
 from tessera.plans.context import Ctx
 from tessera.plans.registry import query
@@ -84,7 +83,7 @@ FROM b_operation o JOIN b_offre f ON f.id = o.offre_id JOIN b_benef b ON b.id =
 def q_resolve_city(spark, sf):
     """Placeholder offer cities resolved to the beneficiary's city."""
     s = Ctx(spark, sf).stg
-    f = bounded(s.offre().select(F.col("id").alias("_oid"), F.col("ville").alias("ville_offre")))
+    f = (s.offre().select(F.col("id").alias("_oid"), F.col("ville").alias("ville_offre")))
     b = s.beneficiaire().select(F.col("id").alias("_bid"), F.col("ville").alias("ville_beneficiaire"))
     o = (s.operation().join(f, F.col("offre_id") == F.col("_oid"))
          .join(b, F.col("beneficiaire_id") == F.col("_bid")))

@@ -151,12 +151,11 @@ def q_scan_star(spark, sf):
 
 
 def _ops_extract(star):
-    from tessera.operators.joins import bounded
     f = star.fait_operations()
     t = F.broadcast(star.dim_temps.select("temps_id", "date_complete", "mois", "annee", "trimestre",
                                           "est_weekend", "jour_semaine"))
-    r = bounded(star.dim_region.select("region_id", "region"))
-    o = bounded(star.dim_offre.select("offre_id", "secteur", "categorie", "type_avantage"))
+    r = (star.dim_region.select("region_id", "region"))
+    o = (star.dim_offre.select("offre_id", "secteur", "categorie", "type_avantage"))
     return (f.join(t, "temps_id").join(r, "region_id").join(o, "offre_id")
             .select("beneficiaire_id", "montant_reduction", "nb_operations", "offre_id", "date_complete", "mois",
                     "annee", "trimestre", "est_weekend", "jour_semaine", "region", "secteur", "categorie",

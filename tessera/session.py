@@ -8,6 +8,7 @@ setting is absent (local tests) do we fall back to a fresh temporary folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,10 +36,13 @@ def get_session(cpus: int | str = "*", app: str = "tessera", memory: str = "8g")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a local one only if unset."""
+    """Return the cluster's shared checkpoint folder. Unset, a local one is made in local mode; on a cluster
+    that would be the driver's own disk, so it is an error there."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import pass_status, reduction_amount
-from tessera.operators.joins import KEY_MAP_ROWS, bounded
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "embeddings"]
@@ -82,11 +81,11 @@ class Staging:
 
     # -- geography --------------------------------------------------------
     def geo(self) -> DataFrame:
-        """nation -> (n_nationkey, n_name, r_name); 25 rows, broadcast after a size check."""
+        """nation -> (n_nationkey, n_name, r_name); 25 rows."""
         def build():
             n, r = self.t["nation"], self.t["region"]
             g = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-            return bounded(g)
+            return g
         return self._memo("geo", build)
 
     # -- beneficiaries ----------------------------------------------------
@@ -122,7 +121,7 @@ class Staging:
         brand x type domain, checked before it is broadcast."""
         def build():
             p = self.t["part"]
-            cat = bounded(p.groupBy("p_brand", "p_type").agg(F.min("p_retailprice").alias("price")))
+            cat = (p.groupBy("p_brand", "p_type").agg(F.min("p_retailprice").alias("price")))
             return cat.withColumn("id", F.row_number().over(Window.orderBy("p_brand", "p_type")).cast("long"))
         return self._memo("_catalogue", build)
 
@@ -152,14 +151,13 @@ class Staging:
         return self._memo("offre", build)
 
     def part_offer(self) -> DataFrame:
-        """part key -> offer id: map-side join of part with the broadcast catalogue."""
+        """part key -> offer id."""
         def build():
             cat = self._catalogue().select(F.col("id").alias("offre_id"), "p_brand", "p_type")
             m = (self.t["part"].select("p_partkey", "p_brand", "p_type")
-                 .join(F.broadcast(cat), ["p_brand", "p_type"])
+                 .join(cat, ["p_brand", "p_type"])
                  .select("p_partkey", "offre_id", F.col("p_type").alias("categorie")))
-            # part grows with the data: broadcast only under the key-map bound
-            return bounded(m, KEY_MAP_ROWS)
+            return m
         return self._memo("part_offer", build)
 
     # -- operations and balances ------------------------------------------
@@ -167,7 +165,7 @@ class Staging:
         """lineitem with its order's customer and date, its offer and its supplier's city."""
         def build():
             li, o, s = self.t["lineitem"], self.t["orders"], self.t["supplier"]
-            sup = bounded(s.join(self.geo(), s.s_nationkey == F.col("n_nationkey"))
+            sup = (s.join(self.geo(), s.s_nationkey == F.col("n_nationkey"))
                           .select("s_suppkey", F.col("n_name").alias("ville")))
             return (
                 li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")

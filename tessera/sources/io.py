@@ -31,11 +31,7 @@ def scan(spark: SparkSession, source: str, schema: T.StructType | None = None, q
     For JDBC the query runs on the database and Spark reads it in parallel
     when ``partitionColumn/lowerBound/upperBound/numPartitions`` are given."""
     if source.startswith("jdbc:"):
-        r = spark.read.format("jdbc").option("url", source)
-        for k, v in (jdbc_options or {}).items():
-            r = r.option(k, v)
-        r = r.option("query", query) if query else r
-        return r.load()
+        return spark.read.format("jdbc").options(**jdbc_read_options(source, query, jdbc_options)).load()
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
@@ -43,6 +39,15 @@ def scan(spark: SparkSession, source: str, schema: T.StructType | None = None, q
     return df.select(*[f.name for f in schema.fields]) if schema is not None else df
 
 
+def jdbc_read_options(url: str, query: str | None = None, extra: dict | None = None) -> dict[str, str]:
+    """Options of a JDBC read. A query is given as a derived table: Spark refuses its ``query`` option together
+    with ``partitionColumn``."""
+    out = {"url": url, **{k: str(v) for k, v in (extra or {}).items()}}
+    if query:
+        out["dbtable"] = f"({query}) q"
+    return out
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns by name (never by position) with its types;
     missing columns become NULL."""
@@ -108,7 +113,9 @@ def sink(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Non
 def observed_sink(df: DataFrame, path: str, table: str, source: str,
                   partition_by: list[str] | None = None) -> DataFrame:
     """S6 + S10: write, then return the audit-log row of that load: rows of
-    the source and rows found in the written table (Parquet footer counts)."""
+    the source and rows found in the written table (Parquet footer counts).
+
+    A failed load raises; its row of the log is carried by the exception (``LoadError.log``)."""
     t0 = dt.datetime.now()
     status, err, n_src, n_ins = "OK", None, 0, 0
     try:
@@ -117,10 +124,20 @@ def observed_sink(df: DataFrame, path: str, table: str, source: str,
         n_ins = df.sparkSession.read.parquet(path).count()
     except Exception as ex:  # noqa: BLE001 - the error is the log's content
         status, err = "ERREUR", str(ex)[:4000]
+        raise LoadError(err, log_row(df.sparkSession, table, source, t0, n_src, n_ins, status, err,
+                                     int((dt.datetime.now() - t0).total_seconds()))) from ex
     secs = int((dt.datetime.now() - t0).total_seconds())
     return log_row(df.sparkSession, table, source, t0, n_src, n_ins, status, err, secs)
 
 
+class LoadError(RuntimeError):
+    """A load that failed, with its audit-log row."""
+
+    def __init__(self, message: str, log: DataFrame):
+        super().__init__(message)
+        self.log = log
+
+
 LOG_SCHEMA = T.StructType([
     T.StructField("nom_table", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("date_execution", T.TimestampType()), T.StructField("nb_lignes_source", T.LongType()),
@@ -136,20 +153,32 @@ def log_row(spark, table, source, when, n_src, n_ins, status, err, secs) -> Data
 
 def reload(tables: dict[str, DataFrame], base: str, run_id: str) -> str:
     """Clear-and-reload as write-new-then-swap. Every table is written
-    under ``base/run_id``; only then the ``_current`` pointer is replaced, so
-    readers never see a half-loaded warehouse and a rerun is idempotent."""
+    under ``base/run_id``; only then a new numbered pointer is added below ``_current``, so readers
+    never see a half-loaded warehouse nor a moment without a pointer, and a rerun is idempotent."""
     target = f"{base}/{run_id}"
     for name, df in tables.items():
         sink(df, f"{target}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").text(f"{base}/_current")
+    spark.createDataFrame([(_last_pointer(spark, base)[0] + 1, run_id)], POINTER).coalesce(1) \
+        .write.mode("append").parquet(f"{base}/_current")
     return target
 
 
+POINTER = "n long, run_id string"
+
+
+def _last_pointer(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """The highest committed pointer (0, None before the first load)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return 0, None
+    row = spark.read.schema(POINTER).parquet(f"{base}/_current").agg(F.max(F.struct("n", "run_id"))).first()[0]
+    return (row["n"], row["run_id"]) if row else (0, None)
+
+
 def current(spark: SparkSession, base: str) -> str:
-    """Path of the warehouse version the ``_current`` pointer names."""
-    run_id = spark.read.text(f"{base}/_current").first()[0]
-    return f"{base}/{run_id}"
+    """Path of the warehouse version that the highest pointer names."""
+    return f"{base}/{_last_pointer(spark, base)[1]}"
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

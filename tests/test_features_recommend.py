@@ -86,4 +86,3 @@ def test_similarity_is_cosine(spark):
     # item 1 = (2, 1, 1, 0), item 3 = (0, 3, 1, 0) over users 1..4
     assert math.isclose(sim[(1, 3)], (3 + 1) / (math.sqrt(6) * math.sqrt(10)))
     assert math.isclose(sim[(1, 1)], 1.0) and (1, 4) not in sim
-    assert F is not None

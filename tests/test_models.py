@@ -28,7 +28,7 @@ def test_stratified_split_exact_and_reproducible(spark):
 
 def test_smote_parity_and_segment(spark):
     df = _frame(spark)
-    out = C.smote(df, ["a", "b"], k=3, bucket_length=4.0)
+    out = C.smote(df, ["a", "b"], k=3)
     counts = {r.churned: r["count"] for r in out.groupBy("churned").count().collect()}
     assert counts == {0: 80, 1: 80}
     synth = out.filter(F.col("beneficiaire_id") < 0).collect()
@@ -79,3 +79,30 @@ def test_assign_nearest_tie_goes_to_lower_id(spark):
     got = {r.vec_id: (r.cluster, round(r.distance, 6)) for r in
            S.assign_nearest(vecs, "embedding", S.centroid_array(cents, "label", "centroid")).collect()}
     assert got[1] == (1, 1.0) and got[2][0] == 1
+
+
+def test_neighbours_are_exact_and_synthetic_keys_unique(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    pts = [(i, 1, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(60)] + [(100 + i, 1, [9.0, 0.0, 0.0]) for i in range(10)]
+    rows = spark.createDataFrame([(i, y, *p) for i, y, p in pts], "beneficiaire_id long, churned int, a double, b double, c double")
+    got = {}
+    for r in C.nearest_neighbours(rows, ["a", "b", "c"]).collect():
+        got.setdefault(r["_a"], {})[r["_r"]] = r["_b"]
+    for i, _, p in pts:
+        best = sorted((sum((x - y) ** 2 for x, y in zip(p, q)), j) for j, _, q in pts if j != i)[:5]
+        assert [got[i][r] for r in range(1, 6)] == [j for _, j in best]
+    majority = spark.range(1000, 4500).selectExpr("id AS beneficiaire_id", "0 AS churned", "1D AS a", "2D AS b", "3D AS c")
+    out = C.smote(rows.unionByName(majority), ["a", "b", "c"])
+    n = {r[0]: (r[1], r[2]) for r in out.groupBy("churned").agg(F.count("*"), F.countDistinct("beneficiaire_id")).collect()}
+    assert n == {0: (3500, 3500), 1: (3500, 3500)}
+
+
+def test_split_and_folds_are_stratified(spark):
+    df = spark.range(1500).selectExpr("id AS beneficiaire_id", "CAST(id % 5 = 0 AND id < 1498 AS INT) AS churned")
+    split = C.stratified_split(df).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"test": 300, "train": 1200}
+    folds = C.stratified_folds(df, 5).groupBy("churned", "_fold").count().collect()
+    for cls in (0, 1):
+        sizes = [r["count"] for r in folds if r["churned"] == cls]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1

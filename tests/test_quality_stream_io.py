@@ -72,3 +72,27 @@ def test_reload_is_idempotent(spark):
     assert io.current(spark, base).endswith("r2")
     a, b = spark.read.parquet(f"{base}/r1/x"), spark.read.parquet(f"{base}/r2/x")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_jdbc_options_carry_a_query_as_derived_table():
+    from tessera.sources.io import jdbc_read_options
+    o = jdbc_read_options("jdbc:x", "SELECT 1", {"partitionColumn": "id", "numPartitions": 4})
+    assert o == {"url": "jdbc:x", "partitionColumn": "id", "numPartitions": "4", "dbtable": "(SELECT 1) q"}
+
+
+def test_reload_moves_to_the_highest_pointer(spark):
+    from tessera.sources import io
+    base = io.scratch(spark, "pointer")
+    for run in ("b", "a"):
+        io.reload({"t": spark.range(3)}, base, run)
+        assert io.current(spark, base) == f"{base}/{run}"
+
+
+def test_failed_load_raises_with_its_log(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from tessera.sources import io
+    bad = spark.range(1).withColumn("x", F.raise_error(F.lit("no")))
+    with pytest.raises(io.LoadError) as e:
+        io.observed_sink(bad, io.scratch(spark, "bad"), "t", "s")
+    assert e.value.log.first()["statut"] == "ERREUR"
