@@ -134,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, prior: float | None = None,
     if prior is None:
         prior = min(0.9, max(0.001, n["p"] / n["n"])) if n["n"] > n["p"] else 0.1
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    both = docs.where(~exclude & F.col("text").isNotNull()).select("doc_id", "text") \
-        .join(known.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")), "doc_id", "left")
-    positive = F.col("toxic").isNotNull() & (pick < max_positive / n["p"])
+    # about max_positive ids, so they are sent to the documents and no text is shuffled
+    chosen = F.broadcast(known.where((F.col("toxic") == 1) & (pick < max_positive / n["p"])).select("doc_id", F.lit(True).alias("p")))
+    both = docs.where(~exclude & F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id", "left")
     unlabelled = F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 30)) / float(1 << 30) < max_unlabelled / n_docs
-    sample = both.withColumn("p", F.coalesce(positive, F.lit(False))).withColumn("u", unlabelled).where("p or u") \
+    sample = both.withColumn("p", F.coalesce("p", F.lit(False))).withColumn("u", unlabelled).where("p or u") \
         .select("doc_id", "text", F.col("p").cast("int").alias("p"), F.col("u").cast("int").alias("u"))
 
     def count(batches):
