@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, max_rows: int = MAX_ROWS) -
         return Model(offset=0.0 if not n else 30.0 if n.get(1) else -30.0)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("quality") == 1, max_rows / n[1]).otherwise(max_rows / n[0])
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known.where(pick < share), "doc_id") \
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known.where(pick < share)), "doc_id") \
         .select("text", "quality", F.xxhash64("doc_id", F.lit("half")).alias("h")).collect()  # about 2 * max_rows documents
     rows.sort(key=lambda r: (r["h"], r["text"]))
     build = [[r["text"] for r in rows[::2] if r["quality"] == q] for q in (1, 0)]
