@@ -139,7 +139,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
         import pyarrow as pa
         one = shared.value.scorer()
         for batch in batches:
-            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([one(t) for i in range(0, batch.num_rows, 200) for t in batch.column(at).slice(i, 200).to_pylist()],
+                              pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import numpy as np
 from tessera.llm.common import slices
 
 CACHE_CHUNKS = 600_000
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 5_000_000
 _TAIL = ".,!?;:|&%$#*"
 #: In front of a text's first chunk, which has no blank before it.
 _FIRST = "\x02"

@@ -39,7 +39,7 @@ COORDINATES = 64
 MATCHES = 32
 SHORT_LIST = 32
 BLOCK = 256
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 3_000_000
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2 ** 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2 ** 63, COORDINATES, dtype=np.uint64)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
 
-SLICE_CHARS = 8_000_000
-CACHE_WORDS = 500_000
+SLICE_CHARS = 4_000_000
+CACHE_WORDS = 300_000
 MARK = "▁"
 _MODELS: dict = {}
 

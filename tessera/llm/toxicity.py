@@ -40,7 +40,8 @@ BAGS = 3
 MIN_DOCS = 3            # a feature occurs in so many toxic training documents,
 MIN_RATIO = 2.5         # so many times as often in P as in U,
 MIN_SIGMA = 3.0         # and so many standard deviations more often than U's rate explains
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+COUNTED = 250_000       # feature counts a task holds before it hands them on
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -144,14 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, prior: float | None = None,
     def count(batches):
         import pyarrow as pa
         in_p, in_u = Counter(), Counter()
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             for _, text, p, u in zip(*(c.to_pylist() for c in batch.columns)):
                 found = set().union(*map(features, words(text)))
                 if p:
                     in_p.update(found)
                 if u:
                     in_u.update(found)
-            if len(in_u) + len(in_p) > 1_000_000:          # hand on what is counted so far
+            if len(in_u) + len(in_p) > COUNTED:            # hand on what is counted so far
                 yield pa.RecordBatch.from_arrays(_columns(in_p, in_u), ["f", "p", "u"])
                 in_p, in_u = Counter(), Counter()
         yield pa.RecordBatch.from_arrays(_columns(in_p, in_u), ["f", "p", "u"])
@@ -206,7 +207,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
         import pyarrow as pa
         one = shared.value.scorer()
         for batch in batches:
-            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([one(t) for i in range(0, batch.num_rows, 200) for t in batch.column(at).slice(i, 200).to_pylist()],
+                              pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
