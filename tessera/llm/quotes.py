@@ -82,15 +82,16 @@ def threads(messages: DataFrame, found: DataFrame) -> DataFrame:
     state = cut(keys.join(parent, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
                 .withColumn("reply_to", F.coalesce("quoted", "before"))
                 .select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "turn").alias("thread"),
-                        F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth")), "quote-threads")
-    while True:
-        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("t2"), F.col("depth").alias("d2"))
-        state = cut(state.join(up, ["conv_id", "thread"])
-                    .select("conv_id", "turn", "reply_to", F.col("t2").alias("thread"),
-                            (F.col("depth") + F.col("d2")).alias("depth"), (F.col("t2") != F.col("thread")).alias("moved")),
-                    "quote-threads")
-        if state.where("moved").isEmpty():
-            return state.drop("moved")
+                        F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth"),
+                        F.col("reply_to").isNull().alias("done")), "quote-threads")
+    while not (open_ := state.where(~F.col("done"))).isEmpty():   # messages at their first one take no further part
+        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("t2"), F.col("depth").alias("d2"),
+                          F.col("done").alias("there"))
+        moved = open_.join(up, ["conv_id", "thread"]).select(
+            "conv_id", "turn", "reply_to", F.col("t2").alias("thread"), (F.col("depth") + F.col("d2")).alias("depth"),
+            F.col("there").alias("done"))
+        state = cut(state.where("done").unionByName(moved), "quote-threads")
+    return state.drop("done")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
