@@ -39,6 +39,7 @@ COORDINATES = 64
 MATCHES = 32
 SHORT_LIST = 32
 BLOCK = 256
+SALTS = 32              # a long list meets its block counts in so many tasks
 SLICE_CHARS = 3_000_000
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2 ** 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,7 +210,10 @@ def _long_lists(members: DataFrame, reps: DataFrame, full: DataFrame) -> DataFra
     top = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("t"), F.sum("k").alias("n")) \
         .select("token", F.col("t.component").alias("major"), F.col("t.k").alias("k"), "n")
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    m = members.select("token", "node", "component").join(top, "token") \
+    # the one row of a list is repeated for every salt, its members are dealt over the salts
+    top = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.select("token", "node", "component", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
+    m = salted.join(top, ["token", "salt"]) \
         .withColumn("nm", blocks(F.col("n") - F.col("k"))).withColumn("nj", blocks(F.col("k"))) \
         .withColumn("is_major", F.col("component") == F.col("major")) \
         .withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("nj")).otherwise(F.col("nm"))).cast("int"))
