@@ -46,3 +46,12 @@ def slices(lengths, limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def parts(batches, column: int, limit: int):
+    """Cut Arrow batches, without copying, into batches with at most ``limit`` characters in a text column (a longer
+    text stands alone), so that what a task holds and hands on depends on that limit and not on the rows in a batch."""
+    import pyarrow.compute as pc
+    for batch in batches:
+        for a, b in slices([n or 0 for n in pc.utf8_length(batch.column(column)).to_pylist()], limit):
+            yield batch.slice(a, b - a)

@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import parts
+
 MAX_ROWS = 4_000
 SAMPLE_BYTES = 8_000_000
 BLOCK = 1024
 DICTIONARY = 112_640
 LEVEL = 3
+SLICE_CHARS = 1_000_000
 
 
 @dataclass
@@ -138,9 +141,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     def run(batches):
         import pyarrow as pa
         one = shared.value.scorer()
-        for batch in batches:
-            scores = pa.array([one(t) for i in range(0, batch.num_rows, 200) for t in batch.column(at).slice(i, 200).to_pylist()],
-                              pa.float64())
+        for batch in parts(batches, at, SLICE_CHARS):
+            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, parts
 
 WORDS = 5
 COORDINATES = 64
@@ -58,26 +58,24 @@ def shingle_sets(texts):
     """Yield the sorted distinct shingle hashes (u64) of every text of an Arrow array (null: empty)."""
     import pandas as pd
     import pyarrow.compute as pc
-    texts = pc.fill_null(texts, "")
-    for a, b in slices(pc.utf8_length(texts).to_pylist(), SLICE_CHARS):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a)))
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False)
-        hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
-        real = np.array([w != "" for w in words], dtype=bool)
-        codes, at = coded.indices.to_numpy(), 0
-        for n in pc.list_value_length(lists).to_pylist():
-            c = codes[at:at + n]
-            at += n
-            h = hashes[c[real[c]]]
-            k = min(WORDS, len(h))
-            if not k:
-                yield np.zeros(0, np.uint64)
-                continue
-            s = np.full(len(h) - k + 1, np.uint64(k))
-            for i in range(k):
-                s = _mix(s + h[i:len(h) - k + 1 + i] * _SHINGLE_MUL[i])
-            yield np.unique(s)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
+    real = np.array([w != "" for w in words], dtype=bool)
+    codes, at = coded.indices.to_numpy(), 0
+    for n in pc.list_value_length(lists).to_pylist():
+        c = codes[at:at + n]
+        at += n
+        h = hashes[c[real[c]]]
+        k = min(WORDS, len(h))
+        if not k:
+            yield np.zeros(0, np.uint64)
+            continue
+        s = np.full(len(h) - k + 1, np.uint64(k))
+        for i in range(k):
+            s = _mix(s + h[i:len(h) - k + 1 + i] * _SHINGLE_MUL[i])
+        yield np.unique(s)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -94,7 +92,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in parts(batches, 1, SLICE_CHARS):
             n, key, sig = [], [], []
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
@@ -249,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def shingle(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in parts(batches, 1, SLICE_CHARS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))],
                                                                         pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import parts
+
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 MAX_FEATURES = 30_000
@@ -41,6 +43,7 @@ MIN_DOCS = 3            # a feature occurs in so many toxic training documents,
 MIN_RATIO = 2.5         # so many times as often in P as in U,
 MIN_SIGMA = 3.0         # and so many standard deviations more often than U's rate explains
 CACHE_WORDS = 150_000
+SLICE_CHARS = 1_000_000
 COUNTED = 250_000       # feature counts a task holds before it hands them on
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, prior: float | None = None,
     def count(batches):
         import pyarrow as pa
         in_p, in_u = Counter(), Counter()
-        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        for batch in parts(batches, 1, SLICE_CHARS):
             for _, text, p, u in zip(*(c.to_pylist() for c in batch.columns)):
                 found = set().union(*map(features, words(text)))
                 if p:
@@ -178,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, prior: float | None = None,
 
     def sparse(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in parts(batches, 1, SLICE_CHARS):
             ids, text, p, u = (c.to_pylist() for c in batch.columns)
             rows = [sorted(index[f] for f in set().union(*map(features, words(t))) & known_features) for t in text]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.list_(pa.int32()))],
@@ -206,9 +209,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     def run(batches):
         import pyarrow as pa
         one = shared.value.scorer()
-        for batch in batches:
-            scores = pa.array([one(t) for i in range(0, batch.num_rows, 200) for t in batch.column(at).slice(i, 200).to_pylist()],
-                              pa.float64())
+        for batch in parts(batches, at, SLICE_CHARS):
+            scores = pa.array([one(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
