@@ -1,20 +1,21 @@
 """Item-based recommendation.
 
-Plan, all distributed:
+One plan for every catalogue size, all distributed, nothing collected:
   1. user_item: Σ operations per (user, item), long form (sparse).
-  2. item Gram matrix Σ_u v_u v_uᵀ: each task multiplies the dense block of
-     its users (numpy, one user's items kept in one block) and emits at most
-     C² partial dot products (C = items present in the task), which are then
-     summed by (i, j). No per-user pair rows are shuffled, and a user holding
-     a third of all operations is still one vector of at most C entries.
+  2. item Gram matrix Σ_u v_u v_uᵀ: each task multiplies dense blocks of its
+     users (numpy, one user's items kept in one block), adds the products to a
+     running sum, hands that on when it holds ``GRAM_CELLS`` cells, and the
+     partial sums are summed by (i, j). No per-user pair rows are shuffled.
   3. cosine = dot(i, j) / sqrt(dot(i, i) dot(j, j)).
-  4. scores: user-item ⋈ similarity (broadcast behind a size check) summed
-     per (user, candidate) — user-item stays partitioned by user, so the sum
-     needs no further shuffle; items already used are removed (anti join).
-  5. top 3 per user: positive scores first (ties by item id), then zero-score
-     candidates by item id, then the popularity list; users without history
-     get the global top 3. Candidate lists are arrays over the item catalogue
-     (a bounded domain), so no users × items cross product is built.
+  4. scores: user-item ⋈ similarity summed per (user, candidate), items
+     already used removed (anti join); a candidate without similarity to any
+     used item scores 0.
+  5. top n per user: positive scores first (score desc, item id asc), then
+     zero-score candidates by item id, then the popularity list; users without
+     history get the global top n. A user's zero-score candidates among the first
+     n are found without a list of the catalogue: items are numbered densely by id
+     (W2), and of the first (used + scored items kept) + n numbers at least n
+     are free. Labels come by joins.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import offer_label
+from tessera.operators.keys import with_surrogate
 
 # The per-task Gram function below is shipped to executors by value, so
 # workers need numpy/pandas only, not this package on their path.
@@ -43,6 +45,8 @@ except (ImportError, AttributeError):  # pragma: no cover - older cloudpickle
 DEFAULT_LABELS = ["Offre Culturelle Pass", "Offre Transport Pass", "Offre Sport Pass"]
 MISSING_LABELS = ["Offre Culture", "Offre Transport", "Offre Sport"]
 BLOCK = 2048  # items per dense block inside a task
+GRAM_CELLS = 4_000_000  # cells of partial dot products a task holds before it hands them on
+GRAM_USERS = 1024  # users multiplied at once
 
 U, I, N = "beneficiaire_id", "offre_id", "n"
 
@@ -58,40 +62,67 @@ _GRAM = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.Lon
 
 def _gram_partition(batches):
     """Per-task Σ v vᵀ over complete users (rows arrive sorted by user)."""
-    parts: list[pd.DataFrame] = []
+    held: list[pd.Series] = []
+    cells = 0
     carry = None
 
-    def add(df):
-        if df.empty:
-            return
+    def products(df):
+        """Partial dot products of some complete users, one (i, j)-indexed series per pair of item blocks."""
         items, icode = np.unique(df[I].to_numpy(), return_inverse=True)
         users, ucode = np.unique(df[U].to_numpy(), return_inverse=True)
         vals = df[N].to_numpy().astype(np.float64)
+
+        def dense(at):
+            block = np.zeros((len(users), min(BLOCK, len(items) - at)))
+            inside = (icode >= at) & (icode < at + BLOCK)
+            block[ucode[inside], icode[inside] - at] = vals[inside]
+            return block
+
         for b0 in range(0, len(items), BLOCK):
-            m0 = (icode >= b0) & (icode < b0 + BLOCK)
-            a0 = np.zeros((len(users), min(BLOCK, len(items) - b0)))
-            a0[ucode[m0], icode[m0] - b0] = vals[m0]
+            left = dense(b0)
             for b1 in range(0, len(items), BLOCK):
-                m1 = (icode >= b1) & (icode < b1 + BLOCK)
-                a1 = np.zeros((len(users), min(BLOCK, len(items) - b1)))
-                a1[ucode[m1], icode[m1] - b1] = vals[m1]
-                g = a0.T @ a1
+                g = left.T @ dense(b1)
                 r, c = np.nonzero(g)
-                parts.append(pd.DataFrame({"i": items[r + b0], "j": items[c + b1], "dot": g[r, c]}))
+                yield pd.Series(g[r, c], index=pd.MultiIndex.from_arrays([items[r + b0], items[c + b1]], names=["i", "j"]))
+
+    def users_of(df):
+        """``df`` in pieces of at most GRAM_USERS complete users."""
+        starts = np.flatnonzero(np.append(True, df[U].to_numpy()[1:] != df[U].to_numpy()[:-1]))[::GRAM_USERS]
+        for x, y in zip(starts, [*starts[1:], len(df)]):
+            yield df.iloc[x:y]
+
+    def out(s):
+        return s.rename("dot").reset_index().astype({"i": "int64", "j": "int64", "dot": "float64"})
+
+    def total():
+        return pd.concat(held).groupby(level=["i", "j"]).sum()
+
+    def add(df):
+        nonlocal held, cells
+        for piece in users_of(df):
+            for part in products(piece):
+                held.append(part)
+                cells += len(part)
+                if cells >= GRAM_CELLS:
+                    held = [total()]
+                    cells = len(held[0])
+                    if 2 * cells >= GRAM_CELLS:  # summing frees too little: hand it on
+                        yield out(held[0])
+                        held, cells = [], 0
 
     for pdf in batches:
         if carry is not None:
             pdf = pd.concat([carry, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        last = pdf[U].iloc[-1]
-        add(pdf[pdf[U] != last])
-        carry = pdf[pdf[U] == last]
+        done = (pdf[U] != pdf[U].iloc[-1]).to_numpy()
+        carry = pdf[~done]
+        if done.any():
+            yield from add(pdf[done])
     if carry is not None:
-        add(carry)
-    if parts:
-        out = pd.concat(parts, ignore_index=True).groupby(["i", "j"], as_index=False)["dot"].sum()
-        yield out.astype({"i": "int64", "j": "int64", "dot": "float64"})
+        yield from add(carry)
+    if held:
+        yield out(total())
 
 
 def item_similarity(ui: DataFrame) -> DataFrame:
@@ -101,21 +132,38 @@ def item_similarity(ui: DataFrame) -> DataFrame:
             .groupBy("i", "j").agg(F.sum("dot").alias("dot"))
             .persist(StorageLevel.MEMORY_AND_DISK))  # at most C x C rows, read by the diagonal and the pairs
     diag = gram.filter(F.col("i") == F.col("j")).select(F.col("i").alias("_k"), F.col("dot").alias("_nn"))
-    diag = (diag)
     g = gram.join(diag.withColumnRenamed("_k", "_ki").withColumnRenamed("_nn", "_ni"), F.col("i") == F.col("_ki"))
     g = g.join(diag.withColumnRenamed("_k", "_kj").withColumnRenamed("_nn", "_nj"), F.col("j") == F.col("_kj"))
     return g.select("i", "j", (F.col("dot") / F.sqrt(F.col("_ni") * F.col("_nj"))).alias("similarity"))
 
 
-def candidate_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
-    """R2 + J14: Σ similarity × count over used items, for items not used yet."""
-    s = (sim.select(F.col("i").alias(I), F.col("j"), F.col("similarity")))
+def positive_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
+    """R2 + J14: Σ similarity × count over used items, for items not used yet, where it is not zero."""
+    s = sim.select(F.col("i").alias(I), F.col("j"), F.col("similarity"))
     sc = (ui.join(s, I).groupBy(U, F.col("j").alias("cand"))
           .agg(F.round(F.sum(F.col(N) * F.col("similarity")), 9).alias("score")))
     used = ui.select(F.col(U).alias("_u"), F.col(I).alias("_i"))
     return sc.join(used, (F.col(U) == F.col("_u")) & (F.col("cand") == F.col("_i")), "left_anti")
 
 
+def _numbered_items(ui: DataFrame) -> DataFrame:
+    """(item, place): the items in use, numbered 1.. by id without a single-task window."""
+    return with_surrogate(ui.select(F.col(I).alias("cand")).distinct(), ["cand"], "place")
+
+
+def candidate_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
+    """R2 whole: the score of every item in use for every user who has not used it, zeros included.
+
+    Its result has users x items rows by definition; ``recommend`` does not need it."""
+    items = _numbered_items(ui)
+    last = items.agg(F.max("place")).scalar()
+    every = (ui.select(U).distinct().withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+             .join(items, "place").select(U, "cand"))
+    used = ui.select(U, F.col(I).alias("cand"))
+    return (every.join(used, [U, "cand"], "left_anti").join(positive_scores(ui, sim), [U, "cand"], "left")
+            .select(U, "cand", F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
 def popularity(ops: DataFrame, offers: DataFrame, count_col: str = "nb_operations") -> DataFrame:
     """Total operations per offer, its name and sector, ranked (total desc, id).
     ``ops`` may be the operations or the user-item aggregate (``count_col`` = n)."""
@@ -139,128 +187,52 @@ def top_sector(ops: DataFrame):
     return g.agg(F.min_by("secteur", F.struct(-F.col("_n"), F.col("secteur")))).scalar()
 
 
-def _recs_schema(n: int) -> T.StructType:
-    return T.StructType([T.StructField(U, T.LongType())] +
-                        [T.StructField(f"rec_{k + 1}", T.LongType()) for k in range(n)])
-
-
-def _dense_scorer(bc, n: int):
-    """Per-task scoring: A (users x items) @ S (items x items), used items
-    masked, order (score desc, item id asc), fill from the popularity list."""
-    def run(batches):
-        items, sim, pop = bc.value
-        col = {int(x): k for k, x in enumerate(items)}
-        carry = None
-
-        def score(df):
-            users, ucode = np.unique(df[U].to_numpy(), return_inverse=True)
-            a = np.zeros((len(users), len(items)))
-            a[ucode, [col[int(x)] for x in df[I].to_numpy()]] = df[N].to_numpy()
-            sc = np.round(a @ sim, 9)
-            used = a > 0
-            key = np.where(used, np.inf, -sc)  # used items sort last
-            order = np.argsort(key, axis=1, kind="stable")  # ties keep ascending item id
-            out = np.full((len(users), n), -1, dtype=np.int64)
-            n_free = (~used).sum(axis=1)
-            for r in range(len(users)):
-                picks = [int(items[c]) for c in order[r, :min(n, n_free[r])]]
-                if len(picks) < n:
-                    taken = set(picks) | {int(items[c]) for c in np.nonzero(used[r])[0]}
-                    picks += [p for p in pop if p not in taken][:n - len(picks)]
-                out[r, :len(picks)] = picks
-            res = pd.DataFrame({U: users.astype(np.int64)})
-            for k in range(n):
-                res[f"rec_{k + 1}"] = pd.array(np.where(out[:, k] >= 0, out[:, k], None), dtype="Int64")
-            return res
-
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = pdf[U].iloc[-1]
-            done, carry = pdf[pdf[U] != last], pdf[pdf[U] == last]
-            if not done.empty:
-                yield score(done)
-        if carry is not None and not carry.empty:
-            yield score(carry)
-    return run
-
-
-DENSE_MAX_ITEMS = 2048  # catalogue size up to which scoring is a dense product per task
-
-
 def recommend(users: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
     """(user, rec_1..rec_n item ids) for every user in ``users``.
 
     Candidates are all items with at least one operation, minus the user's
-    own; order is (score desc, item id asc); fewer than n candidates are
-    filled from the popularity list; users without history get its top n.
-
-    For a catalogue of at most DENSE_MAX_ITEMS items the item-item matrix
-    (the fitted model, C x C values) is broadcast and each task scores its
-    users with one dense product; larger catalogues take the exact join
-    path (``_recommend_sparse``)."""
-    spark = users.sparkSession
-    # the user-item aggregate feeds the similarity, the scores and the
-    # catalogue: computed once, kept (spilling to disk if large)
+    own; order is (score desc, item id asc); fewer than n candidates leave the last
+    places empty (the popularity list names the same items); users without history
+    get its top n."""
+    # feeds the similarity, the scores and the numbering: computed once, kept (spilling to disk if large)
     ui = user_item(ops).persist(StorageLevel.MEMORY_AND_DISK)
-    n_items = ui.select(I).distinct().count()
-    if n_items > DENSE_MAX_ITEMS:
-        return _recommend_sparse(users, ui, ops, offers, n)
-    items = np.array(sorted(r[0] for r in ui.select(I).distinct().collect()), dtype=np.int64)
-    idx = {int(x): k for k, x in enumerate(items)}
-    sim = np.zeros((len(items), len(items)))
-    for r in item_similarity(ui).collect():
-        sim[idx[r["i"]], idx[r["j"]]] = r["similarity"]
-    pop = [r[I] for r in popularity(ui, offers, N).orderBy("rang").select(I).collect()]
-    bc = spark.sparkContext.broadcast((items, sim, pop))
-    recs = (ui.repartition(U).sortWithinPartitions(U).select(U, I, N)
-            .mapInPandas(_dense_scorer(bc, n), _recs_schema(n)))
-    cold = [F.lit(pop[k] if k < len(pop) else None).cast("long") for k in range(n)]
-    out = users.select(U).join(recs.withColumn("_seen", F.lit(True)), U, "left")
-    return out.select(U, *[F.when(F.col("_seen").isNull(), cold[k]).otherwise(F.col(f"rec_{k + 1}"))
-                           .alias(f"rec_{k + 1}") for k in range(n)])
-
-
-def _recommend_sparse(users: DataFrame, ui: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
-    """Exact join-based path for large catalogues."""
-    sim = item_similarity(ui)
-    sc = candidate_scores(ui, sim)
-    w = Window.partitionBy(U).orderBy(F.col("score").desc(), F.col("cand"))
-    best = (sc.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-            .groupBy(U).agg(F.array_sort(F.collect_list(F.struct("_r", "cand"))).alias("_b"))
-            .select(U, F.transform("_b", lambda x: x["cand"]).alias("scored")))
-    hist = ui.groupBy(U).agg(F.collect_set(I).alias("used"))
-    # arrays over the catalogue, computed once (scalar subqueries)
-    items = ui.agg(F.array_sort(F.collect_set(I))).scalar()
-    pop = popularity(ui, offers, N)
-    pop_ids = pop.agg(F.transform(F.array_sort(F.collect_list(F.struct("rang", I))), lambda x: x[I])).scalar()
-    u = users.select(U).join(hist, U, "left").join(best, U, "left")
-    scored = F.coalesce(F.col("scored"), F.array().cast("array<long>"))
-    taken = F.array_union(F.coalesce(F.col("used"), F.array().cast("array<long>")), scored)
-    zero = F.array_except(items, taken)
-    fill = F.array_except(pop_ids, F.array_union(taken, zero))
-    warm = F.slice(F.concat(scored, zero, fill), 1, n)
-    cold = F.slice(pop_ids, 1, n)
-    recs = F.when(F.col("used").isNull(), cold).otherwise(warm)
-    return u.select(U, *[F.try_element_at(recs, F.lit(k + 1)).alias(f"rec_{k + 1}") for k in range(n)])
+    # the best n positive scores of every user (Spark limits each group before the shuffle)
+    order = F.struct((-F.col("score")).alias("s"), F.col("cand").alias("cand"))
+    ranked = (positive_scores(ui, item_similarity(ui)).filter(F.col("score") > 0)
+              .withColumn("_r", F.row_number().over(Window.partitionBy(U).orderBy(order))).filter(F.col("_r") <= n)
+              .select(U, "cand", F.col("_r").alias("slot")))
+    # who has fewer than n fills up with zero scores, by id: of the first |taken| + n places at least n are free
+    taken = ui.select(U, F.col(I).alias("cand")).unionByName(ranked.select(U, "cand"))
+    size = taken.groupBy(U).agg(F.count(F.lit(1)).alias("_t"))
+    have = ranked.groupBy(U).agg(F.max("slot").alias("_h"))
+    short = size.join(have, U, "left").withColumn("_h", F.coalesce("_h", F.lit(0))).filter(F.col("_h") < n)
+    items = _numbered_items(ui)
+    places = short.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t") + n)))
+    free = places.join(items, "place").join(taken, [U, "cand"], "left_anti")
+    fill = (free.withColumn("_r", F.row_number().over(Window.partitionBy(U).orderBy("cand")))
+            .withColumn("slot", F.col("_h") + F.col("_r")).filter(F.col("slot") <= n).select(U, "cand", "slot"))
+    warm = ranked.unionByName(fill).groupBy(U).agg(
+        *[F.max(F.when(F.col("slot") == k + 1, F.col("cand"))).alias(f"_w{k + 1}") for k in range(n)])
+    seen = ui.select(U).distinct().withColumn("_seen", F.lit(True))
+    # the first n of the popularity list: one row of n ids
+    totals = ui.groupBy(I).agg(F.sum(N).alias("total_ops"))
+    pop = totals.orderBy(F.col("total_ops").desc(), F.col(I)).limit(n)
+    cold = pop.agg(F.array_sort(F.collect_list(F.struct((-F.col("total_ops")).alias("t"), F.col(I).alias("id"))))).scalar()
+    out = users.select(U).join(seen, U, "left").join(warm, U, "left")
+    return out.select(U, *[F.when(F.col("_seen").isNull(), F.try_element_at(cold, F.lit(k + 1))["id"])
+                           .otherwise(F.col(f"_w{k + 1}")).alias(f"rec_{k + 1}") for k in range(n)])
 
 
 def label(recs: DataFrame, offers: DataFrame, n: int = 3) -> DataFrame:
-    """Display names of the recommended offers; only active offers have a
+    """Display names of the recommended offers by one join; only active offers have a
     name, others get the slot's default label, missing slots another one."""
-    names = (offers.filter(F.col("actif"))
-             .agg(F.map_from_entries(F.collect_list(F.struct(F.col(I), offer_label(F.col("nom_offre"),
-                                                                                   F.col("nom_partenaire"))))))
-             .scalar())
-    cols = [U]
-    for k in range(n):
-        rid = F.col(f"rec_{k + 1}")
-        cols.append(F.when(rid.isNull(), F.lit(MISSING_LABELS[k]))
-                    .otherwise(F.coalesce(F.element_at(names, rid), F.lit(DEFAULT_LABELS[k])))
-                    .alias(f"recommandation_offre_{k + 1}"))
-    return recs.select(*cols)
+    names = offers.filter(F.col("actif")).select(F.col(I).alias("_id"), offer_label(F.col("nom_offre"), F.col("nom_partenaire")).alias("_name"))
+    slots = recs.select(U, F.posexplode(F.array(*[F.col(f"rec_{k + 1}") for k in range(n)])).alias("_k", "_id"))
+    named = slots.join(names, "_id", "left")
+    cols = [F.max(F.when(F.col("_k") == k, F.when(F.col("_id").isNull(), F.lit(MISSING_LABELS[k]))
+                         .otherwise(F.coalesce("_name", F.lit(DEFAULT_LABELS[k]))))).alias(f"recommandation_offre_{k + 1}")
+            for k in range(n)]
+    return named.groupBy(U).agg(*cols)
 
 
 def recommend_sector(users: DataFrame, ops: DataFrame) -> DataFrame:

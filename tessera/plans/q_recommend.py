@@ -94,10 +94,9 @@ def q_item_similarity(spark, sf):
     return R.item_similarity(ui).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("q_recommend_scores", with_ctes(
-    "SELECT u AS beneficiaire_id, cand, score FROM score_rops WHERE score > 0"))
+@query("q_recommend_scores", with_ctes("SELECT u AS beneficiaire_id, cand, score FROM score_rops"))
 def q_recommend_scores(spark, sf):
-    """Scores of unused offers with a positive score."""
+    """Scores of all unused offers, zeros included."""
     ui = R.user_item(rec_ops(Ctx(spark, sf).b))
     return R.candidate_scores(ui, R.item_similarity(ui))
 

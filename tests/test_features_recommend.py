@@ -59,15 +59,42 @@ def _rec_data(spark):
     return users, ops, offers
 
 
-def test_recommend_dense_equals_sparse(spark, monkeypatch):
+def test_recommend(spark):
     users, ops, offers = _rec_data(spark)
-    dense = {r[0]: tuple(r[1:]) for r in R.recommend(users, ops, offers).collect()}
-    monkeypatch.setattr(R, "DENSE_MAX_ITEMS", 0)
-    sparse = {r[0]: tuple(r[1:]) for r in R.recommend(users, ops, offers).collect()}
-    assert dense == sparse
-    assert dense[3][0] == 4 and dense[3][1:] == (None, None)  # only one unused offer, nothing left to fill
-    assert dense[9] == (1, 3, 2)  # cold start: popularity (total desc, id asc)
-    assert set(dense[1]) == {3, 4, None} or dense[1][:2] == (3, 4)
+    got = {r[0]: tuple(r[1:]) for r in R.recommend(users, ops, offers).collect()}
+    assert got[3] == (4, None, None)  # only one unused offer, nothing left to fill
+    assert got[9] == (1, 3, 2)  # cold start: popularity (total desc, id asc)
+    assert got[1] == (3, 4, None) and got[2] == (2, 4, None)  # a positive score, then a zero score
+    assert got[4] == (1, 2, 3)  # zero scores only: by id
+
+
+def test_scores_include_zeros(spark):
+    _, ops, _ = _rec_data(spark)
+    ui = R.user_item(ops)
+    got = {(r[0], r[1]): r[2] for r in R.candidate_scores(ui, R.item_similarity(ui)).collect()}
+    assert set(got) == {(1, 3), (1, 4), (2, 2), (2, 4), (3, 4), (4, 1), (4, 2), (4, 3)}
+    assert got[(1, 3)] > 0 and got[(1, 4)] == got[(4, 1)] == 0.0
+
+
+def test_gram_hands_on_partial_sums(spark, monkeypatch):
+    import pandas as pd
+    rows = pd.DataFrame({R.U: [1, 1, 2, 2, 3], R.I: [10, 20, 10, 30, 20], R.N: [2, 1, 1, 3, 4]})
+    whole = pd.concat(R._gram_partition(iter([rows]))).set_index(["i", "j"])["dot"]
+    for name, value in (("GRAM_CELLS", 2), ("GRAM_USERS", 1), ("BLOCK", 1)):
+        monkeypatch.setattr(R, name, value)
+    cut = pd.concat(R._gram_partition(iter([rows.iloc[:1], rows.iloc[1:4], rows.iloc[4:]])))
+    assert cut.groupby(["i", "j"])["dot"].sum().to_dict() == whole.to_dict()
+    assert whole[(10, 10)] == 5 and whole[(10, 20)] == 2 and whole[(20, 20)] == 17 and (20, 30) not in whole.index
+
+
+def test_recommend_over_thousands_of_items(spark):
+    # user u of 1,500 uses items 2u - 1 and 2u; user 0 uses items 1, 3 and 5
+    rows = [(u, x, 1, "S") for u in range(1, 1501) for x in (2 * u - 1, 2 * u)] + [(0, x, 1, "S") for x in (1, 3, 5)]
+    ops = spark.createDataFrame(rows, "beneficiaire_id long, offre_id long, nb_operations int, secteur string")
+    got = {r[0]: tuple(r[1:]) for r in R.recommend(ops.select("beneficiaire_id").distinct(), ops, None).collect()}
+    assert got[0] == (2, 4, 6)  # equal scores: by id
+    assert got[1] == (3, 5, 4)  # two through user 0, then a zero score by id
+    assert got[1500] == (1, 2, 3) and len(got) == 1501
 
 
 def test_labels_and_sector(spark):
