@@ -1,9 +1,8 @@
 """Score reports and write-back (A9, A16, M11, M12a-c, S8, S9).
 
 Every report starts with an aggregate: counts per (label, prediction), per
-distinct score or per value. Windows without a partition only ever run on
-those aggregated frames, whose size is the number of distinct scores, not
-the number of scored rows.
+distinct score or per value. Distinct scores are summed up by range partitions,
+so no window without a partition runs over them.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Replace score columns on a dimension with one LEFT join (no per-row
@@ -20,11 +21,6 @@ def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) ->
     return base.join(scores.select(key, *cols), key, "left")
 
 
-def scored_rows(df: DataFrame, col: str) -> int:
-    """Post-write check: rows whose score is > 0 (one aggregate job)."""
-    return df.agg(F.count_if(F.col(col).cast("double") > 0)).first()[0]
-
-
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """Value counts with their percentage of the total."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -52,33 +48,49 @@ def _counts(df: DataFrame, score: str, label: str, threshold: float) -> DataFram
                   F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
-SCORE_DIGITS = 6  # scores are bucketed to 1e-6: at most 10^6 distinct values reach a window
-
-
-def _per_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Counts per distinct (bucketed) score: the only input of the ordered windows."""
-    return df.groupBy(F.round(F.col(score).cast("double"), SCORE_DIGITS).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                                   F.count_if(F.col(label) != 1).alias("neg"))
+def _running(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(s, pos, neg, pos_below, neg_below, all_pos, all_neg): counts per distinct score, those of all smaller scores,
+    and the totals. Scores stay exact and no window runs over all of them in one task: they are range-partitioned
+    (checkpointed, as in W2), summed within a partition, and lifted by the partitions' offsets (one row each)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = per.repartitionByRange(n, "s").withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_p").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    sums = sums.select("_p", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in ("pos", "neg")],
+                       *[F.sum(f"_{c}").over(Window.partitionBy()).alias(f"all_{c}") for c in ("pos", "neg")])
+    inside = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(sums), "_p").select(
+        "s", "pos", "neg", *[(F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in ("pos", "neg")],
+        "all_pos", "all_neg")
+
+
+def _auc():
+    """Rank-statistic AUC (ties count one half), an aggregate over the rows of ``_running``."""
+    return F.try_divide(F.sum(F.col("pos") * F.col("neg_below")) + 0.5 * F.sum(F.col("pos") * F.col("neg")),
+                        (F.sum("pos") * F.sum("neg")).cast("double"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Rank-statistic AUC (ties count one half) from per-score counts."""
-    ps = _per_score(df, score, label)
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ps = ps.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return ps.agg(((F.sum(F.col("pos") * F.col("neg_below")) + 0.5 * F.sum(F.col("pos") * F.col("neg")))
-                   / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    """AUC of a scored frame (null with one class only)."""
+    return _running(df, score, label).agg(_auc().alias("auc"))
 
 
 def metrics_table(df: DataFrame, score: str, label: str, model: str, threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1, AUC of one scored frame."""
-    c = _counts(df, score, label, threshold).withColumn("auc", auc(df, score, label).scalar())
-    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+    """Accuracy, precision, recall, F1, AUC of one scored frame, from its counts per score."""
+    over = F.col("s") >= threshold
+    c = _running(df, score, label).agg(
+        F.sum(F.when(over, F.col("pos"))).alias("tp"), F.sum(F.when(over, F.col("neg"))).alias("fp"),
+        F.sum(F.when(~over, F.col("pos"))).alias("fn"), F.sum(F.when(~over, F.col("neg"))).alias("tn"), _auc().alias("auc"))
+    tp, fp, fn, tn = (F.coalesce(F.col(x), F.lit(0)).cast("double") for x in ("tp", "fp", "fn", "tn"))
 
     def r(e):
         return F.round(F.coalesce(e, F.lit(0.0)), 6)
     return c.select(F.lit(model).alias("model"),
-                    r((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
+                    r(F.try_divide(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
                     r(F.try_divide(tp, tp + fp)).alias("precision"),
                     r(F.try_divide(tp, tp + fn)).alias("recall"),
                     r(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"),
@@ -86,14 +98,11 @@ def metrics_table(df: DataFrame, score: str, label: str, model: str, threshold:
 
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, tpr, fpr) for every distinct score, descending."""
-    ps = _per_score(df, score, label)
-    npos = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    nneg = df.agg(F.count_if(F.col(label) != 1)).scalar()
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ps.select(F.col("s").alias("threshold"),
-                     F.round(F.sum("pos").over(w) / npos, 9).alias("tpr"),
-                     F.round(F.sum("neg").over(w) / nneg, 9).alias("fpr"))
+    """(threshold, tpr, fpr) for every distinct score."""
+    return _running(df, score, label).select(
+        F.col("s").alias("threshold"),
+        F.round(F.try_divide(F.col("all_pos") - F.col("pos_below"), F.col("all_pos")), 9).alias("tpr"),
+        F.round(F.try_divide(F.col("all_neg") - F.col("neg_below"), F.col("all_neg")), 9).alias("fpr"))
 
 
 def class_report(df: DataFrame, score: str, label: str, threshold: float = 0.5,

@@ -9,7 +9,6 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,5 +232,3 @@ def q_assign_nearest(spark, sf):
     return out.select("vec_id", F.col("cluster").cast("long").alias("cluster"),
                       F.round("distance", 6).alias("distance"))
 
-
-__all__ = ["vector_to_array"]

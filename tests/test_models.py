@@ -106,3 +106,12 @@ def test_split_and_folds_are_stratified(spark):
     for cls in (0, 1):
         sizes = [r["count"] for r in folds if r["churned"] == cls]
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
+def test_roc_keeps_scores_apart_that_differ_by_less_than_a_millionth(spark):
+    rows = [(0.5 + i * 1e-9, i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "p double, churned int")
+    got = sorted((r.threshold, r.tpr, r.fpr) for r in SC.roc_points(df, "p", "churned").collect())
+    assert [g[0] for g in got] == [p for p, _ in rows]
+    assert got[0][1:] == (1.0, 1.0) and got[5][1:] == (round(1 / 3, 9), 0.0)
+    assert math.isclose(SC.auc(df, "p", "churned").first()[0], 6 / 9)
