@@ -24,6 +24,7 @@ from tessera.operators.keys import with_surrogate
 from tessera.operators.scoring import metrics_table
 
 KEY, LABEL = "beneficiaire_id", "churned"
+STACK = "Stacking Ensemble"
 # minority rows that oversampling compares against (a fit bound: 38 features are about 15 MB)
 MAX_FIT_ROWS = 50_000
 
@@ -167,13 +168,27 @@ class Settings:
     stack_gb_iter: int = 200
     stack_gb_depth: int = 5
     stack_gb_step: float = 0.08
+    stack_xgb_iter: int = 200
+    stack_xgb_depth: int = 6
+    stack_xgb_step: float = 0.08
+    stack_subsample: float = 1.0
+    stack_xgb_columns: str = "all"
+    stack_min_leaf: int = 1
     folds: int = 5
     seed: int = 42
 
     @staticmethod
     def small() -> "Settings":
         return Settings(lr_iter=30, rf_trees=20, rf_depth=5, gb_iter=10, gb_depth=3, xgb_iter=10, xgb_depth=4,
-                        stack_rf_trees=10, stack_rf_depth=4, stack_gb_iter=3, stack_gb_depth=3)
+                        stack_rf_trees=10, stack_rf_depth=4, stack_gb_iter=3, stack_gb_depth=3, stack_xgb_iter=3,
+                        stack_xgb_depth=3)
+
+    @staticmethod
+    def scoring() -> "Settings":
+        """The stack that scores everybody has the single models' sizes."""
+        return Settings(stack_rf_trees=500, stack_rf_depth=15, stack_gb_iter=500, stack_gb_depth=6, stack_gb_step=0.05,
+                        stack_xgb_iter=500, stack_xgb_depth=7, stack_xgb_step=0.05, stack_subsample=0.8,
+                        stack_xgb_columns="0.8", stack_min_leaf=2)
 
 
 def assemble(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -212,15 +227,21 @@ def probability() -> F.Column:
 
 
 def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, object]:
-    """Base models (RF, GB) give out-of-fold probabilities on stratified
+    """Base models (RF, GB, XGBoost as GBT) give out-of-fold probabilities on stratified
     folds; a logistic meta-model learns from them; bases are refitted on all
     training rows. Returns (base models, meta model)."""
     asm = assemble(cols)
     bases = [
         lambda: RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=st.stack_rf_trees,
-                                       maxDepth=st.stack_rf_depth, weightCol="_w", seed=st.seed),
+                                       maxDepth=st.stack_rf_depth, minInstancesPerNode=st.stack_min_leaf,
+                                       weightCol="_w", seed=st.seed),
         lambda: GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.stack_gb_iter,
-                              maxDepth=st.stack_gb_depth, stepSize=st.stack_gb_step, seed=st.seed),
+                              maxDepth=st.stack_gb_depth, stepSize=st.stack_gb_step,
+                              subsamplingRate=st.stack_subsample, seed=st.seed),
+        lambda: GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.stack_xgb_iter,
+                              maxDepth=st.stack_xgb_depth, stepSize=st.stack_xgb_step,
+                              subsamplingRate=st.stack_subsample, featureSubsetStrategy=st.stack_xgb_columns,
+                              seed=st.seed),
     ]
     tr = asm.transform(stratified_folds(train, st.folds, seed=st.seed))
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
@@ -252,6 +273,49 @@ def stack_transform(models_, meta, df: DataFrame) -> DataFrame:
     return meta.transform(x)
 
 
+def fit_named(name: str, rows: DataFrame, cols: list[str], st: Settings, n_train: int):
+    """(fitted model, function that scores a frame) of one of the five classifiers."""
+    if name == STACK:
+        bases, meta = fit_stack(rows, cols, st)
+        return (bases, meta), lambda df: stack_transform(bases, meta, df)
+    model = models(cols, st, n_train)[name].fit(rows)
+    return model, model.transform
+
+
+def compare(over: DataFrame, test: DataFrame, cols: list[str], st: Settings, n_train: int):
+    """(metrics of the five classifiers with the best by F1 flagged, its name, name -> fitted model)."""
+    names = [*models(cols, st, n_train), STACK]
+    with ThreadPoolExecutor(max_workers=len(names)) as ex:  # independent fits, concurrent jobs
+        fits = dict(zip(names, ex.map(lambda n: fit_named(n, over, cols, st, n_train), names)))
+    tables = [evaluate(score(test), name) for name, (_, score) in fits.items()]
+    rows = [r for t in tables for r in t.collect()]  # one row per model
+    best = max(rows, key=lambda r: (r["f1"], r["auc"]))["model"]
+    table = over.sparkSession.createDataFrame(rows, tables[0].schema).withColumn("best", F.col("model") == best)
+    return table, best, {name: model for name, (model, _) in fits.items()}
+
+
+def importances(model, cols: list[str]) -> list[tuple[str, float]]:
+    """M12d: importances of a fitted tree model, absolute coefficients of a linear one."""
+    last = model.stages[-1]
+    v = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
+    return [(c, abs(float(x))) for c, x in zip(cols, v.toArray())]
+
+
+def cross_val_f1(name: str, df: DataFrame, cols: list[str], st: Settings) -> list[tuple[int, float]]:
+    """M12e: (fold, F1) of one of the five classifiers on stratified folds."""
+    folded = stratified_folds(df, st.folds, seed=st.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    n = {r[0]: r[1] for r in folded.groupBy("_fold").agg(F.count(F.lit(1))).collect()}  # one row per fold
+
+    def fold(f):
+        tr, te = folded.filter(F.col("_fold") != f).drop("_fold"), folded.filter(F.col("_fold") == f).drop("_fold")
+        _, score = fit_named(name, tr, cols, st, sum(n.values()) - n.get(f, 0))
+        return f, f1_of(score(te))
+    with ThreadPoolExecutor(max_workers=st.folds) as ex:  # independent fold fits, concurrent jobs
+        rows = list(ex.map(fold, range(st.folds)))
+    folded.unpersist()
+    return rows
+
+
 def evaluate(scored: DataFrame, name: str) -> DataFrame:
     """M11 for one model: metrics of its probability column."""
     s = scored.select(LABEL, probability().alias("p"))

@@ -1,13 +1,9 @@
 """Model queries: split, oversampling, scaling, fits, stacking, evaluation,
 cross-validation, scoring, K-Means segmentation, nearest centroid
-(M3-M16, A13-A15, W7, W9). Fits use ``Settings.small()`` so the registered
-queries stay quick; production settings are ``Settings()``."""
+(M3-M16, A13-A15, W7, W9). Fits use the full ``Settings()``."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +16,8 @@ from tessera.plans.q_features import churn_features, segment_features
 from tessera.plans.registry import query
 from tessera.plans.sqlparts import with_ctes
 
-SET = C.Settings.small()
+SET = C.Settings()
+SCORING = C.Settings.scoring()
 
 
 def prepared(ctx):
@@ -92,25 +89,21 @@ def _fit_all(ctx):
     stats = C.population_stats(raw, cols)
     over = C.class_weights(C.standardize(raw, raw, cols, stats)).persist(StorageLevel.MEMORY_AND_DISK)
     test_z = C.standardize(raw, test, cols, stats).persist(StorageLevel.MEMORY_AND_DISK)
-    n = over.count()
-    return over, test_z, cols, C.models(cols, SET, n)
+    return over, test_z, cols, stats, over.count()
 
 
 @query("q_model_metrics")
 def q_model_metrics(spark, sf):
-    """Four classifiers fitted on the oversampled training rows, evaluated on
-    the hold-out; best by F1 flagged (M6-M9, M11, W9)."""
-    over, test_z, cols, ms = _fit_all(Ctx(spark, sf))
-    tables = [C.evaluate(p.fit(over).transform(test_z), name) for name, p in ms.items()]
-    t = reduce(DataFrame.unionByName, tables)
-    best = t.agg(F.max_by("model", F.struct("f1", "auc"))).scalar()
-    return t.withColumn("best", F.col("model") == best)
+    """Five classifiers fitted on the oversampled training rows, evaluated on
+    the hold-out; best by F1 flagged (M6-M11, W9)."""
+    over, test_z, cols, _, n = _fit_all(Ctx(spark, sf))
+    return C.compare(over, test_z, cols, SET, n)[0]
 
 
 @query("q_stack_scores")
 def q_stack_scores(spark, sf):
-    """Stacking (RF + GB on out-of-fold probabilities -> logistic meta)."""
-    over, test_z, cols, _ = _fit_all(Ctx(spark, sf))
+    """Stacking (RF + GB + XGBoost as GBT on out-of-fold probabilities -> logistic meta)."""
+    over, test_z, cols, _, _ = _fit_all(Ctx(spark, sf))
     bases, meta = C.fit_stack(over, cols, SET)
     scored = C.stack_transform(bases, meta, test_z)
     return scored.select(C.KEY, C.LABEL, C.probability().alias("p_stack"))
@@ -118,27 +111,23 @@ def q_stack_scores(spark, sf):
 
 @query("q_feature_importance")
 def q_feature_importance(spark, sf):
-    """Top 20 random-forest importances (M12d)."""
-    over, _, cols, ms = _fit_all(Ctx(spark, sf))
-    model = ms["Random Forest"].fit(over).stages[-1]
-    imp = [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())]
+    """Top 20 importances of the best model by F1; the forest's where that is the stack (M12d)."""
+    over, test_z, cols, _, n = _fit_all(Ctx(spark, sf))
+    _, best, fitted = C.compare(over, test_z, cols, SET, n)
+    imp = C.importances(fitted["Random Forest" if best == C.STACK else best], cols)
     df = spark.createDataFrame(imp, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(20)
 
 
 @query("q_cv_f1")
 def q_cv_f1(spark, sf):
-    """5-fold stratified cross-validated F1 on the raw matrix, no oversampling (M12e)."""
-    df, cols = prepared(Ctx(spark, sf))
-    df = C.class_weights(df.persist(StorageLevel.MEMORY_AND_DISK))
-    folded = C.stratified_folds(df, SET.folds, seed=SET.seed).cache()
-    def fold(f):
-        tr, te = folded.filter(F.col("_fold") != f), folded.filter(F.col("_fold") == f)
-        model = C.models(cols, SET, 1)["Random Forest"].fit(tr)
-        return f, C.f1_of(model.transform(te))
-    with ThreadPoolExecutor(max_workers=SET.folds) as ex:  # independent fold fits, concurrent jobs
-        rows = list(ex.map(fold, range(SET.folds)))
-    folded.unpersist()
+    """5-fold stratified cross-validated F1 of the best model by F1, no oversampling (M12e); scaled
+    as its training rows were (trees do not depend on it)."""
+    ctx = Ctx(spark, sf)
+    over, test_z, cols, stats, n = _fit_all(ctx)
+    _, best, _ = C.compare(over, test_z, cols, SET, n)
+    df, _ = prepared(ctx)
+    rows = C.cross_val_f1(best, C.class_weights(C.standardize(df, df, cols, stats)), cols, SET)
     out = spark.createDataFrame(rows, "fold int, f1 double")
     return out.unionByName(out.agg(F.lit(-1).alias("fold"), F.avg("f1").alias("f1"))).unionByName(
         out.agg(F.lit(-2).alias("fold"), F.stddev_pop("f1").alias("f1")))
@@ -153,7 +142,7 @@ def q_churn_scores(spark, sf):
     stats = C.population_stats(raw, cols)
     z = C.standardize(raw, df, cols, stats).persist(StorageLevel.MEMORY_AND_DISK)
     over = C.class_weights(C.standardize(raw, raw, cols, stats)).persist(StorageLevel.MEMORY_AND_DISK)
-    bases, meta = C.fit_stack(over, cols, SET)
+    bases, meta = C.fit_stack(over, cols, SCORING)
     return C.score_frame(C.stack_transform(bases, meta, z))
 
 

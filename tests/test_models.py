@@ -115,3 +115,22 @@ def test_roc_keeps_scores_apart_that_differ_by_less_than_a_millionth(spark):
     assert [g[0] for g in got] == [p for p, _ in rows]
     assert got[0][1:] == (1.0, 1.0) and got[5][1:] == (round(1 / 3, 9), 0.0)
     assert math.isclose(SC.auc(df, "p", "churned").first()[0], 6 / 9)
+
+
+def test_model_queries_use_full_settings_and_validate_the_winner(spark, monkeypatch):
+    from tessera.plans import q_ml
+    assert q_ml.SET == C.Settings() and (C.Settings().rf_trees, C.Settings().gb_iter) == (500, 500)
+    assert (q_ml.SCORING.stack_rf_trees, q_ml.SCORING.stack_gb_iter, q_ml.SCORING.stack_xgb_depth) == (500, 500, 7)
+    small = C.Settings.small()
+    df = C.class_weights(_frame(spark, 40, 40)).repartition(2).persist()
+    table, best, fitted = C.compare(df, df, ["a", "b"], small, 80)
+    rows = {r.model: r for r in table.collect()}
+    assert len(rows) == 5 and C.STACK in rows and [m for m, r in rows.items() if r.best] == [best]
+    assert len(fitted[C.STACK][0]) == 4  # assembler and three bases
+    linear = dict(C.importances(fitted["Logistic Regression"], ["a", "b"]))
+    assert set(linear) == {"a", "b"} and min(linear.values()) >= 0
+    used = []
+    fit = C.fit_named
+    monkeypatch.setattr(C, "fit_named", lambda name, *a: used.append(name) or fit(name, *a))
+    assert [f for f, _ in C.cross_val_f1("Logistic Regression", df, ["a", "b"], small)] == [0, 1, 2, 3, 4]
+    assert used == ["Logistic Regression"] * 5
