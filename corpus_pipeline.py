@@ -13,6 +13,7 @@ from tessera.llm.common import cut, held_out, table
 from tessera.llm.queries import vocabulary
 
 THRESHOLD = 0.3
+ROW = "__row"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +28,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression.score(docs, model, "__quality").where(F.col("__quality") >= THRESHOLD).drop("__quality")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, written once so that it stays."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id all stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicate texts: the one with the smallest id. Rows are compared, not ids, so
+    different texts under one id are told apart; of empty texts one stays per id. Rows without an id all stay."""
+    docs_in = numbered(docs)
+    named = docs_in.where(F.col("doc_id").isNotNull())
+    found = minhash.near_duplicates(named.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id"))]
+    stay = (found.join(named.select(ROW, "doc_id"), ROW).groupBy(*[g.alias(f"__g{i}") for i, g in enumerate(group)])
+            .agg(F.min(F.struct("doc_id", ROW))[ROW].alias(ROW)).select(ROW))
+    left = named.join(stay, ROW, "left_semi").select(*docs.columns)
+    return left.unionByName(docs_in.where(F.col("doc_id").isNull()).select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    n = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "copies").where(F.col("copies") > 0)
-    return (docs.join(n, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Every row as often as the mix takes it."""
+    docs_in = numbered(docs)
+    n = mixing.mix(docs_in, row=ROW).where(F.col("copies") > 0).select(ROW, "copies")
+    return (docs_in.join(n, ROW)
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns))
 
 

@@ -12,13 +12,13 @@ cells per constraint column (cells at the cap leave the Hessian), and the multip
 constraint value. Nothing is collected but the largest relative residual. One constraint column needs a few
 steps; several overlapping columns are stepped in turn.
 
-Rates become copies by systematic rounding: within slots of a source (salted by a hash of the id, so a source
-with a third of all rows is spread over many tasks) documents go through in descending size and the
+Rates become copies by systematic rounding: within slots of a source (salted by a hash of the row's place in the
+order of ids, so a source with a third of all rows is spread over many tasks, whatever ids repeat or are null) documents go through in descending size and the
 error of the running total is carried on, so a slot ends within half a small document of its share.
 
 Edge cases: null text has size 0, null source is a source of its own (last in order), an empty table gives no
 rows, sources whose sizes are all 0 have target 0, documents of size 0 take nothing, repeated rows are separate
-documents, ties in size go by a hash of the id.
+documents (so are rows without an id), ties in size go by id.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import cut
+from tessera.operators.keys import with_surrogate
 
 MAX_COPIES = 3
 TOLERANCE = 1e-9
 SLOT_ROWS = 2_000
 _KEY, _SIZE, _BASE, _CELL = "__mix_value", "__mix_size", "__mix_base", "__mix_cell"
+_ROW, _PLACE = "__mix_row", "__mix_place"
 
 
 def word_count(text):
@@ -126,31 +128,42 @@ def _round_slot(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=copies)
 
 
-def copies(rated: DataFrame, doc_id: str, source: str, size: str, cap: int = MAX_COPIES) -> DataFrame:
-    """``rated`` (a frame with ``rate``) reduced to (doc_id, source, size, rate, copies long)."""
+def copies(rated: DataFrame, doc_id: str, source: str, size: str, place: str, cap: int = MAX_COPIES,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rated`` (a frame with ``rate``) reduced to (doc_id, source, size, rate, copies long) and ``keep``, row by row.
+    ``place`` is a number of its own for every row."""
     slots = rated.groupBy(F.col(source).alias("__s")).agg(
         F.ceil(F.count(F.lit(1)) / SLOT_ROWS).cast("int").alias("__slots"))
-    work = (rated.select(F.col(doc_id).alias("__id"), F.col(source).alias("__source"), F.col(size).alias("__size"), "rate")
+    work = (rated.select(F.col(doc_id).alias("__id"), F.col(source).alias("__source"), F.col(size).alias("__size"), "rate",
+                         F.col(place).alias("__place"), *keep)
             .join(slots, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
             .withColumn("__cap", F.lit(int(cap)))
-            .withColumn("__slot", F.pmod(F.xxhash64("__id"), F.col("__slots")).cast("int")))
-    schema = T.StructType([*work.schema.fields, T.StructField("copies", T.LongType())])
+            .withColumn("__slot", F.pmod(F.xxhash64("__place"), F.col("__slots")).cast("int")))
+    # ids stay out of the Python rows: with nulls among them they would pass through floats
+    schema = T.StructType([*[f for f in work.schema.fields if f.name != "__id"], T.StructField("id", T.StringType()),
+                           T.StructField("copies", T.LongType())])
 
     def slot(pdf):
-        pdf = pdf.sort_values("__id", kind="stable").sort_values("__size", ascending=False, kind="stable")
+        pdf = pdf.sort_values("__place", kind="stable").sort_values("__size", ascending=False, kind="stable")
         return _round_slot(pdf)
 
+    work = work.withColumn("id", F.col("__id").cast("string")).drop("__id")
     out = work.groupBy("__source", "__slot").applyInPandas(slot, schema)
-    return out.select(F.col("__id").alias(doc_id), F.col("__source").alias(source), F.col("__size").alias(size),
-                      "rate", "copies")
+    return out.select(F.col("id").cast(rated.schema[doc_id].dataType).alias(doc_id), F.col("__source").alias(source),
+                      F.col("__size").alias(size), "rate", "copies", *keep)
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = MAX_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for every document."""
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = MAX_COPIES, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken for every document; with ``row`` (a column that
+    numbers the rows) that column too."""
+    numbered = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                           (F.col(row) if row else F.monotonically_increasing_id()).alias(_ROW))
+    # rows alike in id, source and size are alike in the result, so places do not depend on how rows are dealt
+    sizes = cut(with_surrogate(numbered, ["doc_id", "source", "size", _ROW], _PLACE), "mix-sizes")
     targets = cut(source_targets(sizes, "source", "size", weights, cap), "mix-targets")
     rated = balance(sizes, "size", {"source": targets.select("source", "target")}, cap)
     t = targets.withColumnRenamed("source", "__t")
-    return (copies(rated, "doc_id", "source", "size", cap)
-            .join(t, F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
-            .withColumn("taken", F.col("copies") * F.col("size")))
+    out = (copies(rated, "doc_id", "source", "size", _PLACE, cap, (_ROW,))
+           .join(t, F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
+           .withColumn("taken", F.col("copies") * F.col("size")))
+    return out.withColumnRenamed(_ROW, row) if row else out.drop(_ROW)

@@ -193,3 +193,38 @@ def test_pipeline_stages(spark):
     empty = spark.read.parquet(f"{SF0001}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF0001).count() == 0
+
+
+def test_pipeline_keeps_rows_apart_that_share_an_id_or_have_none(spark):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(n))
+    a, b, c, d = (text(80) for _ in range(4))
+    near = a + " one more"
+    rows = [(3, a, "s"), (7, near, "s"), (7, b, "s"), (7, c, "s"), (8, c, "s"), (9, d, "s"), (9, d, "s"), (4, "", "s"), (4, None, "s"),
+            (None, a, "s"), (None, a, "s"), (None, d, "s")]
+    out = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF0001).collect()
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in out))
+    assert got == sorted([(3, a), (7, b), (7, c), (9, d), (4, ""), (-1, a), (-1, a), (-1, d)])
+    # 300 rows without an id, two texts under one id: as many rows as copies, each text by its own count
+    rows = [(None, text(1 + i % 37), f"s{i % 3}") for i in range(300)] + [(1, text(20), "s0"), (1, text(30), "s1")]
+    docs = frame(spark, rows)
+    n = mixing.mix(docs)
+    assert n.count() == len(rows) and "__mix_row" not in n.columns
+    mixed = corpus_pipeline.mixed(spark, docs, SF0001)
+    assert mixed.count() == n.agg(F.sum("copies")).first()[0]
+    assert mixed.groupBy("text").count().agg(F.max("count")).first()[0] <= mixing.MAX_COPIES
+    taken = {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()}
+    assert taken == {r["source"]: r["t"] for r in n.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+
+
+def test_rows_without_an_id_fill_several_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 50)
+    seen = spark.sparkContext.accumulator(0)
+    whole = mixing._round_slot
+    def counted(pdf):
+        seen.add(1 if len(pdf) else 0)
+        return whole(pdf)
+    monkeypatch.setattr(mixing, "_round_slot", counted)
+    docs = frame(spark, [(None, "w " * (1 + i % 9), "s") for i in range(500)])
+    mixing.mix(docs).collect()
+    assert seen.value > 5
