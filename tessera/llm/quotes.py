@@ -2,10 +2,15 @@
 
 A line's quote level is the number of ``>`` at its start, blanks between them allowed. A message's own lines
 have level 0; lines of level n quote somebody. Each line is normalised (markers off, lower case, white space
-runs to one blank, trimmed) and hashed. Quoted line hashes are joined to the own lines of earlier messages of
-the same conversation, and, where that finds nothing, to the first message of the whole table that wrote the
-line. Own lines are reduced to one row per (conversation, line, first turn, last turn) before any join, so
-a line that very many messages hold costs one row per conversation and never a pair of messages.
+runs to one blank, trimmed) and hashed. Quoted line hashes are looked up among the own lines of earlier messages of
+the same conversation.
+
+What finds no line there is looked up in the whole table: its origin is the first message that wrote the line.
+
+The latest earlier turn is found without pairs of messages: own and quoted pieces are sorted together by
+(conversation, piece, turn) in ranges, each range carries the last own turn along, and a range that begins within a
+piece takes over the last own turn of the ranges before it. A line that very many messages of one conversation write
+and quote costs one row per message.
 
 The reply link of a message is the earlier message of its conversation that wrote most of its quoted lines of the lowest
 level (ties: the latest); without such a quote it is the message of the preceding turn number, if there is one. Following links to
@@ -20,10 +25,10 @@ is unknown are removed from the text and counted as unlinked, empty tables give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, partitions
 
 MARK = r"^(?:[ \t]*>)+"
 
@@ -47,20 +52,47 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
             .withColumn("norm_hash", F.xxhash64("norm")))
 
 
+def latest(own: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """``asked`` (conv_id, turn, norm_hash, norm and others) with ``src_turn``: the latest turn of ``own`` (conv_id, turn,
+    norm_hash, norm) before its own with the same conversation and text.
+
+    Both sides are cut together into ranges of (conversation, text, turn); only one row per range is looked at across ranges."""
+    piece = ["conv_id", "norm_hash", "norm"]
+    asked_row = F.struct(*[F.col(c) for c in asked.columns])
+    both = (asked.select(*piece, "turn", F.lit(0).alias("__own"), asked_row.alias("__row"))     # at one turn: asked first
+            .unionByName(own.select(*piece, "turn", F.lit(1).alias("__own")), allowMissingColumns=True))
+    order = [*piece, "turn", "__own"]
+    ranged = cut(both.repartitionByRange(partitions(own.sparkSession), *order).withColumn("__range", F.spark_partition_id())
+                 .withColumn("__wrote", F.when(F.col("__own") == 1, F.col("turn"))), name)
+    key = F.struct(*piece)
+    ends = ranged.groupBy("__range").agg(F.min(key).alias("head"), F.max(F.struct(key.alias("piece"), "__wrote")).alias("tail"))
+    # one row per range and end: what a range's last piece wrote goes to later ranges that begin with that piece
+    marks = ends.select("__range", F.col("tail.piece").alias("piece"), F.col("tail.__wrote").alias("__wrote"), F.lit(False).alias("head")) \
+        .unionByName(ends.select("__range", F.col("head").alias("piece"), F.lit(None).cast(own.schema["turn"].dataType).alias("__wrote"),
+                                 F.lit(True).alias("head")))
+    before = Window.partitionBy("piece").orderBy("__range").rangeBetween(Window.unboundedPreceding, -1)
+    carried = (marks.withColumn("carried", F.max("__wrote").over(before)).where(F.col("head") & F.col("carried").isNotNull())
+               .select(F.col("__range").alias("__r"), "piece.*", "carried"))
+    here = Window.partitionBy("__range", *piece).orderBy("turn", "__own").rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("src_turn", F.max("__wrote").over(here)).where(F.col("__own") == 0).select(
+        "__range", "__row", F.col("src_turn"))
+    on = (F.col("__range") == F.col("__r")) & (F.col("__row.conv_id") == F.col("c.conv_id")) \
+        & (F.col("__row.norm_hash") == F.col("c.norm_hash")) & (F.col("__row.norm") == F.col("c.norm"))
+    return found.join(F.broadcast(carried.alias("c")), on, "left").select(   # at most one row per range
+        "__row.*", F.coalesce("src_turn", "carried").alias("src_turn"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """Quoted lines and the message they come from: conv_id, turn, line_no, level, norm, src_conv, src_turn, src_first.
 
-    src_turn is the latest earlier turn of the same conversation with that own line; src_first tells that the
-    origin lies in another conversation (the smallest (conversation, turn) that wrote the line)."""
-    lines = parse(messages).where((F.col("norm") != "") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quoted = lines.where(F.col("level") > 0)
-    own = (lines.where(F.col("level") == 0).groupBy("conv_id", "turn", "norm_hash", "norm").agg(F.count(F.lit(1)).alias("n"))
+    src_turn is the latest earlier turn of the same conversation with that own line;
+    src_first tells that the origin lies in another conversation (the smallest (conversation, turn) that wrote the line)."""
+    named = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    lines = parse(named).where(F.col("norm") != "")
+    quoted = lines.where(F.col("level") > 0).select("conv_id", "turn", "line_no", "level", "norm", "norm_hash").distinct()
+    own = (lines.where(F.col("level") == 0).select("conv_id", "turn", "norm_hash", "norm").distinct()
            .join(quoted.select("norm_hash").distinct(), "norm_hash", "left_semi"))
-    near = (quoted.alias("q").join(own.alias("o"), (F.col("q.conv_id") == F.col("o.conv_id"))
-                                   & (F.col("q.norm_hash") == F.col("o.norm_hash")) & (F.col("q.norm") == F.col("o.norm"))
-                                   & (F.col("o.turn") < F.col("q.turn")), "left")
-            .groupBy("q.conv_id", "q.turn", "q.line_no", "q.level", "q.norm", "q.norm_hash")
-            .agg(F.max("o.turn").alias("src_turn")))
+    near = latest(own, quoted, "quote-lines")
     first = own.groupBy(F.col("norm_hash").alias("h"), F.col("norm").alias("t")).agg(F.min(F.struct("conv_id", "turn")).alias("f"))
     far = near.join(first, (F.col("norm_hash") == F.col("h")) & (F.col("norm") == F.col("t")), "left")
     outside = F.col("src_turn").isNull() & (F.col("f.conv_id") != F.col("conv_id"))

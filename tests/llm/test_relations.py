@@ -228,3 +228,19 @@ def test_rows_without_an_id_fill_several_slots(spark, monkeypatch):
     docs = frame(spark, [(None, "w " * (1 + i % 9), "s") for i in range(500)])
     mixing.mix(docs).collect()
     assert seen.value > 5
+
+
+def test_hot_line_of_a_hot_conversation_makes_no_pairs(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(quotes, "cut", lambda df, name, f=quotes.cut: plans.append(df) or f(df, name))
+    rows = [(1, i, "u", "thanks" if i % 2 == 0 else f"> thanks\nown {i}") for i in range(2000)]
+    rows += [(1, 3000, "u", "> thanks\n> own 7\n> own 1999"), (2, 5, "u", "thanks"), (2, 5, "u", "> thanks"), (2, 6, "u", "> Thanks")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = quotes.links(m)
+    src = {(r["conv_id"], r["turn"], r["norm"]): r["src_turn"] for r in found.collect()}
+    assert all(src[1, i, "thanks"] == i - 1 for i in range(1, 2000, 2))
+    assert (src[1, 3000, "thanks"], src[1, 3000, "own 7"], src[1, 3000, "own 1999"]) == (1998, 7, 1999)
+    assert (src[2, 5, "thanks"], src[2, 6, "thanks"]) == (0, 5)
+    for df in [*plans, found]:
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+        assert not [x for x in joins if "turn#" in x and (" < turn#" in x or " > turn#" in x)]
