@@ -5,7 +5,11 @@ have level 0; lines of level n quote somebody. Each line is normalised (markers
 runs to one blank, trimmed) and hashed. Quoted line hashes are looked up among the own lines of earlier messages of
 the same conversation.
 
-What finds no line there is looked up in the whole table: its origin is the first message that wrote the line.
+What finds no line there is looked up by passage, which a mail client may have wrapped anew. Consecutive lines of one
+level, up to a blank line, are a passage, normalised across line ends; it and its sentences are hashed and looked up
+among the passages and sentences that earlier messages of the conversation wrote. A line takes the origin of its
+passage, else the latest origin among the sentences it is part of. Only then is a line looked up in the whole table: its
+origin is the first message that wrote it.
 
 The latest earlier turn is found without pairs of messages: own and quoted pieces are sorted together by
 (conversation, piece, turn) in ranges, each range carries the last own turn along, and a range that begins within a
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, partitions
 
 MARK = r"^(?:[ \t]*>)+"
+END = "[.!?] "          # of a sentence, in a normalised passage
 
 
 def level(line):
@@ -82,17 +87,64 @@ def latest(own: DataFrame, asked: DataFrame, name: str) -> DataFrame:
         "__row.*", F.coalesce("src_turn", "carried").alias("src_turn"))
 
 
+def _pieces(passage):
+    """A passage and its sentences."""
+    return F.array_distinct(F.concat(F.array(passage), F.split(passage, "(?<=[.!?]) ")))
+
+
+def own_pieces(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, norm_hash, norm of the passages and sentences that messages wrote."""
+    kept = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(level(x) == 0, x).otherwise(F.lit("")))
+    blank = r"\n[ \t\r\f]*(?=\n)"
+    return (messages.select("conv_id", "turn", F.explode(F.split(F.array_join(kept, "\n"), blank)).alias("p"))
+            .select("conv_id", "turn", F.explode(_pieces(F.trim(F.regexp_replace(F.lower("p"), r"[ \t\r\f\n]+", " ")))).alias("norm"))
+            .where(F.col("norm") != "").withColumn("norm_hash", F.xxhash64("norm")).distinct())
+
+
+def passage_sources(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, line_no, level, norm, by_passage: the latest earlier turn of the conversation that wrote the passage of a
+    quoted line, else one of the line's sentences."""
+    mail = messages.select("conv_id", "turn", "text", F.xxhash64("text").alias("mail"))
+    lines = (mail.select("conv_id", "turn", "mail", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+             .withColumn("level", level(F.col("line"))).withColumn("norm", normalise(F.col("line")))
+             .where((F.col("level") > 0) & (F.col("norm") != "")).select("conv_id", "turn", "mail", "line_no", "level", "norm").distinct())
+    block = ["conv_id", "turn", "mail", "level"]
+    run = [*block, "run"]
+    lines = lines.withColumn("run", F.col("line_no") - F.row_number().over(Window.partitionBy(*block).orderBy("line_no")))
+    before = Window.partitionBy(*run).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = (lines.withColumn("ends", F.regexp_count(F.concat("norm", F.lit(" ")), F.lit(END)))
+             .withColumn("s0", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+             .withColumn("s1", F.col("s0") + F.col("ends") - F.when(F.col("norm").rlike("[.!?]$"), 1).otherwise(0)))
+    lines = cut(lines, "quote-passages")
+    passage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"]), " ")
+    passages = lines.groupBy(*run).agg(passage.alias("passage"))
+    asked = (passages.select(*run, F.posexplode(F.concat(F.array("passage"), F.split("passage", "(?<=[.!?]) "))).alias("at", "norm"))
+             .withColumn("norm_hash", F.xxhash64("norm")))
+    own = own_pieces(messages).join(asked.select("norm_hash").distinct(), "norm_hash", "left_semi")
+    found = latest(own, asked, "quote-pieces").where(F.col("src_turn").isNotNull()).select(*run, "at", "src_turn")
+    found = cut(found, "quote-found")
+    whole = found.where(F.col("at") == 0).select(*run, F.col("src_turn").alias("whole"))
+    parts = lines.select(*run, "line_no", "norm", F.explode(F.sequence(F.col("s0") + 1, F.col("s1") + 1)).alias("at"))
+    by = parts.join(found, [*run, "at"], "left").groupBy(*run, "line_no", "norm").agg(F.max("src_turn").alias("part"))
+    # messages that repeat a (conversation, turn) share their lines' origins
+    return (by.join(whole, run, "left").groupBy("conv_id", "turn", "line_no", "level", "norm")
+            .agg(F.max(F.coalesce("whole", "part")).alias("by_passage")).where(F.col("by_passage").isNotNull()))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """Quoted lines and the message they come from: conv_id, turn, line_no, level, norm, src_conv, src_turn, src_first.
 
-    src_turn is the latest earlier turn of the same conversation with that own line;
+    src_turn is the latest earlier turn of the same conversation with that own line, else with its passage or sentence;
     src_first tells that the origin lies in another conversation (the smallest (conversation, turn) that wrote the line)."""
     named = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     lines = parse(named).where(F.col("norm") != "")
     quoted = lines.where(F.col("level") > 0).select("conv_id", "turn", "line_no", "level", "norm", "norm_hash").distinct()
     own = (lines.where(F.col("level") == 0).select("conv_id", "turn", "norm_hash", "norm").distinct()
            .join(quoted.select("norm_hash").distinct(), "norm_hash", "left_semi"))
-    near = latest(own, quoted, "quote-lines")
+    quoting = named.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id").distinct()
+    near = (latest(own, quoted, "quote-lines")
+            .join(passage_sources(named.join(quoting, "conv_id", "left_semi")), ["conv_id", "turn", "line_no", "level", "norm"], "left")
+            .withColumn("src_turn", F.coalesce("src_turn", "by_passage")).drop("by_passage"))
     first = own.groupBy(F.col("norm_hash").alias("h"), F.col("norm").alias("t")).agg(F.min(F.struct("conv_id", "turn")).alias("f"))
     far = near.join(first, (F.col("norm_hash") == F.col("h")) & (F.col("norm") == F.col("t")), "left")
     outside = F.col("src_turn").isNull() & (F.col("f.conv_id") != F.col("conv_id"))

@@ -230,6 +230,18 @@ def test_rows_without_an_id_fill_several_slots(spark, monkeypatch):
     assert seen.value > 5
 
 
+def test_rewrapped_quotes_find_their_message(spark):
+    first = "The quick brown fox jumps over the lazy dog. It then walks home\nand sleeps until the sun\ncomes up. Nobody saw it."
+    wrapped = "> the quick brown fox\n> jumps over the lazy dog. It then\n>   walks home and sleeps until the sun comes\n> up. Nobody saw it.\nYes"
+    piece = "> It then walks home and sleeps\n> until the sun comes up. And a line\n> of nobody.\nNo"
+    m = spark.createDataFrame([(1, 0, "u", first), (1, 1, "u", "other"), (1, 2, "u", wrapped), (1, 3, "u", piece), (2, 0, "u", wrapped)],
+                              "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(m).collect()}
+    assert (got[1, 2]["reply_to"], got[1, 2]["n_quoted"], got[1, 2]["n_linked"]) == (0, 4, 4)
+    assert (got[1, 3]["reply_to"], got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (0, 3, 2)
+    assert got[2, 0]["n_linked"] == 0                       # passages are looked up in their own conversation
+
+
 def test_hot_line_of_a_hot_conversation_makes_no_pairs(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(quotes, "cut", lambda df, name, f=quotes.cut: plans.append(df) or f(df, name))
