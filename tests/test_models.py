@@ -134,3 +134,20 @@ def test_model_queries_use_full_settings_and_validate_the_winner(spark, monkeypa
     monkeypatch.setattr(C, "fit_named", lambda name, *a: used.append(name) or fit(name, *a))
     assert [f for f, _ in C.cross_val_f1("Logistic Regression", df, ["a", "b"], small)] == [0, 1, 2, 3, 4]
     assert used == ["Logistic Regression"] * 5
+
+
+def test_neighbours_search_all_rows_over_many_blocks(spark):
+    import inspect
+
+    import numpy as np
+    assert "max_fit_rows" not in inspect.signature(C.smote).parameters
+    rng = np.random.default_rng(5)
+    pts = rng.integers(0, 30, (300, 3)).astype(float)
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "beneficiaire_id long, a double, b double, c double")
+    got = C.nearest_neighbours(rows.repartition(3), ["a", "b", "c"], ask_block=17, point_block=23).collect()
+    assert len(got) == 1500
+    near = {(r["_a"], r["_r"]): (r["_b"], r["_nv"]) for r in got}
+    for i, p in enumerate(pts):
+        best = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(pts) if j != i)[:5]
+        assert [near[i, r][0] for r in range(1, 6)] == [j for _, j in best]
+        assert near[i, 1][1] == pts[best[0][1]].tolist()
