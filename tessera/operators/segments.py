@@ -26,13 +26,14 @@ def scaled_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
 
 
-def kmeans_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, max_iter: int = 300) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean, all rows) per k."""
+def kmeans_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, max_iter: int = 300, starts: int = 10) -> DataFrame:
+    """Inertia and silhouette (squared Euclidean, all rows) per k, of the start with the lowest inertia."""
     spark = vec.sparkSession
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
 
     def one(k):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(vec)
+        fits = [KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(vec) for r in range(starts)]
+        model = min(fits, key=lambda m: m.summary.trainingCost)  # the first of equals
         return int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(vec)))
     rows = _concurrently(one, list(ks))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -157,48 +157,47 @@ def _vectors(ctx):
 def q_kmeans_sweep(spark, sf):
     """Inertia and silhouette for k = 2..8."""
     vec, _ = _vectors(Ctx(spark, sf))
-    return S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9), max_iter=50)
+    return S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9))
 
 
 @query("q_choose_k")
 def q_choose_k(spark, sf):
     """Best silhouette, but 4 when within 90 % of the best."""
     vec, _ = _vectors(Ctx(spark, sf))
-    return S.choose_k(S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9), max_iter=50))
+    return S.choose_k(S.kmeans_sweep(vec.persist(StorageLevel.MEMORY_AND_DISK), range(2, 9)))
 
 
-def _segments(ctx, k=None):
+def _segments(ctx):
     vec, raw = _vectors(ctx)
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    if k is None:
-        k = S.choose_k(S.kmeans_sweep(vec, range(2, 9), max_iter=50)).first()["chosen_k"]
-    seg = S.segment(vec, int(k), restarts=3, max_iter=100).select(C.KEY, "cluster")
+    k = S.choose_k(S.kmeans_sweep(vec, range(2, 9))).first()["chosen_k"]
+    seg = S.segment(vec, int(k)).select(C.KEY, "cluster")
     return S.name_segments(raw.join(seg, C.KEY))
 
 
 @query("q_segments")
 def q_segments(spark, sf):
-    """Final K-Means with restarts, clusters named by engagement."""
-    return _segments(Ctx(spark, sf), k=3).select(C.KEY, "cluster", "segment")
+    """Final K-Means of the chosen k with restarts, clusters named by engagement."""
+    return _segments(Ctx(spark, sf)).select(C.KEY, "cluster", "segment")
 
 
 @query("q_cluster_profile")
 def q_cluster_profile(spark, sf):
     """Mean frequency, mean monetary and engagement per cluster."""
-    return S.profile(_segments(Ctx(spark, sf), k=3))
+    return S.profile(_segments(Ctx(spark, sf)))
 
 
 @query("q_segment_radar")
 def q_segment_radar(spark, sf):
     """Segment means min-max normalised; mean frequency/monetary per segment."""
-    return S.radar(_segments(Ctx(spark, sf), k=3))
+    return S.radar(_segments(Ctx(spark, sf)))
 
 
 @query("q_segment_names")
 def q_segment_names(spark, sf):
     """Segment sizes and shares by name."""
     from tessera.operators.scoring import value_share
-    return value_share(_segments(Ctx(spark, sf), k=3), "segment")
+    return value_share(_segments(Ctx(spark, sf)), "segment")
 
 
 _NEAREST_SQL = """

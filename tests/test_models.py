@@ -151,3 +151,30 @@ def test_neighbours_search_all_rows_over_many_blocks(spark):
         best = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(pts) if j != i)[:5]
         assert [near[i, r][0] for r in range(1, 6)] == [j for _, j in best]
         assert near[i, 1][1] == pts[best[0][1]].tolist()
+
+
+def test_segments_take_the_chosen_k_and_all_starts(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from tessera.plans import q_ml
+    rows = [(i, Vectors.dense([10.0 * (i % 4), 1.0 * (i % 3)]), float(i % 4), 1.0) for i in range(48)]
+    vec = spark.createDataFrame(rows, ["beneficiaire_id", "features", "frequency", "monetary"])
+    fits = []
+
+    class Counted(S.KMeans):
+        def fit(self, df):
+            fits.append((self.getK(), self.getSeed(), self.getMaxIter()))
+            return super().fit(df)
+    monkeypatch.setattr(S, "KMeans", Counted)
+    got = S.kmeans_sweep(vec, [2, 3])
+    assert sorted(fits) == [(k, 42 + r, 300) for k in (2, 3) for r in range(10)]
+    assert got.count() == 2
+    fits.clear()
+    sweep = spark.createDataFrame([(3, 9.0, 0.1), (5, 5.0, 0.8)], "k int, inertia double, silhouette double")
+    asked = []
+    monkeypatch.setattr(S, "kmeans_sweep", lambda v, ks, **kw: asked.append((list(ks), kw)) or sweep)
+    monkeypatch.setattr(q_ml, "_vectors", lambda ctx: (vec, vec.drop("features")))
+    out = q_ml.q_segments(spark, "/none")
+    assert asked == [(list(range(2, 9)), {})]
+    assert fits and {(k, i) for k, _, i in fits} == {(5, 500)} and len(fits) == 20
+    assert out.count() == 48
