@@ -204,8 +204,9 @@ SELECT e.event_id, c.c_name AS jeune_cin, (m.cin IS NOT NULL) AS accepted,
 FROM events e JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN cin_mirror m ON c.c_name = m.cin"""))
 def q_stream_cin_validation(spark, sf):
     """Arriving volunteering registrations validated as a stream (T1): each
-    event's user id is looked up (stream-static join) and checked against
-    the mirror; accepted and rejected rows land in two sinks."""
+    event's user id is looked up (stream-static left join) and checked against
+    the mirror; accepted and rejected rows land in two sinks, events of a null or
+    unknown user in the rejected one."""
     from tessera.streaming.validate import validate_stream
     s = Ctx(spark, sf).stg
     schema = s.t["events"].schema
@@ -214,9 +215,10 @@ def q_stream_cin_validation(spark, sf):
     cust = s.t["customer"].select(F.col("c_custkey"), F.col("c_name").alias("jeune_cin"))
 
     def prepare(ev):
-        return ev.join(cust, ev.user_id == cust.c_custkey).select("event_id", "jeune_cin")
+        return ev.join(cust, ev.user_id == cust.c_custkey, "left").select(
+            "event_id", "jeune_cin", F.col("c_custkey").isNotNull().alias("known"))
 
-    ok, ko = validate_stream(spark, stream, s.cin_mirror(), prepare=prepare)
+    ok, ko = validate_stream(spark, stream, s.cin_mirror(), prepare=prepare, known_col="known")
     acc = spark.read.parquet(ok).select("event_id", "jeune_cin", F.lit(True).alias("accepted"),
                                         F.lit(None).cast("string").alias("message"))
     rej = spark.read.parquet(ko).select("event_id", "jeune_cin", F.lit(False).alias("accepted"), "message")

@@ -14,21 +14,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.quality import validate_ids
+from tessera.operators.quality import REJECT_MESSAGE, validate_ids
 from tessera.session import checkpoint_dir
 
 
 def validate_stream(spark: SparkSession, stream: DataFrame, mirror: DataFrame, out_dir: str | None = None,
-                    id_col: str = "jeune_cin", prepare=None) -> tuple[str, str]:
+                    id_col: str = "jeune_cin", prepare=None, known_col: str | None = None) -> tuple[str, str]:
     """Run the validation stream to completion of the available input.
 
     ``prepare`` maps the raw stream rows to rows carrying ``id_col`` (for
-    example a stream-static join that looks the id up). Returns the paths of
+    example a stream-static join that looks the id up). A row whose boolean
+    ``known_col`` is not true has no holder and is rejected, while a known holder's
+    NULL id passes; the column is not written. Returns the paths of
     the accepted and rejected sinks."""
     base = out_dir or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     ok_path, ko_path, ckpt = f"{base}/accepted", f"{base}/rejected", f"{base}/_checkpoint"
     rows = prepare(stream) if prepare else stream
     checked = validate_ids(rows, mirror, id_col)
+    if known_col:
+        known = F.coalesce(F.col(known_col), F.lit(False))
+        checked = checked.withColumn("accepted", F.col("accepted") & known).withColumn(
+            "message", F.when(known, F.col("message")).otherwise(F.lit(REJECT_MESSAGE))).drop(known_col)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # idempotent per epoch: a replayed micro-batch overwrites its own folder;

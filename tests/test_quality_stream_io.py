@@ -1,6 +1,7 @@
 """Rule engine, id validation (insert and update), stream validation, ingestion."""
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -96,3 +97,25 @@ def test_failed_load_raises_with_its_log(spark):
     with pytest.raises(io.LoadError) as e:
         io.observed_sink(bad, io.scratch(spark, "bad"), "t", "s")
     assert e.value.log.first()["statut"] == "ERREUR"
+
+
+def test_stream_rejects_events_of_unknown_users(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF0001
+    d = tempfile.mkdtemp(prefix="tessera-test-", dir="/tmp")
+    for f in os.listdir(SF0001):
+        if f != "events.parquet":
+            os.symlink(os.path.join(SF0001, f), os.path.join(d, f))
+    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    few = ev.orderBy("event_id").limit(5)
+    lost = few.limit(1).withColumn("event_id", F.lit(-1).cast(ev.schema["event_id"].dataType)) \
+        .withColumn("user_id", F.lit(-5).cast(ev.schema["user_id"].dataType))
+    none = lost.withColumn("event_id", F.lit(-2).cast(ev.schema["event_id"].dataType)) \
+        .withColumn("user_id", F.lit(None).cast(ev.schema["user_id"].dataType))
+    parts = tempfile.mkdtemp(prefix="tessera-test-", dir="/tmp")
+    few.unionByName(lost).unionByName(none).coalesce(1).write.mode("overwrite").parquet(parts)
+    shutil.copy(next(os.path.join(parts, f) for f in os.listdir(parts) if f.endswith(".parquet")), os.path.join(d, "events.parquet"))
+    got = {r["event_id"]: r for r in E.queries()["q_stream_cin_validation"](spark, d).collect()}
+    assert len(got) == 7
+    for i in (-1, -2):
+        assert (got[i]["accepted"], got[i]["message"], got[i]["jeune_cin"]) == (False, Q.REJECT_MESSAGE, None)
