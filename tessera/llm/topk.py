@@ -11,7 +11,8 @@ nothing is collected, no side is broadcast, and the blocks are recomputed from t
 shared folder when an executor is lost.
 
 Edge cases: null vectors and vectors holding a null or non-finite component take no part (neither as
-query nor as candidate); so do vectors whose quantised components leave +-2**40. An empty vector, and
+query nor as candidate). Every finite vector stays: a quantised component or a score of the result that does not fit
+64 bits raises, and blocks whose scores could pass 64 bits are scored in Python integers. An empty vector, and
 dimensions beyond the shorter vector, count as zeros. Equal scores rank by smaller id, rows that repeat
 an id each stand in the ranking but never rank for a query of that id. Empty input gives no rows.
 """
@@ -26,7 +27,8 @@ from tessera.llm.common import cut, partitions
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
-LIMIT = 2.0 ** 40
+LIMIT = 2.0 ** 63
+WIDE_ROWS = 16           # query rows scored at a time in Python integers
 
 _BLOCK = "block long, n int, ids binary, dims int, weights binary"
 
@@ -34,8 +36,10 @@ _BLOCK = "block long, n int, ids binary, dims int, weights binary"
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, terms array<long>): floor(scale * component), valid vectors only."""
     v = F.col(vector_col)
-    scaled = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
-    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) * scale < LIMIT))  # NaN sorts above
+    too_big = F.raise_error(F.lit("a vector component does not fit 64 bits after scaling")).cast("long")
+    scaled = F.transform(v, lambda x: F.when(F.abs(x.cast("double") * scale) < LIMIT, F.floor(x.cast("double") * scale))
+                         .otherwise(too_big))
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN sorts above
     return (vectors.where(v.isNotNull() & F.col(id_col).isNotNull()).where(finite)
             .select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("terms")))
 
@@ -69,8 +73,11 @@ def block_top_k(q_ids, q, c_ids, c, k: int):
     nq, nc = len(q_ids), len(c_ids)
     dims = min(q.shape[1], c.shape[1])
     q, c = q[:, :dims], c[:, :dims]
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dims)
-    kind = np.int32 if top < 2 ** 30 else np.int64
+    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, dims)
+    if top >= 2 ** 63 and nq > WIDE_ROWS:
+        return [(at + i, best, s) for at in range(0, nq, WIDE_ROWS)
+                for i, best, s in block_top_k(q_ids[at:at + WIDE_ROWS], q[at:at + WIDE_ROWS], c_ids, c, k)]
+    kind = np.int32 if top < 2 ** 30 else np.int64 if top < 2 ** 63 else object
     scores = np.zeros((nq, nc), dtype=kind)
     c, q = c.astype(kind), q.astype(kind)
     for d in range(dims):                                   # one term at a time
@@ -94,7 +101,7 @@ def block_top_k(q_ids, q, c_ids, c, k: int):
         kth = np.partition(s, len(s) - m)[len(s) - m]
         above = np.flatnonzero(s > kth)
         best = np.concatenate([above, np.flatnonzero(s == kth)[:m - len(above)]])
-        out.append((np.full(m, i), keep[best], s[best].astype(np.int64)))
+        out.append((np.full(m, i), keep[best], s[best] if kind is object else s[best].astype(np.int64)))
     return out
 
 
@@ -111,16 +118,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
     right = ask.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
                        *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "dims", "weights")])
 
+    def fitting(scores):
+        """Scores as longs: one above their range is in every result, one below ranks last (and raises if it is in the result)."""
+        if max(scores) >= 2 ** 63:
+            raise OverflowError("a score of the result does not fit 64 bits")
+        return [int(s) if s >= -2 ** 63 else None for s in scores]
+
     def score(rows):
         for r in rows:                                      # rows are pickled in batches bounded by bytes
             ci, qi = np.frombuffer(r.c_ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
             c = np.frombuffer(r.c_weights, "<i8").reshape(r.c_n, r.c_dims)
             q = np.frombuffer(r.q_weights, "<i8").reshape(r.q_n, r.q_dims)
             for at, best, s in block_top_k(qi, q, ci, c, k):
-                yield from zip(qi[at].tolist(), ci[best].tolist(), s.tolist())
+                yield from zip(qi[at].tolist(), ci[best].tolist(), s.tolist() if s.dtype != object else fitting(s))
 
     found = spark.createDataFrame(left.join(right, "g").rdd.mapPartitions(score),
                                   "query_id long, vec_id long, score long", verifySchema=False)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    too_low = F.raise_error(F.lit("a score of the result does not fit 64 bits")).cast("long")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", F.coalesce("score", too_low).alias("score")))

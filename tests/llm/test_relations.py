@@ -256,3 +256,25 @@ def test_hot_line_of_a_hot_conversation_makes_no_pairs(spark, monkeypatch):
     for df in [*plans, found]:
         joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
         assert not [x for x in joins if "turn#" in x and (" < turn#" in x or " > turn#" in x)]
+
+
+def test_top_k_keeps_vectors_of_large_components(spark):
+    big = float(2 ** 40)
+    rows = [(20, [big, 1.0]), (1, [big, -1.0]), (2, [-big, 2.0]), (3, [1.0, 1.0]), (40, [0.0, 1.0])]
+    rows = [(i, [x / 64 for x in v]) for i, v in rows] + [(50, [float("inf"), 1.0])]
+    wide = [(60 + i, [2.0 ** 50 / 64, -(2.0 ** 50) / 64, float(i)]) for i in range(3)]
+    q = topk.quantise(spark.createDataFrame(rows + wide, "vec_id long, embedding array<double>"), "vec_id", "embedding", 64)
+    assert q.count() == 8
+    ask = q.where("vec_id IN (40, 3)")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(q, ask, 20).collect()}
+    assert got[3, 2] == 2 - 2 ** 40 and got[40, 2] == 2 and got[40, 60] == -(2 ** 50) and len(got) == 14
+    # 2**31 * 2**32 passes 64 bits in between: the terms cancel, the score does not
+    edge = spark.createDataFrame([(1, [2.0 ** 32, 2.0 ** 32, 3.0]), (2, [2.0 ** 32, -(2.0 ** 32), 5.0]), (3, [1.0, 0.0, 0.0])],
+                                 "vec_id long, embedding array<double>")
+    e = topk.quantise(edge, "vec_id", "embedding", 1)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(e, e.where("vec_id = 1"), 5).collect()}
+    assert got == {(1, 2): 15, (1, 3): 2 ** 32}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(e.unionByName(e.where("vec_id = 1").selectExpr("9L AS vec_id", "terms")), e.where("vec_id = 1"), 5).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantise(edge.selectExpr("vec_id", "transform(embedding, x -> x * 1e12D) AS embedding"), "vec_id", "embedding", 1).collect()
