@@ -156,8 +156,9 @@ def copies(rated: DataFrame, doc_id: str, source: str, size: str, place: str, ca
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = MAX_COPIES, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every document; with ``row`` (a column that
     numbers the rows) that column too."""
-    numbered = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                           (F.col(row) if row else F.monotonically_increasing_id()).alias(_ROW))
+    # written first: dealing into ranges reads its input twice, and texts are to be counted once
+    numbered = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                               (F.col(row) if row else F.monotonically_increasing_id()).alias(_ROW)), "mix-numbered")
     # rows alike in id, source and size are alike in the result, so places do not depend on how rows are dealt
     sizes = cut(with_surrogate(numbered, ["doc_id", "source", "size", _ROW], _PLACE), "mix-sizes")
     targets = cut(source_targets(sizes, "source", "size", weights, cap), "mix-targets")
