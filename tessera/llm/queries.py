@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression, dac, merkle, minhash, mixing, packing, quotes, token_counts, topk, toxicity
+from tessera.llm import blockmax, compression, dac, fim, langid, merkle, minhash, mixing, packing, quotes, token_counts, topk, toxicity
 from tessera.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,53 @@ SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, coalesce(score, 0) AS scor
 def op10(spark, sf_dir):
     vectors = topk.quantise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
     return topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0), 20)
+
+
+@query("op11_block_max_maxscore", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT r, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+      FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+w AS (SELECT item_id, term, c * CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term), s),
+m AS (SELECT item_id, p.r, any_value(p.doc_id) AS doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM w JOIN p USING (term), s GROUP BY item_id, p.r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM m WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20""")
+def op11(spark, sf_dir):
+    return blockmax.search(blockmax.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 20)
+
+
+@query("op12_repeated_capture_fim", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid,
+             array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                        ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p""")
+def op12(spark, sf_dir):
+    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_byte_gru_language")
+def op13(spark, sf_dir):
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs, out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
