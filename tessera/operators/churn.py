@@ -13,19 +13,22 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import risk_segment
+from tessera.operators import boosting
+from tessera.operators.boosting import Boost
 from tessera.operators.keys import with_surrogate
 from tessera.operators.scoring import metrics_table
 from tessera.session import checkpoint_dir
 
 KEY, LABEL = "beneficiaire_id", "churned"
 STACK = "Stacking Ensemble"
+FIT_ROWS = 100_000  # training rows of a partition
 # rows of a block in the neighbour search: 128 asking rows at a time against a block's distances (about 8 MB)
 ASK_BLOCK, POINT_BLOCK = 1024, 8192
 
@@ -200,11 +203,29 @@ class Settings:
     stack_xgb_depth: int = 6
     stack_xgb_step: float = 0.08
     stack_subsample: float = 1.0
-    stack_xgb_columns: str = "all"
+    stack_xgb_columns: float = 1.0
     stack_min_leaf: int = 1
     folds: int = 5
     seed: int = 42
 
+    # The reference's regularisation of its boosted models.
+    def gb(self) -> Boost:
+        """First-order splits, Newton leaves."""
+        return Boost(self.gb_iter, self.gb_depth, self.gb_step, newton=False, min_leaf=5, min_split=10, subsample=0.8,
+                     columns_node="sqrt", seed=self.seed)
+
+    def xgb(self) -> Boost:
+        return Boost(self.xgb_iter, self.xgb_depth, 0.05, l2=1.0, l1=0.1, gamma=0.1, min_child=3.0, subsample=0.8,
+                     columns_tree=0.8, seed=self.seed)
+
+    def stack_gb(self) -> Boost:
+        return Boost(self.stack_gb_iter, self.stack_gb_depth, self.stack_gb_step, newton=False, subsample=self.stack_subsample,
+                     seed=self.seed)
+
+    def stack_xgb(self) -> Boost:
+        return Boost(self.stack_xgb_iter, self.stack_xgb_depth, self.stack_xgb_step, subsample=self.stack_subsample,
+                     columns_tree=self.stack_xgb_columns, seed=self.seed)
+
     @staticmethod
     def small() -> "Settings":
         return Settings(lr_iter=30, rf_trees=20, rf_depth=5, gb_iter=10, gb_depth=3, xgb_iter=10, xgb_depth=4,
@@ -216,7 +237,7 @@ class Settings:
         """The stack that scores everybody has the single models' sizes."""
         return Settings(stack_rf_trees=500, stack_rf_depth=15, stack_gb_iter=500, stack_gb_depth=6, stack_gb_step=0.05,
                         stack_xgb_iter=500, stack_xgb_depth=7, stack_xgb_step=0.05, stack_subsample=0.8,
-                        stack_xgb_columns="0.8", stack_min_leaf=2)
+                        stack_xgb_columns=0.8, stack_min_leaf=2)
 
 
 def assemble(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -233,20 +254,35 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.withColumn("_w", w)
 
 
-def models(cols: list[str], st: Settings, n_train: int) -> dict[str, Pipeline]:
-    """M6-M9 as pipelines (assembler + estimator)."""
+class Boosted:
+    """A boosted model with the ``fit`` of an estimator."""
+
+    def __init__(self, cols: list[str], st: Boost):
+        self.cols, self.st = cols, st
+
+    def fit(self, rows: DataFrame):
+        return boosting.fit_many(rows, self.cols, [(self.st, None)], KEY, LABEL)[0]
+
+
+def forest(st: Settings, trees: int, depth: int, min_leaf: int) -> RandomForestClassifier:
+    # nodes of many trees share a job: the more memory for their sums, the fewer jobs
+    return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
+                                  featureSubsetStrategy="sqrt", weightCol="_w", maxMemoryInMB=512, seed=st.seed)
+
+
+def models(cols: list[str], st: Settings, n_train: int) -> dict:
+    """M6-M9 as estimators."""
     asm = assemble(cols)
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=st.lr_iter, tol=st.lr_tol,
                             regParam=1.0 / (st.lr_c * max(n_train, 1)), elasticNetParam=0.0, standardization=False)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=st.rf_trees, maxDepth=st.rf_depth,
-                                minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="_w", seed=st.seed)
-    gb = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.gb_iter, maxDepth=st.gb_depth,
-                       stepSize=st.gb_step, subsamplingRate=0.8, featureSubsetStrategy="sqrt",
-                       minInstancesPerNode=5, seed=st.seed)
-    xg = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.xgb_iter, maxDepth=st.xgb_depth,
-                       stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=st.seed)
+    rf = forest(st, st.rf_trees, st.rf_depth, 2)
     return {"Logistic Regression": Pipeline(stages=[asm, lr]), "Random Forest": Pipeline(stages=[asm, rf]),
-            "Gradient Boosting": Pipeline(stages=[asm, gb]), "XGBoost (GBT)": Pipeline(stages=[asm, xg])}
+            "Gradient Boosting": Boosted(cols, st.gb()), "XGBoost": Boosted(cols, st.xgb())}
+
+
+def compact(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` for an iterative fit: one partition per ``FIT_ROWS`` rows, kept."""
+    return rows.repartition(max(1, -(-n // FIT_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def probability() -> F.Column:
@@ -255,48 +291,45 @@ def probability() -> F.Column:
 
 
 def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, object]:
-    """Base models (RF, GB, XGBoost as GBT) give out-of-fold probabilities on stratified
+    """Base models (RF, GB, XGBoost) give out-of-fold probabilities on stratified
     folds; a logistic meta-model learns from them; bases are refitted on all
-    training rows. Returns (base models, meta model)."""
+    training rows. The boosted bases of all folds are grown together.
+    Returns (base models, meta model)."""
     asm = assemble(cols)
-    bases = [
-        lambda: RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=st.stack_rf_trees,
-                                       maxDepth=st.stack_rf_depth, minInstancesPerNode=st.stack_min_leaf,
-                                       weightCol="_w", seed=st.seed),
-        lambda: GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.stack_gb_iter,
-                              maxDepth=st.stack_gb_depth, stepSize=st.stack_gb_step,
-                              subsamplingRate=st.stack_subsample, seed=st.seed),
-        lambda: GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=st.stack_xgb_iter,
-                              maxDepth=st.stack_xgb_depth, stepSize=st.stack_xgb_step,
-                              subsamplingRate=st.stack_subsample, featureSubsetStrategy=st.stack_xgb_columns,
-                              seed=st.seed),
-    ]
-    tr = asm.transform(stratified_folds(train, st.folds, seed=st.seed))
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    jobs = [(f, b) for f in range(st.folds) for b in range(len(bases))]
-    # the fold x base fits are independent: submitted together from driver threads
-    with ThreadPoolExecutor(max_workers=min(8, len(jobs))) as ex:
-        fitted = dict(zip(jobs, ex.map(lambda fb: bases[fb[1]]().fit(tr.filter(F.col("_fold") != fb[0])), jobs)))
-        full = list(ex.map(lambda b: bases[b]().fit(tr), range(len(bases))))
+    outs = [*range(st.folds), None]                     # the fold left out; None: all rows
+    tr = compact(asm.transform(stratified_folds(train, st.folds, seed=st.seed)), train.count())
+
+    def trees(out):
+        rows = tr if out is None else tr.filter(F.col("_fold") != out)
+        return forest(st, st.stack_rf_trees, st.stack_rf_depth, st.stack_min_leaf).fit(rows)
+    with ThreadPoolExecutor(max_workers=4) as ex:       # independent fits, concurrent jobs
+        specs = [(b, out) for out in outs for b in (st.stack_gb(), st.stack_xgb())]
+        boosted = ex.submit(boosting.fit_many, tr, cols, specs, KEY, LABEL, "_fold")
+        grown = list(ex.map(trees, outs))
+        made = boosted.result()
+    bases = {out: [grown[i], made[2 * i], made[2 * i + 1]] for i, out in enumerate(outs)}
     oof = None
     for f in range(st.folds):
-        hold = tr.filter(F.col("_fold") == f)
-        for b in range(len(bases)):
-            hold = fitted[(f, b)].transform(hold).withColumn(f"_p{b}", probability()).drop(
-                "rawPrediction", "probability", "prediction")
-        part = hold.select(KEY, LABEL, *[f"_p{b}" for b in range(len(bases))])
-        oof = part if oof is None else oof.unionByName(part)
-    meta_in = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(bases))], outputCol="meta").transform(oof)
-    meta = LogisticRegression(featuresCol="meta", labelCol=LABEL, maxIter=1000).fit(meta_in)
+        hold = base_probabilities(bases[f], tr.filter(F.col("_fold") == f)).select(KEY, LABEL, "_p0", "_p1", "_p2")
+        oof = hold if oof is None else oof.unionByName(hold)
+    meta_in = VectorAssembler(inputCols=["_p0", "_p1", "_p2"], outputCol="meta").transform(oof)
+    # the reference's library regularises with C = 1
+    n = max(train.count(), 1)
+    meta = LogisticRegression(featuresCol="meta", labelCol=LABEL, maxIter=1000, regParam=1.0 / n, standardization=False).fit(compact(meta_in, n))
     tr.unpersist()
-    return [asm, *full], meta
+    return [asm, *bases[None]], meta
+
+
+def base_probabilities(bases: list, df: DataFrame) -> DataFrame:
+    """``df`` with the probability of every base model as _p0, _p1, ..."""
+    for i, m in enumerate(bases):
+        df = m.transform(df).withColumn(f"_p{i}", probability()).drop("rawPrediction", "probability", "prediction")
+    return df
 
 
 def stack_transform(models_, meta, df: DataFrame) -> DataFrame:
     asm, *bases = models_
-    x = asm.transform(df)
-    for i, m in enumerate(bases):
-        x = m.transform(x).withColumn(f"_p{i}", probability()).drop("rawPrediction", "probability", "prediction")
+    x = base_probabilities(bases, asm.transform(df))
     x = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(bases))], outputCol="meta").transform(x)
     return meta.transform(x)
 
@@ -306,7 +339,9 @@ def fit_named(name: str, rows: DataFrame, cols: list[str], st: Settings, n_train
     if name == STACK:
         bases, meta = fit_stack(rows, cols, st)
         return (bases, meta), lambda df: stack_transform(bases, meta, df)
-    model = models(cols, st, n_train)[name].fit(rows)
+    kept = compact(rows, n_train)
+    model = models(cols, st, n_train)[name].fit(kept)
+    kept.unpersist()
     return model, model.transform
 
 
@@ -324,6 +359,8 @@ def compare(over: DataFrame, test: DataFrame, cols: list[str], st: Settings, n_t
 
 def importances(model, cols: list[str]) -> list[tuple[str, float]]:
     """M12d: importances of a fitted tree model, absolute coefficients of a linear one."""
+    if isinstance(model, boosting.Model):
+        return list(zip(cols, model.importances()))
     last = model.stages[-1]
     v = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     return [(c, abs(float(x))) for c, x in zip(cols, v.toArray())]
@@ -338,7 +375,7 @@ def cross_val_f1(name: str, df: DataFrame, cols: list[str], st: Settings) -> lis
         tr, te = folded.filter(F.col("_fold") != f).drop("_fold"), folded.filter(F.col("_fold") == f).drop("_fold")
         _, score = fit_named(name, tr, cols, st, sum(n.values()) - n.get(f, 0))
         return f, f1_of(score(te))
-    with ThreadPoolExecutor(max_workers=st.folds) as ex:  # independent fold fits, concurrent jobs
+    with ThreadPoolExecutor(max_workers=2) as ex:  # independent fold fits, each of concurrent jobs
         rows = list(ex.map(fold, range(st.folds)))
     folded.unpersist()
     return rows

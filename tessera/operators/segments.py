@@ -3,15 +3,13 @@ nearest-centroid assignment (M13-M16, A13-A15, W7)."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.churn import standardize
+from tessera.operators import kmeans
+from tessera.operators.churn import KEY, standardize
 
 # Segment names by engagement rank (then 'Segment_<rank>').
 SEGMENT_NAMES = ["Super-Actif", "Régulier", "Occasionnel", "Dormant", "Très Dormant", "Débutant", "Explorateur"]
@@ -19,31 +17,23 @@ RADAR = ["frequency", "monetary", "nb_offres", "nb_jours_actifs", "frequence_men
 
 
 def scaled_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL/NaN/inf -> 0, population-std scaling (sklearn's), then a feature vector."""
+    """NULL/NaN/inf -> 0, population-std scaling (sklearn's), then a feature array."""
     from tessera.operators.features import clean_features
     df = clean_features(df, cols)
     z = standardize(df, df, cols)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
-
-
-def kmeans_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, max_iter: int = 300, starts: int = 10) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean, all rows) per k, of the start with the lowest inertia."""
-    spark = vec.sparkSession
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
+    return z.withColumn("features", F.array(*[F.col(c).cast("double") for c in cols]))
 
-    def one(k):
-        fits = [KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(vec) for r in range(starts)]
-        model = min(fits, key=lambda m: m.summary.trainingCost)  # the first of equals
-        return int(k), float(model.summary.trainingCost), float(ev.evaluate(model.transform(vec)))
-    rows = _concurrently(one, list(ks))
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
+def kmeans_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, max_iter: int = 300, starts: int = 10,
+                 key: str = KEY) -> DataFrame:
+    """Inertia and Euclidean silhouette (bounded sample) per k, of the start with the lowest inertia.
 
-def _concurrently(fn, args, workers: int = 8):
-    """Independent fits submitted from driver threads; each is its own
-    distributed job, so small fits overlap their scheduling overhead."""
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(args)))) as ex:
-        return list(ex.map(fn, args))
+    All k x starts models are fitted together."""
+    blocks = kmeans.keep(vec, key)
+    best = kmeans.best_per_k(kmeans.fit_many(blocks, list(ks), starts, seed, max_iter))
+    rows = [(int(k), m.inertia, s) for (k, m), s in zip(best.items(), kmeans.silhouettes(blocks, list(best.values()), seed=seed))]
+    blocks.unpersist()
+    return vec.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 def choose_k(sweep: DataFrame, prefer: int = 4, ratio: float = 0.9) -> DataFrame:
@@ -56,13 +46,17 @@ def choose_k(sweep: DataFrame, prefer: int = 4, ratio: float = 0.9) -> DataFrame
                                     F.lit(prefer)).otherwise(F.col("best_k")))
 
 
-def segment(vec: DataFrame, k: int, restarts: int = 20, seed: int = 42, max_iter: int = 500) -> DataFrame:
-    """Final fit with restarts (Spark's K-Means has no n_init): each
-    restart is a distributed fit, the lowest inertia wins."""
-    models = _concurrently(lambda r: KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(vec),
-                           list(range(restarts)))
-    best = min(models, key=lambda m: (m.summary.trainingCost, models.index(m)))
-    return best.transform(vec).withColumnRenamed("prediction", "cluster")
+def segment(vec: DataFrame, k: int, restarts: int = 20, seed: int = 42, max_iter: int = 500, key: str = KEY) -> DataFrame:
+    """Final fit with restarts, fitted together; the lowest inertia wins and every row takes its nearest centre."""
+    blocks = kmeans.keep(vec, key)
+    best = kmeans.best_per_k(kmeans.fit_many(blocks, [k], restarts, seed, max_iter)).get(k)
+    blocks.unpersist()
+    if best is None:
+        return vec.withColumn("cluster", F.lit(None).cast("int"))
+    cents = F.array(*[F.struct(F.lit(i).alias("cid"), F.array(*[F.lit(float(x)) for x in c]).alias("c"))
+                      for i, c in enumerate(best.centres)])
+    values = vector_to_array("features") if isinstance(vec.schema["features"].dataType, VectorUDT) else F.col("features")
+    return assign_nearest(vec.withColumn("_x", values), "_x", cents).drop("_x", "distance")
 
 
 def name_segments(df: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -156,18 +156,15 @@ def test_neighbours_search_all_rows_over_many_blocks(spark):
 def test_segments_take_the_chosen_k_and_all_starts(spark, monkeypatch):
     from pyspark.ml.linalg import Vectors
 
+    from tessera.operators import kmeans
     from tessera.plans import q_ml
     rows = [(i, Vectors.dense([10.0 * (i % 4), 1.0 * (i % 3)]), float(i % 4), 1.0) for i in range(48)]
     vec = spark.createDataFrame(rows, ["beneficiaire_id", "features", "frequency", "monetary"])
     fits = []
-
-    class Counted(S.KMeans):
-        def fit(self, df):
-            fits.append((self.getK(), self.getSeed(), self.getMaxIter()))
-            return super().fit(df)
-    monkeypatch.setattr(S, "KMeans", Counted)
+    lloyd = kmeans.lloyd
+    monkeypatch.setattr(kmeans, "lloyd", lambda b, models, tol: fits.extend((m.k, m.start, m.max_iter) for m in models) or lloyd(b, models, tol))
     got = S.kmeans_sweep(vec, [2, 3])
-    assert sorted(fits) == [(k, 42 + r, 300) for k in (2, 3) for r in range(10)]
+    assert sorted(fits) == [(k, r, 300) for k in (2, 3) for r in range(10)]
     assert got.count() == 2
     fits.clear()
     sweep = spark.createDataFrame([(3, 9.0, 0.1), (5, 5.0, 0.8)], "k int, inertia double, silhouette double")
@@ -178,3 +175,135 @@ def test_segments_take_the_chosen_k_and_all_starts(spark, monkeypatch):
     assert asked == [(list(range(2, 9)), {})]
     assert fits and {(k, i) for k, _, i in fits} == {(5, 500)} and len(fits) == 20
     assert out.count() == 48
+
+
+def _plain_lloyd(x, centres, max_iter, tol):
+    """K-Means from given centres, one model at a time."""
+    import numpy as np
+    for _ in range(max_iter):
+        near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.stack([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        shift, centres = ((after - centres) ** 2).sum(), after
+        if shift <= tol * x.var(axis=0).mean():
+            break
+    return float(((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()), centres
+
+
+def test_models_fitted_together_equal_single_fits(spark, monkeypatch):
+    import copy
+
+    import numpy as np
+
+    from tessera.operators import kmeans
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 1.0, (150, 3)) for c in ((0, 0, 0), (6, 0, 2), (0, 7, 0), (5, 5, 5))] + [np.zeros((20, 3))])
+    vec = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "beneficiaire_id long, features array<double>")
+    begun, passes = [], []
+    lloyd, one_pass = kmeans.lloyd, kmeans._pass
+    monkeypatch.setattr(kmeans, "lloyd", lambda b, models, tol: begun.extend(copy.deepcopy(models)) or lloyd(b, models, tol))
+    monkeypatch.setattr(kmeans, "_pass", lambda b, models, w: passes.append(len(models)) or one_pass(b, models, w))
+    blocks = kmeans.keep(vec.repartition(3), "beneficiaire_id")
+    models = kmeans.fit_many(blocks, [2, 4, 5], 4, max_iter=30)
+    assert len(models) == 12 and len(passes) == max(m.iterations for m in models) + 1 and passes[0] == 12 > passes[-1]
+    for m, first in zip(models, begun):
+        assert len(first.centres) == m.k and all((x == c).all(axis=1).any() for c in first.centres)     # starts are rows
+        assert len(np.unique(first.centres, axis=0)) == m.k
+        inertia, centres = _plain_lloyd(x, first.centres, 30, 1e-4)
+        assert math.isclose(m.inertia, inertia, rel_tol=1e-9) and np.allclose(m.centres, centres)
+    best = kmeans.best_per_k(models)
+    assert best[4].inertia == min(m.inertia for m in models if m.k == 4)
+    # all rows, one by one, against their clusters
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for m, got in zip(best.values(), kmeans.silhouettes(blocks, list(best.values()))):
+        lab = ((x[:, None] - m.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        want = []
+        for i in range(len(x)):
+            means = {c: d[i][(lab == c) & (np.arange(len(x)) != i)].mean() for c in set(lab.tolist()) if (lab == c).sum() > (c == lab[i])}
+            if lab[i] not in means:
+                want.append(0.0)
+                continue
+            a, b = means.pop(lab[i]), min(means.values())
+            want.append((b - a) / max(a, b) if max(a, b) else 0.0)
+        assert math.isclose(got, sum(want) / len(want), abs_tol=1e-9)
+    few = kmeans.silhouettes(blocks, [best[4]], rows=200)[0]
+    assert abs(few - kmeans.silhouettes(blocks, [best[4]])[0]) < 0.1
+    again = kmeans.fit_many(kmeans.keep(vec.repartition(5), "beneficiaire_id"), [2, 4, 5], 4, max_iter=30)
+    assert [(m.iterations, round(m.inertia, 6)) for m in again] == [(m.iterations, round(m.inertia, 6)) for m in models]
+    assert kmeans.fit_many(kmeans.keep(vec.limit(0), "beneficiaire_id"), [2], 2) == []
+
+
+def _plain_boosting(x, y, st, rounds):
+    """Second-order boosting by trying every split of every node, without bins, samples or jobs: margins after each round."""
+    import numpy as np
+    p0 = y.mean()
+    f, out = np.full(len(y), math.log(p0 / (1 - p0))), []
+
+    def pull(g):
+        return math.copysign(max(abs(g) - st.l1, 0.0), g)
+
+    def points(rows, g, h):
+        return pull(g[rows].sum()) ** 2 / (h[rows].sum() + st.l2) if st.newton else g[rows].sum() ** 2 / len(rows)
+
+    def leaf(rows, g, h):
+        return -pull(g[rows].sum()) / (h[rows].sum() + st.l2) if st.newton else -g[rows].sum() / h[rows].sum()
+
+    def grow(rows, g, h, depth, into):
+        best = (1e-9, None)
+        if depth < st.depth and len(rows) >= st.min_split:
+            for j in range(x.shape[1]):
+                for cut in sorted(set(x[rows, j]))[:-1]:
+                    a, b = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                    gain = points(a, g, h) + points(b, g, h) - points(rows, g, h)
+                    gain = gain / 2 - st.gamma if st.newton else gain
+                    fits = min(len(a), len(b)) >= st.min_leaf and (not st.newton or min(h[a].sum(), h[b].sum()) >= st.min_child)
+                    if fits and gain > best[0] + 1e-9:
+                        best = (gain, (a, b))
+        if best[1] is None:
+            into[rows] = leaf(rows, g, h)
+        else:
+            for part in best[1]:
+                grow(part, g, h, depth + 1, into)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-f))
+        step = np.zeros(len(y))
+        grow(np.arange(len(y)), p - y, p * (1 - p), 0, step)
+        f = f + st.rate * step
+        out.append(f)
+    return out
+
+
+def test_boosting_equals_a_plain_version_alone_and_in_step(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import boosting
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (260, 3)).astype(float) + rng.integers(0, 3, (260, 1)) * 0.01
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 5) ^ (rng.random(260) < 0.1)).astype(float)
+    fold = np.arange(260) % 3
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i]), int(fold[i])) for i in range(260)],
+                               "beneficiaire_id long, churned int, a double, b double, c double, _fold int").repartition(4)
+    newton = boosting.Boost(rounds=6, depth=3, rate=0.3, l2=1.0, l1=0.2, gamma=0.05, min_child=2.0)
+    plain = boosting.Boost(rounds=10, depth=3, rate=0.2, newton=False, min_leaf=4, min_split=10)
+    sampled = boosting.Boost(rounds=4, depth=4, rate=0.2, subsample=0.7, columns_tree=0.7, columns_node="sqrt", seed=3)
+    specs = [(newton, None), (plain, None), (newton, 1), (sampled, None)]
+
+    def fitted():
+        return boosting.fit_many(df, ["a", "b", "c"], specs, C.KEY, C.LABEL, "_fold")
+    alone = fitted()
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 10)         # rows stay spread
+    monkeypatch.setattr(boosting, "CUT_ROUNDS", 3)
+    together = fitted()
+    for m, other in zip(alone, together):
+        assert len(m.trees) == len(other.trees) == m.st.rounds
+        for a, b in zip(m.trees, other.trees):
+            assert (a.feature, a.cut, a.left) == (b.feature, b.cut, b.left) and np.allclose(a.value, b.value)
+    codes = boosting.bin_codes(x, alone[0].edges)
+    for m, (st, out) in zip(alone[:3], specs):
+        rows = np.arange(260) if out is None else np.flatnonzero(fold != out)
+        want = _plain_boosting(x[rows], y[rows], st, st.rounds)[-1]
+        assert np.allclose(m.margin(codes)[rows], want, atol=1e-6)
+    scored = alone[0].transform(df).select(C.KEY, C.probability().alias("p")).collect()
+    assert np.allclose([r["p"] for r in sorted(scored)], 1 / (1 + np.exp(-alone[0].margin(codes))))
+    assert math.isclose(sum(alone[0].importances()), 1.0) and alone[0].importances()[2] < 0.2
+    assert boosting.fit_many(df.limit(0), ["a"], specs[:1], C.KEY, C.LABEL)[0].trees == []
