@@ -7,15 +7,14 @@ One plan for every catalogue size, all distributed, nothing collected:
      running sum, hands that on when it holds ``GRAM_CELLS`` cells, and the
      partial sums are summed by (i, j). No per-user pair rows are shuffled.
   3. cosine = dot(i, j) / sqrt(dot(i, i) dot(j, j)).
-  4. scores: user-item ⋈ similarity summed per (user, candidate), items
-     already used removed (anti join); a candidate without similarity to any
-     used item scores 0.
-  5. top n per user: positive scores first (score desc, item id asc), then
-     zero-score candidates by item id, then the popularity list; users without
-     history get the global top n. A user's zero-score candidates among the first
-     n are found without a list of the catalogue: items are numbered densely by id
-     (W2), and of the first (used + scored items kept) + n numbers at least n
-     are free. Labels come by joins.
+  4. scores: a blocked matrix product. Users and items are dealt to blocks of about ``USER_BLOCK`` users and
+     ``ITEM_BLOCK`` items; user rows (user block, item block) meet the similarity's blocks (item block, candidate block) on
+     the item block, a task multiplies the two matrices, and the partial score matrices of a (user block,
+     candidate block) are added. No (user, item, candidate) rows exist. Items already used leave there; a
+     candidate without similarity to any used item scores 0.
+  5. top n per user: (score desc, item id asc) over all free items, zeros included, is chosen
+     inside each block of candidates and merged per user; users without
+     history get the global top n of the popularity list. Labels come by joins.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import offer_label
-from tessera.operators.keys import with_surrogate
 
 # The per-task Gram function below is shipped to executors by value, so
 # workers need numpy/pandas only, not this package on their path.
@@ -47,6 +45,7 @@ MISSING_LABELS = ["Offre Culture", "Offre Transport", "Offre Sport"]
 BLOCK = 2048  # items per dense block inside a task
 GRAM_CELLS = 4_000_000  # cells of partial dot products a task holds before it hands them on
 GRAM_USERS = 1024  # users multiplied at once
+USER_BLOCK, ITEM_BLOCK = 512, 1024  # users and items of a block of the score product, about
 
 U, I, N = "beneficiaire_id", "offre_id", "n"
 
@@ -137,31 +136,125 @@ def item_similarity(ui: DataFrame) -> DataFrame:
     return g.select("i", "j", (F.col("dot") / F.sqrt(F.col("_ni") * F.col("_nj"))).alias("similarity"))
 
 
-def positive_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
-    """R2 + J14: Σ similarity × count over used items, for items not used yet, where it is not zero."""
-    s = sim.select(F.col("i").alias(I), F.col("j"), F.col("similarity"))
-    sc = (ui.join(s, I).groupBy(U, F.col("j").alias("cand"))
-          .agg(F.round(F.sum(F.col(N) * F.col("similarity")), 9).alias("score")))
-    used = ui.select(F.col(U).alias("_u"), F.col(I).alias("_i"))
-    return sc.join(used, (F.col(U) == F.col("_u")) & (F.col("cand") == F.col("_i")), "left_anti")
-
-
-def _numbered_items(ui: DataFrame) -> DataFrame:
-    """(item, place): the items in use, numbered 1.. by id without a single-task window."""
-    return with_surrogate(ui.select(F.col(I).alias("cand")).distinct(), ["cand"], "place")
+_PART = "ub int, cb int, users binary, items binary, scores binary, used_users binary, used_items binary"
+_SCORED = T.StructType([T.StructField(U, T.LongType()), T.StructField("cand", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def _columns(scalars):
+    """The fields of a row's array of structs as numpy arrays."""
+    fields = scalars.flatten()
+    return [fields.field(i).to_numpy(zero_copy_only=False) for i in range(fields.type.num_fields)]
+
+
+def _multiply(batches):
+    """(ub, cb, users, candidates, partial scores) of every pair of a user block with a block of the similarity."""
+    import pyarrow as pa
+    for batch in batches:
+        for at in range(batch.num_rows):
+            ub, cb = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            users, items, counts = _columns(batch.column(2).slice(at, 1))
+            i, j, similar = _columns(batch.column(3).slice(at, 1))
+            (user_ids, u), (rows, r), (cands, c) = (np.unique(x, return_inverse=True) for x in (users, i, j))
+            right = np.zeros((len(rows), len(cands)))
+            right[r, c] = similar
+            left = np.zeros((len(user_ids), len(rows)))
+            where = np.minimum(np.searchsorted(rows, items), len(rows) - 1)
+            known = rows[where] == items
+            left[u[known], where[known]] = counts[known]
+            raw = [x.tobytes() for x in (user_ids.astype("<i8"), cands.astype("<i8"), left @ right)]
+            yield pa.RecordBatch.from_arrays([pa.array([ub], pa.int32()), pa.array([cb], pa.int32()), *[pa.array([x], pa.binary()) for x in raw],
+                                              pa.array([None], pa.binary()), pa.array([None], pa.binary())],
+                                             ["ub", "cb", "users", "items", "scores", "used_users", "used_items"])
+
+
+def _zeros(batches):
+    """Rows with users and candidates whose scores are 0."""
+    import pyarrow as pa
+    for batch in batches:
+        for at in range(batch.num_rows):
+            raw = [batch.column(c).slice(at, 1).flatten().to_numpy().astype("<i8") for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1),
+                                              *[pa.array([np.sort(x).tobytes()], pa.binary()) for x in raw], pa.array([b""], pa.binary()),
+                                              *[pa.array([None], pa.binary())] * 2],
+                                             ["ub", "cb", "users", "items", "scores", "used_users", "used_items"])
+
+
+def _pack_used(batches):
+    """Rows with the users and candidates of a block, and which of them are used."""
+    import pyarrow as pa
+    for batch in batches:
+        for at in range(batch.num_rows):
+            users, items, _ = _columns(batch.column(2).slice(at, 1))
+            raw = [np.ascontiguousarray(x, "<i8").tobytes() for x in (users, items)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), *[pa.array([None], pa.binary())] * 3,
+                                              *[pa.array([x], pa.binary()) for x in raw]],
+                                             ["ub", "cb", "users", "items", "scores", "used_users", "used_items"])
+
+
+def _finish(n):
+    """Add a block's partial scores, leave out used items, keep each user's ``n`` best (None: all)."""
+    def run(pdf):
+        ids = lambda col: [np.frombuffer(x, "<i8") for x in pdf[col].dropna()]
+        parts = list(zip(ids("users"), ids("items"), pdf["scores"].dropna()))
+        used = list(zip(ids("used_users"), ids("used_items")))
+        users = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, "<i8")]))
+        cands = np.unique(np.concatenate([p[1] for p in parts] or [np.zeros(0, "<i8")]))
+        total, free = np.zeros((len(users), len(cands))), np.ones((len(users), len(cands)), bool)
+        for u, c, raw in parts:
+            if len(raw):
+                total[np.ix_(np.searchsorted(users, u), np.searchsorted(cands, c))] += np.frombuffer(raw, "<f8").reshape(len(u), len(c))
+        for u, c in used:   # every item in use is a candidate of its block
+            free[np.searchsorted(users, u), np.searchsorted(cands, c)] = False
+        total = np.round(total, 9)
+        if n is None:
+            r, c = np.nonzero(free)
+        else:
+            order = np.argsort(np.where(free, -total, np.inf), axis=1, kind="stable")[:, :n]   # ties: the smaller id
+            r, k = np.nonzero(np.take_along_axis(free, order, axis=1))
+            c = order[r, k]
+        return pd.DataFrame({U: users[r], "cand": cands[c], "score": total[r, c]})
+    return run
+
+
+def blocked_scores(ui: DataFrame, sim: DataFrame, n: int | None = None, user_block: int = USER_BLOCK,
+                   item_block: int = ITEM_BLOCK) -> DataFrame:
+    """R2 + J14: (user, cand, score), Σ similarity × count over the user's items, zeros included, for items in use that the
+    user has not used; with ``n`` only the ``n`` best of each block of candidates (ties: the smaller id).
+
+    A row of users holds at most a block of users times a block of items, a row of the similarity two blocks of items, so
+    memory does not depend on hot users or items; where there are few item blocks, the similarity's rows are repeated
+    for a few salts over which user blocks are dealt."""
+    size = ui.agg(F.approx_count_distinct(U).alias("u"), F.approx_count_distinct(I).alias("i")).first()  # two numbers
+    n_users, n_items = max(1, -(-size["u"] // user_block)), max(1, -(-size["i"] // item_block))
+    tasks = max(1, int(ui.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(1, min(n_users, -(-tasks // n_items)))
+    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(k)).cast("int")
+    rows = (ui.select(block(U, n_users).alias("ub"), block(I, n_items).alias("ib"), F.struct(U, I, F.col(N).cast("double").alias(N)).alias("x"))
+            .groupBy("ub", "ib").agg(F.collect_list("x").alias("x")))
+    every = ui.select(F.col(I).alias("i")).distinct().select("i", F.col("i").alias("j"), F.lit(0.0).alias("similarity"))
+    # every item stands in the similarity, also one without a positive count
+    pairs = sim.select("i", "j", "similarity").unionByName(every).groupBy("i", "j").agg(F.max("similarity").alias("similarity"))
+    square = (pairs.select(block("i", n_items).alias("ib"), block("j", n_items).alias("cb"), F.struct("i", "j", "similarity").alias("s"))
+              .groupBy("ib", "cb").agg(F.collect_list("s").alias("s"))
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    met = rows.withColumn("salt", F.col("ub") % salts).join(square, ["ib", "salt"]).select("ub", "cb", "x", "s")
+    partial = met.mapInArrow(_multiply, _PART)
+    if n_items > 1:
+        # users without an item similar to a block of candidates: its free items score 0
+        users = ui.select(block(U, n_users).alias("ub"), U).distinct().groupBy("ub").agg(F.collect_list(U).alias("users"))
+        items = ui.select(block(I, n_items).alias("cb"), I).distinct().groupBy("cb").agg(F.collect_list(I).alias("items"))
+        items = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        each = users.withColumn("salt", F.col("ub") % salts).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
+        partial = partial.unionByName(each.join(items, ["cb", "salt"]).select("ub", "cb", "users", "items").mapInArrow(_zeros, _PART))
+    used = rows.select("ub", F.col("ib").alias("cb"), "x").mapInArrow(_pack_used, _PART)
+    return partial.unionByName(used).groupBy("ub", "cb").applyInPandas(_finish(n), _SCORED)
 
 
 def candidate_scores(ui: DataFrame, sim: DataFrame) -> DataFrame:
     """R2 whole: the score of every item in use for every user who has not used it, zeros included.
 
     Its result has users x items rows by definition; ``recommend`` does not need it."""
-    items = _numbered_items(ui)
-    last = items.agg(F.max("place")).scalar()
-    every = (ui.select(U).distinct().withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-             .join(items, "place").select(U, "cand"))
-    used = ui.select(U, F.col(I).alias("cand"))
-    return (every.join(used, [U, "cand"], "left_anti").join(positive_scores(ui, sim), [U, "cand"], "left")
-            .select(U, "cand", F.coalesce("score", F.lit(0.0)).alias("score")))
+    return blocked_scores(ui, sim)
 
 
 def popularity(ops: DataFrame, offers: DataFrame, count_col: str = "nb_operations") -> DataFrame:
@@ -194,24 +287,12 @@ def recommend(users: DataFrame, ops: DataFrame, offers: DataFrame, n: int = 3) -
     own; order is (score desc, item id asc); fewer than n candidates leave the last
     places empty (the popularity list names the same items); users without history
     get its top n."""
-    # feeds the similarity, the scores and the numbering: computed once, kept (spilling to disk if large)
+    # feeds the similarity, the scores and the popularity: computed once, kept (spilling to disk if large)
     ui = user_item(ops).persist(StorageLevel.MEMORY_AND_DISK)
-    # the best n positive scores of every user (Spark limits each group before the shuffle)
-    order = F.struct((-F.col("score")).alias("s"), F.col("cand").alias("cand"))
-    ranked = (positive_scores(ui, item_similarity(ui)).filter(F.col("score") > 0)
-              .withColumn("_r", F.row_number().over(Window.partitionBy(U).orderBy(order))).filter(F.col("_r") <= n)
-              .select(U, "cand", F.col("_r").alias("slot")))
-    # who has fewer than n fills up with zero scores, by id: of the first |taken| + n places at least n are free
-    taken = ui.select(U, F.col(I).alias("cand")).unionByName(ranked.select(U, "cand"))
-    size = taken.groupBy(U).agg(F.count(F.lit(1)).alias("_t"))
-    have = ranked.groupBy(U).agg(F.max("slot").alias("_h"))
-    short = size.join(have, U, "left").withColumn("_h", F.coalesce("_h", F.lit(0))).filter(F.col("_h") < n)
-    items = _numbered_items(ui)
-    places = short.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t") + n)))
-    free = places.join(items, "place").join(taken, [U, "cand"], "left_anti")
-    fill = (free.withColumn("_r", F.row_number().over(Window.partitionBy(U).orderBy("cand")))
-            .withColumn("slot", F.col("_h") + F.col("_r")).filter(F.col("slot") <= n).select(U, "cand", "slot"))
-    warm = ranked.unionByName(fill).groupBy(U).agg(
+    order = Window.partitionBy(U).orderBy(F.col("score").desc(), "cand")
+    ranked = (blocked_scores(ui, item_similarity(ui), n)
+              .withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= n))
+    warm = ranked.groupBy(U).agg(
         *[F.max(F.when(F.col("slot") == k + 1, F.col("cand"))).alias(f"_w{k + 1}") for k in range(n)])
     seen = ui.select(U).distinct().withColumn("_seen", F.lit(True))
     # the first n of the popularity list: one row of n ids

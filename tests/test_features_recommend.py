@@ -97,6 +97,29 @@ def test_recommend_over_thousands_of_items(spark):
     assert got[1500] == (1, 2, 3) and len(got) == 1501
 
 
+def test_blocked_product_equals_a_plain_one(spark):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    rows = [(int(u) * 7, int(i) * 3, int(rng.integers(1, 5))) for u in range(60) for i in rng.choice(50, rng.integers(1, 6), replace=False)]
+    rows += [(9_999, i * 3, 1) for i in range(50)]           # one user has used everything
+    ui = spark.createDataFrame(rows, f"{R.U} long, {R.I} long, {R.N} long")
+    sim = R.item_similarity(ui)
+    s = {(r.i, r.j): r.similarity for r in sim.collect()}
+    items, mine = sorted({i for _, i, _ in rows}), {}
+    for u, i, n in rows:
+        mine.setdefault(u, {})[i] = n
+    want = {(u, c): sum(n * s.get((i, c), 0.0) for i, n in own.items()) for u, own in mine.items() for c in items if c not in own}
+    for user_block, item_block in ((512, 1024), (7, 9), (100, 5)):
+        got = {(r[0], r[1]): r[2] for r in R.blocked_scores(ui, sim, None, user_block, item_block).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+        best = {}
+        for r in R.blocked_scores(ui, sim, 3, user_block, item_block).collect():
+            best.setdefault(r[0], []).append((-r[2], r[1]))
+        for u in mine:
+            top = sorted((-round(v, 9), c) for (x, c), v in want.items() if x == u)[:3]
+            assert sorted(best.get(u, []))[:3] == [(a, c) for a, c in top] or np.allclose([a for a, _ in sorted(best[u])[:3]], [a for a, _ in top], atol=2e-9)
+
+
 def test_labels_and_sector(spark):
     users, ops, offers = _rec_data(spark)
     recs = spark.createDataFrame([(1, 3, 4, None)], "beneficiaire_id long, rec_1 long, rec_2 long, rec_3 long")
