@@ -34,8 +34,8 @@ from tessera.llm.common import cut, parts, slices
 
 BLOCK = 64
 WINDOW = 2048
-SHARD_TERMS = 3_000_000
-SLICE_CHARS = 24_000_000
+SHARD_TERMS = 1_000_000
+SLICE_CHARS = 6_000_000      # text that a task turns into postings at once
 ITEMS = 256
 SEND_USES = 500_000
 SCHEMA = "shard string, term string, n long, total long, head binary, front binary, docs binary, counts binary"
@@ -133,7 +133,7 @@ def build(docs: DataFrame) -> DataFrame:
             coded = lists.flatten().dictionary_encode()
             empty = np.array(pa.compute.equal(coded.dictionary, ""), dtype=bool)
             codes = coded.indices.to_numpy()
-            owner = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(lists).to_numpy())
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
             real = ~empty[codes]
             codes, owner = codes[real], owner[real]
             n = np.bincount(owner, minlength=len(ids))
@@ -144,7 +144,7 @@ def build(docs: DataFrame) -> DataFrame:
             for a, b in slices(n[rank].tolist(), SHARD_TERMS):
                 mine = rank[a:b]
                 at = np.concatenate([order[edges[i]:edges[i + 1]] for i in mine])
-                cols = shard_rows(ids[mine], codes[at], np.repeat(np.arange(len(mine)), n[mine]), coded.dictionary)
+                cols = shard_rows(ids[mine], codes[at], np.repeat(np.arange(len(mine), dtype=np.int32), n[mine]), coded.dictionary)
                 name = pa.array([f"{part}-{serial}"] * len(cols[0]))
                 serial += 1
                 yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip([name, *cols], kinds)],
