@@ -48,6 +48,8 @@ class Coder:
         self.kind, self.cache = kind, {}
         size = self.tok.get_vocab_size()
         mark = (lambda t: t.endswith("</w>")) if kind == "words" else (lambda t: t.startswith("Ġ"))
+        normaliser = self.tok.normalizer
+        self.normal = normaliser.normalize_str if normaliser else lambda t: t
         self.edge = np.array([mark(self.tok.id_to_token(i) or "") for i in range(size)])
 
     def _encode(self, texts: list[str]) -> list:
@@ -72,6 +74,11 @@ class Coder:
             self.cache[h] = raw[at:end]
             at = end
 
+    def _letters(self, chunk: str) -> bool:
+        """Letters only, and also after the vocabulary's normaliser: lower-casing or composing turns some
+        letters into a letter and a mark, which would join the punctuation behind."""
+        return chunk.isalpha() and (chunk.isascii() or self.normal(chunk).isalpha())
+
     def learn(self, chunks: list[str]) -> list[bytes]:
         """Ids (little-endian, 4 bytes each) of each distinct chunk."""
         cache = self.cache
@@ -81,11 +88,11 @@ class Coder:
         for c in chunks:
             if c in cache:
                 continue
-            if c.isalpha():
+            if self._letters(c):
                 heads[c] = None
                 continue
             h = c.rstrip(_TAIL)
-            if h != c and h.isalpha():                  # letters, then punctuation: two pre-tokens
+            if h != c and self._letters(h):             # letters, then punctuation: two pre-tokens
                 t = c[len(h):]
                 parts.append((c, h, t))
                 if h not in cache:
