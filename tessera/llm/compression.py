@@ -5,9 +5,12 @@ Two zstandard dictionaries are built, one from good and one from bad labelled te
 good one. A logistic calibration, fitted on labelled texts that built no dictionary and weighted back to the
 classes' true shares, turns it into the probability that the label is 1.
 
-Distribution: the labelled sample is bounded (``max_rows`` documents a class, chosen by a hash of the id; documented
-parameter) and fitted on the driver; the model (two dictionaries of ``DICTIONARY`` bytes, two numbers) is broadcast. Scoring
-is one pass over whole texts without a shuffle.
+Distribution: the labelled sample is bounded by two documented parameters: about ``max_rows`` documents a class, chosen by a
+hash of the id, of which one half builds the dictionaries and the other calibrates; and ``sample_bytes`` of a class for its
+dictionary, dealt evenly over the documents of that half as blocks of ``BLOCK`` bytes, which the executors choose
+out of whole texts by a hash (a document gives one block at least). These blocks, and one number for every calibrating document,
+whose whole text is compressed on the executors, are all that reaches the driver. The model (two dictionaries of
+``DICTIONARY`` bytes, two numbers) is broadcast. Scoring is one pass over whole texts without a shuffle.
 
 Edge cases: null and empty texts have difference 0; with only one class in the labels every score is that
 class's (0 or 1), without labels 0.5; texts too few to train a dictionary serve as its raw content; null labels are no
@@ -74,18 +77,51 @@ class Model:
         return score
 
 
-def dictionary(texts: list[str]) -> tuple[bytes, bool]:
-    """(dictionary, is raw content) of a bounded list of texts."""
+def dictionary(blocks: list[bytes]) -> tuple[bytes, bool]:
+    """(dictionary, is raw content) of a bounded list of blocks."""
     import zstandard
-    blocks = [b[i:i + BLOCK] for b in (t.encode("utf-8", "surrogatepass") for t in texts) for i in range(0, len(b), BLOCK)]
-    step = max(1, math.ceil(sum(map(len, blocks)) / SAMPLE_BYTES))
-    blocks = blocks[::step]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes(), False
     except zstandard.ZstdError:
         return (b"".join(blocks)[:DICTIONARY] or b" " * 8).ljust(8), True
 
 
+def _blocks(texts: DataFrame, quota: int) -> list[tuple[int, bytes]]:
+    """(quality, block) of at most ``quota`` blocks of every text (text, quality, h), in an order of their own."""
+
+    def choose(batches):
+        import pyarrow as pa
+        for batch in parts(batches, 0, SLICE_CHARS):
+            quality, block, order = [], [], []
+            for text, q, h in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode("utf-8", "surrogatepass")
+                n = -(-len(raw) // BLOCK)
+                for i in sorted(np.random.default_rng(h & 0xFFFFFFFF).permutation(n)[:quota].tolist()):
+                    quality.append(q)
+                    block.append(raw[i * BLOCK:(i + 1) * BLOCK])
+                    order.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(quality, pa.int32()), pa.array(block, pa.binary())],
+                                             ["h", "q", "block"])
+
+    rows = texts.select("text", F.col("quality").cast("int"), "h").mapInArrow(choose, "h long, q int, block binary").collect()
+    return [(r["q"], bytes(r["block"])) for r in sorted(rows, key=lambda r: (r["h"], r["q"], bytes(r["block"])))]
+
+
+def _differences(texts: DataFrame, model: Model) -> list[tuple[int, float]]:
+    """(quality, difference) of every whole text (text, quality, h)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def compare(batches):
+        import pyarrow as pa
+        difference = shared.value.difference()
+        for batch in parts(batches, 0, SLICE_CHARS):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([difference(t) for t in batch.column(0).to_pylist()], pa.float64())], ["q", "x"])
+
+    found = texts.select("text", F.col("quality").cast("int")).mapInArrow(compare, "q int, x double").collect()
+    shared.unpersist()
+    return sorted((r["q"], r["x"]) for r in found)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a weighted logistic fit (Newton, slightly ridged so that separable classes converge)."""
     scale = x.std() or 1.0
@@ -103,7 +139,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, exclude, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, exclude, max_rows: int = MAX_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); ``exclude`` is a condition on doc_id."""
     known = labels.where(F.col("quality").isNotNull() & ~exclude).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,21 +147,23 @@ def fit(docs: DataFrame, labels: DataFrame, exclude, max_rows: int = MAX_ROWS) -
         return Model(offset=0.0 if not n else 30.0 if n.get(1) else -30.0)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("quality") == 1, max_rows / n[1]).otherwise(max_rows / n[0])
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known.where(pick < share)), "doc_id") \
-        .select("text", "quality", F.xxhash64("doc_id", F.lit("half")).alias("h")).collect()  # about 2 * max_rows documents
-    rows.sort(key=lambda r: (r["h"], r["text"]))
-    build = [[r["text"] for r in rows[::2] if r["quality"] == q] for q in (1, 0)]
-    test = rows[1::2]
-    if not all(build) or len({r["quality"] for r in test}) < 2:
-        build = [[r["text"] for r in rows if r["quality"] == q] for q in (1, 0)]
-        test = rows
+    # about 2 * max_rows ids are sent to the documents; texts stay on the executors
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known.where(pick < share)), "doc_id") \
+        .select("text", "quality", F.xxhash64("doc_id", F.lit("half")).alias("h"))
+    first = F.pmod("h", F.lit(2)) == 0
+    quota = max(1, int(sample_bytes // (BLOCK * max(1, max_rows // 2))))
+    blocks, rest = _blocks(texts.where(first), quota), texts.where(~first)
+    if {q for q, _ in blocks} != {0, 1}:
+        blocks, rest = _blocks(texts, quota), texts
+    build = [[b for q, b in blocks if q == k] for k in (1, 0)]
     if not all(build):
         return Model(offset=math.log(n[1] / n[0]))
     (good, raw_good), (bad, raw_bad) = map(dictionary, build)
     model = Model(good, bad, (raw_good, raw_bad))
-    difference = model.difference()
-    y = np.array([r["quality"] for r in test], dtype=float)
-    x = np.array([difference(r["text"]) for r in test])
+    found = _differences(rest, model)
+    if {q for q, _ in found} != {0, 1}:
+        found = _differences(texts, model)
+    y, x = (np.array([r[i] for r in found], dtype=float) for i in (0, 1))
     weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
     model.slope, model.offset = calibrate(x, y, weight)
     return model
