@@ -19,9 +19,9 @@ pair needs ``MATCHES`` collisions to be confirmed (at similarity 0.75 the chance
 So no link between different texts is lost to the merging, and no group is collected: a posting list with a
 third of all documents is a star of as many pairs, and rows beyond that only for what the star left apart.
 
-Edge cases: null ids take no part (component null, kept); null, empty and wordless texts are components of their
-own; rows that repeat an id are one node, linked by any of its texts; ties go to the smaller id; other columns
-are ignored; an empty table gives no rows.
+Edge cases: null ids take no part (component null, kept); null, empty and wordless texts are linked with
+nothing, so they are components of their own; rows that repeat an id are one node: the classes of all its texts are linked, and
+its wordless rows follow them; ties go to the smaller id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -273,10 +273,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     long = rest.where(F.col("n") > SHORT_LIST)
     if not long.isEmpty():
         second = second.union(_long_lists(long, reps, full))
-    final = components(first.union(second))
+    # an id with several texts links their classes
+    texts_of = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id") \
+        .agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.count(F.lit(1)).alias("n"), F.count("set_hash").alias("worded"))
+    several = texts_of.where((F.col("lo") < F.col("hi")) | (F.col("worded") < F.col("n")) & (F.col("worded") > 0)).select("doc_id")
+    several = cut(signed.select("doc_id", "set_hash").join(several.hint("merge"), "doc_id", "left_semi"), "minhash-several")
+    same_id = several.join(classes, "set_hash").where(F.col("node") != F.col("doc_id")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    final = components(first.union(second).union(same_id))
     found = classes.join(final, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
-    # an id with several texts joins their classes
-    return (signed.drop("sig").join(found, "set_hash", "left")
-            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    wordless = several.where(F.col("set_hash").isNotNull()).join(found, "set_hash").groupBy("doc_id").agg(F.min("component_id").alias("by_id"))
+    return (signed.drop("sig").join(found, "set_hash", "left").join(wordless, "doc_id", "left")
+            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "by_id", "doc_id"))).drop("by_id")
             .select("doc_id", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))

@@ -55,6 +55,17 @@ def brute_components(rows):
     return {i: (len(x), root(i)) for i, x in sets}
 
 
+def test_ids_with_several_texts_are_one_node(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b), (11, c), (12, c), (20, d), (20, ""), (20, None), (21, ""), (11, c), (30, "x"), (30, "y"), (31, "y")]
+    docs = frame(spark, [(i, t, None) for i, t in rows] + [(None, a, None)])
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows) + 1
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {
+        (1, 1), (5, 1), (9, 1), (11, 11), (12, 11), (20, 20), (21, 21), (30, 30), (31, 30), (None, None)}
+    assert all(r["kept"] == (r["doc_id"] in (None, r["component_id"])) for r in got)
+
+
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     rnd = random.Random(11)
     words = [f"w{i}" for i in range(400)]
