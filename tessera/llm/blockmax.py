@@ -121,6 +121,7 @@ def build(docs: DataFrame) -> DataFrame:
 
     def index(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         part, serial = TaskContext.get().partitionId(), 0
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -131,9 +132,9 @@ def build(docs: DataFrame) -> DataFrame:
             ids = np.concatenate([h[0] for h in held])
             lists = pa.chunked_array([h[1] for h in held]).combine_chunks()
             coded = lists.flatten().dictionary_encode()
-            empty = np.array(pa.compute.equal(coded.dictionary, ""), dtype=bool)
+            empty = np.array(pc.equal(coded.dictionary, ""), dtype=bool)
             codes = coded.indices.to_numpy()
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(lists).to_numpy())
             real = ~empty[codes]
             codes, owner = codes[real], owner[real]
             n = np.bincount(owner, minlength=len(ids))
@@ -152,7 +153,7 @@ def build(docs: DataFrame) -> DataFrame:
 
         for batch in parts(batches, 1, SLICE_CHARS // 4):
             held.append((batch.column(0).to_numpy(zero_copy_only=False), term_lists(batch.column(1))))
-            size += pa.compute.sum(pa.compute.utf8_length(batch.column(1))).as_py() or 0
+            size += pc.sum(pc.utf8_length(batch.column(1))).as_py() or 0
             if size >= SLICE_CHARS:
                 yield from shards()
                 held, size = [], 0

@@ -37,6 +37,23 @@ def test_ids_equal_the_whole_text_encoding(name, kind):
         [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_every_letter_before_every_tail(name, kind):
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary(name))
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]
+    odd = [c for c in letters if len(unicodedata.normalize("NFC", c).lower()) > 1 or not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert len(odd) > 50 and "İ" in odd
+    texts = [f"{c}{tail} a{c}{tail}" for c in odd for tail in ".,!?;:|&%$#*"] + ["BİRLİĞİ.", "İ", "aİ b", "İb."]
+    for a in range(0, len(letters), 40_000):                # one text for many letters: every one before a full stop
+        texts.append(" ".join(f"{c}." for c in letters[a:a + 40_000]))
+    for got, text in zip(coder(vocabulary(name), kind).documents(texts), texts):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 def test_codes_give_random_access():
     rnd = np.random.default_rng(3)
     ids = np.concatenate([rnd.integers(0, 2 ** b, 700, dtype=np.uint32) for b in (4, 8, 9, 16, 17, 31)])
@@ -192,6 +209,12 @@ def test_compression_quality(spark):
     one = compression.fit(docs, labels.where("quality = 1"), out)
     assert min(r["score"] for r in compression.score(docs.drop("score"), one).collect()) > 0.99
     assert compression.fit(docs, labels.limit(0), out).scorer()("x") == 0.5
+    # very long texts give the driver no more than their share of blocks
+    long = docs.withColumn("text", F.repeat("text", 400))
+    blocks = compression._blocks(long.select("text", F.lit(1).alias("quality"), F.xxhash64("doc_id").alias("h")), 3)
+    assert len(blocks) <= 3 * long.count() and max(len(b) for _, b in blocks) <= compression.BLOCK
+    again = compression.fit(docs.repartition(3), labels, out)
+    assert (again.good, again.bad, again.slope, again.offset) == (model.good, model.bad, model.slope, model.offset)
 
 
 @pytest.mark.parametrize("key", ["op1_nnpu_toxicity", "op7_compression_quality"])
