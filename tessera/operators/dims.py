@@ -77,7 +77,7 @@ def dim_offre(stg: DataFrame) -> DataFrame:
         F.col("categorie").alias("secteur"),
         "categorie", "nom_offre", "type_avantage", "valeur_avantage", "unite_avantage",
         F.expr("try_cast(tarif_pass_jeunes_txt AS decimal(10,2))").alias("tarif_pass_jeunes"),
-        "tarif_public",
+        "tarif_public", "description", "conditions", "montant_a_debiter", "montant_a_payer", "solde_initial", "solde_mensuel",
         F.col("ville").alias("ville_offre"),
         F.col("region").alias("region_offre"),
         "actif",

@@ -63,6 +63,12 @@ MEASURES: dict[str, dict[str, Callable[[], Column]]] = {
 }
 
 
+# Measures whose parts add up, and counts of distinct dense keys (surrogates), whose bitmaps merge.
+ADDITIVE = ["Total_Operations", "Montant_Total_Reductions", "Credit_Initial_Total", "Credit_Restant_Total", "Total_Activites",
+            "Budget_Total_Activites", "Budget_Consomme_Activites", "Total_Participants", "Total_Volontaires"]
+DISTINCT_KEYS = {"Nb_Beneficiaires_Actifs": "beneficiaire_id"}
+
+
 @dataclass
 class Relationship:
     """Many-to-one fact -> dimension relationship (LEFT join on key)."""
@@ -112,16 +118,35 @@ class SemanticModel:
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
     def drill(self, fact: str, hierarchy: list[str], names: list[str]) -> DataFrame:
-        """Totals at every level of a hierarchy (rollup) with its level id."""
+        """Totals at every level of a hierarchy with its level id.
+
+        The fact is aggregated once, to the finest cells; the levels are grouping sets over these cells. Counts of distinct
+        keys stay exact on the way up: a cell holds one bitmap per bucket of 32,768 dense keys, and levels OR them."""
         df = self.view(fact, hierarchy)
-        aggs = [MEASURES[fact][n]().alias(n) for n in names]
-        return df.rollup(*hierarchy).agg(F.grouping_id().alias("niveau"), *aggs)
+        distinct = [n for n in names if n in DISTINCT_KEYS]
+        key = DISTINCT_KEYS[distinct[0]] if distinct else None
+        if set(names) - set(ADDITIVE) - set(distinct) or len({DISTINCT_KEYS[n] for n in distinct}) > 1:
+            aggs = [MEASURES[fact][n]().alias(n) for n in names]          # a measure that does not merge
+            return df.rollup(*hierarchy).agg(F.grouping_id().alias("niveau"), *aggs)
+        bucket = F.bitmap_bucket_number(F.col(key)) if key else F.lit(0)
+        bits = [F.bitmap_construct_agg(F.bitmap_bit_position(F.col(key))).alias("_bits")] if key else []
+        sums = [n for n in names if n in ADDITIVE]
+        cells = df.groupBy(*hierarchy, bucket.alias("_bucket")).agg(*[MEASURES[fact][n]().alias(n) for n in sums], *bits)
+        sets = [[F.col(c) for c in hierarchy[:k]] + [F.col("_bucket")] for k in range(len(hierarchy), -1, -1)]
+        merged = cells.groupingSets(sets, *hierarchy, "_bucket").agg(
+            F.shiftright(F.grouping_id(), 1).alias("niveau"), *[F.sum(n).alias(n) for n in sums],
+            *([F.bitmap_or_agg("_bits").alias("_bits")] if key else []))
+        whole = merged.groupBy(*hierarchy, "niveau").agg(
+            *[F.sum(n).alias(n) for n in sums], *([F.sum(F.bitmap_count("_bits")).alias("_n")] if key else []))
+        return whole.select(*hierarchy, "niveau", *[F.col("_n").alias(n) if n in distinct else F.col(n) for n in names])
 
 
 def star_model(star) -> SemanticModel:
-    """Relationships of the star (J17): calendar, region, offer, beneficiary, association, house."""
+    """The fourteen active relationships of the star (J17): calendar, region, offer, beneficiary, association, house."""
     cal = F.broadcast(star.dim_temps)  # size known: days of the calendar range
     region, offre = star.dim_region, star.dim_offre
+    benef, profile = star.dim_beneficiaire, ["genre", "tranche_age"]
+    house = star.dim_maison.withColumnRenamed("nom", "maison")
     cal_cols = ["annee", "trimestre", "mois", "jour", "date_complete", "nom_mois", "est_weekend"]
     reg_cols = ["ville", "region", "zone_geo"]
     m = SemanticModel()
@@ -129,18 +154,22 @@ def star_model(star) -> SemanticModel:
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", region, "region_id", reg_cols),
         Relationship("offre_id", offre, "offre_id", ["secteur", "categorie", "type_avantage"]),
-        Relationship("beneficiaire_id", star.dim_beneficiaire, "beneficiaire_id", ["genre", "tranche_age"]),
+        Relationship("beneficiaire_id", benef, "beneficiaire_id", profile),
     ])
     m.add_fact("solde", star.fait_solde, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
+        Relationship("beneficiaire_id", benef, "beneficiaire_id", profile),
         Relationship("offre_id", offre, "offre_id", ["secteur", "categorie"]),
     ])
     m.add_fact("activites", star.fait_activites, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", region, "region_id", reg_cols),
+        Relationship("association_id", star.dim_association, "association_id", ["type", "domaine_activite"]),
+        Relationship("maison_id", house, "maison_id", ["maison", "capacite_accueil"]),
     ])
     m.add_fact("motatawi3", star.fait_motatawi3, [
         Relationship("temps_id", cal, "temps_id", cal_cols),
         Relationship("region_id", region, "region_id", reg_cols),
+        Relationship("beneficiaire_id", benef, "beneficiaire_id", profile),
     ])
     return m

@@ -60,14 +60,62 @@ def check_unique(df: DataFrame, keys: list[str], table: str) -> DataFrame:
         F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key"), "n_duplicate_keys", "n_rows_in_duplicates")
 
 
+@dataclass
+class ForeignKey:
+    """A declared relationship: the child's columns name a row of the parent by its columns."""
+
+    name: str
+    child: str
+    child_keys: list[str]
+    parent: str
+    parent_keys: list[str]
+
+
+def _key(cols: list[str]) -> Column:
+    """One text for a key of one or several columns (NULL when any part is)."""
+    parts = [F.col(c).cast("string") for c in cols]
+    whole = parts[0] if len(parts) == 1 else F.concat_ws("\x1f", *parts)
+    return F.when(reduce(lambda a, b: a & b, [x.isNotNull() for x in parts]), whole)
+
+
+def check_fks(frames: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
+    """-> (relationship, n_violations) of all relationships: child rows whose non-NULL key has no parent.
+
+    Parents and children are one stream of (parent, key, relationship) rows, every frame read once for all its
+    relationships, and one aggregate by (parent, key) tells which keys have a parent and how many children of each
+    relationship ask for them. It combines map-side, so a key that a third of all children share is a few rows of the only
+    shuffle that grows with the data."""
+    parents = list(dict.fromkeys((k.parent, tuple(k.parent_keys)) for k in keys))
+    tag = {p: i for i, p in enumerate(parents)}
+    rank: dict[int, int] = {}
+    slot = []                                   # place of a relationship among those of its parent
+    for k in keys:
+        t = tag[k.parent, tuple(k.parent_keys)]
+        slot.append(rank.get(t, 0))
+        rank[t] = slot[-1] + 1
+    entries: dict[str, list[Column]] = {}
+    entry = lambda t, s, key: F.struct(F.lit(t).alias("parent"), F.lit(s).alias("slot"), key.alias("key"))
+    for (frame, cols), t in tag.items():
+        entries.setdefault(frame, []).append(entry(t, -1, _key(list(cols))))
+    for k, s in zip(keys, slot):
+        entries.setdefault(k.child, []).append(entry(tag[k.parent, tuple(k.parent_keys)], s, _key(k.child_keys)))
+    rows = reduce(DataFrame.unionByName, [frames[f].select(F.inline(F.array(*e))) for f, e in entries.items()]).where("key IS NOT NULL")
+    width = max(rank.values())
+    counted = rows.groupBy("parent", "key").agg(F.max(F.col("slot") == -1).alias("there"),
+                                                *[F.count_if(F.col("slot") == i).alias(f"c{i}") for i in range(width)])
+    orphans = counted.groupBy("parent").agg(*[F.sum(F.when(F.col("there"), 0).otherwise(F.col(f"c{i}"))).alias(f"c{i}") for i in range(width)])
+    named = F.array(*[F.struct(F.lit(k.name).alias("relationship"), F.lit(tag[k.parent, tuple(k.parent_keys)]).alias("p"), F.lit(s).alias("s"))
+                      for k, s in zip(keys, slot)])
+    # a row per parent, then a row per relationship; a parent without any row has none either
+    found = orphans.agg(F.map_from_entries(F.collect_list(F.struct("parent", F.array(*[f"c{i}" for i in range(width)])))).alias("m"))
+    return found.select("m", F.inline(named)).select(
+        "relationship", F.coalesce(F.element_at(F.try_element_at("m", F.col("p")), F.col("s") + 1), F.lit(0)).cast("long").alias("n_violations"))
+
+
 def check_fk(child: DataFrame, parent: DataFrame, child_keys: list[str], parent_keys: list[str],
              name: str) -> DataFrame:
-    """-> (relationship, n_violations): non-NULL child keys without a parent."""
-    p = parent.select(*[F.col(pk).alias(f"_p{i}") for i, pk in enumerate(parent_keys)]).distinct()
-    cond = reduce(lambda a, b: a & b, [F.col(ck) == F.col(f"_p{i}") for i, ck in enumerate(child_keys)])
-    c = child.filter(reduce(lambda a, b: a & b, [F.col(ck).isNotNull() for ck in child_keys]))
-    return c.join(p, cond, "left_anti").agg(F.count(F.lit(1)).alias("n_violations")).select(
-        F.lit(name).alias("relationship"), "n_violations")
+    """-> (relationship, n_violations): non-NULL child keys without a parent (G6, J16), of one relationship."""
+    return check_fks({"child": child, "parent": parent}, [ForeignKey(name, "child", child_keys, "parent", parent_keys)])
 
 
 def validate_ids(rows: DataFrame, mirror: DataFrame, id_col: str = "jeune_cin") -> DataFrame:

@@ -113,20 +113,30 @@ def q_unique_violations(spark, sf):
     return plain(reduce(DataFrame.unionByName, [Q.check_unique(frames[src], k, t) for t, src, k in _UNIQUE]))
 
 
-_FK = [("operation->beneficiaire", "b_operation", ["beneficiaire_id"], "b_benef", ["id"]),
-       ("operation->offre", "b_operation", ["offre_id"], "b_offre", ["id"]),
-       ("solde->beneficiaire", "b_solde", ["beneficiaire_id"], "b_benef", ["id"]),
+# The declared relationships of the sources and of the star, and the logical one across systems.
+_FK = [("solde->beneficiaire", "b_solde", ["beneficiaire_id"], "b_benef", ["id"]),
        ("solde->offre", "b_solde", ["offre_id"], "b_offre", ["id"]),
+       ("operation->beneficiaire", "b_operation", ["beneficiaire_id"], "b_benef", ["id"]),
+       ("operation->offre", "b_operation", ["offre_id"], "b_offre", ["id"]),
        ("operation->solde", "b_operation", ["beneficiaire_id", "offre_id"], "b_solde", ["beneficiaire_id", "offre_id"]),
        ("motatawi3->beneficiaire", "b_motatawi3", ["beneficiaire_id"], "b_benef", ["id"]),
        ("association->maison", "b_association", ["maison_jeunes_id"], "b_maison", ["id"]),
+       ("personne->association", "b_personne", ["association_id"], "b_association", ["id"]),
+       ("personne->maison", "b_personne", ["maison_jeunes_id"], "b_maison", ["id"]),
        ("activite->association", "b_activite", ["association_id"], "b_association", ["id"]),
        ("activite->maison", "b_activite", ["maison_jeunes_id"], "b_maison", ["id"]),
+       ("activite->colonie", "b_activite", ["colonie_vacances_id"], "b_colonie", ["id"]),
        ("rapport->activite", "b_rapport", ["activite_id"], "b_activite", ["id"]),
        ("personne->cin_mirror", "b_personne", ["jeune_cin"], "cin_mirror", ["cin"]),
-       ("fait_operations->dim_temps", "fops_a", ["temps_id"], "dim_temps", ["temps_id"]),
-       ("fait_motatawi3->dim_temps", "fmot_a", ["temps_id"], "dim_temps", ["temps_id"]),
-       ("fait_activites->dim_region", "fact_a", ["region_id"], "dim_region_a", ["region_id"])]
+       *[(f"fait_{f}->dim_{dim}", rel, [key], parent, [key])
+         for f, rel, dims in (("operations", "fops_a", ("temps", "region", "beneficiaire", "offre")),
+                              ("solde", "fsolde_a", ("temps", "beneficiaire", "offre")),
+                              ("activites", "fact_a", ("temps", "region", "association", "maison")),
+                              ("motatawi3", "fmot_a", ("temps", "region", "beneficiaire")))
+         for dim, parent, key in (("temps", "dim_temps", "temps_id"), ("region", "dim_region_a", "region_id"),
+                                  ("beneficiaire", "dim_benef_a", "beneficiaire_id"), ("offre", "dim_offre", "offre_id"),
+                                  ("association", "dim_association", "association_id"), ("maison", "dim_maison", "maison_id"))
+         if dim in dims]]
 
 
 def _fk_sql(name, child, ck, parent, pk):
@@ -138,16 +148,17 @@ def _fk_sql(name, child, ck, parent, pk):
 
 @query("q_fk_violations", with_ctes(" UNION ALL ".join(_fk_sql(*x) for x in _FK)))
 def q_fk_violations(spark, sf):
-    """Foreign keys of the sources and the star, as anti joins."""
+    """Foreign keys of the sources and the star, counted together in one shuffle."""
     c = Ctx(spark, sf)
     s = c.stg
     frames = {"b_operation": s.operation(), "b_benef": s.beneficiaire(), "b_offre": s.offre(), "b_solde": s.solde(),
               "b_motatawi3": s.motatawi3(), "b_association": s.association(), "b_maison": s.maison(),
-              "b_activite": s.activite(), "b_rapport": s.rapport(), "b_personne": s.personne(),
-              "cin_mirror": s.cin_mirror(), "fops_a": c.a.fait_operations(), "fmot_a": c.a.fait_motatawi3(),
-              "fact_a": c.a.fait_activites(), "dim_temps": c.a.dim_temps, "dim_region_a": c.a.dim_region}
-    return plain(reduce(DataFrame.unionByName, [Q.check_fk(frames[ch], frames[pa], ck, pk, n)
-                                                for n, ch, ck, pa, pk in _FK]))
+              "b_activite": s.activite(), "b_rapport": s.rapport(), "b_personne": s.personne(), "b_colonie": s.colonie(),
+              "cin_mirror": s.cin_mirror(), "fops_a": c.a.fait_operations(), "fsolde_a": c.a.fait_solde(),
+              "fmot_a": c.a.fait_motatawi3(), "fact_a": c.a.fait_activites(), "dim_temps": c.a.dim_temps,
+              "dim_region_a": c.a.dim_region, "dim_benef_a": c.a.benef_keys, "dim_offre": c.a.dim_offre,
+              "dim_association": c.a.dim_association, "dim_maison": c.a.dim_maison}
+    return plain(Q.check_fks(frames, [Q.ForeignKey(n, ch, ck, pa, pk) for n, ch, ck, pa, pk in _FK]))
 
 
 @query("q_cin_mirror", with_ctes("SELECT cin FROM cin_mirror"))

@@ -54,7 +54,8 @@ for _r in ("a", "b"):
 
 
 @query("q_dim_offre", plain_sql(with_ctes("SELECT * FROM dim_offre"),
-                                "valeur_avantage:d,tarif_pass_jeunes:d,tarif_public:d"))
+                                "valeur_avantage:d,tarif_pass_jeunes:d,tarif_public:d,montant_a_debiter:d,montant_a_payer:d,"
+                                "solde_initial:d,solde_mensuel:d"))
 def q_dim_offre(spark, sf):
     return plain(Ctx(spark, sf).a.dim_offre)
 
@@ -218,6 +219,38 @@ def q_measures_volontaires(spark, sf):
     return plain(m.query("motatawi3", ["Total_Volontaires"], by=["region", "domaine_volontariat"]))
 
 
+@query("q_measures_solde_profil", plain_sql(with_ctes("""
+SELECT b.genre, b.tranche_age, sum(credit_initial) AS Credit_Initial_Total,
+       sum(credit_initial) - sum(credit_restant) AS Credit_Consomme_Total
+FROM fsolde_a f LEFT JOIN dim_benef_a b ON f.beneficiaire_id = b.beneficiaire_id
+GROUP BY b.genre, b.tranche_age"""), "Credit_Initial_Total:d,Credit_Consomme_Total:d"))
+def q_measures_solde_profil(spark, sf):
+    """Balance measures by the beneficiary's profile (H5, J17 balances -> beneficiaries)."""
+    m = star_model(Ctx(spark, sf).a)
+    return plain(m.query("solde", ["Credit_Initial_Total", "Credit_Consomme_Total"], by=["genre", "tranche_age"]))
+
+
+@query("q_measures_activites_lieu", plain_sql(with_ctes("""
+SELECT a.domaine_activite, m.nom AS maison, count(*) AS Total_Activites, sum(f.budget) AS Budget_Total_Activites
+FROM fact_a f LEFT JOIN dim_association a ON f.association_id = a.association_id
+LEFT JOIN dim_maison m ON f.maison_id = m.maison_id
+GROUP BY a.domaine_activite, m.nom"""), "Total_Activites:i,Budget_Total_Activites:d"))
+def q_measures_activites_lieu(spark, sf):
+    """Activity measures by the association's domain and the house (H8, J17 activities -> associations, houses)."""
+    m = star_model(Ctx(spark, sf).a)
+    return plain(m.query("activites", ["Total_Activites", "Budget_Total_Activites"], by=["domaine_activite", "maison"]))
+
+
+@query("q_measures_volontaires_profil", plain_sql(with_ctes("""
+SELECT b.genre, b.tranche_age, count(*) AS Total_Volontaires
+FROM fmot_a f LEFT JOIN dim_benef_a b ON f.beneficiaire_id = b.beneficiaire_id
+GROUP BY b.genre, b.tranche_age"""), "Total_Volontaires:i"))
+def q_measures_volontaires_profil(spark, sf):
+    """Volunteer count by the beneficiary's profile (H9, J17 volunteering -> beneficiaries)."""
+    m = star_model(Ctx(spark, sf).a)
+    return plain(m.query("motatawi3", ["Total_Volontaires"], by=["genre", "tranche_age"]))
+
+
 @query("q_measures_engagement", plain_sql(with_ctes("""
 SELECT tranche_age, count_if(est_membre_association) AS Nb_Beneficiaires_Membres_Associations,
        coalesce(CAST(count_if(est_membre_association) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 0)
@@ -235,26 +268,30 @@ def q_measures_engagement(spark, sf):
 
 @query("q_rollup_calendar", plain_sql(with_ctes("""
 SELECT t.annee, t.trimestre, t.mois, t.jour, GROUPING(t.annee, t.trimestre, t.mois, t.jour) AS niveau,
-       count(*) AS Total_Operations, sum(f.montant_reduction) AS Montant_Total_Reductions
+       count(*) AS Total_Operations, sum(f.montant_reduction) AS Montant_Total_Reductions,
+       count(DISTINCT f.beneficiaire_id) AS Nb_Beneficiaires_Actifs
 FROM fops_a f LEFT JOIN dim_temps t ON f.temps_id = t.temps_id
 GROUP BY ROLLUP (t.annee, t.trimestre, t.mois, t.jour)"""),
-    "annee:i,trimestre:i,mois:i,jour:i,niveau:i,Total_Operations:i,Montant_Total_Reductions:d"))
+    "annee:i,trimestre:i,mois:i,jour:i,niveau:i,Total_Operations:i,Montant_Total_Reductions:d,Nb_Beneficiaires_Actifs:i"))
 def q_rollup_calendar(spark, sf):
-    """Drill-down totals year > quarter > month > day."""
+    """Drill-down totals and distinct beneficiaries year > quarter > month > day."""
     m = star_model(Ctx(spark, sf).a)
     return plain(m.drill("operations", ["annee", "trimestre", "mois", "jour"],
-                         ["Total_Operations", "Montant_Total_Reductions"]))
+                         ["Total_Operations", "Montant_Total_Reductions", "Nb_Beneficiaires_Actifs"]))
 
 
 @query("q_rollup_geography", plain_sql(with_ctes("""
 SELECT r.zone_geo, r.region, r.ville, GROUPING(r.zone_geo, r.region, r.ville) AS niveau,
-       count(*) AS Total_Operations, sum(f.montant_reduction) AS Montant_Total_Reductions
+       count(*) AS Total_Operations, sum(f.montant_reduction) AS Montant_Total_Reductions,
+       count(DISTINCT f.beneficiaire_id) AS Nb_Beneficiaires_Actifs
 FROM fops_a f LEFT JOIN dim_region_a r ON f.region_id = r.region_id
-GROUP BY ROLLUP (r.zone_geo, r.region, r.ville)"""), "niveau:i,Total_Operations:i,Montant_Total_Reductions:d"))
+GROUP BY ROLLUP (r.zone_geo, r.region, r.ville)"""),
+    "niveau:i,Total_Operations:i,Montant_Total_Reductions:d,Nb_Beneficiaires_Actifs:i"))
 def q_rollup_geography(spark, sf):
-    """Drill-down totals zone > region > city."""
+    """Drill-down totals and distinct beneficiaries zone > region > city."""
     m = star_model(Ctx(spark, sf).a)
-    return plain(m.drill("operations", ["zone_geo", "region", "ville"], ["Total_Operations", "Montant_Total_Reductions"]))
+    return plain(m.drill("operations", ["zone_geo", "region", "ville"],
+                         ["Total_Operations", "Montant_Total_Reductions", "Nb_Beneficiaires_Actifs"]))
 
 
 @query("q_inscriptions_by_date", plain_sql(with_ctes("""

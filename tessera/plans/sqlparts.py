@@ -103,7 +103,13 @@ SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE p_brand END AS nom_partenaire, p
        CAST(CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN id % 50 + 10 ELSE (id % 5 + 1) * 10 END AS DECIMAL(10,2)) AS valeur_avantage,
        CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'DH' ELSE '%' END AS unite_avantage,
        CASE WHEN id % 7 = 0 THEN 'sur devis' ELSE CAST(CAST(price AS DECIMAL(10,2)) AS VARCHAR) END AS tarif_pass_jeunes_txt,
-       CAST(price AS DECIMAL(10,2)) AS tarif_public, CASE WHEN id % 10 = 5 THEN 'Multi-villes' ELSE n_name END AS ville,
+       CAST(price AS DECIMAL(10,2)) AS tarif_public, CASE WHEN id % 6 <> 0 THEN 'Offre ' || p_type END AS description,
+       CASE WHEN id % 4 = 0 THEN 'Sur presentation du pass' END AS conditions,
+       CAST(CASE WHEN id % 3 = 1 THEN id % 20 + 5 END AS DECIMAL(10,2)) AS montant_a_debiter,
+       CAST(CAST(price AS DECIMAL(10,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(10,2)) AS montant_a_payer,
+       CAST((id % 6) * 100 AS DECIMAL(10,2)) AS solde_initial,
+       CAST(CASE WHEN id % 6 <> 0 THEN (id % 6) * 10 END AS DECIMAL(10,2)) AS solde_mensuel,
+       CASE WHEN id % 10 = 5 THEN 'Multi-villes' ELSE n_name END AS ville,
        CASE WHEN id % 5 = 0 THEN 'National' ELSE r_name END AS region, (id % 10 <> 0) AS actif
 FROM b_catalogue JOIN geo ON id % 25 = n_nationkey""")
 cte("b_lines", """
@@ -152,7 +158,8 @@ SELECT s_suppkey AS id, 'Colonie ' || s_name AS nom, CASE WHEN s_suppkey % 9 = 0
 FROM supplier JOIN geo ON s_nationkey = n_nationkey""")
 cte("b_activite", """
 SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS association_id,
-       CAST(c_nationkey AS BIGINT) AS maison_jeunes_id, o_orderpriority AS type_activite, o_orderstatus AS statut,
+       CAST(c_nationkey AS BIGINT) AS maison_jeunes_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 97 END AS colonie_vacances_id,
+       o_orderpriority AS type_activite, o_orderstatus AS statut,
        CAST(o_totalprice AS DECIMAL(12,2)) AS budget, CAST(o_orderdate AS DATE) AS date_debut,
        CASE WHEN ls.last_ship >= o_orderdate THEN CAST(ls.last_ship AS DATE) END AS date_fin
 FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) ls
@@ -164,7 +171,8 @@ SELECT l_orderkey AS activite_id, CAST(l_quantity AS INTEGER) AS nb_participants
 FROM lineitem""")
 cte("b_personne", f"""
 SELECT u.user_id AS id, c_name AS jeune_cin, {pick(ROLES, 'u.user_id')} AS role, 'Membre_Bureau' AS type_personne,
-       CASE WHEN u.user_id % 4 = 0 THEN 'Inactif' ELSE 'Actif' END AS statut
+       CASE WHEN u.user_id % 4 = 0 THEN 'Inactif' ELSE 'Actif' END AS statut, u.user_id % 90 AS association_id,
+       CASE WHEN u.user_id % 2 = 0 THEN u.user_id % 27 END AS maison_jeunes_id
 FROM (SELECT DISTINCT user_id FROM events) u JOIN customer ON u.user_id = c_custkey""")
 cte("cin_mirror", "SELECT DISTINCT cin FROM b_benef WHERE statut_pass = 'Actif'")
 
@@ -194,7 +202,8 @@ cte("dim_offre", """
 SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS offre_id, id AS source_id,
        coalesce(nom_partenaire, 'Non precise') AS nom_partenaire, categorie AS secteur, categorie, nom_offre,
        type_avantage, valeur_avantage, unite_avantage, TRY_CAST(tarif_pass_jeunes_txt AS DECIMAL(10,2)) AS tarif_pass_jeunes,
-       tarif_public, ville AS ville_offre, region AS region_offre, actif
+       tarif_public, description, conditions, montant_a_debiter, montant_a_payer, solde_initial, solde_mensuel,
+       ville AS ville_offre, region AS region_offre, actif
 FROM b_offre""")
 cte("dim_association", """
 SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS association_id, id AS source_id, nom, type,

@@ -143,6 +143,12 @@ class Staging:
                     F.when(F.col("id") % 7 == 0, F.lit("sur devis"))
                     .otherwise(F.col("price").cast("decimal(10,2)").cast("string")).alias("tarif_pass_jeunes_txt"),
                     F.col("price").cast("decimal(10,2)").alias("tarif_public"),
+                    F.when(F.col("id") % 6 != 0, F.concat(F.lit("Offre "), "p_type")).alias("description"),
+                    F.when(F.col("id") % 4 == 0, F.lit("Sur presentation du pass")).alias("conditions"),
+                    F.when(k == 1, F.col("id") % 20 + 5).cast("decimal(10,2)").alias("montant_a_debiter"),
+                    (F.col("price").cast("decimal(10,2)") * F.lit(0.5).cast("decimal(2,1)")).cast("decimal(10,2)").alias("montant_a_payer"),
+                    ((F.col("id") % 6) * 100).cast("decimal(10,2)").alias("solde_initial"),
+                    F.when(F.col("id") % 6 != 0, (F.col("id") % 6) * 10).cast("decimal(10,2)").alias("solde_mensuel"),
                     F.when(F.col("id") % 10 == 5, F.lit("Multi-villes")).otherwise(F.col("n_name")).alias("ville"),
                     F.when(F.col("id") % 5 == 0, "National").otherwise(F.col("r_name")).alias("region"),
                     (F.col("id") % 10 != 0).alias("actif"),
@@ -276,6 +282,7 @@ class Staging:
                     F.col("o_orderkey").alias("id"),
                     (F.col("o_custkey") % n_sup).alias("association_id"),
                     F.col("c_nationkey").cast("long").alias("maison_jeunes_id"),
+                    F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 97).alias("colonie_vacances_id"),
                     F.col("o_orderpriority").alias("type_activite"),
                     F.col("o_orderstatus").alias("statut"),
                     F.col("o_totalprice").cast("decimal(12,2)").alias("budget"),
@@ -304,6 +311,9 @@ class Staging:
                 _pick(ROLES, F.col("user_id")).alias("role"),
                 F.lit("Membre_Bureau").alias("type_personne"),
                 F.when(F.col("user_id") % 4 == 0, "Inactif").otherwise("Actif").alias("statut"),
+                # some name an association or a house that is not there
+                (F.col("user_id") % 90).alias("association_id"),
+                F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 27).alias("maison_jeunes_id"),
             )
         return self._memo("personne", build)
 

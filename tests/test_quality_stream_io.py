@@ -119,3 +119,23 @@ def test_stream_rejects_events_of_unknown_users(spark):
     assert len(got) == 7
     for i in (-1, -2):
         assert (got[i]["accepted"], got[i]["message"], got[i]["jeune_cin"]) == (False, Q.REJECT_MESSAGE, None)
+
+
+def test_foreign_keys_are_counted_together_in_one_shuffle(spark):
+    parent = spark.createDataFrame([(i, f"k{i}") for i in range(50)], "id long, code string")
+    child = spark.createDataFrame([(i, i % 60, None if i % 3 == 0 else f"k{i % 55}", 1) for i in range(600)] + [(900 + i, 7, "k1", 2) for i in range(300)],
+                                  "id long, p int, c string, part int")
+    grand = spark.createDataFrame([(i, i % 4) for i in (0, 1, 5000, 5001, 5002)], "child_id long, part long")
+    empty = parent.limit(0)
+    frames = {"parent": parent, "child": child, "grand": grand, "none": empty}
+    keys = [Q.ForeignKey("child->parent", "child", ["p"], "parent", ["id"]), Q.ForeignKey("child->code", "child", ["c"], "parent", ["code"]),
+            Q.ForeignKey("grand->child", "grand", ["child_id"], "child", ["id"]), Q.ForeignKey("grand->pair", "grand", ["child_id", "part"], "child", ["id", "part"]),
+            Q.ForeignKey("child->none", "child", ["p"], "none", ["id"]), Q.ForeignKey("none->parent", "none", ["id"], "parent", ["id"])]
+    out = Q.check_fks(frames, keys)
+    got = {r["relationship"]: r["n_violations"] for r in out.collect()}
+    assert got == {"child->parent": 100, "child->code": sum(1 for i in range(600) if i % 3 and i % 55 >= 50), "grand->child": 3,
+                   "grand->pair": 4, "child->none": 900, "none->parent": 0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Union") == 1
+    # one exchange of keys, then one row per parent
+    assert sum("hashpartitioning(parent" in x and "key" in x for x in out._jdf.queryExecution().executedPlan().toString().splitlines()) <= 2

@@ -79,3 +79,17 @@ def test_surrogate_dense_and_ordered_with_skew(spark):
     assert [r.sid for r in out] == list(range(1, 901))
     keys = [(r.a, r.b) for r in out]
     assert keys == sorted(keys)
+
+
+def test_distinct_counts_merge_up_a_hierarchy(spark):
+    from tessera.operators.measures import SemanticModel
+    rows = [(y, m, k, 1.5) for y in (2000, 2001) for m in range(1, 5) for k in (1, 2, 32768, 32769, 70000 + m, 200_000 * y)] + [(2001, None, 5, 1.0), (None, 1, 1, 1.0)]
+    fact = spark.createDataFrame(rows, "annee int, mois int, beneficiaire_id long, montant_reduction double")
+    out = SemanticModel().add_fact("operations", fact).drill("operations", ["annee", "mois"], ["Total_Operations", "Nb_Beneficiaires_Actifs"])
+    want = fact.rollup("annee", "mois").agg(F.grouping_id().alias("niveau"), F.count(F.lit(1)).alias("Total_Operations"),
+                                            F.count_distinct("beneficiaire_id").alias("Nb_Beneficiaires_Actifs"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.select(out.columns).collect()), key=str)
+    # grouping sets expand the cells, not the fact: an aggregate stands below
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Expand" in x)
+    assert any("bitmap_construct_agg" in x for x in lines[at:]) and not any("bitmap_construct_agg" in x for x in lines[:at])
