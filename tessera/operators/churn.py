@@ -10,7 +10,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import risk_segment
-from tessera.operators import boosting
+from tessera.operators import boosting, neighbours
 from tessera.operators.boosting import Boost
 from tessera.operators.keys import with_surrogate
 from tessera.operators.scoring import metrics_table
@@ -29,8 +28,6 @@ from tessera.session import checkpoint_dir
 KEY, LABEL = "beneficiaire_id", "churned"
 STACK = "Stacking Ensemble"
 FIT_ROWS = 100_000  # training rows of a partition
-# rows of a block in the neighbour search: 128 asking rows at a time against a block's distances (about 8 MB)
-ASK_BLOCK, POINT_BLOCK = 1024, 8192
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, test_frac: float = 0.2, seed: int = 42,
@@ -63,67 +60,9 @@ def stratified_folds(df: DataFrame, folds: int, label: str = LABEL, seed: int =
     return pos.withColumn("_fold", F.pmod(F.col("_pos"), F.lit(folds)).cast("int")).drop("_h", "_pos")
 
 
-def _pack(width: int, rows: int):
-    """mapInPandas function: consecutive rows of a partition as blocks of at most ``rows`` keys and vectors."""
-    import pandas as pd
-
-    def pack(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at:at + rows].sort_values("_a")
-                x = np.array(part["_v"].tolist(), dtype="<f8").reshape(len(part), width)
-                yield pd.DataFrame({"ids": [part["_a"].to_numpy("<i8").tobytes()], "points": [x.tobytes()]})
-    return pack
-
-
-def block_nearest(ask_ids, ask, ids, points, k: int):
-    """(key, other key, squared distance) of the k nearest rows of one block for every asking row; ties by key.
-
-    ``ids`` ascend."""
-    for at in range(0, len(ask_ids), 128):
-        x, own = ask[at:at + 128], ask_ids[at:at + 128]
-        d = np.zeros((len(x), len(ids)))
-        for c in range(points.shape[1]):
-            d += (x[:, c][:, None] - points[:, c][None, :]) ** 2
-        d[own[:, None] == ids[None, :]] = np.inf
-        for a, row in zip(own.tolist(), d):
-            m = min(k, int(np.isfinite(row).sum()))
-            if m:
-                kth = np.partition(row, m - 1)[m - 1]
-                near = np.concatenate([np.flatnonzero(row < kth), np.flatnonzero(row == kth)])[:m]
-                for b in near:
-                    yield a, int(ids[b]), float(row[b])
-
-
-def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5, key: str = KEY,
-                       ask_block: int = ASK_BLOCK, point_block: int = POINT_BLOCK) -> DataFrame:
-    """(_a, _r, _b, _nv): the exact k nearest other rows of every row (Euclidean; ties by key), with their features.
-
-    Every pair of blocks meets once: rows are dealt to blocks in the shared folder, each pair of blocks gives k rows per
-    asking row, and a window with a limit merges them. A task holds two blocks; nothing reaches the driver. Keys are unique."""
-    spark, width = rows.sparkSession, len(features)
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    checkpoint_dir(spark)  # the cluster's shared folder (set locally only when unset)
-    vec = rows.select(F.col(key).cast("long").alias("_a"),
-                      F.array(*[F.col(c).cast("double") for c in features]).alias("_v")).checkpoint(eager=True)
-    points = vec.mapInPandas(_pack(width, point_block), "ids binary, points binary").checkpoint(eager=True)
-    ask = vec.mapInPandas(_pack(width, ask_block), "ids binary, points binary").checkpoint(eager=True)
-    left = points.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"),
-                         F.col("ids").alias("c_ids"), F.col("points").alias("c_points"))
-    right = ask.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-                       F.col("ids").alias("q_ids"), F.col("points").alias("q_points"))
-
-    def search(pairs):
-        for r in pairs:
-            ci, qi = np.frombuffer(r.c_ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
-            c, q = np.frombuffer(r.c_points, "<f8").reshape(len(ci), width), np.frombuffer(r.q_points, "<f8").reshape(len(qi), width)
-            yield from block_nearest(qi, q, ci, c, k)
-
-    found = spark.createDataFrame(left.join(right, "g").rdd.mapPartitions(search), "_a long, _b long, _d double", verifySchema=False)
-    near = Window.partitionBy("_a").orderBy("_d", "_b")
-    best = found.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)
-    best = best.select("_a", "_r", "_b").checkpoint(eager=True)  # read several times
-    return best.join(vec.select(F.col("_a").alias("_b"), F.col("_v").alias("_nv")), "_b").select("_a", "_r", "_b", "_nv")
+def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 5, key: str = KEY, block: int = neighbours.BLOCK) -> DataFrame:
+    """(_a, _r, _b, _nv): the exact k nearest other rows of every row, with their features; kept, for it is read several times."""
+    return neighbours.nearest(rows, features, k, key, block).checkpoint(eager=True)
 
 
 def smote(df: DataFrame, features: list[str], label: str = LABEL, k: int = 5, seed: int = 42,

@@ -144,7 +144,7 @@ def test_neighbours_search_all_rows_over_many_blocks(spark):
     rng = np.random.default_rng(5)
     pts = rng.integers(0, 30, (300, 3)).astype(float)
     rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "beneficiaire_id long, a double, b double, c double")
-    got = C.nearest_neighbours(rows.repartition(3), ["a", "b", "c"], ask_block=17, point_block=23).collect()
+    got = C.nearest_neighbours(rows.repartition(3), ["a", "b", "c"], block=17).collect()
     assert len(got) == 1500
     near = {(r["_a"], r["_r"]): (r["_b"], r["_nv"]) for r in got}
     for i, p in enumerate(pts):
@@ -307,3 +307,32 @@ def test_boosting_equals_a_plain_version_alone_and_in_step(spark, monkeypatch):
     assert np.allclose([r["p"] for r in sorted(scored)], 1 / (1 + np.exp(-alone[0].margin(codes))))
     assert math.isclose(sum(alone[0].importances()), 1.0) and alone[0].importances()[2] < 0.2
     assert boosting.fit_many(df.limit(0), ["a"], specs[:1], C.KEY, C.LABEL)[0].trees == []
+
+
+def test_pivots_skip_blocks_and_equal_rows_cost_one_point(spark):
+    import numpy as np
+
+    from tessera.operators import neighbours
+    rng = np.random.default_rng(7)
+    centres = rng.uniform(-100, 100, (16, 4))
+    pts = np.concatenate([rng.normal(centres[i % 16], 1.0, (1, 4)) for i in range(1600)] + [np.zeros((900, 4))] + [np.round(rng.normal(0, 1, (60, 4)))])
+    keys = rng.permutation(len(pts)) * 3 + 1
+    rows = spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(keys, pts)], "beneficiaire_id long, a double, b double, c double, d double")
+    s = neighbours.prepare(rows.repartition(4), ["a", "b", "c", "d"], 5, "beneficiaire_id", block=32)
+    n = s.blocks.count()
+    assert s.points.count() < 1700 and n > 40 and s.pairs.count() < n * n / 4
+    assert s.pairs.select("a", "b").distinct().count() == s.pairs.count()
+    got = {(r["_a"], r["_r"]): (r["_b"], r["_nv"]) for r in C.nearest_neighbours(rows, ["a", "b", "c", "d"], block=32).collect()}
+    assert len(got) == 5 * len(pts)
+    at = {int(i): p for i, p in zip(keys, pts)}
+    order = np.argsort(keys)
+    for i in rng.choice(len(pts), 300, replace=False):
+        d = ((pts[order] - pts[i]) ** 2).sum(axis=1)
+        d[order == i] = np.inf
+        best = np.argsort(d, kind="stable")[:5]
+        want = [(float(d[j]), int(keys[order][j])) for j in best]
+        mine = [(float(((at[got[keys[i], r][0]] - pts[i]) ** 2).sum()), got[keys[i], r][0]) for r in range(1, 6)]
+        assert np.allclose([x for x, _ in mine], [x for x, _ in want]) and [j for x, j in mine if x == 0] == [j for x, j in want if x == 0]
+        assert all(got[keys[i], r][1] == at[got[keys[i], r][0]].tolist() for r in range(1, 6))
+    assert C.nearest_neighbours(rows.limit(0), ["a"]).count() == 0
+    assert C.nearest_neighbours(rows.limit(1), ["a"]).count() == 0 and C.nearest_neighbours(rows.limit(2), ["a"]).count() == 2
