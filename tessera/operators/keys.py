@@ -45,3 +45,16 @@ def with_surrogate(df: DataFrame, order_cols, name: str, num_partitions: int | N
         .withColumn(name, (F.col("__w2_off") + F.col("__w2_pos") + 1).cast("long"))
         .drop("__w2_pid", "__w2_pos", "__w2_off")
     )
+
+
+def extend_keys(known: DataFrame | None, ids: DataFrame, source: str, name: str) -> DataFrame:
+    """Keys that survive a reload: (source, name) of an earlier load keep their key, ids met for the first time follow the highest
+    one in the order of their source id (W2). A key is never given twice, also where its id has left the source.
+
+    Null ids get no key; ids that stand more than once get one."""
+    ids = ids.select(source).where(F.col(source).isNotNull()).distinct()
+    if known is None:
+        return with_surrogate(ids, [source], name)
+    fresh = with_surrogate(ids.join(known.select(source), source, "left_anti"), [source], "__w2_new")
+    highest = F.coalesce(known.agg(F.max(name)).scalar(), F.lit(0))
+    return known.select(source, name).unionByName(fresh.select(source, (F.col("__w2_new") + highest).cast("long").alias(name)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import checkpoint_dir
+from tessera.sources import io
 
 
 def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -21,6 +22,16 @@ def write_back(dim: DataFrame, scores: DataFrame, key: str, cols: list[str]) ->
     return base.join(scores.select(key, *cols), key, "left")
 
 
+def rewrite(dim: DataFrame, updates: list[tuple[DataFrame, list[str]]], key: str, base: str, name: str, run_id: str) -> DataFrame:
+    """The dimension with the score columns of all ``updates`` written as a new version below ``base`` and read back from
+    there; the version it came from stays until the pointer has moved."""
+    for scores, cols in updates:
+        dim = write_back(dim, scores, key, cols)
+    io.reload({name: dim}, base, run_id)
+    spark = dim.sparkSession
+    return spark.read.schema(dim.schema).parquet(f"{io.current(spark, base)}/{name}")
+
+
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """Value counts with their percentage of the total."""
     g = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))

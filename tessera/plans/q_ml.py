@@ -181,6 +181,16 @@ def q_segments(spark, sf):
     return _segments(Ctx(spark, sf)).select(C.KEY, "cluster", "segment")
 
 
+@query("q_segment_writeback")
+def q_segment_writeback(spark, sf):
+    """Cluster and segment written back to the dimension; people without a segment keep NULL."""
+    from tessera.operators.scoring import rewrite
+    from tessera.sources import io
+    ctx = Ctx(spark, sf)
+    dim = ctx.b.dim_beneficiaire.select(C.KEY, "source_id", "tranche_age")
+    return rewrite(dim, [(_segments(ctx), ["cluster", "segment"])], C.KEY, io.scratch(spark, "dwh_segments"), "dim_beneficiaire", "segments")
+
+
 @query("q_cluster_profile")
 def q_cluster_profile(spark, sf):
     """Mean frequency, mean monetary and engagement per cluster."""

@@ -234,3 +234,33 @@ def q_stream_cin_validation(spark, sf):
                                         F.lit(None).cast("string").alias("message"))
     rej = spark.read.parquet(ko).select("event_id", "jeune_cin", F.lit(False).alias("accepted"), "message")
     return acc.unionByName(rej)
+
+
+cte("cin_events", """
+SELECT e.event_id, e.user_id AS id, e.ts, c.c_custkey IS NOT NULL AS known,
+       CASE WHEN e.event_id % 5 = 0 THEN NULL WHEN e.event_id % 3 = 0 THEN o.c_name ELSE c.c_name END AS jeune_cin
+FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN customer o ON e.user_id + 1 = o.c_custkey""")
+
+
+@query("q_stream_cin_updates", with_ctes(f"""
+SELECT event_id, id, v.jeune_cin, changed, ok AS accepted, CASE WHEN NOT ok THEN {sq(Q.REJECT_MESSAGE)} END AS message
+FROM (SELECT u.*, coalesce(known, false) AND (NOT changed OR m.cin IS NOT NULL) AS ok
+      FROM (SELECT *, jeune_cin IS NOT NULL AND jeune_cin IS DISTINCT FROM lag(jeune_cin) OVER (PARTITION BY id ORDER BY ts, event_id) AS changed
+            FROM cin_events) u LEFT JOIN cin_mirror m ON u.jeune_cin = m.cin) v"""))
+def q_stream_cin_updates(spark, sf):
+    """Arriving updates of members' ids (G8, T1): keyed state holds each person's last id, repeated events are dropped, only
+    changed ids are checked against the mirror; events of a null or unknown user land in the rejected sink."""
+    from tessera.streaming.validate import validate_updates
+    s = Ctx(spark, sf).stg
+    stream = (spark.readStream.schema(s.t["events"].schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    cust = s.t["customer"].select(F.col("c_custkey").alias("_c"), F.col("c_name").alias("_own"))
+    other = s.t["customer"].select((F.col("c_custkey") - 1).alias("_o"), F.col("c_name").alias("_other"))
+    cin = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 3 == 0, F.col("_other")).otherwise(F.col("_own"))
+    events = (stream.join(cust, stream.user_id == cust["_c"], "left").join(other, stream.user_id == other["_o"], "left")
+              .select("event_id", F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("_c").isNotNull().alias("known"),
+                      cin.alias("jeune_cin")))
+    ok, ko = validate_updates(spark, events, s.cin_mirror(), known_col="known")
+    cols = ["event_id", "id", "jeune_cin", "changed"]
+    acc = spark.read.parquet(ok).select(*cols, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("message"))
+    return acc.unionByName(spark.read.parquet(ko).select(*cols, F.lit(False).alias("accepted"), "message"))

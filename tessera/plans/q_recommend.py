@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import ellipsis
 from tessera.operators import recommend as R
 from tessera.operators.scoring import value_share
-from tessera.plans.common import plain
+from tessera.plans.common import plain, plain_sql
 from tessera.plans.context import Ctx
 from tessera.plans.registry import query
 from tessera.plans.sqlparts import cte, d, q as sq, with_ctes
@@ -218,3 +218,24 @@ def q_rec_matrix_shape(spark, sf):
     ui = R.user_item(rec_ops(Ctx(spark, sf).b))
     return ui.agg(F.count_distinct("beneficiaire_id").alias("n_users"), F.count_distinct("offre_id").alias("n_items"),
                   F.count(F.lit(1)).alias("n_nonzero"))
+
+
+@query("q_dim_writeback", plain_sql(with_ctes("""
+SELECT b.beneficiaire_id, b.source_id, b.cin, b.tranche_age, s.churn_probability, s.churn_predicted, s.churn_risk_segment,
+       l.recommandation_offre_1, l.recommandation_offre_2, l.recommandation_offre_3, l.secteur_recommande
+FROM dim_benef_b b LEFT JOIN scores_seg s ON b.beneficiaire_id = s.beneficiaire_id
+LEFT JOIN labels_rops l ON b.beneficiaire_id = l.beneficiaire_id"""), "churn_probability:d"))
+def q_dim_writeback(spark, sf):
+    """Scores, recommendations and sector written back: the dimension is loaded, rewritten twice (the second time over its
+    own old score columns) and read from the version that counts (S8)."""
+    from tessera.operators.scoring import rewrite
+    from tessera.plans.q_features import _score_cols
+    from tessera.sources import io
+    c = Ctx(spark, sf)
+    base = io.scratch(spark, "dwh_scores")
+    io.reload({"dim_beneficiaire": c.b.dim_beneficiaire.select("beneficiaire_id", "source_id", "cin", "tranche_age")}, base, "load")
+    dim = spark.read.parquet(f"{io.current(spark, base)}/dim_beneficiaire")
+    scores = (_score_cols(c), ["churn_probability", "churn_predicted", "churn_risk_segment"])
+    offers = (_labelled(c), ["recommandation_offre_1", "recommandation_offre_2", "recommandation_offre_3", "secteur_recommande"])
+    dim = rewrite(dim, [scores], "beneficiaire_id", base, "dim_beneficiaire", "scores")
+    return plain(rewrite(dim, [scores, offers], "beneficiaire_id", base, "dim_beneficiaire", "recommendations"))

@@ -110,24 +110,70 @@ def sink(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Non
     w.parquet(path)
 
 
-def observed_sink(df: DataFrame, path: str, table: str, source: str,
-                  partition_by: list[str] | None = None) -> DataFrame:
-    """S6 + S10: write, then return the audit-log row of that load: rows of
-    the source and rows found in the written table (Parquet footer counts).
-
-    A failed load raises; its row of the log is carried by the exception (``LoadError.log``)."""
+def observed_sink(df: DataFrame, path: str, table: str, source: str, partition_by: list[str] | None = None,
+                  source_rows: DataFrame | None = None, log_base: str | None = None) -> DataFrame:
+    """S6 + S10: write, then return the audit-log row of that load: rows of the source and rows found in the
+    written table.
+
+    The frame is computed once: inserted rows come from the Parquet footers of what was written; ``source_rows`` is the
+    staged source whose rows are counted (not given: everything read was inserted). With ``log_base`` the row is also appended to the log
+    kept there, that of a failed load too. A failed load raises; its row is carried by the exception (``LoadError.log``)."""
     t0 = dt.datetime.now()
-    status, err, n_src, n_ins = "OK", None, 0, 0
+    status, err, n_src, n_ins, cause = "OK", None, 0, 0, None
     try:
-        n_src = df.count()
         sink(df, path, partition_by)
         n_ins = df.sparkSession.read.parquet(path).count()
+        n_src = source_rows.count() if source_rows is not None else n_ins
     except Exception as ex:  # noqa: BLE001 - the error is the log's content
-        status, err = "ERREUR", str(ex)[:4000]
-        raise LoadError(err, log_row(df.sparkSession, table, source, t0, n_src, n_ins, status, err,
-                                     int((dt.datetime.now() - t0).total_seconds()))) from ex
-    secs = int((dt.datetime.now() - t0).total_seconds())
-    return log_row(df.sparkSession, table, source, t0, n_src, n_ins, status, err, secs)
+        status, err, cause = "ERREUR", str(ex)[:4000], ex
+    row = log_row(df.sparkSession, table, source, t0, n_src, n_ins, status, err, int((dt.datetime.now() - t0).total_seconds()))
+    if log_base:
+        append_log(row, log_base)
+    if cause is not None:
+        raise LoadError(err, row) from cause
+    return row
+
+
+def append_log(row: DataFrame, base: str) -> None:
+    """Add a row to the accumulating log (S10); its number orders loads, and loads at the same time keep files of their own."""
+    n = _highest(row.sparkSession, f"{base}/_log", "n long")
+    row.withColumn("n", F.lit(n + 1)).coalesce(1).write.mode("append").parquet(f"{base}/_log")
+
+
+def read_log(spark: SparkSession, base: str) -> DataFrame:
+    """The log of all loads so far, numbered (an empty frame before the first)."""
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("n", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{base}/_log") if _exists(spark, f"{base}/_log") else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _highest(spark: SparkSession, path: str, schema: str) -> int:
+    return (spark.read.schema(schema).parquet(path).agg(F.max("n")).first()[0] or 0) if _exists(spark, path) else 0
+
+
+def load_keys(spark: SparkSession, ids: DataFrame, base: str, source: str, name: str) -> DataFrame:
+    """W1/W2 across loads: the persisted (source, key) map below ``base``, extended by the ids of this load and written as
+    a new version; the highest version counts."""
+    from tessera.operators.keys import extend_keys
+    version = _highest(spark, f"{base}/_keys", "n long")
+    schema = T.StructType([T.StructField(source, ids.schema[source].dataType), T.StructField(name, T.LongType())])
+    known = spark.read.schema(schema).parquet(f"{base}/v{version}") if version else None
+    extend_keys(known, ids, source, name).write.mode("overwrite").parquet(f"{base}/v{version + 1}")
+    spark.createDataFrame([(version + 1,)], "n long").coalesce(1).write.mode("append").parquet(f"{base}/_keys")
+    return spark.read.schema(schema).parquet(f"{base}/v{version + 1}")
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, base: str) -> DataFrame:
+    """S6 + S8: a table bucketed and sorted by ``key`` in the shared folder. Tables with as many buckets join and
+    aggregate on the key without an exchange. One file per bucket: rows are dealt by the key before they are written."""
+    path = f"{base}/{name}"
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path)
+     .format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
 
 
 class LoadError(RuntimeError):
@@ -169,8 +215,7 @@ POINTER = "n long, run_id string"
 
 def _last_pointer(spark: SparkSession, base: str) -> tuple[int, str | None]:
     """The highest committed pointer (0, None before the first load)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/_current")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{base}/_current"):
         return 0, None
     row = spark.read.schema(POINTER).parquet(f"{base}/_current").agg(F.max(F.struct("n", "run_id"))).first()[0]
     return (row["n"], row["run_id"]) if row else (0, None)

@@ -139,3 +139,75 @@ def test_foreign_keys_are_counted_together_in_one_shuffle(spark):
     assert "Join" not in plan and plan.count("Union") == 1
     # one exchange of keys, then one row per parent
     assert sum("hashpartitioning(parent" in x and "key" in x for x in out._jdf.queryExecution().executedPlan().toString().splitlines()) <= 2
+
+
+def test_stream_of_updates_resumes_and_checks_only_changes(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.streaming.validate import validate_updates
+    mirror = spark.createDataFrame([("A",), ("B",)], "cin string")
+    schema = "event_id long, id long, ts timestamp, known boolean, jeune_cin string"
+    at = lambda m: dt.datetime(2001, 1, 1, 0, m)
+
+    def arrive(rows):
+        spark.createDataFrame([(e, i, at(e), k, c) for e, i, k, c in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ok, ko = validate_updates(spark, stream, mirror, f"{tmp_path}/out", known_col="known")
+        good = {r.event_id: r.changed for r in spark.read.parquet(ok).collect()}
+        bad = {r.event_id: (r.changed, r.message) for r in spark.read.parquet(ko).collect()}
+        return good, bad
+
+    # person 1 keeps A, then takes an unknown id; person 2 starts with one that is not in the mirror
+    good, bad = arrive([(1, 1, True, "A"), (2, 1, True, "A"), (3, 2, True, "X"), (4, None, False, None), (5, 3, True, None)])
+    assert good == {1: True, 2: False, 5: False} and set(bad) == {3, 4} and all(m == Q.REJECT_MESSAGE for _, m in bad.values())
+    # after a restart: an event again, an unchanged unknown id that passes unchecked, changes to and from NULL
+    good, bad = arrive([(2, 1, True, "A"), (6, 2, True, "X"), (7, 1, True, None), (8, 1, True, "A"), (9, 1, True, "Y"), (10, 3, True, "B")])
+    assert good == {1: True, 2: False, 5: False, 6: False, 7: False, 8: True, 10: True}
+    assert set(bad) == {3, 4, 9} and bad[9] == (True, Q.REJECT_MESSAGE)
+    n = spark.read.parquet(f"{tmp_path}/out/accepted").count() + spark.read.parquet(f"{tmp_path}/out/rejected").count()
+    assert n == 10                                                      # each event in one sink
+
+
+def test_keys_survive_reloads(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "source_id long")
+    load = lambda f: {r[0]: r[1] for r in io.load_keys(spark, f, str(tmp_path), "source_id", "k").collect()}
+    assert load(ids(10, 30, 20, 20, None)) == {10: 1, 20: 2, 30: 3}
+    assert load(ids(5, 10, 25, 30)) == {10: 1, 20: 2, 30: 3, 5: 4, 25: 5}      # 20 has left and keeps its key
+    assert load(ids(20, 1)) == {10: 1, 20: 2, 30: 3, 5: 4, 25: 5, 1: 6}
+    assert load(ids()) == {10: 1, 20: 2, 30: 3, 5: 4, 25: 5, 1: 6}
+
+
+def test_log_accumulates_and_keeps_failed_loads(spark, tmp_path):
+    import pytest
+    df = spark.range(7)
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+    once = df.coalesce(1).mapInArrow(counted, "id long")
+    base = str(tmp_path)
+    io.observed_sink(once, f"{base}/t", "t", "staging", log_base=base, source_rows=spark.range(9))
+    assert passes.value == 1                                            # the frame is computed once
+    broken = df.select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(io.LoadError) as failed:
+        io.observed_sink(broken, f"{base}/u", "u", "staging", log_base=base)
+    assert failed.value.log.first().statut == "ERREUR"
+    io.observed_sink(df, f"{base}/t", "t", "staging", log_base=base)
+    log = [(r.n, r.nom_table, r.nb_lignes_source, r.nb_lignes_insert, r.statut) for r in io.read_log(spark, base).orderBy("n").collect()]
+    assert log == [(1, "t", 9, 7, "OK"), (2, "u", 0, 0, "ERREUR"), (3, "t", 7, 7, "OK")]
+    assert io.read_log(spark, f"{base}/none").count() == 0
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    from tessera.plans.q_io import bucketed_profile
+    dim = spark.createDataFrame([(i, "F" if i % 2 else "M") for i in range(1, 41)], "beneficiaire_id long, genre string")
+    ops = spark.createDataFrame([(i % 30 + 1, 2.5) for i in range(300)], "beneficiaire_id long, montant_reduction double")
+    solde = spark.createDataFrame([(i % 7 + 1, 10.0) for i in range(70)], "beneficiaire_id long, credit_initial double")
+    t = {n: io.bucketed(df, f"{n}_{os.path.basename(tmp_path).replace('-', '_')}", "beneficiaire_id", 4, str(tmp_path))
+         for n, df in (("dim_beneficiaire", dim), ("fait_operations", ops), ("fait_solde", solde))}
+    out = bucketed_profile(t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert len(got) == 40 and got[1] == ("F", 10, 25.0, 100.0) and got[40] == ("M", 0, 0.0, 0.0)
