@@ -89,7 +89,8 @@ def dim_offre(stg: DataFrame) -> DataFrame:
 def dim_association(stg: DataFrame) -> DataFrame:
     df = stg.select(F.col("id").alias("source_id"), "nom", "type", "domaine_activite", "statut",
                     "nb_membres", "date_creation")
-    return with_row_number(df, ["source_id"], "association_id")
+    # one row per association: grows with the country's associations, so no single-task window
+    return with_surrogate(df, ["source_id"], "association_id")
 
 
 def dim_maison(stg: DataFrame) -> DataFrame:

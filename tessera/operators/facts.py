@@ -1,9 +1,8 @@
 """Fact builders (J1-J6, P7, P8, P12, W2) and the star assembly.
 
-Lookups against bounded dimensions (calendar, regions, offers, associations,
-houses) are broadcast behind a size check; the beneficiary dimension grows
-with the population and is joined by shuffle (AQE may still pick broadcast
-or split skewed keys at run time).
+The calendar, whose size is fixed by its span, is broadcast. All other lookups carry no hint: AQE picks broadcast or
+shuffle from run-time statistics and splits skewed keys. Facts join the beneficiary dimension's two key
+columns only.
 
 Two rule sets:
   "a" - calendar looked up with a default key, activities join regions

@@ -39,12 +39,14 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, score: str, label: str, bins: int = 40) -> DataFrame:
-    """Equal-width histogram of a score split by class."""
-    mn = df.agg(F.min(score)).scalar()
-    mx = df.agg(F.max(score)).scalar()
-    width = F.try_divide(mx - mn, F.lit(float(bins)))
-    b = F.least(F.floor(F.try_divide(F.col(score) - mn, width)), F.lit(bins - 1)).cast("long")
-    return df.groupBy(b.alias("bin"), F.col(label).alias("churned")).agg(F.count(F.lit(1)).alias("n"))
+    """Equal-width histogram of a score split by class (A16). Rows are counted once per (score, class); range and bins come
+    from these counts."""
+    checkpoint_dir(df.sparkSession)  # the cluster's shared folder (set locally only when unset)
+    seen = df.groupBy(F.col(score).alias("_s"), F.col(label).alias("churned")).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    ends = seen.agg(F.struct(F.min("_s").alias("lo"), F.max("_s").alias("hi"))).scalar()
+    width = F.try_divide(ends["hi"] - ends["lo"], F.lit(float(bins)))
+    b = F.least(F.floor(F.try_divide(F.col("_s") - ends["lo"], width)), F.lit(bins - 1)).cast("long")
+    return seen.groupBy(b.alias("bin"), "churned").agg(F.sum("_n").alias("n"))
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:

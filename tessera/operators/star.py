@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions.calendar import calendar
 from tessera.operators import dims, facts
@@ -56,8 +57,14 @@ class Star:
     def dim_maison(self) -> DataFrame:
         return dims.dim_maison(self.stg.maison())
 
-    def fait_operations(self, compat: bool = False) -> DataFrame:
-        return facts.fait_operations(self.stg.operation(), self.benef_keys, self.dim_offre, self.dim_region,
+    def fait_operations(self, compat: bool = False, until=None, after=None) -> DataFrame:
+        """``until`` / ``after`` restrict the staged operations by date, before any lookup."""
+        ops = self.stg.operation()
+        if until is not None:
+            ops = ops.filter(F.col("date_operation") <= F.lit(until))
+        if after is not None:
+            ops = ops.filter(F.col("date_operation") > F.lit(after))
+        return facts.fait_operations(ops, self.benef_keys, self.dim_offre, self.dim_region,
                                      self.dim_temps, self.rules, compat, self.default_key)
 
     def fait_solde(self) -> DataFrame:

@@ -21,8 +21,9 @@ from tessera.sources.bindings import CUTOFF, LAST_H, LAST_Q, MID
 # ---- operation extract used by the models (rule-B star, strict grain) -----------
 
 
-def ops_extract(star):
-    f = star.fait_operations()
+def ops_extract(star, until=None, after=None):
+    """``until`` / ``after``: operations by date; the filter stands below the lookups and reaches the scan of the orders."""
+    f = star.fait_operations(until=until, after=after)
     t = F.broadcast(star.dim_temps.select("temps_id", "date_complete", "est_weekend"))
     r = (star.dim_region.select("region_id", "region"))
     o = (star.dim_offre.select("offre_id", "secteur", "categorie"))
@@ -146,8 +147,8 @@ SELECT beneficiaire_id, datediff('day', max(date_complete), {d(CUTOFF)}) AS rece
        CAST(sum(nb_operations) AS BIGINT) AS frequency, sum(montant_reduction) AS monetary
 FROM ops_b WHERE {OBS} GROUP BY beneficiaire_id"""), "recency:i,monetary:d"))
 def q_rfm(spark, sf):
-    """RFM at the churn cutoff; the cutoff filter reaches the scan side."""
-    ops = ops_extract(Ctx(spark, sf).b).filter(F.col("date_complete") <= F.lit(CUTOFF))
+    """RFM at the churn cutoff; the cutoff filter reaches the scan."""
+    ops = ops_extract(Ctx(spark, sf).b, until=CUTOFF)
     return plain(FE.rfm(ops, CUTOFF))
 
 
@@ -159,7 +160,7 @@ FROM (SELECT *, {_derived_behavior(d(CUTOFF))}
     "recency:i,monetary:d,montant_max:d,montant_min:d,duree_activite_jours:i"))
 def q_behavior(spark, sf):
     """Behaviour per beneficiary: mean, sample std (one row -> 0), distinct counts, spans (A2)."""
-    ops = ops_extract(Ctx(spark, sf).b).filter(F.col("date_complete") <= F.lit(CUTOFF))
+    ops = ops_extract(Ctx(spark, sf).b, until=CUTOFF)
     return plain(FE.behavior(ops, CUTOFF).withColumn("montant_std", F.round("montant_std", 6)))
 
 
@@ -189,13 +190,12 @@ SELECT b.beneficiaire_id, CASE WHEN a.beneficiaire_id IS NULL THEN 1 ELSE 0 END
 FROM dim_benef_b b LEFT JOIN (SELECT DISTINCT beneficiaire_id FROM ops_b WHERE NOT ({OBS})) a
   ON b.beneficiaire_id = a.beneficiaire_id"""))
 def q_churn_label(spark, sf):
-    """Label by existence of an operation after the cutoff (J10, U4): a semi join."""
+    """Label by existence of an operation after the cutoff (J10, U4): one pass over the star, whose later operations
+    are one row per beneficiary before they meet the dimension."""
     s = Ctx(spark, sf).b
-    after = ops_extract(s).filter(F.col("date_complete") > F.lit(CUTOFF)).select("beneficiaire_id")
-    b = s.dim_beneficiaire.select("beneficiaire_id")
-    active = b.join(after, "beneficiaire_id", "left_semi").withColumn("churned", F.lit(0))
-    churned = b.join(after, "beneficiaire_id", "left_anti").withColumn("churned", F.lit(1))
-    return active.unionByName(churned)
+    after = ops_extract(s, after=CUTOFF).groupBy("beneficiaire_id").agg(F.lit(0).alias("churned"))
+    return (s.dim_beneficiaire.select("beneficiaire_id").join(after, "beneficiaire_id", "left")
+            .select("beneficiaire_id", F.coalesce("churned", F.lit(1)).alias("churned")))
 
 
 @query("q_churn_rate", with_ctes(

@@ -16,10 +16,9 @@ from tessera.sources.bindings import CUTOFF
 
 def rec_ops(star, until=None):
     """Operations with their offer's sector (inner joins with region and offer)."""
-    f = star.fait_operations()
+    f = star.fait_operations(until=until)
     if until is not None:
-        cal = F.broadcast(star.dim_temps.select("temps_id", "date_complete"))
-        f = f.join(cal, "temps_id").filter(F.col("date_complete") <= F.lit(until))
+        f = f.join(F.broadcast(star.dim_temps.select("temps_id")), "temps_id")
     r = (star.dim_region.select("region_id"))
     o = (star.dim_offre.select("offre_id", "secteur"))
     return f.join(r, "region_id").join(o, "offre_id").select("beneficiaire_id", "offre_id", "nb_operations", "secteur")

@@ -99,14 +99,13 @@ WHERE b.statut_pass = 'Actif'"""))
 def q_balance_years(spark, sf):
     """Balance years: active passes only, from the registration year.
 
-    The years are the operation years (a handful, broadcast); each
-    beneficiary expands to at most that many rows."""
+    A beneficiary expands to the sequence of its years; those with operations stay (a semi join on the year, whose
+    other side is a row per year)."""
     s = Ctx(spark, sf).stg
-    # distinct operation years: bounded by the calendar's span (a few dozen rows)
-    years = F.broadcast(s.operation().select(F.year("date_operation").alias("annee")).distinct())
-    b = s.beneficiaire().filter(F.col("statut_pass") == "Actif")
-    return plain(b.join(years, (F.col("annee") >= F.year("date_inscription")) & (F.col("annee") <= F.lit(AS_OF.year)))
-                 .select(F.col("id").alias("beneficiaire_id"), "annee"))
+    years = s.operation().select(F.year("date_operation").alias("annee")).distinct()
+    b = s.beneficiaire().filter((F.col("statut_pass") == "Actif") & (F.year("date_inscription") <= AS_OF.year))
+    every = b.select(F.col("id").alias("beneficiaire_id"), F.explode(F.sequence(F.year("date_inscription"), F.lit(AS_OF.year))).alias("annee"))
+    return plain(every.join(years, "annee", "left_semi").select("beneficiaire_id", "annee"))
 
 
 @query("q_operation_balance", plain_sql(with_ctes("""

@@ -118,7 +118,7 @@ class Staging:
     # -- offers -----------------------------------------------------------
     def _catalogue(self) -> DataFrame:
         """Distinct (brand, type) of part with its lowest price; bounded by the
-        brand x type domain, checked before it is broadcast."""
+        brand x type domain, so its ids come from one window."""
         def build():
             p = self.t["part"]
             cat = (p.groupBy("p_brand", "p_type").agg(F.min("p_retailprice").alias("price")))
