@@ -30,13 +30,18 @@ STACK = "Stacking Ensemble"
 FIT_ROWS = 100_000  # training rows of a partition
 
 
+def key_hash(key: str, seed: int) -> F.Column:
+    """An order of rows that no engine-specific hash decides."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, test_frac: float = 0.2, seed: int = 42,
                      key: str = KEY) -> DataFrame:
     """M3: exact stratified split: within each class, rows ordered by a key
     hash; the first ones are test. ceil(test_frac * n) test rows are dealt to the
     classes by largest remainder. Positions come from W2 (no single-task window),
     class sizes from one small aggregate (one row per class)."""
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    h = df.withColumn("_h", key_hash(key, seed))
     pos = with_surrogate(h, [label, "_h", key], "_pos")
     sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     share = F.col("_n") * test_frac
@@ -56,7 +61,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_frac: float = 0.2,
 def stratified_folds(df: DataFrame, folds: int, label: str = LABEL, seed: int = 42, key: str = KEY) -> DataFrame:
     """``df`` with ``_fold``: within each class the rows, ordered by a key hash, are dealt to the folds in turn,
     so fold sizes per class differ by one row at most (W2 positions)."""
-    pos = with_surrogate(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), [label, "_h", key], "_pos")
+    pos = with_surrogate(df.withColumn("_h", key_hash(key, seed)), [label, "_h", key], "_pos")
     return pos.withColumn("_fold", F.pmod(F.col("_pos"), F.lit(folds)).cast("int")).drop("_h", "_pos")
 
 

@@ -14,7 +14,9 @@ from tessera.operators import segments as S
 from tessera.plans.context import Ctx
 from tessera.plans.q_features import churn_features, segment_features
 from tessera.plans.registry import query
-from tessera.plans.sqlparts import with_ctes
+from tessera.plans.common import plain
+from tessera.plans.sqlparts import cte, with_ctes
+from tessera.plans.sqlparts import q as sq
 
 SET = C.Settings()
 SCORING = C.Settings.scoring()
@@ -37,7 +39,16 @@ def train_test(ctx):
     return train, test, cols
 
 
-@query("q_stratified_split")
+_SPLIT_SQL = f"""
+SELECT beneficiaire_id, churned, CASE WHEN r <= t THEN 'test' ELSE 'train' END AS split
+FROM (SELECT beneficiaire_id, churned,
+             row_number() OVER (PARTITION BY churned ORDER BY md5(CAST(beneficiaire_id AS VARCHAR) || ':{SET.seed}'), beneficiaire_id) AS r FROM churn_feat) f
+JOIN (SELECT churned, floor(n * 0.2) + CASE WHEN row_number() OVER (ORDER BY n * 0.2 - floor(n * 0.2) DESC, churned)
+                                                 <= ceil(sum(n) OVER () * 0.2) - sum(floor(n * 0.2)) OVER () THEN 1 ELSE 0 END AS t
+      FROM (SELECT churned, count(*) AS n FROM churn_feat GROUP BY churned) c) s USING (churned)"""
+
+
+@query("q_stratified_split", with_ctes(_SPLIT_SQL))
 def q_stratified_split(spark, sf):
     """Exact stratified 80/20 split by hashed key (M3)."""
     df, _ = prepared(Ctx(spark, sf))
@@ -210,6 +221,58 @@ def q_segment_names(spark, sf):
     return value_share(_segments(Ctx(spark, sf)), "segment")
 
 
+# The profiles, names and radar of a grouping that SQL can state: bands of frequency instead of fitted clusters.
+cte("seg_band", "SELECT *, CAST(least(floor(frequency / 12.0), 8) AS INTEGER) AS cluster FROM seg_feat")
+cte("band_profile", """SELECT cluster, avg(CAST(frequency AS DOUBLE)) AS avg_frequency, avg(CAST(monetary AS DOUBLE)) AS avg_monetary, count(*) AS n,
+       avg(CAST(frequency AS DOUBLE)) * avg(CAST(monetary AS DOUBLE)) AS engagement_score FROM seg_band GROUP BY cluster""")
+
+
+def _banded(ctx):
+    return segment_features(ctx).withColumn("cluster", F.least(F.floor(F.col("frequency") / 12.0), F.lit(8)).cast("int"))
+
+
+@query("q_band_profile", with_ctes("""SELECT CAST(cluster AS BIGINT) AS cluster, round(avg_frequency, 4) AS avg_frequency,
+  round(avg_monetary, 4) AS avg_monetary, CAST(n AS BIGINT) AS n, round(engagement_score, 2) AS engagement_score FROM band_profile"""))
+def q_band_profile(spark, sf):
+    """Mean frequency, mean monetary and engagement of every band."""
+    out = S.profile(_banded(Ctx(spark, sf)))
+    return out.select(F.col("cluster").cast("long").alias("cluster"), F.round("avg_frequency", 4).alias("avg_frequency"),
+                      F.round("avg_monetary", 4).alias("avg_monetary"), "n", F.round("engagement_score", 2).alias("engagement_score"))
+
+
+@query("q_band_names", with_ctes(f"""
+SELECT b.beneficiaire_id, CAST(b.cluster AS BIGINT) AS cluster, coalesce(list_extract([{', '.join(sq(n) for n in S.SEGMENT_NAMES)}], r), 'Segment_' || r) AS segment
+FROM seg_band b JOIN (SELECT cluster, CAST(row_number() OVER (ORDER BY engagement_score DESC, cluster) AS INTEGER) AS r FROM band_profile) p ON p.cluster = b.cluster"""))
+def q_band_names(spark, sf):
+    """Bands named by engagement rank, beyond the list by number."""
+    return S.name_segments(_banded(Ctx(spark, sf))).select(C.KEY, F.col("cluster").cast("long").alias("cluster"), "segment")
+
+
+@query("q_band_radar", with_ctes("""
+SELECT CAST(cluster AS VARCHAR) AS segment, """ + ", ".join(
+    f"round(avg(CAST({c} AS DOUBLE)), 4) AS {c}, round((avg(CAST({c} AS DOUBLE)) - any_value(lo_{c})) / (any_value(hi_{c}) - any_value(lo_{c}) + 1e-9), 6) AS {c}_norm"
+    for c in S.RADAR) + """
+FROM seg_band, (SELECT """ + ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in S.RADAR) + """ FROM seg_band) g
+GROUP BY cluster"""))
+def q_band_radar(spark, sf):
+    """Means per band, min-max normalised by the global range."""
+    out = S.radar(_banded(Ctx(spark, sf)).withColumn("segment", F.col("cluster").cast("string")))
+    return out.select("segment", *[F.round(c, 4).alias(c) for c in S.RADAR], *[F.round(f"{c}_norm", 6).alias(f"{c}_norm") for c in S.RADAR])
+
+
+@query("q_choose_k_rule", """
+WITH s AS (SELECT CAST(l_linenumber + 1 AS INTEGER) AS k, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS silhouette FROM lineitem GROUP BY 1)
+SELECT CAST(best_k AS BIGINT) AS best_k, best_silhouette, preferred_silhouette,
+       CAST(CASE WHEN preferred_silhouette > 0.9 * best_silhouette THEN 4 ELSE best_k END AS BIGINT) AS chosen_k
+FROM (SELECT arg_max(k, silhouette) AS best_k, max(silhouette) AS best_silhouette, max(silhouette) FILTER (k = 4) AS preferred_silhouette FROM s) t""")
+def q_choose_k_rule(spark, sf):
+    """The choice of k over a table of scores by k that SQL can state: mean quantities by line number."""
+    li = Ctx(spark, sf).stg.t["lineitem"]
+    sweep = li.groupBy((F.col("l_linenumber") + 1).cast("int").alias("k")).agg(
+        F.round(F.avg(F.col("l_quantity").cast("double")), 6).alias("silhouette"), F.lit(0.0).alias("inertia"))
+    return plain(S.choose_k(sweep))
+
+
 _NEAREST_SQL = """
 WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos
            FROM embeddings),
