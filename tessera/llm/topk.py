@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int
     cand = cut(vectors.mapInPandas(_blocks(candidate_block), _BLOCK), "topk-candidates")
     ask = cut(queries.mapInPandas(_blocks(query_block), _BLOCK), "topk-queries")
     left = cand.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"),
-                       *[F.col(c).alias(f"c_{c}") for c in ("n", "ids", "dims", "weights")])
+                       *[F.col(c).alias(f"c_{c}") for c in ("n", "ids", "dims", "weights")]).repartition(groups, "g")  # so many tasks, however few bytes
     right = ask.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
                        *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "dims", "weights")])
 
