@@ -111,12 +111,16 @@ def edits(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.select(*key, "start_a", "n_a", "start_b", "n_b")
 
 
+#: Ranges for every partition, so that hashing them gives no partition much more than its share.
+RANGES = 4
+
+
 def successor(docs: DataFrame, order: str, carry: list[str], derive=lambda frame: frame) -> DataFrame:
     """``derive(docs)`` with ``next_<c>`` for every column of ``carry``: the values of the next row in descending order
     of ``order`` (nulls last; ties by a hash of the row), the last row followed by the first.
 
     Rows are shuffled once, by range. ``derive`` runs before that shuffle, and on the ranges' first rows."""
-    n = partitions(docs.sparkSession)
+    n = RANGES * partitions(docs.sparkSession)
     bounds = docs.select(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = F.lit([int(x) for x in sorted(set(bounds))]).cast("array<bigint>")
     # ranges from the highest ids (0) down; null ids in the last
