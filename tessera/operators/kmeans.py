@@ -10,7 +10,7 @@ models leave. So the number of jobs is that of the slowest model, not of all fit
 * The silhouette is Euclidean, of a sample bounded by ``SILHOUETTE_ROWS`` rows (by a hash of the key; all rows where there are fewer)
   against its own clusters, for all models in one pass: blocks of the sample meet the whole sample.
 
-What reaches the driver is one row per (model, cluster), and the silhouette's bounded sample.
+What reaches the driver is one row per (model, cluster), ``FEW_TASKS`` times that at most, and the silhouette's bounded sample.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 8192
 ASK = 1024              # rows of a block worked on at once
+TASK_ROWS = 4096        # rows of a task, at least
+FEW_TASKS = 8           # up to so many tasks hand their sums straight to the driver
 SILHOUETTE_ROWS = 5_000
 
 
@@ -123,36 +125,65 @@ def _draw(blocks: DataFrame, models: list[Model], step: int, seed: int) -> None:
 
 
 def _pass(blocks: DataFrame, models: list[Model], width: int):
-    """{(model, cluster): (rows, summed distance, summed vector)} of all models from one job."""
-    stacked, sizes = np.concatenate([m.centres for m in models]), [len(m.centres) for m in models]
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-
-    def add_up(batches):
-        import pyarrow as pa
-        total = np.zeros((len(stacked), width + 2))
+    """An array (k, 2 + width) per model, from one job: rows, summed squared distance and summed vector of every cluster."""
+    groups: dict[int, list[int]] = {}                       # models of the same k are assigned together
+    for i, m in enumerate(models):
+        groups.setdefault(m.k, []).append(i)
+    stacked = {k: np.stack([models[i].centres for i in of]) for k, of in groups.items()}
+    edges = dict(zip(groups, np.cumsum([0, *[k * len(of) for k, of in groups.items()]])))
+    size = sum(k * len(of) for k, of in groups.items())
+
+    def sums(batches):
+        total = np.zeros((size, width + 2))
         for _, x in _blocks(batches):
             for at in range(0, len(x), ASK):
                 part = x[at:at + ASK]
-                d = _distances(part, stacked)
-                one = np.zeros_like(d)
-                rows = np.arange(len(part))
-                for a, b in zip(edges, edges[1:]):
-                    one[rows, a + d[:, a:b].argmin(axis=1)] = 1
-                total[:, 0] += one.sum(axis=0)
-                total[:, 1] += (one * d).sum(axis=0)
-                total[:, 2:] += one.T @ part
+                rows = np.arange(len(part))[:, None]
+                own = (part * part).sum(axis=1)
+                for k, centres in stacked.items():
+                    flat = centres.reshape(-1, width)
+                    # |c|² - 2 x.c orders the centres of a row as their distances do
+                    score = ((flat * flat).sum(axis=1) - 2 * (part @ flat.T)).reshape(len(part), -1, k)
+                    near = score.argmin(axis=2)
+                    one = np.zeros((len(part), len(flat)))
+                    one[rows, near + k * np.arange(len(centres))] = 1
+                    t = total[edges[k]:edges[k] + len(flat)]
+                    t[:, 0] += one.sum(axis=0)
+                    t[:, 1] += own @ one
+                    t[:, 2:] += one.T @ part
+        return total
+
+    def few(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array([sums(batches).tobytes()], pa.binary())], ["t"])
+
+    def many(batches):
+        import pyarrow as pa
+        total = sums(batches)
         used = np.flatnonzero(total[:, 0])
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[used, c]) for c in range(width + 2)]],
                                              ["c", *[f"v{c}" for c in range(width + 2)]])
 
-    cols = [f"v{c}" for c in range(width + 2)]
-    got = blocks.mapInArrow(add_up, "c int, " + ", ".join(f"{c} double" for c in cols)) \
-        .groupBy("c").agg(*[F.sum(c).alias(c) for c in cols]).collect()                           # a row per (model, cluster)
-    out = np.zeros((len(stacked), width + 2))
-    for r in got:
-        out[r["c"]] = r[1:]
-    return [out[a:b] for a, b in zip(edges, edges[1:])]
+    total = np.zeros((size, width + 2))
+    if blocks.rdd.getNumPartitions() <= FEW_TASKS:          # a few arrays of the models' size
+        for r in blocks.mapInArrow(few, "t binary").collect():
+            total += np.frombuffer(bytes(r["t"]), "<f8").reshape(size, -1)
+    else:
+        cols = [f"v{c}" for c in range(width + 2)]
+        got = blocks.mapInArrow(many, "c int, " + ", ".join(f"{c} double" for c in cols)) \
+            .groupBy("c").agg(*[F.sum(c).alias(c) for c in cols]).collect()                       # a row per (model, cluster)
+        for r in got:
+            total[r["c"]] = r[1:]
+    out: list = [None] * len(models)
+    for k, of in groups.items():
+        for place, i in enumerate(of):
+            t = total[edges[k] + place * k:edges[k] + (place + 1) * k].copy()
+            c = models[i].centres
+            # from the sums: sum |x - c|² = sum |x|² - 2 c . sum x + n |c|²
+            t[:, 1] = np.maximum(t[:, 1] - 2 * (c * t[:, 2:]).sum(axis=1) + t[:, 0] * (c * c).sum(axis=1), 0)
+            out[i] = t
+    return out
 
 
 def lloyd(blocks: DataFrame, models: list[Model], tol: float = 1e-4) -> list[Model]:
@@ -262,5 +293,13 @@ def _silhouette(to: np.ndarray, size: np.ndarray, own: np.ndarray) -> float:
 
 
 def keep(vec: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """Packed rows, kept in memory or on disk between passes; ``unpersist()`` ends that."""
-    return packed(vec, key, features).persist(StorageLevel.MEMORY_AND_DISK)
+    """Packed rows, kept in memory or on disk between passes; ``unpersist()`` ends that. Few rows stand in few partitions, one per
+    ``TASK_ROWS`` rows, since every pass is a job."""
+    blocks = packed(vec, key, features).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS))
+    if tasks >= blocks.rdd.getNumPartitions():
+        return blocks
+    fewer = blocks.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    fewer.count()
+    blocks.unpersist()
+    return fewer

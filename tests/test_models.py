@@ -227,6 +227,8 @@ def test_models_fitted_together_equal_single_fits(spark, monkeypatch):
         assert math.isclose(got, sum(want) / len(want), abs_tol=1e-9)
     few = kmeans.silhouettes(blocks, [best[4]], rows=200)[0]
     assert abs(few - kmeans.silhouettes(blocks, [best[4]])[0]) < 0.1
+    monkeypatch.setattr(kmeans, "FEW_TASKS", 1)             # the other way to add up, over several tasks
+    monkeypatch.setattr(kmeans, "TASK_ROWS", 200)
     again = kmeans.fit_many(kmeans.keep(vec.repartition(5), "beneficiaire_id"), [2, 4, 5], 4, max_iter=30)
     assert [(m.iterations, round(m.inertia, 6)) for m in again] == [(m.iterations, round(m.inertia, 6)) for m in models]
     assert kmeans.fit_many(kmeans.keep(vec.limit(0), "beneficiaire_id"), [2], 2) == []
