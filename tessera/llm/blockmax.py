@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, parts, slices
+from tessera.llm.common import cut, partitions, parts, slices
 
 BLOCK = 64
 WINDOW = 2048
@@ -297,7 +297,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # the shards' rows of documents go to every block of queries
     whole = index.where(F.col("term") == "").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
         .withColumn("items", F.array().cast("array<long>")).withColumn("weights", F.array().cast("array<long>"))
-    rows = index.join(send(cut(uses, "blockmax-uses")), "term").unionByName(whole)
+    # few bytes, much work: as many tasks as partitions, whatever their bytes
+    rows = index.join(send(cut(uses, "blockmax-uses")), "term").unionByName(whole).repartition(partitions(index.sparkSession), "shard", "block")
     best = rows.groupBy("shard", "block").applyInPandas(_searcher(n_docs, n_terms, k), "item_id long, doc_id long, score long")
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
