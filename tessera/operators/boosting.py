@@ -8,6 +8,7 @@ Hessian weight per child; otherwise a split is scored by the variance of the gra
 * Up to ``LOCAL_ROWS`` training rows are one block, and one aggregate over one block is the block's own sums: each model is then grown by one
   task, all of them in one job. Beyond that the blocks stay spread: all models grow in step, one aggregate a level
   (map-side combined, splits chosen on the executors), and only chosen splits reach the driver. Both ways run the same code.
+* A forest is the same engine without margins: independent trees on Poisson bootstrap weights, splits by weighted Gini.
 * Row and column samples come from hashes of (row, tree) and from seeds of (tree, node), so both ways, reruns and any partitioning agree.
 * Margins are kept with the blocks and written to the checkpoint folder every ``CUT_ROUNDS`` trees; between two cuts tasks add up the trees since.
 """
@@ -15,7 +16,7 @@ Hessian weight per child; otherwise a split is scored by the variance of the gra
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -27,6 +28,7 @@ from tessera.operators.kmeans import uniform
 from tessera.session import checkpoint_dir
 
 BINS = 64
+FOREST_TREES = 32       # trees of a forest that one task grows
 LOCAL_ROWS = 100_000
 BLOCK = 16_384
 CUT_ROUNDS = 8
@@ -48,6 +50,12 @@ class Boost:
     columns_tree: float = 1.0   # features of a tree
     columns_node: str = "all"   # features of a node: all or sqrt
     seed: int = 42
+    forest: bool = False        # independent trees on bootstrap weights and balanced classes; leaves hold the share of class 1
+    first: int = 0              # number of the first tree, for seeds
+
+
+#: Distribution of a bootstrap weight (Poisson with mean 1).
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(12), 1)))
 
 
 @dataclass
@@ -94,15 +102,17 @@ class Tree:
 
 def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost) -> dict:
     """node -> split of each row of ``sums`` (nodes, features, bins, 3: gradient, Hessian, rows)."""
+    tree_no += st.first
     n_features = sums.shape[1]
     allowed = np.ones(sums.shape[:2], bool)
     if st.columns_tree < 1:
         keep = max(1, round(st.columns_tree * n_features))
         allowed &= np.isin(np.arange(n_features), np.random.default_rng([st.seed, tree_no]).permutation(n_features)[:keep])
     if st.columns_node == "sqrt":
-        for i, node in enumerate(nodes):
-            rng = np.random.default_rng([st.seed, tree_no, node])
-            allowed[i] &= np.isin(np.arange(n_features), rng.permutation(n_features)[:max(1, int(np.sqrt(n_features)))])
+        few = max(1, int(np.sqrt(n_features)))
+        draw = uniform((np.array(nodes)[:, None] * n_features + np.arange(n_features)).ravel(), st.seed * 7_000_003 + tree_no)
+        draw = draw.reshape(len(nodes), n_features)
+        allowed &= draw <= np.partition(draw, few - 1, axis=1)[:, few - 1:few]
     total = sums[:, 0].sum(axis=1)[:, None, None, :]
     left = np.cumsum(sums, axis=2)[:, :, :-1]
     right = total - left
@@ -117,8 +127,9 @@ def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost) -> dict:
         return np.where(n > 0, s, 0.0)
 
     def value(x):
-        top, below = (pull(x[0]), x[1] + st.l2) if st.newton else (x[0], x[1])
-        return float(-top / below) if abs(below) > 1e-150 else 0.0
+        top, below = (pull(x[:, 0]), x[:, 1] + st.l2) if st.newton else (x[:, 0], x[:, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(np.abs(below) > 1e-150, -top / below, 0.0).tolist()
 
     gain = score(left) + score(right) - score(total)
     gain = gain / 2 - st.gamma if st.newton else gain
@@ -126,15 +137,16 @@ def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost) -> dict:
     if st.newton:
         fits &= (left[..., 1] >= st.min_child) & (right[..., 1] >= st.min_child)
     gain = np.where(fits & (gain > 1e-9), gain, -np.inf)
-    out = {}
-    for i, node in enumerate(nodes):
-        at = int(gain[i].argmax()) if gain[i].size else 0
-        f, b = divmod(at, max(1, gain.shape[2]))
-        if gain[i].size and np.isfinite(gain[i, f, b]):
-            out[node] = (f, b, float(gain[i, f, b]), value(total[i, 0, 0]), value(left[i, f, b]), value(right[i, f, b]))
-        else:
-            out[node] = (-1, 0, 0.0, value(total[i, 0, 0]), 0.0, 0.0)
-    return out
+    here = value(total[:, 0, 0])
+    if not gain[0].size:
+        return {node: (-1, 0, 0.0, v, 0.0, 0.0) for node, v in zip(nodes, here)}
+    # rounded, so that the order of a sum's parts decides no tie: the first of equals
+    f, b = np.divmod(np.round(gain, 9).reshape(len(nodes), -1).argmax(axis=1), gain.shape[2])
+    i = np.arange(len(nodes))
+    best = gain[i, f, b].tolist()
+    low, high = value(left[i, f, b]), value(right[i, f, b])
+    return {node: (f_, b_, g, v, x, y) if g > -np.inf else (-1, 0, 0.0, v, 0.0, 0.0)
+            for node, f_, b_, g, v, x, y in zip(nodes, f.tolist(), b.tolist(), best, here, low, high)}
 
 
 class Rows:
@@ -143,21 +155,30 @@ class Rows:
     def __init__(self, ids, codes, y, fold, margins):
         self.ids, self.codes, self.y, self.fold, self.margins = ids, codes, y, fold, margins
 
-    def sums(self, m: int, st: Boost, fold: int | None, tree: Tree, no: int, bins: int) -> np.ndarray:
-        """(open nodes, features, bins, 3) of model ``m``'s tree number ``no`` over the model's rows."""
+    def sums(self, m: int, st: Boost, fold: int | None, balance: tuple[float, float], tree: Tree, no: int, bins: int) -> np.ndarray:
+        """(open nodes, features, bins, 3) of model ``m``'s tree number ``no`` over the model's rows; ``balance``: the classes' weights."""
+        no += st.first
         use = np.ones(len(self.y), bool) if fold is None else self.fold != fold
         if st.subsample < 1:
             use &= uniform(self.ids, st.seed * 1_000_003 + no) <= st.subsample
+        if st.forest:
+            times = np.searchsorted(_POISSON, uniform(self.ids, st.seed * 1_000_003 + no))
+            use &= times > 0
         rows = np.flatnonzero(use)
         place = np.full(len(tree.feature), -1)
         place[tree.open] = np.arange(len(tree.open))
         node = place[tree.leaves(self.codes[rows])]
         rows, node = rows[node >= 0], node[node >= 0]
-        p = 1 / (1 + np.exp(-self.margins[m][rows]))
+        if st.forest:       # G² / H of these is the weighted variance that a Gini split lowers, -G / H the share of class 1
+            h = times[rows] * np.where(self.y[rows] > 0, balance[1], balance[0])
+            parts = (-h * self.y[rows], h, np.ones(len(rows)))
+        else:
+            p = 1 / (1 + np.exp(-self.margins[m][rows]))
+            parts = (p - self.y[rows], p * (1 - p), np.ones(len(rows)))
         n_features = self.codes.shape[1]
         cell = ((node[:, None] * n_features + np.arange(n_features)) * bins + self.codes[rows]).ravel()
         out = np.zeros((3, len(tree.open) * n_features * bins))
-        for c, v in enumerate((p - self.y[rows], p * (1 - p), np.ones(len(rows)))):
+        for c, v in enumerate(parts):
             out[c] = np.bincount(cell, np.repeat(v, n_features), out.shape[1])
         return np.moveaxis(out.reshape(3, len(tree.open), n_features, bins), 0, 3)
 
@@ -172,6 +193,13 @@ class Model:
     cols: list = field(default_factory=list)
     edges: list = field(default_factory=list)
     trees: list = field(default_factory=list)
+    balance: tuple = (1.0, 1.0)
+
+    def chance(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of class 1."""
+        if self.st.forest:
+            return sum((t.apply(codes) for t in self.trees), np.zeros(len(codes))) / max(1, len(self.trees))
+        return 1 / (1 + np.exp(-self.margin(codes)))
 
     def margin(self, codes: np.ndarray) -> np.ndarray:
         out = np.full(len(codes), self.base)
@@ -197,7 +225,7 @@ class Model:
             import pandas as pd
             model = shared.value
             codes = bin_codes(np.array(x.tolist(), dtype=np.float64).reshape(len(x), -1), model.edges)
-            return pd.Series(1 / (1 + np.exp(-model.margin(codes))))
+            return pd.Series(model.chance(codes))
 
         p = chance(F.array(*[F.col(c).cast("double") for c in self.cols]))
         return df.withColumn("_chance", p).withColumn("probability", array_to_vector(F.array(1 - F.col("_chance"), F.col("_chance")))).drop("_chance")
@@ -256,12 +284,13 @@ def _grow_alone(rows: Rows, model: Model, bins: int) -> None:
     for no in range(model.st.rounds):
         tree = Tree()
         for _ in range(model.st.depth):
-            tree.grow(best_splits(rows.sums(0, model.st, model.fold, tree, no, bins), tree.open, no, model.st))
+            tree.grow(best_splits(rows.sums(0, model.st, model.fold, model.balance, tree, no, bins), tree.open, no, model.st))
             if not tree.open:
                 break
         tree.open = []
         model.trees.append(tree)
-        rows.margins[0] += model.st.rate * tree.apply(rows.codes)
+        if not model.st.forest:
+            rows.margins[0] += model.st.rate * tree.apply(rows.codes)
 
 
 def _one_task_each(blocks: DataFrame, models: list[Model], width: int, bins: int) -> None:
@@ -285,14 +314,14 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
     """All models level by level over spread blocks: one aggregate a level."""
     checkpoint_dir(blocks.sparkSession)  # the cluster's shared folder (set locally only when unset)
     state, since = blocks.withColumn("margins", F.lit(None).cast("binary")), 0
-    settings, folds, bases = [m.st for m in models], [m.fold for m in models], [[m.base] for m in models]
+    settings, folds, bases, balances = [m.st for m in models], [m.fold for m in models], [[m.base] for m in models], [m.balance for m in models]
 
     def current(record, margins, new):
         """Rows with margins up to the last whole tree; ``new`` has the trees since they were written."""
         rows = _rows(record, width, lambda n: np.repeat(bases, n, axis=1) if margins is None
                      else np.frombuffer(margins, "<f8").reshape(len(bases), n).copy())
         for i, trees in enumerate(new):
-            for t in trees:
+            for t in trees if not settings[i].forest else ():
                 rows.margins[i] += settings[i].rate * t.apply(rows.codes)
         return rows
 
@@ -304,7 +333,7 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
                 for *record, margins in zip(*(c.to_pylist() for c in batch.columns)):
                     rows = current(record, margins, new)
                     for i, tree in growing.items():
-                        found = rows.sums(i, settings[i], folds[i], tree, no, bins)
+                        found = rows.sums(i, settings[i], folds[i], balances[i], tree, no, bins)
                         total[i] = total[i] + found if i in total else found
             for i, sums in total.items():
                 node, feature, bin_ = np.nonzero(sums[..., 2])
@@ -355,7 +384,8 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
 
 def fit_many(df: DataFrame, cols: list[str], specs: list[tuple[Boost, int | None]], key: str, label: str, fold: str | None = None,
              bins: int = BINS) -> list[Model]:
-    """A model per (settings, left-out fold) of ``specs``; ``fold`` names the column of fold numbers."""
+    """A model per (settings, left-out fold) of ``specs``; ``fold`` names the column of fold numbers. Forests are grown in parts of
+    ``FOREST_TREES`` trees."""
     edges = quantile_edges(df, cols, bins)
     sizes = {r["f"]: (r["n"], r["p"]) for r in df.groupBy((F.col(fold) if fold else F.lit(-1)).alias("f"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p")).collect()}      # a row per fold
@@ -364,13 +394,18 @@ def fit_many(df: DataFrame, cols: list[str], specs: list[tuple[Boost, int | None
     for st, out in specs:
         n, p = (sum(v[i] for f, v in sizes.items() if out is None or f != out) for i in (0, 1))
         share = min(max(p / n, 1e-6), 1 - 1e-6) if n else 0.5
-        models.append(Model(st, out, float(np.log(share / (1 - share))), list(cols), edges))
+        balance = (0.5 / (1 - share), 0.5 / share) if st.forest else (1.0, 1.0)
+        models.append(Model(st, out, float(np.log(share / (1 - share))), list(cols), edges, [], balance))
     if not n_rows:
         return models
+    pieces = [(m, replace(m, trees=[], st=replace(m.st, first=at, rounds=min(FOREST_TREES, m.st.rounds - at)) if m.st.forest else m.st))
+              for m in models for at in (range(0, m.st.rounds, FOREST_TREES) if m.st.forest else (0,))]
     alone, bins = n_rows <= LOCAL_ROWS, max(len(e) for e in edges) + 1
     source = df.repartition(1) if alone else df
     blocks = _packed(source, cols, edges, key, label, fold, n_rows if alone else BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
     width = len(cols)
-    (_one_task_each if alone else _in_step)(blocks, models, width, bins)
+    (_one_task_each if alone else _in_step)(blocks, [piece for _, piece in pieces], width, bins)
+    for m, piece in pieces:
+        m.trees += piece.trees
     blocks.unpersist()
     return models

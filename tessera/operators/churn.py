@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -28,6 +28,7 @@ from tessera.session import checkpoint_dir
 KEY, LABEL = "beneficiaire_id", "churned"
 STACK = "Stacking Ensemble"
 FIT_ROWS = 100_000  # training rows of a partition
+TREE_BINS = 32  # candidate splits of a feature, as in Spark's own trees
 
 
 def key_hash(key: str, seed: int) -> F.Column:
@@ -205,13 +206,11 @@ class Boosted:
         self.cols, self.st = cols, st
 
     def fit(self, rows: DataFrame):
-        return boosting.fit_many(rows, self.cols, [(self.st, None)], KEY, LABEL)[0]
+        return boosting.fit_many(rows, self.cols, [(self.st, None)], KEY, LABEL, bins=TREE_BINS)[0]
 
 
-def forest(st: Settings, trees: int, depth: int, min_leaf: int) -> RandomForestClassifier:
-    # nodes of many trees share a job: the more memory for their sums, the fewer jobs
-    return RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                  featureSubsetStrategy="sqrt", weightCol="_w", maxMemoryInMB=512, seed=st.seed)
+def forest(st: Settings, trees: int, depth: int, min_leaf: int, min_split: int = 2) -> Boost:
+    return Boost(trees, depth, l2=0.0, min_child=0.0, min_leaf=min_leaf, min_split=min_split, columns_node="sqrt", forest=True, seed=st.seed)
 
 
 def models(cols: list[str], st: Settings, n_train: int) -> dict:
@@ -219,8 +218,7 @@ def models(cols: list[str], st: Settings, n_train: int) -> dict:
     asm = assemble(cols)
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=st.lr_iter, tol=st.lr_tol,
                             regParam=1.0 / (st.lr_c * max(n_train, 1)), elasticNetParam=0.0, standardization=False)
-    rf = forest(st, st.rf_trees, st.rf_depth, 2)
-    return {"Logistic Regression": Pipeline(stages=[asm, lr]), "Random Forest": Pipeline(stages=[asm, rf]),
+    return {"Logistic Regression": Pipeline(stages=[asm, lr]), "Random Forest": Boosted(cols, forest(st, st.rf_trees, st.rf_depth, 2, 5)),
             "Gradient Boosting": Boosted(cols, st.gb()), "XGBoost": Boosted(cols, st.xgb())}
 
 
@@ -237,28 +235,21 @@ def probability() -> F.Column:
 def fit_stack(train: DataFrame, cols: list[str], st: Settings) -> tuple[list, object]:
     """Base models (RF, GB, XGBoost) give out-of-fold probabilities on stratified
     folds; a logistic meta-model learns from them; bases are refitted on all
-    training rows. The boosted bases of all folds are grown together.
+    training rows. The bases of all folds are grown together.
     Returns (base models, meta model)."""
     asm = assemble(cols)
     outs = [*range(st.folds), None]                     # the fold left out; None: all rows
-    tr = compact(asm.transform(stratified_folds(train, st.folds, seed=st.seed)), train.count())
-
-    def trees(out):
-        rows = tr if out is None else tr.filter(F.col("_fold") != out)
-        return forest(st, st.stack_rf_trees, st.stack_rf_depth, st.stack_min_leaf).fit(rows)
-    with ThreadPoolExecutor(max_workers=4) as ex:       # independent fits, concurrent jobs
-        specs = [(b, out) for out in outs for b in (st.stack_gb(), st.stack_xgb())]
-        boosted = ex.submit(boosting.fit_many, tr, cols, specs, KEY, LABEL, "_fold")
-        grown = list(ex.map(trees, outs))
-        made = boosted.result()
-    bases = {out: [grown[i], made[2 * i], made[2 * i + 1]] for i, out in enumerate(outs)}
+    n = max(train.count(), 1)
+    tr = compact(asm.transform(stratified_folds(train, st.folds, seed=st.seed)), n)
+    rf = forest(st, st.stack_rf_trees, st.stack_rf_depth, st.stack_min_leaf)
+    made = boosting.fit_many(tr, cols, [(b, out) for out in outs for b in (rf, st.stack_gb(), st.stack_xgb())], KEY, LABEL, "_fold", TREE_BINS)
+    bases = {out: made[3 * i:3 * i + 3] for i, out in enumerate(outs)}
     oof = None
     for f in range(st.folds):
         hold = base_probabilities(bases[f], tr.filter(F.col("_fold") == f)).select(KEY, LABEL, "_p0", "_p1", "_p2")
         oof = hold if oof is None else oof.unionByName(hold)
     meta_in = VectorAssembler(inputCols=["_p0", "_p1", "_p2"], outputCol="meta").transform(oof)
     # the reference's library regularises with C = 1
-    n = max(train.count(), 1)
     meta = LogisticRegression(featuresCol="meta", labelCol=LABEL, maxIter=1000, regParam=1.0 / n, standardization=False).fit(compact(meta_in, n))
     tr.unpersist()
     return [asm, *bases[None]], meta

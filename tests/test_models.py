@@ -288,7 +288,8 @@ def test_boosting_equals_a_plain_version_alone_and_in_step(spark, monkeypatch):
     newton = boosting.Boost(rounds=6, depth=3, rate=0.3, l2=1.0, l1=0.2, gamma=0.05, min_child=2.0)
     plain = boosting.Boost(rounds=10, depth=3, rate=0.2, newton=False, min_leaf=4, min_split=10)
     sampled = boosting.Boost(rounds=4, depth=4, rate=0.2, subsample=0.7, columns_tree=0.7, columns_node="sqrt", seed=3)
-    specs = [(newton, None), (plain, None), (newton, 1), (sampled, None)]
+    woods = C.forest(C.Settings(), 40, 5, 2)
+    specs = [(newton, None), (plain, None), (newton, 1), (sampled, None), (woods, None)]
 
     def fitted():
         return boosting.fit_many(df, ["a", "b", "c"], specs, C.KEY, C.LABEL, "_fold")
@@ -305,6 +306,11 @@ def test_boosting_equals_a_plain_version_alone_and_in_step(spark, monkeypatch):
         rows = np.arange(260) if out is None else np.flatnonzero(fold != out)
         want = _plain_boosting(x[rows], y[rows], st, st.rounds)[-1]
         assert np.allclose(m.margin(codes)[rows], want, atol=1e-6)
+    # a forest: many different trees, each a fair learner, the mean a better one; chances are shares
+    chance = alone[4].chance(codes)
+    assert len(alone[4].trees) == 40 and len({tuple(t.feature) for t in alone[4].trees}) > 30 and 0 <= chance.min() and chance.max() <= 1
+    single = [((t.apply(codes) > 0.5) == (y > 0.5)).mean() for t in alone[4].trees]
+    assert ((chance > 0.5) == (y > 0.5)).mean() > max(0.85, float(np.mean(single)))
     scored = alone[0].transform(df).select(C.KEY, C.probability().alias("p")).collect()
     assert np.allclose([r["p"] for r in sorted(scored)], 1 / (1 + np.exp(-alone[0].margin(codes))))
     assert math.isclose(sum(alone[0].importances()), 1.0) and alone[0].importances()[2] < 0.2
