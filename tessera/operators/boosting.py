@@ -8,14 +8,18 @@ Hessian weight per child; otherwise a split is scored by the variance of the gra
 * Up to ``LOCAL_ROWS`` training rows are one block, and one aggregate over one block is the block's own sums: each model is then grown by one
   task, all of them in one job. Beyond that the blocks stay spread: all models grow in step, one aggregate a level
   (map-side combined, splits chosen on the executors), and only chosen splits reach the driver. Both ways run the same code.
+* Sums are made of the features that a node may split on only, and of the rows that still stand in an open node; a tree's rows keep their
+  place from level to level. ``NODES`` nodes are summed and split at once, so that deep levels take no more memory than shallow ones.
 * A forest is the same engine without margins: independent trees on Poisson bootstrap weights, splits by weighted Gini.
 * Row and column samples come from hashes of (row, tree) and from seeds of (tree, node), so both ways, reruns and any partitioning agree.
-* Margins are kept with the blocks and written to the checkpoint folder every ``CUT_ROUNDS`` trees; between two cuts tasks add up the trees since.
+* Margins are kept with the blocks, brought up to date once a tree, and written to the checkpoint folder every ``CUT_ROUNDS`` trees.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
+from array import array
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -29,8 +33,9 @@ from tessera.session import checkpoint_dir
 
 BINS = 64
 FOREST_TREES = 32       # trees of a forest that one task grows
-LOCAL_ROWS = 100_000
+LOCAL_ROWS = 400_000    # about 20 MB of bins, and as much again for places and gradients
 BLOCK = 16_384
+NODES = 512             # nodes summed at once
 CUT_ROUNDS = 8
 
 
@@ -99,20 +104,33 @@ class Tree:
                 self.value += [low, high]
         self.open = after
 
+    def close(self) -> "Tree":
+        """No node is open any more; the lists become arrays, which are many times smaller."""
+        self.open = []
+        self.feature, self.cut, self.left = array("h", self.feature), array("h", self.cut), array("i", self.left)
+        self.value, self.gain = array("d", self.value), array("d", self.gain)
+        return self
 
-def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost) -> dict:
-    """node -> split of each row of ``sums`` (nodes, features, bins, 3: gradient, Hessian, rows)."""
+
+def columns(nodes: list, tree_no: int, st: Boost, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, w): the features whose sums a node needs, in ascending order, and whether it may split on them."""
     tree_no += st.first
-    n_features = sums.shape[1]
-    allowed = np.ones(sums.shape[:2], bool)
+    of_tree = np.ones(n_features, bool)
     if st.columns_tree < 1:
         keep = max(1, round(st.columns_tree * n_features))
-        allowed &= np.isin(np.arange(n_features), np.random.default_rng([st.seed, tree_no]).permutation(n_features)[:keep])
+        of_tree = np.isin(np.arange(n_features), np.random.default_rng([st.seed, tree_no]).permutation(n_features)[:keep])
     if st.columns_node == "sqrt":
         few = max(1, int(np.sqrt(n_features)))
         draw = uniform((np.array(nodes)[:, None] * n_features + np.arange(n_features)).ravel(), st.seed * 7_000_003 + tree_no)
-        draw = draw.reshape(len(nodes), n_features)
-        allowed &= draw <= np.partition(draw, few - 1, axis=1)[:, few - 1:few]
+        cols = np.sort(np.argsort(draw.reshape(len(nodes), n_features), axis=1, kind="stable")[:, :few], axis=1)
+    else:
+        cols = np.tile(np.flatnonzero(of_tree), (len(nodes), 1))
+    return cols, of_tree[cols]
+
+
+def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost, n_features: int) -> dict:
+    """node -> split of each row of ``sums`` (nodes, its ``columns``, bins, 3: gradient, Hessian, rows)."""
+    cols, allowed = columns(nodes, tree_no, st, n_features)
     total = sums[:, 0].sum(axis=1)[:, None, None, :]
     left = np.cumsum(sums, axis=2)[:, :, :-1]
     right = total - left
@@ -146,7 +164,7 @@ def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost) -> dict:
     best = gain[i, f, b].tolist()
     low, high = value(left[i, f, b]), value(right[i, f, b])
     return {node: (f_, b_, g, v, x, y) if g > -np.inf else (-1, 0, 0.0, v, 0.0, 0.0)
-            for node, f_, b_, g, v, x, y in zip(nodes, f.tolist(), b.tolist(), best, here, low, high)}
+            for node, f_, b_, g, v, x, y in zip(nodes, cols[i, f].tolist(), b.tolist(), best, here, low, high)}
 
 
 class Rows:
@@ -155,32 +173,59 @@ class Rows:
     def __init__(self, ids, codes, y, fold, margins):
         self.ids, self.codes, self.y, self.fold, self.margins = ids, codes, y, fold, margins
 
-    def sums(self, m: int, st: Boost, fold: int | None, balance: tuple[float, float], tree: Tree, no: int, bins: int) -> np.ndarray:
-        """(open nodes, features, bins, 3) of model ``m``'s tree number ``no`` over the model's rows; ``balance``: the classes' weights."""
-        no += st.first
-        use = np.ones(len(self.y), bool) if fold is None else self.fold != fold
+
+class Descent:
+    """The rows of model ``m``'s tree number ``no`` on their way down: place, bins, gradient and Hessian of those not yet in a leaf."""
+
+    def __init__(self, block: Rows, m: int, st: Boost, fold: int | None, balance: tuple[float, float], no: int):
+        """``balance``: the classes' weights."""
+        self.st, self.no, salt = st, no, st.seed * 1_000_003 + no + st.first
+        use = np.ones(len(block.y), bool) if fold is None else block.fold != fold
         if st.subsample < 1:
-            use &= uniform(self.ids, st.seed * 1_000_003 + no) <= st.subsample
+            use &= uniform(block.ids, salt) <= st.subsample
         if st.forest:
-            times = np.searchsorted(_POISSON, uniform(self.ids, st.seed * 1_000_003 + no))
+            times = np.searchsorted(_POISSON, uniform(block.ids, salt))
             use &= times > 0
         rows = np.flatnonzero(use)
-        place = np.full(len(tree.feature), -1)
-        place[tree.open] = np.arange(len(tree.open))
-        node = place[tree.leaves(self.codes[rows])]
-        rows, node = rows[node >= 0], node[node >= 0]
+        y = block.y[rows]
         if st.forest:       # G² / H of these is the weighted variance that a Gini split lowers, -G / H the share of class 1
-            h = times[rows] * np.where(self.y[rows] > 0, balance[1], balance[0])
-            parts = (-h * self.y[rows], h, np.ones(len(rows)))
+            self.h = times[rows] * np.where(y > 0, balance[1], balance[0])
+            self.g = -self.h * y
         else:
-            p = 1 / (1 + np.exp(-self.margins[m][rows]))
-            parts = (p - self.y[rows], p * (1 - p), np.ones(len(rows)))
-        n_features = self.codes.shape[1]
-        cell = ((node[:, None] * n_features + np.arange(n_features)) * bins + self.codes[rows]).ravel()
-        out = np.zeros((3, len(tree.open) * n_features * bins))
-        for c, v in enumerate(parts):
-            out[c] = np.bincount(cell, np.repeat(v, n_features), out.shape[1])
-        return np.moveaxis(out.reshape(3, len(tree.open), n_features, bins), 0, 3)
+            p = 1 / (1 + np.exp(-block.margins[m][rows]))
+            self.g, self.h = p - y, p * (1 - p)
+        self.codes, self.node = block.codes[rows], np.zeros(len(rows), np.int64)
+
+    def follow(self, tree: Tree) -> None:
+        """Down to the open nodes; rows that end in a leaf before leave."""
+        feature, cut, left = np.array(tree.feature), np.array(tree.cut), np.array(tree.left)
+        while len(self.node) and self.node[0] < tree.open[0]:       # all rows stand at one depth, open nodes come last
+            f = feature[self.node]
+            inner = f >= 0
+            if not inner.all():
+                self.codes, self.node, self.g, self.h, f = (x[inner] for x in (self.codes, self.node, self.g, self.h, f))
+            over = self.codes[np.arange(len(f)), f] > cut[self.node]
+            self.node = left[self.node] + over
+
+    def sums(self, tree: Tree, bins: int):
+        """(nodes, (nodes, their ``columns``, bins, 3)) of the open nodes, ``NODES`` at a time."""
+        place = self.node - tree.open[0]
+        for at in range(0, len(tree.open), NODES):
+            nodes = tree.open[at:at + NODES]
+            if len(tree.open) > NODES:
+                rows = np.flatnonzero((place >= at) & (place < at + NODES))
+                node, codes, g, h = place[rows] - at, self.codes[rows], self.g[rows], self.h[rows]
+            else:
+                node, codes, g, h = place, self.codes, self.g, self.h
+            cols, _ = columns(nodes, self.no, self.st, codes.shape[1])
+            every, start, size = np.arange(len(node)), node * bins, len(nodes) * bins
+            out = np.empty((len(nodes), cols.shape[1], bins, 3))
+            for k in range(cols.shape[1]):
+                code = codes[every, cols[node, k]] if self.st.columns_node == "sqrt" else codes[:, cols[0, k]]
+                cell = start + code
+                for c, v in enumerate((g, h, None)):
+                    out[:, k, :, c] = np.bincount(cell, v, size).reshape(len(nodes), bins)
+            yield nodes, out
 
 
 @dataclass
@@ -281,14 +326,18 @@ def _rows(record, width: int, margins) -> Rows:
 
 def _grow_alone(rows: Rows, model: Model, bins: int) -> None:
     """All trees of one model over one block that holds all rows."""
+    width = rows.codes.shape[1]
     for no in range(model.st.rounds):
-        tree = Tree()
+        tree, down = Tree(), Descent(rows, 0, model.st, model.fold, model.balance, no)
         for _ in range(model.st.depth):
-            tree.grow(best_splits(rows.sums(0, model.st, model.fold, model.balance, tree, no, bins), tree.open, no, model.st))
+            down.follow(tree)
+            splits: dict = {}
+            for nodes, sums in down.sums(tree, bins):
+                splits |= best_splits(sums, nodes, no, model.st, width)
+            tree.grow(splits)
             if not tree.open:
                 break
-        tree.open = []
-        model.trees.append(tree)
+        model.trees.append(tree.close())
         if not model.st.forest:
             rows.margins[0] += model.st.rate * tree.apply(rows.codes)
 
@@ -300,20 +349,21 @@ def _one_task_each(blocks: DataFrame, models: list[Model], width: int, bins: int
             for *record, m in zip(*(c.to_pylist() for c in batch.columns)):
                 model = models[m]
                 _grow_alone(_rows(record, width, lambda n: [np.full(n, model.base)]), model, bins)
-                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(model.trees)], pa.binary())], ["m", "trees"])
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([zlib.compress(pickle.dumps(model.trees), 1)], pa.binary())], ["m", "trees"])
 
     # longest first, one partition each
     order = sorted(range(len(models)), key=lambda m: -models[m].st.rounds * models[m].st.depth)
     each = blocks.withColumn("m", F.explode(F.array(*[F.lit(m) for m in order]))).repartitionByRange(len(models), "m") if len(models) > 1 \
         else blocks.withColumn("m", F.lit(0))
     for r in each.mapInArrow(train, "m int, trees binary").collect():        # the models' parameters
-        models[r["m"]].trees = pickle.loads(bytes(r["trees"]))
+        models[r["m"]].trees = pickle.loads(zlib.decompress(bytes(r["trees"])))
 
 
 def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> None:
     """All models level by level over spread blocks: one aggregate a level."""
     checkpoint_dir(blocks.sparkSession)  # the cluster's shared folder (set locally only when unset)
     state, since = blocks.withColumn("margins", F.lit(None).cast("binary")), 0
+    kept: list[DataFrame] = []                              # margins since the last cut
     settings, folds, bases, balances = [m.st for m in models], [m.fold for m in models], [[m.base] for m in models], [m.balance for m in models]
 
     def current(record, margins, new):
@@ -333,12 +383,14 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
                 for *record, margins in zip(*(c.to_pylist() for c in batch.columns)):
                     rows = current(record, margins, new)
                     for i, tree in growing.items():
-                        found = rows.sums(i, settings[i], folds[i], balances[i], tree, no, bins)
-                        total[i] = total[i] + found if i in total else found
-            for i, sums in total.items():
-                node, feature, bin_ = np.nonzero(sums[..., 2])
+                        down = Descent(rows, i, settings[i], folds[i], balances[i], no)
+                        down.follow(tree)
+                        for nodes, found in down.sums(tree, bins):
+                            total[i, nodes[0]] = total[i, nodes[0]] + found if (i, nodes[0]) in total else found
+            for (i, first), sums in total.items():
+                node, feature, bin_ = np.nonzero(sums[..., 2])          # feature: its place among the node's columns
                 v = sums[node, feature, bin_]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), i, np.int32)), pa.array(np.array(growing[i].open, np.int32)[node]),
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), i, np.int32)), pa.array((first + node).astype(np.int32)),
                                                   pa.array(feature.astype(np.int32)), pa.array(bin_.astype(np.int32)),
                                                   *[pa.array(v[:, c]) for c in range(3)]], ["m", "node", "feature", "bin", "g", "h", "n"])
         return run
@@ -347,9 +399,9 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
         def run(key, pdf):
             import pandas as pd
             m, node = int(key[0]), int(key[1])
-            sums = np.zeros((1, width, bins, 3))
+            sums = np.zeros((1, columns([node], no, settings[m], width)[0].shape[1], bins, 3))
             sums[0, pdf["feature"], pdf["bin"]] = pdf[["g", "h", "n"]].to_numpy()
-            return pd.DataFrame([(m, node, *best_splits(sums, [node], no, settings[m])[node])],
+            return pd.DataFrame([(m, node, *best_splits(sums, [node], no, settings[m], width)[node])],
                                 columns=["m", "node", "feature", "cut", "gain", "value", "low", "high"])
         return run
 
@@ -369,17 +421,26 @@ def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> N
                 tree.grow(splits.get(i, {}))
             growing = {i: t for i, t in growing.items() if t.open and depth < models[i].st.depth}
         for i, tree in making.items():
-            tree.open = []
-            models[i].trees.append(tree)
-        if (no + 1) % CUT_ROUNDS == 0:
+            models[i].trees.append(tree.close())
+        if not all(st.forest for st in settings):
             def put(batches, new=[m.trees[since:] for m in models]):
                 import pyarrow as pa
                 for batch in batches:
                     for *record, margins in zip(*(c.to_pylist() for c in batch.columns)):
                         raw = current(record, margins, new).margins.astype("<f8").tobytes()
                         yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (*record, raw)], ["ids", "codes", "y", "fold", "margins"])
-            state = state.mapInArrow(put, state.schema).checkpoint(eager=True)
+            after = state.mapInArrow(put, state.schema)
+            if (no + 1) % CUT_ROUNDS == 0:
+                state = after.checkpoint(eager=True)
+                for x in kept:
+                    x.unpersist()
+                kept = []
+            else:
+                state = after.persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(state)
             since = no + 1
+    for x in kept:
+        x.unpersist()
 
 
 def fit_many(df: DataFrame, cols: list[str], specs: list[tuple[Boost, int | None]], key: str, label: str, fold: str | None = None,

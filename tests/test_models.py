@@ -317,6 +317,36 @@ def test_boosting_equals_a_plain_version_alone_and_in_step(spark, monkeypatch):
     assert boosting.fit_many(df.limit(0), ["a"], specs[:1], C.KEY, C.LABEL)[0].trees == []
 
 
+def test_sums_hold_the_columns_and_rows_of_open_nodes_only(monkeypatch):
+    import pickle
+
+    import numpy as np
+
+    from tessera.operators import boosting
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 8, (3000, 25)).astype(np.uint8)
+    y = (codes[:, 3] + rng.integers(0, 6, 3000) > 6).astype(float)
+    rows = boosting.Rows(np.arange(3000), codes, y, np.zeros(3000, "<i4"), [np.zeros(3000)])
+    for st, wide in ((C.forest(C.Settings(), 3, 9, 2), 5), (boosting.Boost(rounds=3, depth=6, columns_tree=0.4, subsample=0.8), 10)):
+        made = []
+        for n in (boosting.NODES, 7):                        # the number of nodes summed at once decides nothing
+            monkeypatch.setattr(boosting, "NODES", n)
+            model = boosting.Model(st, None, 0.0)
+            rows.margins[0][:] = 0
+            boosting._grow_alone(rows, model, 8)
+            made.append([(list(t.feature), list(t.cut), list(t.value)) for t in model.trees])
+        assert made[0] == made[1] and len(model.trees[0].feature) > 40
+        assert len(pickle.dumps(model.trees[0])) < 30 * len(model.trees[0].feature) + 600
+        tree, down = boosting.Tree(), boosting.Descent(rows, 0, st, None, (1.0, 1.0), 0)
+        down.follow(tree)
+        (nodes, sums), = down.sums(tree, 8)
+        assert nodes == [0] and sums.shape == (1, wide, 8, 3) and (sums[0, :, :, 2].sum(axis=1) == len(down.node)).all()
+        tree.grow({0: (3, 4, 1.0, 0.0, 0.0, 0.0)})
+        tree.grow({1: (3, 1, 1.0, 0.0, 0.0, 0.0)})          # node 2 is a leaf
+        down.follow(tree)
+        assert tree.open == [3, 4] and set(down.node) == {3, 4} and (down.codes[:, 3] <= 4).all()
+
+
 def test_pivots_skip_blocks_and_equal_rows_cost_one_point(spark):
     import numpy as np
 
