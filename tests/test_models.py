@@ -234,6 +234,20 @@ def test_models_fitted_together_equal_single_fits(spark, monkeypatch):
     assert kmeans.fit_many(kmeans.keep(vec.limit(0), "beneficiaire_id"), [2], 2) == []
 
 
+def test_passes_over_many_rows_have_tasks_by_cores(spark, monkeypatch):
+    from tessera.operators import kmeans
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(kmeans, "TASK_ROWS", 10)
+    vec = spark.range(2000).selectExpr("id AS beneficiaire_id", "array(CAST(id % 7 AS DOUBLE), CAST(id % 11 AS DOUBLE)) AS features")
+    for parts in (40, 1):
+        blocks = kmeans.keep(vec.repartition(parts), "beneficiaire_id")
+        assert blocks.rdd.getNumPartitions() == kmeans.CORE_TASKS * cores if parts > 1 else blocks.rdd.getNumPartitions() > 1
+        assert sorted(i for ids, _ in kmeans._blocks(blocks.toArrow().to_batches()) for i in ids) == list(range(2000))
+    assert "cache" not in blocks._jdf.rdd().toDebugString().lower().split("checkpoint")[-1]     # nothing behind the blocks' files
+    monkeypatch.setattr(kmeans, "MOST_ROWS", 100)            # tasks do not grow without bound
+    assert kmeans.keep(vec.repartition(40), "beneficiaire_id").rdd.getNumPartitions() == 20
+
+
 def _plain_boosting(x, y, st, rounds):
     """Second-order boosting by trying every split of every node, without bins, samples or jobs: margins after each round."""
     import numpy as np
