@@ -87,6 +87,55 @@ def test_gram_hands_on_partial_sums(spark, monkeypatch):
     assert whole[(10, 10)] == 5 and whole[(10, 20)] == 2 and whole[(20, 20)] == 17 and (20, 30) not in whole.index
 
 
+def test_gram_memory_does_not_grow_with_users():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    def peak(users):
+        rng = np.random.default_rng(1)
+        u = np.repeat(np.arange(users), 20)
+        df = pd.DataFrame({R.U: u, R.I: rng.integers(1, 151, len(u)), R.N: 1}).drop_duplicates([R.U, R.I])
+        batches = [df.iloc[a:a + 10_000] for a in range(0, len(df), 10_000)]
+        tracemalloc.start()
+        got = pd.concat(R._gram_partition(iter(batches)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got["dot"].sum() == (df.groupby(R.U)[R.N].sum() ** 2).sum()
+        return most
+    assert peak(40_000) < 1.6 * peak(10_000)
+
+
+def _counted(spark, df):
+    """``df`` and the number of its rows that were read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_operations_are_read_once_for_reference_date_and_top_sector(spark):
+    import datetime as dt
+
+    from tessera.operators import features as FE
+    day = dt.date(2000, 1, 1)
+    rows = [(u, 1.5, 1, u % 3, day + dt.timedelta(u), u % 2 == 0, "R", "S" if u % 4 else "T") for u in range(1, 11) for _ in range(u)]
+    ops = spark.createDataFrame(rows, "beneficiaire_id long, montant_reduction double, nb_operations int, offre_id long, date_complete date, "
+                                      "est_weekend boolean, region string, secteur string")
+    benef = spark.createDataFrame([(u, day, False) for u in range(1, 13)], "beneficiaire_id long, date_inscription date, est_membre_association boolean")
+    once, seen = _counted(spark, ops)
+    got = {r[0]: r for r in FE.segment_features(benef, once).collect()}
+    assert seen.value == len(rows) == 55
+    assert got[10].recency == 0 and got[1].recency == 9 and got[12].recency == 999 and got[12].anciennete == 10 and got[4].frequency == 4
+    once, seen = _counted(spark, ops)
+    sec = {r[0]: r[1] for r in R.recommend_sector(benef, once).collect()}
+    assert seen.value == 55 and sec[4] == "T" and sec[5] == "S" and sec[12] == "S" and len(sec) == 12
+
+
 def test_recommend_over_thousands_of_items(spark):
     # user u of 1,500 uses items 2u - 1 and 2u; user 0 uses items 1, 3 and 5
     rows = [(u, x, 1, "S") for u in range(1, 1501) for x in (2 * u - 1, 2 * u)] + [(0, x, 1, "S") for x in (1, 3, 5)]
