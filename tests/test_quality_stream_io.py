@@ -211,3 +211,16 @@ def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
     assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
     got = {r[0]: tuple(r)[1:] for r in out.collect()}
     assert len(got) == 40 and got[1] == ("F", 10, 25.0, 100.0) and got[40] == ("M", 0, 0.0, 0.0)
+
+
+def test_unique_keys_of_many_rows_are_counted_in_tasks_by_their_number(spark, monkeypatch):
+    from tessera.operators import keys
+    monkeypatch.setattr(keys, "TASK_ROWS", 50)
+    df = spark.range(1000).select((F.col("id") % 990).alias("k"), F.lit("x").alias("v"))
+    got = Q.check_unique(df, ["k"], "t", rows=1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k") == 1 and "20)" in plan.split("hashpartitioning(k")[1].splitlines()[0]
+    assert (got.first().n_duplicate_keys, got.first().n_rows_in_duplicates) == (10, 20)
+    few = Q.check_unique(df, ["k"], "t", rows=100)      # the cores take all of it: left to Spark
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+    assert few.first().n_duplicate_keys == 10
