@@ -388,3 +388,27 @@ def test_pivots_skip_blocks_and_equal_rows_cost_one_point(spark):
         assert all(got[keys[i], r][1] == at[got[keys[i], r][0]].tolist() for r in range(1, 6))
     assert C.nearest_neighbours(rows.limit(0), ["a"]).count() == 0
     assert C.nearest_neighbours(rows.limit(1), ["a"]).count() == 0 and C.nearest_neighbours(rows.limit(2), ["a"]).count() == 2
+
+
+def test_split_orders_keys_alone_and_equals_a_plain_version(spark, monkeypatch):
+    import hashlib
+    import math
+    seen, plain_surrogate = [], C.with_surrogate
+
+    def narrow(df, *args):
+        seen.append(df.columns)
+        return plain_surrogate(df, *args)
+
+    monkeypatch.setattr(C, "with_surrogate", narrow)
+    rows = [(i, 0 if i % 7 else 1, float(i)) for i in range(1, 212)] + [(900, 2, 1.0)]
+    got = C.stratified_split(spark.createDataFrame(rows, "beneficiaire_id long, churned int, x double"))
+    assert seen == [["churned", "_h", "beneficiaire_id"]]       # the features were sorted and written before
+    assert got.columns == ["churned", "beneficiaire_id", "x", "split"]
+    classes = {c: sorted((r[0] for r in rows if r[1] == c), key=lambda k: (hashlib.md5(f"{k}:42".encode()).hexdigest(), k)) for c in (0, 1, 2)}
+    take = {c: math.floor(len(k) * 0.2) for c, k in classes.items()}
+    more = math.ceil(len(rows) * 0.2) - sum(take.values())
+    for c in sorted(classes, key=lambda c: (-(len(classes[c]) * 0.2 - take[c]), c))[:more]:
+        take[c] += 1
+    assert take[2] == 0                                         # a class without a test row
+    want = {k for c, ks in classes.items() for k in ks[:take[c]]}
+    assert {r.beneficiaire_id for r in got.where("split = 'test'").collect()} == want and got.count() == len(rows)
