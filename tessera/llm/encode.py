@@ -24,6 +24,8 @@ from tessera.llm.common import slices
 CACHE_CHUNKS = 600_000
 SLICE_CHARS = 5_000_000
 _TAIL = ".,!?;:|&%$#*"
+#: Punctuation behind an ASCII letter, up to a blank: a pre-token of its own also with a blank before it.
+_ENDED = r"([A-Za-z])([.,!?;:|&%$#*]+)( |$)"
 #: In front of a text's first chunk, which has no blank before it.
 _FIRST = "\x02"
 #: Texts (RE2) whose white space is more than single blanks and line ends between other characters.
@@ -74,38 +76,39 @@ class Coder:
             self.cache[h] = raw[at:end]
             at = end
 
-    def _letters(self, chunk: str) -> bool:
-        """Letters only, and also after the vocabulary's normaliser: lower-casing or composing turns some
-        letters into a letter and a mark, which would join the punctuation behind."""
-        return chunk.isalpha() and (chunk.isascii() or self.normal(chunk).isalpha())
+    def _letters(self, chunks: list[str]) -> set[str]:
+        """Those of letters only, and also after the vocabulary's normaliser: lower-casing or composing turns some
+        letters into a letter and a mark, which would join the punctuation behind. One call normalises all of them,
+        blanks between them."""
+        found = {c for c in chunks if c.isalpha()}
+        wide = [c for c in found if not c.isascii()]
+        if wide:
+            normal = self.normal(" ".join(wide)).split(" ")
+            if len(normal) != len(wide):                # never seen; the slow way is always right
+                normal = [self.normal(c) for c in wide]
+            found.difference_update([c for c, n in zip(wide, normal) if not n.isalpha()])
+        return found
 
     def learn(self, chunks: list[str]) -> list[bytes]:
         """Ids (little-endian, 4 bytes each) of each distinct chunk."""
         cache = self.cache
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        heads, tails, other, parts = {}, {}, [], []
-        for c in chunks:
-            if c in cache:
-                continue
-            if self._letters(c):
-                heads[c] = None
-                continue
-            h = c.rstrip(_TAIL)
-            if h != c and self._letters(h):             # letters, then punctuation: two pre-tokens
-                t = c[len(h):]
-                parts.append((c, h, t))
-                if h not in cache:
-                    heads[h] = None
-                if ("t", t) not in cache:
-                    tails["t", t] = None
-            else:
-                other.append(c)
-        self._plain(list(heads))
-        cache.update(zip(tails, self._bytes([t for _, t in tails])))
-        for c, h, t in parts:
-            cache[c] = cache[h] + cache["t", t]
-        cache.update(zip(other, self._bytes([self._context(c) for c in other])))
+        fresh = [c for c in chunks if c not in cache]
+        if fresh:
+            letters = self._letters(fresh)
+            ends = {c: c.rstrip(_TAIL) for c in fresh if c not in letters}
+            stems = self._letters([h for c, h in ends.items() if h != c])
+            parts = {c: h for c, h in ends.items() if h in stems}   # letters, then punctuation: two pre-tokens
+            self._plain([h for h in letters | set(parts.values()) if h not in cache])
+            # a tail's key starts with a blank, which no chunk holds
+            tails = {" " + c[len(h):] for c, h in parts.items()}
+            tails = [t for t in tails if t not in cache]
+            cache.update(zip(tails, self._bytes([t[1:] for t in tails])))
+            for c, h in parts.items():
+                cache[c] = cache[h] + cache[" " + c[len(h):]]
+            other = [c for c in ends if c not in parts]
+            cache.update(zip(other, self._bytes([self._context(c) for c in other])))
         return [cache[c] for c in chunks]
 
     def _context(self, chunk: str) -> str:
@@ -122,7 +125,7 @@ class Coder:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if self.kind == "words":
-            texts = pc.replace_substring(texts, "\n", " ")
+            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _ENDED, r"\1 \2\3")
         else:
             odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
             if odd.any():

@@ -54,6 +54,22 @@ def test_every_letter_before_every_tail(name, kind):
         assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_words_before_punctuation_are_kept_once_and_normalised_together():
+    from tokenizers import Tokenizer
+
+    from tessera.llm.encode import Coder
+    path = vocabulary("word_bpe_49k.json")
+    t, code, calls = Tokenizer.from_file(path), Coder(path, "words"), []
+    normal, code.normal = code.normal, lambda x: calls.append(x) or normal(x)
+    texts = ["plain plain, plain. plain!? (plain) été été, noël; İl, İl", "plain; it's, J\u030c, e\u0301. <|endoftext|>, a_b? x=1, N,\tO."]
+    assert [x.tolist() for x in code.documents(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not {"plain,", "plain.", "plain!?", "plain;"} & set(code.cache)
+    assert len(calls) <= 2                               # letters alone, and letters before punctuation
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("aBZ.,!?;:|&%$#*'_-\u0301é") for _ in range(rnd.randrange(6))) for _ in range(30)) for _ in range(300)]
+    assert [x.tolist() for x in code.documents(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_codes_give_random_access():
     rnd = np.random.default_rng(3)
     ids = np.concatenate([rnd.integers(0, 2 ** b, 700, dtype=np.uint32) for b in (4, 8, 9, 16, 17, 31)])
