@@ -141,6 +141,35 @@ def test_foreign_keys_are_counted_together_in_one_shuffle(spark):
     assert sum("hashpartitioning(parent" in x and "key" in x for x in out._jdf.queryExecution().executedPlan().toString().splitlines()) <= 2
 
 
+def test_foreign_keys_read_lines_joined_once_and_keys_counted_by_column(spark):
+    import __spark_entry__ as E
+    from tessera.plans.context import Ctx
+    from tests.conftest import SF0001
+    c = Ctx(spark, SF0001)
+    before = {f: getattr(c.stg, f)() for f in ("operation", "solde")}
+    kept = Ctx(spark, SF0001).stg
+    kept.keep_lines()
+    for f, df in before.items():
+        assert getattr(kept, f)().dtypes == df.dtypes
+        assert sorted(map(tuple, getattr(kept, f)().collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    # offers and regions are small by their making: the facts are not shuffled for them
+    assert c.a.fait_operations()._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 3
+    plan = E.queries()["q_fk_violations"](spark, SF0001)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("l_partkey" in x or "l_suppkey" in x for x in plan.splitlines() if "Relation [" not in x)
+    assert plan.count("Aggregate [_k") >= 25                 # one a relationship of one column
+    assert "concat_ws" in plan
+
+
+def test_foreign_keys_of_hot_and_missing_keys(spark):
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int")
+    child = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7L WHEN id % 3 = 1 THEN 1L ELSE NULL END AS p", "CAST(id % 2 AS string) AS q")
+    two = spark.createDataFrame([(1, "0"), (7, "1")], "p long, q string")
+    keys = [Q.ForeignKey("hot", "child", ["p"], "parent", ["id"]), Q.ForeignKey("pair", "child", ["p", "q"], "two", ["p", "q"]),
+            Q.ForeignKey("back", "parent", ["id"], "child", ["p"])]
+    got = {r["relationship"]: r["n_violations"] for r in Q.check_fks({"parent": parent, "child": child, "two": two}, keys).collect()}
+    assert got == {"hot": 1000, "pair": 1000, "back": 1}
+
+
 def test_stream_of_updates_resumes_and_checks_only_changes(spark, tmp_path):
     import datetime as dt
 
