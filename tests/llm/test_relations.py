@@ -289,3 +289,25 @@ def test_top_k_keeps_vectors_of_large_components(spark):
         topk.top_k(e.unionByName(e.where("vec_id = 1").selectExpr("9L AS vec_id", "terms")), e.where("vec_id = 1"), 5).collect()
     with pytest.raises(Exception, match="64 bits"):
         topk.quantise(edge.selectExpr("vec_id", "transform(embedding, x -> x * 1e12D) AS embedding"), "vec_id", "embedding", 1).collect()
+
+
+def test_top_k_never_broadcasts_its_query_blocks(spark, monkeypatch):
+    # their files are small, but they stand once for every group
+    joined, kind = [], type(spark.range(1))
+    real = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: joined.append(real(self, *a, **b)) or joined[-1])
+    v = spark.range(400).selectExpr("id AS vec_id", "array(id % 7, id % 11, -id % 5) AS terms")
+    assert topk.top_k(v, v.where("vec_id % 20 = 0"), 20).count() == 400
+    assert joined and not [j for j in joined if "Broadcast" in j._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_block_top_k_in_every_width_of_integers():
+    rnd = np.random.default_rng(9)
+    for high in (3, 127, 2 ** 14, 2 ** 30, 2 ** 62):
+        q, c = (rnd.integers(-high, high, (n, 5)) * (rnd.random((n, 5)) < 0.6) for n in (40, 90))
+        least = [None, 10 ** 4] * 20
+        whole = q.astype(object) @ c.T.astype(object)
+        got = {i: dict(zip(places.tolist(), s.tolist())) for i, places, s in topk.block_top_k(np.arange(40), q, np.arange(90), c, 9, least)}
+        for i in range(40):
+            best = sorted((-whole[i, j], j) for j in range(90) if j != i and (least[i] is None or whole[i, j] >= least[i]))[:9]
+            assert got.get(i, {}) == {j: -s for s, j in best}
