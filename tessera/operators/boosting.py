@@ -5,11 +5,14 @@ feature, bin), the best split of every node follows from these sums, and a leaf'
 gain are offered: ``newton`` scores both sides by ``G² / (H + l2)`` with soft-thresholded ``G`` (l1), ``gamma`` per split and a least
 Hessian weight per child; otherwise a split is scored by the variance of the gradients, and leaves take a Newton step.
 
-* Up to ``LOCAL_ROWS`` training rows are one block, and one aggregate over one block is the block's own sums: each model is then grown by one
-  task, all of them in one job. Beyond that the blocks stay spread: all models grow in step, one aggregate a level
-  (map-side combined, splits chosen on the executors), and only chosen splits reach the driver. Both ways run the same code.
-* Sums are made of the features that a node may split on only, and of the rows that still stand in an open node; a tree's rows keep their
-  place from level to level. ``NODES`` nodes are summed and split at once, so that deep levels take no more memory than shallow ones.
+* Up to ``LOCAL_ROWS`` training rows every model is grown by one task that holds their bins, all models in one job. Beyond that the
+  blocks stay spread: all models grow in step, one aggregate a level (map-side combined, splits chosen on the executors), and only chosen
+  splits reach the driver. Both ways give the same trees.
+* In a task of its own a boosted model joins features to bundles of at most ``CELLS`` cells: one pass sums a bundle's cells, whose margins
+  are its features' sums. Of two children the smaller one is summed, the other is the rest of their parent. Only the kinds of sums
+  that its gain and limits read are made; values follow from the rows of the leaves.
+* Elsewhere sums are made of the features that a node may split on only, and of the rows that still stand in an open node; a tree's rows keep
+  their place from level to level. ``NODES`` nodes are summed and split at once, so that deep levels take no more memory than shallow ones.
 * A forest is the same engine without margins: independent trees on Poisson bootstrap weights, splits by weighted Gini.
 * Row and column samples come from hashes of (row, tree) and from seeds of (tree, node), so both ways, reruns and any partitioning agree.
 * Margins are kept with the blocks, brought up to date once a tree, and written to the checkpoint folder every ``CUT_ROUNDS`` trees.
@@ -33,8 +36,12 @@ from tessera.session import checkpoint_dir
 
 BINS = 64
 FOREST_TREES = 32       # trees of a forest that one task grows
-LOCAL_ROWS = 400_000    # about 20 MB of bins, and as much again for places and gradients
+LOCAL_ROWS = 2_000_000  # for 40 features 80 MB of bins, and as much again and a half for places, margins and gradients
 BLOCK = 16_384
+PACK_ROWS = 65_536      # rows that a task packs
+CELLS = 1024            # cells of a bundle of features
+CHUNK = 16_384          # rows summed at once, so that what is made of them stays in the processor's cache
+BUNDLE_DEPTH = 10       # deeper boosted trees sum the columns of a node alone
 NODES = 512             # nodes summed at once
 CUT_ROUNDS = 8
 
@@ -59,6 +66,8 @@ class Boost:
     first: int = 0              # number of the first tree, for seeds
 
 
+SIDE = 2.0 ** 26         # a forest's weights of class 0 stand above those of class 1
+
 #: Distribution of a bootstrap weight (Poisson with mean 1).
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(12), 1)))
 
@@ -145,9 +154,7 @@ def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost, n_featur
         return np.where(n > 0, s, 0.0)
 
     def value(x):
-        top, below = (pull(x[:, 0]), x[:, 1] + st.l2) if st.newton else (x[:, 0], x[:, 1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(np.abs(below) > 1e-150, -top / below, 0.0).tolist()
+        return leaf_values(x[:, 0], x[:, 1], st).tolist()
 
     gain = score(left) + score(right) - score(total)
     gain = gain / 2 - st.gamma if st.newton else gain
@@ -167,6 +174,13 @@ def best_splits(sums: np.ndarray, nodes: list, tree_no: int, st: Boost, n_featur
             for node, f_, b_, g, v, x, y in zip(nodes, cols[i, f].tolist(), b.tolist(), best, here, low, high)}
 
 
+def leaf_values(g: np.ndarray, h: np.ndarray, st: Boost) -> np.ndarray:
+    """Values of leaves with these sums."""
+    top, below = (np.sign(g) * np.maximum(np.abs(g) - st.l1, 0), h + st.l2) if st.newton else (g, h)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.abs(below) > 1e-150, -top / below, 0.0)
+
+
 class Rows:
     """Rows of a block: ids, bins, labels, folds, and a margin for every model."""
 
@@ -228,6 +242,20 @@ class Descent:
             yield nodes, out
 
 
+class Grove:
+    """Trees as they came from the tasks, compressed: one piece at a time stands unpacked."""
+
+    def __init__(self, pieces=()):
+        self.pieces = list(pieces)      # (number of trees, bytes)
+
+    def __len__(self):
+        return sum(n for n, _ in self.pieces)
+
+    def __iter__(self):
+        for _, raw in self.pieces:
+            yield from pickle.loads(zlib.decompress(raw))
+
+
 @dataclass
 class Model:
     """A model in the making, and afterwards the fitted one."""
@@ -288,7 +316,7 @@ def quantile_edges(df: DataFrame, cols: list[str], bins: int = BINS) -> list[np.
 
 
 def _packed(df: DataFrame, cols, edges, key, label, fold, block: int) -> DataFrame:
-    """(ids, codes, y, fold) of consecutive rows as binary blocks."""
+    """(first, ids, codes, y, fold) of consecutive rows as binary blocks, ``first`` their least id."""
     width = len(cols)
 
     def pack(batches):
@@ -298,7 +326,8 @@ def _packed(df: DataFrame, cols, edges, key, label, fold, block: int) -> DataFra
         def out():
             ids, y, f, codes = (np.concatenate([h[i] for h in held]) for i in range(4))
             order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_arrays([pa.array([v[order].tobytes()], pa.binary()) for v in (ids, codes, y, f)], ["ids", "codes", "y", "fold"])
+            return pa.RecordBatch.from_arrays([pa.array([int(ids.min())], pa.int64()), *[pa.array([v[order].tobytes()], pa.binary()) for v in (ids, codes, y, f)]],
+                                              ["first", "ids", "codes", "y", "fold"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -315,7 +344,7 @@ def _packed(df: DataFrame, cols, edges, key, label, fold, block: int) -> DataFra
 
     rows = df.select(F.col(key).cast("long"), F.col(label).cast("double"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("_f"),
                      F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
-    return rows.mapInArrow(pack, "ids binary, codes binary, y binary, fold binary")
+    return rows.mapInArrow(pack, "first long, ids binary, codes binary, y binary, fold binary")
 
 
 def _rows(record, width: int, margins) -> Rows:
@@ -324,45 +353,271 @@ def _rows(record, width: int, margins) -> Rows:
     return Rows(ids, np.frombuffer(codes, np.uint8).reshape(len(ids), width), np.frombuffer(y, "<f8"), np.frombuffer(fold, "<i4"), margins(len(ids)))
 
 
+class Bundles:
+    """Bins of several features as one number of fewer than ``CELLS`` values."""
+
+    def __init__(self, sizes):
+        """``sizes``: bins of every feature."""
+        self.sizes, self.members, self.cells = [int(x) for x in sizes], [], []
+        for f in sorted(range(len(self.sizes)), key=lambda f: (-self.sizes[f], f)):
+            fits = [b for b, n in enumerate(self.cells) if n * self.sizes[f] <= CELLS]
+            if fits:
+                self.members[fits[0]].append(f)
+                self.cells[fits[0]] *= self.sizes[f]
+            else:
+                self.members.append([f])
+                self.cells.append(self.sizes[f])
+        self.of = np.zeros(len(self.sizes), np.int64)       # a feature's bundle, and its step there
+        self.step = np.ones(len(self.sizes), np.int64)
+        for b, members in enumerate(self.members):
+            for i, f in enumerate(members):
+                self.of[f], self.step[f] = b, int(np.prod([self.sizes[x] for x in members[i + 1:]]))
+
+    def pack(self, codes: np.ndarray) -> np.ndarray:
+        """(bundles, rows)."""
+        out = np.zeros((len(self.members), len(codes)), np.uint16)
+        for f in range(len(self.sizes)):
+            out[self.of[f]] += codes[:, f] * np.uint16(self.step[f])
+        return out
+
+    def right(self, feature: int, cut: int) -> np.ndarray:
+        """Whether a row goes right, for every cell of the feature's bundle."""
+        return np.arange(CELLS) // self.step[feature] % self.sizes[feature] > cut
+
+    def sums(self, packed: np.ndarray, pieces, n: int, bins: int, kinds) -> np.ndarray:
+        """(n, features, bins, 3) over ``pieces``: (rows, their places or None for 0). ``kinds``: gradient, Hessian and count of
+        every row, 1 for plain counts, None for a sum that is not read."""
+        found = [[None if v is None else np.zeros(n * cells) for v in kinds] for cells in self.cells]
+        for rows, place in pieces:
+            values = [v if v is None or isinstance(v, int) else v[rows] for v in kinds]
+            for b, cells in enumerate(self.cells):
+                cell = packed[b, rows].astype(np.int64) if place is None else place * cells + packed[b].take(rows)
+                for c, v in enumerate(values):
+                    if v is not None:
+                        found[b][c] += np.bincount(cell, None if isinstance(v, int) else v, n * cells)
+        out = np.zeros((n, len(self.sizes), bins, 3))
+        for members, of_bundle in zip(self.members, found):
+            for c, v in enumerate(of_bundle):
+                if v is None:
+                    continue
+                v = v.reshape(n, *[self.sizes[f] for f in members])
+                for i, f in enumerate(members):
+                    out[:, f, :self.sizes[f], c] = v.sum(axis=tuple(j + 1 for j in range(len(members)) if j != i))
+        return out
+
+
+def _grow_boosted(packed: np.ndarray, bundles: Bundles, ids, y, margin, model: Model, bins: int) -> None:
+    """All trees of a boosted model over all its rows; ``margin`` is brought up to date."""
+    st, width, n = model.st, len(bundles.sizes), len(y)
+    # with a least Hessian weight above 0 no child is empty
+    counted = not st.newton or st.min_leaf > 1 or st.min_split > 2 or st.min_child <= 0
+    every = st.columns_node != "sqrt" and st.columns_tree >= 1
+    flat, g, h, use = packed.reshape(-1), np.empty(n), np.empty(n), np.ones(n, bool)
+    chunks = [(at, min(at + CHUNK, n)) for at in range(0, n, CHUNK)]
+
+    def step(tree, node):
+        """Rows of split nodes go on to the next ones; rows by node."""
+        inner = [x for x, f in enumerate(tree.feature) if f >= 0]
+        to, spot, turn = np.arange(len(tree.feature)), np.zeros(len(tree.feature), np.int64), np.zeros((len(tree.feature), CELLS), np.uint8)
+        for x in inner:
+            to[x], spot[x], turn[x] = tree.left[x], bundles.of[tree.feature[x]] * n, bundles.right(tree.feature[x], tree.cut[x])
+        turn, found = turn.reshape(-1), np.zeros(len(to), np.int64)
+        for a, b in chunks:
+            at = node[a:b]
+            value = flat.take(spot.take(at) + np.arange(a, b))
+            node[a:b] = to.take(at) + turn.take(at * CELLS + value)
+            found += np.bincount(node[a:b], minlength=len(to))
+        return found
+
+    def light(node, place, size):
+        """Pieces of the rows whose node has a place."""
+        wide = max(CHUNK, 4 * size * CELLS)
+        for a in range(0, n, wide):
+            at = place.take(node[a:a + wide])
+            rows = np.flatnonzero((at >= 0) & use[a:a + wide])
+            yield rows + a, at[rows]
+
+    for no in range(st.rounds):
+        for a, b in chunks:
+            p = 1 / (1 + np.exp(-margin[a:b]))
+            if st.subsample < 1:
+                use[a:b] = uniform(ids[a:b], st.seed * 1_000_003 + no + st.first) <= st.subsample
+            g[a:b], h[a:b] = (p - y[a:b]) * use[a:b], p * (1 - p) * use[a:b]
+        tree, node = Tree(), np.zeros(n, np.int64)
+        sums = bundles.sums(packed, ((slice(a, b), None) for a, b in chunks), 1, bins,
+                            (g, h if st.newton else None, use.astype(float) if counted else None))
+        for depth in range(st.depth):
+            if depth:
+                rows_of = step(tree, node)
+                pairs = len(tree.open) // 2
+                small = rows_of[tree.open[0]:].reshape(pairs, 2).argmin(axis=1)      # open nodes come in pairs, and last
+                place = np.full(len(tree.feature), -1)
+                place[tree.open[0] + 2 * np.arange(pairs) + small] = np.arange(pairs)
+                less = bundles.sums(packed, light(node, place, pairs), pairs, bins, (g, h if st.newton else None, 1 if counted else None))
+                whole = sums[[i for i, x in enumerate(before) if tree.feature[x] >= 0]]
+                sums = np.empty((pairs, 2, *less.shape[1:]))
+                sums[np.arange(pairs), small], sums[np.arange(pairs), 1 - small] = less, whole - less
+                sums = sums.reshape(2 * pairs, *less.shape[1:])
+            if not counted:
+                sums[..., 2] = 1
+            before = tree.open
+            mine = sums if every else sums[np.arange(len(before))[:, None], columns(before, no, st, width)[0]]
+            tree.grow(best_splits(mine, before, no, st, width))
+            if not tree.open:
+                break
+        else:
+            step(tree, node)        # the last level's rows, on to their leaves
+        total = [np.bincount(node, v, len(tree.feature)) for v in (g, h)]
+        for x in range(len(tree.feature) - 1, -1, -1):
+            if tree.feature[x] >= 0:
+                for v in total:
+                    v[x] = v[tree.left[x]] + v[tree.left[x] + 1]
+        tree.value = leaf_values(*total, st).tolist()
+        move = st.rate * np.array(tree.value)
+        for a, b in chunks:
+            margin[a:b] += move.take(node[a:b])
+        model.trees.append(tree.close())
+
+
+def _grow_forest(codes: np.ndarray, ids, y, model: Model, bins: int) -> None:
+    """All trees of a forest over all its rows. A row's bootstrap weight is packed with its class into one number, whose sums
+    are exact: ``SIDE`` times the weight of class 0, plus that of class 1."""
+    st, width, flat = model.st, codes.shape[1], codes.reshape(-1)
+    counted = st.min_leaf > 1 or st.min_split > 2           # else a weight above 0 says as much
+    for no in range(st.rounds):
+        times = np.concatenate([np.searchsorted(_POISSON, uniform(ids[a:a + CHUNK], st.seed * 1_000_003 + no + st.first))
+                                for a in range(0, len(ids), CHUNK)] or [np.zeros(0, np.int64)])
+        rows = np.flatnonzero(times)
+        w = times[rows] * np.where(y[rows] > 0, 1.0, SIDE)
+        at, node, tree = rows * width, np.zeros(len(rows), np.int64), Tree()
+        del times, rows
+        for depth in range(st.depth):
+            if depth:
+                feature, cut, to = np.array(tree.feature), np.array(tree.cut), np.array(tree.left)
+                leaf = feature < 0
+                feature[leaf], cut[leaf], to[leaf] = 0, bins, np.flatnonzero(leaf)
+                for a in range(0, len(node), CHUNK):
+                    here = node[a:a + CHUNK]
+                    node[a:a + CHUNK] = to.take(here) + (flat.take(at[a:a + CHUNK] + feature.take(here)) > cut.take(here))
+                stays = np.flatnonzero(node >= tree.open[0])
+                if len(stays) < 0.9 * len(node):
+                    at, w, node = at[stays], w[stays], node[stays]
+            splits: dict = {}
+            for first in range(0, len(tree.open), NODES):
+                nodes = tree.open[first:first + NODES]
+                mine = np.flatnonzero((node >= nodes[0]) & (node <= nodes[-1])) if depth else np.arange(len(node))
+                cols, _ = columns(nodes, no, st, width)
+                k, size = cols.shape[1], len(nodes) * bins
+                both, count = np.zeros(k * size), np.zeros(k * size)
+                shift = np.arange(k)[:, None] * size
+                of = np.ascontiguousarray(cols.T)
+                for a in range(0, len(mine), CHUNK):
+                    r = mine[a:a + CHUNK]
+                    here = node.take(r) - nodes[0]
+                    cell = ((here * bins + shift) + flat.take(of.take(here, axis=1) + at.take(r))).reshape(-1)
+                    both += np.bincount(cell, np.tile(w.take(r), k), k * size)
+                    if counted:
+                        count += np.bincount(cell, None, k * size)
+                zero = np.floor(both / SIDE)
+                one = both - zero * SIDE
+                sums = np.stack([-model.balance[1] * one, model.balance[1] * one + model.balance[0] * zero, count if counted else zero + one], axis=1)
+                sums = np.ascontiguousarray(sums.reshape(k, len(nodes), bins, 3).transpose(1, 0, 2, 3))
+                splits |= best_splits(sums, nodes, no, st, width)
+            tree.grow(splits)
+            if not tree.open:
+                break
+        model.trees.append(tree.close())
+
+
 def _grow_alone(rows: Rows, model: Model, bins: int) -> None:
     """All trees of one model over one block that holds all rows."""
-    width = rows.codes.shape[1]
-    for no in range(model.st.rounds):
-        tree, down = Tree(), Descent(rows, 0, model.st, model.fold, model.balance, no)
-        for _ in range(model.st.depth):
+    width, st = rows.codes.shape[1], model.st
+    if st.forest or st.depth <= BUNDLE_DEPTH:
+        keep = slice(None) if model.fold is None else np.flatnonzero(rows.fold != model.fold)
+        if st.forest:
+            return _grow_forest(np.ascontiguousarray(rows.codes[keep]), rows.ids[keep], rows.y[keep], model, bins)
+        margin, bundles = rows.margins[0][keep], Bundles(rows.codes.max(axis=0, initial=0).astype(int) + 1)
+        _grow_boosted(bundles.pack(rows.codes[keep]), bundles, rows.ids[keep], rows.y[keep], margin, model, bins)
+        rows.margins[0][keep] = margin
+        return None
+    for no in range(st.rounds):
+        tree, down = Tree(), Descent(rows, 0, st, model.fold, model.balance, no)
+        for _ in range(st.depth):
             down.follow(tree)
             splits: dict = {}
             for nodes, sums in down.sums(tree, bins):
-                splits |= best_splits(sums, nodes, no, model.st, width)
+                splits |= best_splits(sums, nodes, no, st, width)
             tree.grow(splits)
             if not tree.open:
                 break
         model.trees.append(tree.close())
-        if not model.st.forest:
-            rows.margins[0] += model.st.rate * tree.apply(rows.codes)
+        rows.margins[0] += st.rate * tree.apply(rows.codes)
 
 
 def _one_task_each(blocks: DataFrame, models: list[Model], width: int, bins: int) -> None:
-    def train(batches):
+    spark = blocks.sparkSession
+    # longest first, one partition each: the join's hash sends each of these numbers to a partition of its own
+    order = sorted(range(len(models)), key=lambda m: -models[m].st.rounds * (1 if models[m].st.forest else models[m].st.depth))
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(len(models)))
+    free = [r["g"] for r in spark.range(64 * len(models)).groupBy(at.alias("at")).agg(F.min("id").cast("int").alias("g")).orderBy("at").collect()]
+    task = {m: free[i % len(free)] for i, m in enumerate(order)}
+
+    def grown(m, parts):
+        """The model's trees; the parts are emptied as the rows are put together."""
         import pyarrow as pa
+        model = models[m]
+        bundles = Bundles([len(e) + 1 for e in model.edges])
+        boosted = not model.st.forest and model.st.depth <= BUNDLE_DEPTH
+        n = sum(len(x[0]) for x in parts)
+        ids, y = np.empty(n, "<i8"), np.empty(n, "<f8")
+        codes = np.empty((len(bundles.members), n), np.uint16) if boosted else np.empty((n, width), np.uint8)
+        to = n
+        while parts:
+            i, c, v = parts.pop()
+            to -= len(i)
+            ids[to:to + len(i)], y[to:to + len(i)] = i, v
+            if boosted:
+                codes[:, to:to + len(i)] = bundles.pack(c)
+            else:
+                codes[to:to + len(i)] = c
+            del i, c, v
+        pa.default_memory_pool().release_unused()
+        if boosted:
+            _grow_boosted(codes, bundles, ids, y, np.full(n, model.base), model, bins)
+        else:
+            _grow_alone(Rows(ids, codes, y, np.full(n, -1, "<i4"), [np.full(n, model.base)]), model, bins)
+        return pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([zlib.compress(pickle.dumps(model.trees), 1)], pa.binary())], ["m", "trees"])
+
+    def train(batches):
+        now, parts = None, []
         for batch in batches:
-            for *record, m in zip(*(c.to_pylist() for c in batch.columns)):
-                model = models[m]
-                _grow_alone(_rows(record, width, lambda n: [np.full(n, model.base)]), model, bins)
-                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([zlib.compress(pickle.dumps(model.trees), 1)], pa.binary())], ["m", "trees"])
-
-    # longest first, one partition each
-    order = sorted(range(len(models)), key=lambda m: -models[m].st.rounds * models[m].st.depth)
-    each = blocks.withColumn("m", F.explode(F.array(*[F.lit(m) for m in order]))).repartitionByRange(len(models), "m") if len(models) > 1 \
-        else blocks.withColumn("m", F.lit(0))
+            for j in range(batch.num_rows):
+                m = batch.column(0)[j].as_py()
+                if m != now and parts:
+                    yield grown(now, parts)
+                now = m
+                # views of the batch, no copies
+                ids, codes, y, fold = (np.frombuffer(batch.column(c)[j].as_buffer(), kind) for c, kind in ((1, "<i8"), (2, np.uint8), (3, "<f8"), (4, "<i4")))
+                codes = codes.reshape(len(ids), width)
+                if models[m].fold is not None:
+                    keep = np.flatnonzero(fold != models[m].fold)
+                    ids, codes, y = ids[keep], codes[keep], y[keep]
+                parts.append((ids, codes, y))
+            del batch
+        if parts:
+            yield grown(now, parts)
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(g).alias("g")) for m, g in task.items()])).alias("_t")
+    each = blocks.select("first", "ids", "codes", "y", "fold", pairs).select("_t.g", "_t.m", "first", "ids", "codes", "y", "fold")
+    each = each.repartition(len(models), "g").sortWithinPartitions("m", "first").select("m", "ids", "codes", "y", "fold")
     for r in each.mapInArrow(train, "m int, trees binary").collect():        # the models' parameters
-        models[r["m"]].trees = pickle.loads(zlib.decompress(bytes(r["trees"])))
+        models[r["m"]].trees = Grove([(models[r["m"]].st.rounds, bytes(r["trees"]))])
 
 
 def _in_step(blocks: DataFrame, models: list[Model], width: int, bins: int) -> None:
     """All models level by level over spread blocks: one aggregate a level."""
     checkpoint_dir(blocks.sparkSession)  # the cluster's shared folder (set locally only when unset)
-    state, since = blocks.withColumn("margins", F.lit(None).cast("binary")), 0
+    state, since = blocks.drop("first").withColumn("margins", F.lit(None).cast("binary")), 0
     kept: list[DataFrame] = []                              # margins since the last cut
     settings, folds, bases, balances = [m.st for m in models], [m.fold for m in models], [[m.base] for m in models], [m.balance for m in models]
 
@@ -462,11 +717,12 @@ def fit_many(df: DataFrame, cols: list[str], specs: list[tuple[Boost, int | None
     pieces = [(m, replace(m, trees=[], st=replace(m.st, first=at, rounds=min(FOREST_TREES, m.st.rounds - at)) if m.st.forest else m.st))
               for m in models for at in (range(0, m.st.rounds, FOREST_TREES) if m.st.forest else (0,))]
     alone, bins = n_rows <= LOCAL_ROWS, max(len(e) for e in edges) + 1
-    source = df.repartition(1) if alone else df
-    blocks = _packed(source, cols, edges, key, label, fold, n_rows if alone else BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
+    # blocks of neighbouring ids: put together by their first ids they are in one order, however they were spread
+    source = df.repartitionByRange(max(1, -(-n_rows // PACK_ROWS)), key).sortWithinPartitions(key) if alone else df
+    blocks = _packed(source, cols, edges, key, label, fold, BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
     width = len(cols)
     (_one_task_each if alone else _in_step)(blocks, [piece for _, piece in pieces], width, bins)
     for m, piece in pieces:
-        m.trees += piece.trees
+        m.trees = Grove([*m.trees.pieces, *piece.trees.pieces] if m.trees else piece.trees.pieces) if alone else [*m.trees, *piece.trees]
     blocks.unpersist()
     return models

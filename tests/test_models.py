@@ -361,6 +361,36 @@ def test_sums_hold_the_columns_and_rows_of_open_nodes_only(monkeypatch):
         assert tree.open == [3, 4] and set(down.node) == {3, 4} and (down.codes[:, 3] <= 4).all()
 
 
+def test_bundled_features_grow_the_same_trees(monkeypatch):
+    import numpy as np
+
+    from tessera.operators import boosting
+    rng = np.random.default_rng(6)
+    codes = np.stack([rng.integers(0, n, 4000) for n in (32, 32, 30, 3, 2, 3, 1, 17, 9)], axis=1).astype(np.uint8)
+    y = (codes[:, 0] * 1.0 + codes[:, 7] + 9 * codes[:, 3] + rng.integers(0, 20, 4000) > 40).astype(float)
+    bundles = boosting.Bundles(codes.max(axis=0).astype(int) + 1)
+    assert len(bundles.members) <= 4 and max(bundles.cells) <= boosting.CELLS        # so many passes instead of nine
+    monkeypatch.setattr(boosting, "CHUNK", 700)
+    g = rng.random(4000)
+    sums = bundles.sums(bundles.pack(codes), [(np.arange(4000), np.arange(4000) % 2)], 2, 32, (g, None, 1))
+    for f in range(9):
+        assert np.allclose(sums[1, f, :, 0], np.bincount(codes[1::2, f], g[1::2], 32)) and (sums[0, f, :, 2] == np.bincount(codes[::2, f], None, 32)).all()
+    fold = (np.arange(4000) % 5).astype("<i4")
+    s = C.Settings()
+    for st, out in ((s.gb(), None), (s.xgb(), 2), (s.stack_gb(), 1), (s.stack_xgb(), None), (boosting.Boost(depth=4, min_child=0.0, min_leaf=9), None)):
+        made = []
+        for depth in (boosting.BUNDLE_DEPTH, 0):            # 0: every column for itself
+            monkeypatch.setattr(boosting, "BUNDLE_DEPTH", depth)
+            rows = boosting.Rows(np.arange(4000), codes, y, fold, [np.zeros(4000)])
+            model = boosting.Model(boosting.replace(st, rounds=4), out, 0.0)
+            boosting._grow_alone(rows, model, 32)
+            made.append((model.trees, rows.margins[0][fold != out]))
+        monkeypatch.setattr(boosting, "BUNDLE_DEPTH", 10)
+        for a, b in zip(made[0][0], made[1][0]):
+            assert (a.feature, a.cut, a.left) == (b.feature, b.cut, b.left) and np.allclose(a.value, b.value)
+        assert np.allclose(made[0][1], made[1][1])
+
+
 def test_pivots_skip_blocks_and_equal_rows_cost_one_point(spark):
     import numpy as np
 
