@@ -391,6 +391,20 @@ def test_bundled_features_grow_the_same_trees(monkeypatch):
         assert np.allclose(made[0][1], made[1][1])
 
 
+def test_compare_fits_the_tree_models_of_one_set_of_blocks_and_keeps_their_trees_packed(spark, monkeypatch):
+    from tessera.operators import boosting
+    calls, real = [], boosting.fit_many
+    monkeypatch.setattr(boosting, "fit_many", lambda df, cols, specs, *a, **b: calls.append(len(specs)) or real(df, cols, specs, *a, **b))
+    df = C.class_weights(_frame(spark, 120, 60))
+    st = C.Settings(lr_iter=5, rf_trees=4, rf_depth=3, gb_iter=3, gb_depth=2, xgb_iter=3, xgb_depth=2, stack_rf_trees=3, stack_rf_depth=2,
+                    stack_gb_iter=2, stack_gb_depth=2, stack_xgb_iter=2, stack_xgb_depth=2, folds=2)
+    table, best, fitted = C.compare(df, df, ["a", "b"], st, 180)
+    assert sorted(calls) == [3, 9] and table.count() == 5 and list(fitted) == ["Logistic Regression", "Random Forest", "Gradient Boosting", "XGBoost", C.STACK]
+    for name, n in (("Random Forest", 4), ("XGBoost", 3)):
+        trees = fitted[name].trees
+        assert len(trees) == n == len(list(trees)) and all(isinstance(raw, bytes) for _, raw in trees.pieces)
+
+
 def test_pivots_skip_blocks_and_equal_rows_cost_one_point(spark):
     import numpy as np
 
